@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinpanel.operators.ordering import bucket_splits, with_bucket
 from kinpanel.operators.scale import salted_join
+from kinpanel.session import checkpointed
 
 
 def membership(df: DataFrame, key: str, members: DataFrame, out: str) -> DataFrame:
@@ -98,10 +99,12 @@ def apart_together(sample: DataFrame, seen: DataFrame, entity: str, relatives: S
     who = sample.groupBy(entity, *relatives).agg(F.max(until).alias("__until"))
     spots = seen.select(F.col(person).alias("__p"), F.col(wave).alias("__w"), F.col(place).alias("__h")).dropna().distinct()
     own = spots.select(F.col("__p").alias(entity), F.col("__w"), F.col("__h").alias("__own"))
-    found = salted_join(own, who, [entity], "inner").filter(F.col("__w") <= F.col("__until"))
+    # each salted join reads its left side twice, so the steps are cut from each other
+    found = checkpointed(salted_join(own, who, [entity], "inner").filter(F.col("__w") <= F.col("__until")))
     for i, relative in enumerate(relatives):
         other = spots.select(F.col("__p").alias(relative), F.col("__w"), F.col("__h").alias(f"__h{i}"))
-        found = salted_join(found, other, [relative, "__w"], "inner").filter(F.col("__own") != F.col(f"__h{i}"))
+        met = salted_join(found, other, [relative, "__w"], "inner").filter(F.col("__own") != F.col(f"__h{i}"))
+        found = checkpointed(met.drop(relative, f"__h{i}"))
     return found.select(entity).distinct()
 
 

@@ -1,39 +1,41 @@
 """Joins and group statistics that stay balanced when one key holds a large part of all rows.
 
 A window over a raw entity key puts the whole entity into one task. The operators here aggregate first (partial
-aggregation runs before the shuffle, so a hot key sends one row per task) and join the small result back, spreading
-the rows of hot keys over several join partitions.
+aggregation runs before the shuffle, so a hot key sends one row per task) and join the small result back. Before a join
+the keys are counted; if any key is hot, its rows are spread over several join partitions, else the join is a plain one.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kinpanel.session import checkpointed
 
-# A key with more than this share of the rows is hot; so there are never more than 1 / HOT_SHARE hot keys.
+# A key is hot if it has more than this share of the rows, so there are never more than 1 / HOT_SHARE hot keys ...
 HOT_SHARE = 1 / 1000
+# ... and more rows than one task handles with ease.
+HOT_ROWS = 200_000
 # Largest row count of a table that may be broadcast after counting it.
 BROADCAST_ROWS = 100_000
 
 _SALT = "__salt"
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows, with ``__salts``: the number of parts to cut each into.
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list[Row]:
+    """Hot keys with ``__salts``, the number of parts to cut each into; fewer than ``1 / share`` entries.
 
-    The result has fewer than ``1 / share`` rows whatever the input size, so it may always be broadcast.
+    One pass over the key columns. The keys themselves are fetched only if the largest count shows that there are any.
     """
-    total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
-    rows = F.col("__rows")
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(rows > total * F.lit(share))
-        .select(*keys, F.ceil(rows / (total * F.lit(share))).cast("int").alias("__salts"))
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    found = counts.agg(F.max("__rows").alias("most"), F.sum("__rows").alias("all")).first()
+    bound = max(rows, share * (found["all"] or 0))
+    if (found["most"] or 0) <= bound:
+        return []
+    return counts.filter(F.col("__rows") > bound).select(
+        *keys, F.ceil(F.col("__rows") / F.lit(bound)).cast("int").alias("__salts")).collect()
 
 
 def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], null_safe: bool) -> Column:
@@ -55,27 +57,33 @@ def _with_salts(df: DataFrame, keys: list[str], hot: DataFrame, null_safe: bool)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = HOT_SHARE,
-                null_safe: bool = False) -> DataFrame:
+                null_safe: bool = False, rows: int = HOT_ROWS) -> DataFrame:
     """Equi-join in which hot keys of ``left`` are cut into parts and the matching rows of ``right`` repeated.
 
-    ``how`` is inner, left, left_semi or left_anti. A hot key with share s is cut into ceil(s / share) parts, so
+    ``how`` is inner, left, left_semi or left_anti. A hot key with share s is cut into at most ceil(s / share) parts, so
     ``right`` grows by fewer than ``2 / share`` copies of its per-key rows. The part of a row comes from a hash of
     its content, not a random number, so a recomputed task sends every row to the same place as before.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do {how!r}")
-    hot = hot_keys(left, on, share)
-    part = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__salts").cast("bigint")).cast("int"))
-    cut = _with_salts(left, on, hot, null_safe).withColumn(_SALT, part).drop("__salts")
-    spread = (
-        _with_salts(right, on, hot, null_safe)
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
-        .drop("__salts")
-    )
-    spread, names = _renamed(spread, [*on, _SALT], "r")
-    cond = _match(cut, spread, list(zip(on, names)), null_safe) & (cut[_SALT] == spread[names[-1]])
-    return cut.join(spread, cond, how).drop(_SALT, *names)
+    found = hot_keys(left, on, share, rows)
+    if found:
+        hot = left.sparkSession.createDataFrame(
+            [tuple(r) for r in found], left.select(*on).withColumn("__salts", F.lit(1)).schema)
+        part = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(
+            F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__salts").cast("bigint")).cast("int"))
+        left = _with_salts(left, on, hot, null_safe).withColumn(_SALT, part).drop("__salts")
+        right = (
+            _with_salts(right, on, hot, null_safe)
+            .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
+            .drop("__salts")
+        )
+    keys = [*on, _SALT] if found else list(on)
+    right, names = _renamed(right, keys, "r")
+    cond = _match(left, right, list(zip(on, names)), null_safe)
+    if found:
+        cond = cond & (left[_SALT] == right[names[-1]])
+    return left.join(right, cond, how).drop(_SALT, *names)
 
 
 def attach_stats(df: DataFrame, keys: list[str], share: float = HOT_SHARE, **aggs: Column) -> DataFrame:

@@ -126,7 +126,7 @@ def count_of_counts(spark, sf):
 
 @query("reconcile_size", """
 WITH g AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS seen, max(l_linenumber) AS last FROM lineitem GROUP BY 1)
-SELECT l.l_orderkey, l_linenumber, CAST(greatest(l_quantity // 10 + 1, seen, last) AS INTEGER) AS size
+SELECT l.l_orderkey, l_linenumber, CAST(greatest(floor(l_quantity / 10) + 1, seen, last) AS INTEGER) AS size
 FROM lineitem l JOIN g USING (l_orderkey)""")
 def reconcile_size(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")

@@ -249,7 +249,7 @@ def distributed_logit(df: DataFrame, y: str, xs: Sequence[str], levels: Levels)
             [*model.coefficients.toArray().tolist(), model.intercept], summary.coefficientStandardErrors,
             summary.tValues, summary.pValues)))
         ended = summary.numIterations < MAX_ITERATIONS and max(v[1] for v in values.values()) <= RUNAWAY_ERROR
-        out = [(t, i, *[float(v) for v in values.get(t, ())] or [None] * 4, int(seen["n"]), bool(ended))
+        out = [(t, i, *([float(v) for v in values.get(t, ())] or [None] * 4), int(seen["n"]), bool(ended))
                for i, t in enumerate([INTERCEPT, *names])]
         return df.sparkSession.createDataFrame(
             out, "term string, position int, estimate double, std_error double, statistic double, p_value double, "
