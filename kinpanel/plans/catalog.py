@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinpanel.plans import expressions, groups, survey  # noqa: F401  (importing registers their queries)
+from kinpanel.plans import expressions, groups, models, survey  # noqa: F401  (importing registers their queries)
 from kinpanel.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

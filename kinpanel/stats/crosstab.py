@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinpanel.functions.expressions import plain_number
@@ -91,11 +91,12 @@ def summary_crosstab(df: DataFrame, by: str, categorical: Sequence[str], numeric
             F.col("n").cast("string"), F.lit(" ("), plain_number(F.col("n") * 100.0 / F.col("col"), 1), F.lit(")")).alias("text")))
     if numeric:
         moments = class_moments(df, by, numeric)
-        n, mean, var = F.col("n"), F.col("mean"), F.col("variance")
-        pooled = moments.groupBy("variable").agg(
-            F.sum("n").alias("n"), (F.sum(n * mean) / F.sum("n")).alias("mean"),
-            ((F.sum(F.coalesce(var, F.lit(0.0)) * (n - 1)) + F.sum(n * mean * mean)
-              - F.sum(n * mean) * F.sum(n * mean) / F.sum("n")) / (F.sum("n") - 1)).alias("variance"))
+        # moments has one row per variable and class
+        n, gap = F.col("n"), F.col("mean") - F.col("grand")
+        grand = F.sum(n * F.col("mean")).over(Window.partitionBy("variable")) / F.sum(n).over(Window.partitionBy("variable"))
+        pooled = moments.withColumn("grand", grand).groupBy("variable").agg(
+            F.sum("n").alias("n"), F.max("grand").alias("mean"),
+            (F.sum(F.coalesce(F.col("variance"), F.lit(0.0)) * (n - 1) + n * gap * gap) / (F.sum("n") - 1)).alias("variance"))
         both = moments.unionByName(pooled.withColumn("class", F.lit("Total")))
         parts.append(both.select("variable", F.lit("Mean (SD)").alias("level"), "class", F.concat(
             plain_number(F.col("mean"), 1), F.lit(" ("), plain_number(F.sqrt("variance"), 1), F.lit(")")).alias("text")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinpanel.stats.logit import design, independent_columns, solve_logit
-from kinpanel.stats.patterns import compress
+from kinpanel.stats.patterns import small_patterns
 
 Levels = Mapping[str, Sequence[object]]
 
@@ -121,7 +121,7 @@ def split_metrics(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, prop
     """
     xs = list(xs)
     used = {x: levels[x] for x in xs}
-    patterns = compress(df, y, used).dropna(subset=xs)
+    patterns = small_patterns(df.dropna(subset=xs), y, used).dropna(subset=xs)
     props = list(props)
     cells = patterns.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(props) * reps - 1))))
 

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinpanel.functions.special import normal_two_sided
-from kinpanel.stats.patterns import compress
+from kinpanel.operators.reshape import stacked
+from kinpanel.session import checkpointed
+from kinpanel.stats.patterns import compress, fits_one_task, small_patterns
 
 MAX_ITERATIONS = 25
 # Standard errors beyond this mark a coefficient that runs off to infinity (complete separation).
@@ -127,8 +129,12 @@ def fit_specifications(df: DataFrame, y: str, specifications: Mapping[str, Seque
     One pass over the data makes one pattern table for all models; each (subgroup, specification) is one task.
     """
     used = {x: levels[x] for x in levels if any(x in xs for xs in specifications.values())}
-    patterns = compress(df, y, used, subgroups or {"all": F.lit(True)})
+    groups = list(subgroups or {"all": F.lit(True)})
+    patterns = checkpointed(compress(df, y, used, subgroups or {"all": F.lit(True)}))
     names, specs, plain = list(specifications), {k: list(v) for k, v in specifications.items()}, dict(used)
+    if not fits_one_task(patterns, "subgroup"):
+        return stacked({g: stacked({k: _fit_apart(patterns.filter(F.col("subgroup") == g), specs[k], plain) for k in names},
+                                   "specification") for g in groups}, "subgroup")
     repeated = patterns.withColumn("specification", F.explode(F.array(*[F.lit(k) for k in names])))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,6 +148,13 @@ def fit_specifications(df: DataFrame, y: str, specifications: Mapping[str, Seque
     return _nan_to_null(fitted)
 
 
+def _fit_apart(patterns: DataFrame, xs: Sequence[str], levels: Levels) -> DataFrame:
+    """One model over a pattern table too large for a task."""
+    rows = patterns.dropna(subset=list(xs)).groupBy(*xs).agg(
+        (F.sum("successes") / F.sum("n")).alias("__p"), F.sum("n").alias("__n"))
+    return fit_proportions(rows, xs, levels)
+
+
 def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, cutoff: float = 3.841458820694124) -> DataFrame:
     """Odds ratios with Wald and profile-likelihood limits: (term, odds_ratio, wald_low, wald_high, low, high).
 
@@ -150,7 +163,7 @@ def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels,
     """
     xs = list(xs)
     used = {x: levels[x] for x in xs}
-    patterns = compress(df, y, used)
+    patterns = small_patterns(df, y, used)
     terms = [f"{x}{v}" for x in xs for v in list(levels[x])]
     repeated = patterns.withColumn("term", F.explode(F.array(*[F.lit(t) for t in terms])))
 
@@ -211,20 +224,29 @@ def profile_limit(excess, centre: float, step: float) -> float:
 
 
 def distributed_logit(df: DataFrame, y: str, xs: Sequence[str], levels: Levels) -> DataFrame:
-    """One model through Spark's own iteratively reweighted fit: (term, estimate, std_error, statistic, p_value, nobs).
+    """One model through Spark's own iteratively reweighted fit, with the columns of ``fit_specifications``.
 
     Covariates with a level list become indicators; others enter as numbers. If all are categorical the rows are first
     reduced to pattern *proportions* with the count as weight. (0/1 rows with counts as weights make Spark's start values
-    diverge.) Aliased terms are found on the cross-product matrix and reported with NULLs.
+    diverge.)
     """
-    categorical = [x for x in xs if x in levels]
     clean = df.filter(F.col(y).isNotNull()).dropna(subset=list(xs))
-    for x in categorical:
-        clean = clean.filter(F.col(x).cast("string").isin([str(v) for v in levels[x]]))
-    if len(categorical) == len(xs):
-        rows = clean.groupBy(*xs).agg(F.avg(F.col(y).cast("double")).alias("__p"), F.count(F.lit(1)).alias("__n"))
+    outcome = F.col(y).cast("double")
+    if all(x in levels for x in xs):
+        rows = clean.groupBy(*xs).agg(F.avg(outcome).alias("__p"), F.count(F.lit(1)).alias("__n"))
     else:
-        rows = clean.select(*xs, F.col(y).cast("double").alias("__p"), F.lit(1).alias("__n"))
+        rows = clean.select(*xs, outcome.alias("__p"), F.lit(1).alias("__n"))
+    return fit_proportions(rows, xs, levels)
+
+
+def fit_proportions(rows: DataFrame, xs: Sequence[str], levels: Levels) -> DataFrame:
+    """Fit on rows of covariates, ``__p`` (share of successes) and ``__n`` (weight).
+
+    Aliased terms are found on the cross-product matrix, left out and reported with NULLs.
+    """
+    categorical = [x for x in xs if x in levels]
+    for x in categorical:
+        rows = rows.filter(F.col(x).cast("string").isin([str(v) for v in levels[x]]))
     rows = rows.persist()
     try:
         seen = rows.agg(F.sum("__n").alias("n"), *[F.collect_set(F.col(x).cast("string")).alias(x) for x in categorical]).first()
@@ -238,22 +260,24 @@ def distributed_logit(df: DataFrame, y: str, xs: Sequence[str], levels: Levels)
         names = list(terms)
         flat = rows.select("__p", F.col("__n").cast("double").alias("__n"),
                            *[c.alias(f"x{i}") for i, c in enumerate(terms.values())])
-        gram = _cross_products(flat, len(names))
-        keep = [i for i, good in enumerate(_independent_from_gram(gram)[1:]) if good]
+        keep = [i for i, good in enumerate(_independent_from_gram(_cross_products(flat, len(names)))[1:]) if good]
         ready = VectorAssembler(inputCols=[f"x{i}" for i in keep], outputCol="features").transform(flat)
         model = GeneralizedLinearRegression(
-            family="binomial", link="logit", labelCol="__p", weightCol="__n", tol=1e-10, maxIter=MAX_ITERATIONS).fit(ready)
+            family="binomial", link="logit", labelCol="__p", weightCol="__n", linkPredictionCol="__eta", tol=1e-10,
+            maxIter=MAX_ITERATIONS).fit(ready)
         summary = model.summary
         # slopes first, intercept last
         values = dict(zip([*[names[i] for i in keep], INTERCEPT], zip(
             [*model.coefficients.toArray().tolist(), model.intercept], summary.coefficientStandardErrors,
             summary.tValues, summary.pValues)))
+        # the summary's own deviance is relative to the patterns
+        eta, share = F.col("__eta"), F.col("__p")
+        loss = 2 * F.col("__n") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - share * eta)
+        total = model.transform(ready).agg(F.sum(loss)).first()[0]
         ended = summary.numIterations < MAX_ITERATIONS and max(v[1] for v in values.values()) <= RUNAWAY_ERROR
-        out = [(t, i, *([float(v) for v in values.get(t, ())] or [None] * 4), int(seen["n"]), bool(ended))
+        out = [(t, i, *([float(v) for v in values.get(t, ())] or [None] * 4), int(seen["n"]), float(total), bool(ended))
                for i, t in enumerate([INTERCEPT, *names])]
-        return df.sparkSession.createDataFrame(
-            out, "term string, position int, estimate double, std_error double, statistic double, p_value double, "
-                 "nobs long, converged boolean")
+        return rows.sparkSession.createDataFrame(out, FIT_COLUMNS)
     finally:
         rows.unpersist()
 

@@ -7,18 +7,28 @@ level counts however many rows there are.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinpanel.session import checkpointed
+
 # Patterns that one task may hold; a model with more must use the distributed fit.
 MAX_PATTERNS = 2_000_000
 
 
-def pattern_bound(levels: Mapping[str, Sequence[object]], flags: int = 0) -> int:
-    """Largest possible number of patterns: every level or missing in every covariate, both values of every flag."""
-    return prod(len(v) + 1 for v in levels.values()) * 2**flags
+def fits_one_task(patterns: DataFrame, group: str | None = None) -> bool:
+    """Does the largest group of the (written) pattern table have at most MAX_PATTERNS rows?"""
+    sizes = patterns.groupBy(*([group] if group else [])).agg(F.count(F.lit(1)).alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) <= MAX_PATTERNS
+
+
+def small_patterns(df: DataFrame, y: str, levels: Mapping[str, Sequence[object]]) -> DataFrame:
+    """The written pattern table of one sample, checked to fit a task."""
+    patterns = checkpointed(compress(df, y, levels))
+    if not fits_one_task(patterns):
+        raise ValueError("too many covariate patterns for one task; use fewer covariates or wider classes")
+    return patterns
 
 
 def compress(df: DataFrame, y: str, levels: Mapping[str, Sequence[object]],
@@ -30,8 +40,6 @@ def compress(df: DataFrame, y: str, levels: Mapping[str, Sequence[object]],
     pattern per sample it belongs to; the copies are made after the reduction, not before.
     """
     subgroups = dict(subgroups or {})
-    if pattern_bound(levels, len(subgroups)) > MAX_PATTERNS:
-        raise ValueError("too many covariate patterns for one task; use stats.logit.distributed_logit")
     covariates = [
         F.when(F.col(x).cast("string").isin([str(v) for v in known]), F.col(x).cast("string")).alias(x)
         for x, known in levels.items()]
