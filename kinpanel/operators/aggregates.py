@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinpanel.functions.expressions import Rule, choose
@@ -12,12 +12,20 @@ from kinpanel.operators.ordering import exact_quantiles
 from kinpanel.operators.scale import attach_stats, join_counted, salted_join
 
 
-def entity_min(df: DataFrame, entity: Sequence[str], value: str, out: str, propagate_null: bool = False) -> DataFrame:
-    """Smallest reported value of the entity on all its rows; optionally NULL as soon as one report is missing."""
+def entity_min(df: DataFrame, entity: Sequence[str], value: str, out: str, propagate_null: bool = False,
+               one_per_wave: bool = False) -> DataFrame:
+    """Smallest reported value of the entity on all its rows; optionally NULL as soon as one report is missing.
+
+    ``one_per_wave`` says that an entity has at most one row per survey wave. Its rows are then so few that a window
+    needs one shuffle less than aggregating and joining back.
+    """
     found = F.min(value)
-    if propagate_null:
-        found = F.when(F.count(F.when(F.col(value).isNull(), 1)) == 0, found)
-    return attach_stats(df, list(entity), **{out: found})
+    gaps = F.count(F.when(F.col(value).isNull(), 1))
+    if one_per_wave:
+        whole = Window.partitionBy(*entity)
+        found = found.over(whole)
+        return df.withColumn(out, F.when(gaps.over(whole) == 0, found) if propagate_null else found)
+    return attach_stats(df, list(entity), **{out: F.when(gaps == 0, found) if propagate_null else found})
 
 
 def ever_flag(df: DataFrame, entity: Sequence[str], flag: str, out: str) -> DataFrame:

@@ -44,56 +44,51 @@ def _slots(columns: Sequence[str], shape: str) -> list[tuple[str, ...]]:
 
 
 def relation_pairs(roster: DataFrame, keys: Sequence[str], relation_columns: Sequence[str],
-                   id_columns: Sequence[str], gender_columns: Sequence[str], unique: bool = True,
-                   male_code: int = 1) -> DataFrame:
+                   id_columns: Sequence[str], gender_columns: Sequence[str], male_code: int = 1) -> DataFrame:
     """Ordered member pairs of every household-wave with the code of how the first is related to the second.
 
-    Columns: keys, value, kid_id, gender, parent_id, parent_type, relatives_list, relatives_slots. Slot numbers stand in
-    column *names*, so they are read once while planning. A household's pairs, ids and genders all lie in its own row:
-    the result is a chain of in-row array steps with no shuffle. Pass ``unique=False`` if a household-wave can have
-    several rows; they are merged in one shuffle first.
+    Columns: keys, value, kid_id, gender, parent_id, parent_type, relatives_list, relatives_slots. ``roster`` has one row
+    per household and wave; drop exact copies with ``distinct`` first. Slot numbers stand in column *names*, so which
+    columns belong together is settled while planning, and everything about a household lies in its own row: the result is
+    a projection and two explodes, with no shuffle. If a slot has several id or gender columns, the first answer counts.
     """
     present = set(roster.columns)
-    grid = [t for t in _slots(relation_columns, r"^b?([^.]+)\.9\.?([^.]+)$") if t[0] in present]
-    ids = [t for t in _slots(id_columns, r"^idind(.+)$") if t[0] in present]
-    genders = [t for t in _slots(gender_columns, r"^b?([^.]+)\.") if t[0] in present]
-
-    def cell(name: str) -> Column:
-        return F.col(f"`{name}`")
-
-    pairs = F.array(*[F.struct(F.lit(a).alias("kid"), F.lit(b).alias("parent"), cell(c).cast("int").alias("value"))
-                      for c, a, b in grid])
-    members = F.array(*[F.struct(F.lit(a).alias("slot"), cell(c).cast("long").alias("id")) for c, a in ids])
-    sexes = F.array(*[F.struct(F.lit(a).alias("slot"), cell(c).cast("int").alias("code")) for c, a in genders])
-    rows = roster.select(
-        *keys,
-        F.filter(pairs, lambda p: p["value"].isNotNull()).alias("__pairs"),
-        F.filter(members, lambda m: m["id"].isNotNull()).alias("__members"),
-        F.filter(sexes, lambda g: g["code"].isNotNull()).alias("__sexes"))
-    if not unique:
-        rows = rows.distinct().groupBy(*keys).agg(*[
-            F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("__pairs", "__members", "__sexes")])
-
-    def of(items: str, slot: str) -> Column:
-        return F.explode(F.filter(F.col(items), lambda m: m["slot"] == F.col(slot)))
-
-    own = F.array_sort(F.transform(
-        F.filter(F.col("__pairs"), lambda q: q["kid"] == F.col("__p.kid")),
-        lambda q: F.struct(q["parent"].alias("slot"), q["value"].alias("code"))))
-    return (
-        rows.withColumn("__p", F.explode("__pairs"))
-        .withColumn("__own", own)
-        .withColumn("__kid", of("__members", "__p.kid"))
-        .withColumn("__parent", of("__members", "__p.parent"))
-        .withColumn("__kid_sex", of("__sexes", "__p.kid"))
-        .withColumn("__parent_sex", of("__sexes", "__p.parent"))
-        .select(
-            *keys, F.col("__p.value").alias("value"), F.col("__kid.id").alias("kid_id"),
-            E.choose([(F.col("__kid_sex.code") == male_code, "male")], "female").alias("gender"),
-            F.col("__parent.id").alias("parent_id"),
-            E.choose([(F.col("__parent_sex.code") == male_code, "father")], "mother").alias("parent_type"),
-            F.col("__own.code").alias("relatives_list"), F.col("__own.slot").alias("relatives_slots"))
-    )
+
+    def cells(columns: Sequence[str], shape: str) -> dict[tuple[str, ...], Column]:
+        found: dict[tuple[str, ...], list[Column]] = {}
+        for name, *slots in _slots([c for c in columns if c in present], shape):
+            found.setdefault(tuple(slots), []).append(F.col(f"`{name}`"))
+        return {slots: F.coalesce(*parts) for slots, parts in found.items()}
+
+    grid = cells(relation_columns, r"^b?([^.]+)\.9\.?([^.]+)$")
+    ids = cells(id_columns, r"^idind(.+)$")
+    sexes = cells(gender_columns, r"^b?([^.]+)\.")
+    named = sorted(slot for (slot,) in ids if (slot,) in sexes)
+
+    def relative(slot: str, value: Column) -> Column:
+        known = (slot,) in ids and (slot,) in sexes
+        return F.when(value.isNotNull(), F.struct(
+            F.lit(slot).alias("slot"), value.cast("int").alias("value"),
+            (ids[(slot,)] if known else F.lit(None)).cast("long").alias("id"),
+            (sexes[(slot,)] if known else F.lit(None)).cast("int").alias("sex")))
+
+    def member(slot: str) -> Column:
+        # in slot order, so that equal lists are equal values
+        own = [relative(b, value) for (a, b), value in sorted(grid.items(), key=lambda item: item[0]) if a == slot]
+        known = ids[(slot,)].isNotNull() & sexes[(slot,)].isNotNull()
+        return F.when(known, F.struct(ids[(slot,)].cast("long").alias("id"), sexes[(slot,)].cast("int").alias("sex"),
+                                      F.array_compact(F.array(*own)).alias("own")))
+
+    with_grid = [slot for slot in named if any(a == slot for a, _ in grid)]
+    kids = roster.select(*keys, F.explode(F.array(*[member(slot) for slot in with_grid])).alias("k")).filter(
+        F.col("k").isNotNull())
+    pairs = kids.select(*keys, "k", F.explode("k.own").alias("p")).filter(
+        F.col("p.id").isNotNull() & F.col("p.sex").isNotNull())
+    return pairs.select(
+        *keys, F.col("p.value").alias("value"), F.col("k.id").alias("kid_id"),
+        E.choose([(F.col("k.sex") == male_code, "male")], "female").alias("gender"), F.col("p.id").alias("parent_id"),
+        E.choose([(F.col("p.sex") == male_code, "father")], "mother").alias("parent_type"),
+        F.col("k.own.value").alias("relatives_list"), F.col("k.own.slot").alias("relatives_slots"))
 
 
 def assign_parents(pairs: DataFrame, persons: DataFrame, tie: int, wave: str = "id_w", household: str = "id_h",
@@ -117,18 +112,19 @@ def assign_parents(pairs: DataFrame, persons: DataFrame, tie: int, wave: str = "
     )
     born = persons.select(F.col("idind").alias("kid_id"), wave, "year", "birth_year").distinct()
     rows = checkpointed(couples.join(born, ["kid_id", wave]))
-    one_father = G.unambiguous(rows, [wave, "birth_year", "year", "mother_id"], "father_id")
-    # both tests look at the unfiltered rows
-    two_mothers = (
-        rows.groupBy(wave, "birth_year", "year", "father_id")
-        .agg(F.min("mother_id").alias("__lo"), F.max("mother_id").alias("__hi"))
-        .filter(F.col("__lo") != F.col("__hi")).select(wave, "birth_year", "year", "father_id"))
-    kept = salted_join(one_father, two_mothers, [wave, "birth_year", "year", "father_id"], "left_anti", null_safe=True)
+    group = [wave, "birth_year", "year"]
+    # the ambiguous groups are few: found by aggregates, taken out by a join that does not move the rows
+    kept = excluding(rows, [*group, "mother_id"], contradictory(rows, [*group, "mother_id"], "father_id"))
+    kept = excluding(kept, [*group, "father_id"], contradictory(rows, [*group, "father_id"], "mother_id"))
     kept = kept.select("year", wave, household, "kid_id", "father_id", "mother_id", "relatives_list",
                        "relatives_slots", "birth_year").distinct()
-    first_born = kept.groupBy("kid_id").agg(F.min("birth_year").alias("__first"))
-    return (kept.drop("birth_year").join(first_born, "kid_id")
-            .withColumnRenamed("__first", "birth_year"))
+    return G.entity_min(kept, ["kid_id"], "birth_year", "birth_year", one_per_wave=True)
+
+
+def contradictory(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Keys of the groups with more than one distinct value."""
+    return df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).filter(
+        F.col("__lo") != F.col("__hi")).select(*keys)
 
 
 def sibling_order(children: DataFrame, couple: Sequence[str], born: str, out: str = "kid_order") -> DataFrame:
@@ -178,7 +174,8 @@ def observation_panel(persons: DataFrame, children: DataFrame, facts: DataFrame,
         F.col("idind").alias("kid_id"), F.col("year").alias("obs_year"),
         F.col("univ_diploma").alias("kid_univ_diploma"), "gender", "age", "profession_code", "origsm")
     # a person has few distinct years: no need to cut time
-    panel = checkpointed(asof_join(seen, children, ["kid_id"], "obs_year", "year", "inner", buckets=1).drop("year"))
+    panel = checkpointed(asof_join(seen, children, ["kid_id"], "obs_year", "year", "inner", buckets=1,
+                                   check=False).drop("year"))
     known = known_flags(persons, "idind", "year", "univ_diploma")
     panel = with_parent_flag(panel, known, "father_id", "obs_year", "father_univ_diploma", from_first_true)
     panel = with_parent_flag(panel, known, "mother_id", "obs_year", "mother_univ_diploma", from_first_true)
@@ -209,7 +206,8 @@ def lagged_attribute(panel: DataFrame, entity: str, time: str, age: str, max_age
                      sample: DataFrame | None = None) -> DataFrame:
     """Value of ``value`` at the entity's latest observation with age <= ``max_age`` not after the row's time."""
     young = panel.filter(F.col(age) <= max_age).select(entity, F.col(value).alias(out), F.col(time).alias(f"{out}_time"))
-    return asof_join(panel if sample is None else sample, young, [entity], time, f"{out}_time", "left", buckets=1)
+    return asof_join(panel if sample is None else sample, young, [entity], time, f"{out}_time", "left", buckets=1,
+                     check=sample is None)
 
 
 def analysis_sample(panel: DataFrame, seen: DataFrame, rules: SampleRules, excluded: DataFrame | None = None,
@@ -220,12 +218,20 @@ def analysis_sample(panel: DataFrame, seen: DataFrame, rules: SampleRules, exclu
     """
     family = ["year", "mother_id", "father_id"]
     panel = checkpointed(panel)
-    lists = G.longest_list(panel, family, "relatives_list")
-    rows = salted_join(panel.drop("relatives_list", "relatives_slots"), lists, family, "left")
+    # one aggregate serves the longest list and the reconciled number of children
+    stats = panel.groupBy(*family).agg(
+        F.countDistinct("kid_id").alias("__seen"), F.max("kid_order").alias("__last"),
+        F.max(A.length(F.col("relatives_list"))).alias("__longest"))
+    rows = checkpointed(salted_join(panel, stats, family, "inner", null_safe=True))
+    lists = rows.filter(A.length(F.col("relatives_list")) == F.col("__longest")).select(*family, "relatives_list").distinct()
+    rows = salted_join(rows.drop("relatives_list", "relatives_slots", "__longest"), lists, family, "left")
     listed = A.count_value(F.col("relatives_list"), rules.sibling_code) + 1
-    rows = checkpointed(G.reconciled_size(rows, family, "kid_id", "kid_order", listed, "kids_num"))
+    rows = checkpointed(rows.withColumn("kids_num", F.greatest(listed, F.col("__seen"), F.col("__last")).cast("int"))
+                        .drop("__seen", "__last"))
     of_age = rows.filter(F.col("age").between(rules.lower_age, rules.upper_age))
-    rows = keep_at_extreme(of_age, ["kid_id"], "year", "min")
+    # one row per person and wave: few rows per person
+    rows = of_age.withColumn("__first", F.min("year").over(Window.partitionBy("kid_id"))).filter(
+        F.col("year") == F.col("__first")).drop("__first")
 
     code = F.col("profession_code")
     members = F.greatest(A.length(F.col("relatives_list")) + 1, F.col("kids_num") + 2)
@@ -244,7 +250,7 @@ def analysis_sample(panel: DataFrame, seen: DataFrame, rules: SampleRules, exclu
     )
     rows = checkpointed(lagged_attribute(panel, "kid_id", "year", "age", rules.lag_age, "totexpr", "lag_expenses", rows))
     apart = apart_together(rows, seen, "kid_id", ["father_id", "mother_id"], "year", "idind", "year", "id_h")
-    rows = membership(rows, "kid_id", apart, "is_separated")
+    rows = membership(rows, "kid_id", apart, "is_separated", check=False)
     if excluded is not None:
         rows = excluding(rows, "kid_id", excluded)
     return rows.withColumnRenamed("kid_univ_diploma", "univ_diploma").distinct()

@@ -8,20 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinpanel.operators.ordering import bucket_splits, with_bucket
-from kinpanel.operators.scale import salted_join
+from kinpanel.operators.scale import join_counted, salted_join
 from kinpanel.session import checkpointed
 
 
-def membership(df: DataFrame, key: str, members: DataFrame, out: str) -> DataFrame:
-    """1 if the row's key occurs in ``members`` (a one-column table), else 0."""
+def membership(df: DataFrame, key: str, members: DataFrame, out: str, check: bool = True) -> DataFrame:
+    """1 if the row's key occurs in ``members`` (a one-column table), else 0. ``check`` as in ``salted_join``."""
     ids = members.select(F.col(members.columns[0]).alias(key)).distinct().withColumn("__in", F.lit(1))
-    return salted_join(df, ids, [key], "left").withColumn(out, F.coalesce(F.col("__in"), F.lit(0))).drop("__in")
+    return salted_join(df, ids, [key], "left", check=check).withColumn(out, F.coalesce(F.col("__in"), F.lit(0))).drop("__in")
 
 
-def excluding(df: DataFrame, key: str, members: DataFrame) -> DataFrame:
-    """Rows whose key does not occur in ``members`` (a one-column table)."""
-    ids = members.select(F.col(members.columns[0]).alias(key)).distinct()
-    return salted_join(df, ids, [key], "left_anti")
+def excluding(df: DataFrame, keys: Sequence[str] | str, members: DataFrame) -> DataFrame:
+    """Rows whose keys do not occur in ``members``, which has the same number of columns in the same order.
+
+    The list is counted; if it is short it is broadcast and the rows stay where they are.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    ids = members.select(*[F.col(m).alias(k) for m, k in zip(members.columns, keys)]).distinct()
+    return join_counted(df, ids, keys, "left_anti")
 
 
 def only_members(df: DataFrame, keys: Sequence[str], members: DataFrame) -> DataFrame:
@@ -73,12 +77,13 @@ def _as_number(df: DataFrame, name: str) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-              how: str = "inner", buckets: int = 64) -> DataFrame:
+              how: str = "inner", buckets: int = 64, check: bool = True) -> DataFrame:
     """Each left row with every right row of the same key at the closest time not after the left time.
 
     All ties at that time are kept. NULL keys or times never match; ``left`` keeps unmatched rows. Apart from the keys
     the two sides must not share column names. Cost is one ordering of distinct (key, time) marks and two equi-joins,
-    never the product of a key's left and right rows. ``buckets=1`` skips the time cut where a key has few times.
+    never the product of a key's left and right rows. ``buckets=1`` skips the time cut where a key has few times;
+    ``check=False`` skips the hot-key count where few left rows share key and time.
     """
     keys = list(keys)
     marked_left = left.withColumn("__lt", F.col(left_time))
@@ -87,7 +92,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     # right rows under each distinct left time: the left rows themselves join by their own time, which spreads a key
     # whose left rows all follow one right time
     lookup = times.join(marked_right, [*keys, "__rt"], "inner").drop("__rt")
-    return salted_join(marked_left, lookup, [*keys, "__lt"], how).drop("__lt")
+    return salted_join(marked_left, lookup, [*keys, "__lt"], how, check=check).drop("__lt")
 
 
 def apart_together(sample: DataFrame, seen: DataFrame, entity: str, relatives: Sequence[str], until: str,
@@ -99,12 +104,15 @@ def apart_together(sample: DataFrame, seen: DataFrame, entity: str, relatives: S
     who = sample.groupBy(entity, *relatives).agg(F.max(until).alias("__until"))
     spots = seen.select(F.col(person).alias("__p"), F.col(wave).alias("__w"), F.col(place).alias("__h")).dropna().distinct()
     own = spots.select(F.col("__p").alias(entity), F.col("__w"), F.col("__h").alias("__own"))
-    # each salted join reads its left side twice, so the steps are cut from each other
-    found = checkpointed(salted_join(own, who, [entity], "inner").filter(F.col("__w") <= F.col("__until")))
+    # the distinct spots of one person are few; many entities may share a relative
+    found = own.join(who, entity).filter(F.col("__w") <= F.col("__until"))
     for i, relative in enumerate(relatives):
+        if i:
+            # a salted join reads its left side twice: cut the steps from each other
+            found = checkpointed(found)
         other = spots.select(F.col("__p").alias(relative), F.col("__w"), F.col("__h").alias(f"__h{i}"))
         met = salted_join(found, other, [relative, "__w"], "inner").filter(F.col("__own") != F.col(f"__h{i}"))
-        found = checkpointed(met.drop(relative, f"__h{i}"))
+        found = met.drop(relative, f"__h{i}")
     return found.select(entity).distinct()
 
 

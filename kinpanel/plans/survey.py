@@ -51,7 +51,7 @@ def prepare_persons(raw: DataFrame) -> DataFrame:
         "reported": born.cast("int"), "univ_diploma": E.three_valued(diploma), "profession_code": job.cast("int"),
         "gender": E.choose([(F.col("h5") == 1, "male")], "female"),
     }).drop("educ", "diplom", "diplom_1", "j90", "born_a", "born_b", "occup08", "j1", "j4_2", "h5")
-    return G.entity_min(answers, ["idind"], "reported", "birth_year").drop("reported")
+    return G.entity_min(answers, ["idind"], "reported", "birth_year", one_per_wave=True).drop("reported")
 
 
 def prepare_facts(raw: DataFrame) -> DataFrame:
@@ -143,7 +143,8 @@ def roster_dictionary(spark) -> DataFrame:
     rows += [(f"gender of person {i}", f"b{i}.5") for i in SLOTS]
     rows += [(f"relation of person {i} to person {j}", f"b{i}.9.{j}" if i < j else f"b{i}.9{j}")
              for i in SLOTS for j in SLOTS if i != j]
-    return spark.createDataFrame(rows, "name string, code string")
+    listed_rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("code")) for n, c in rows])
+    return spark.range(1).select(F.explode(listed_rows).alias("r")).select("r.*")
 
 
 def survey_tables(spark, sf) -> H.SurveyTables:

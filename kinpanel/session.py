@@ -23,6 +23,8 @@ def build_session(app: str = "kinpanel", master: str | None = None, shuffle_part
         # split a skewed join side even where that costs the next operator a shuffle
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # recording the call site of every column expression makes building large plans slow
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -94,8 +94,6 @@ def solve_logit(matrix: np.ndarray, successes: np.ndarray, n: np.ndarray, offset
 def fit_frame(pdf: pd.DataFrame, xs: Sequence[str], levels: Levels) -> pd.DataFrame:
     """Coefficient rows of one model; rows with a missing covariate are left out, aliased terms get NULLs."""
     pdf = pdf.dropna(subset=list(xs))
-    if pdf.empty:
-        return pd.DataFrame({"term": []})
     n, s = pdf["n"].to_numpy(float), pdf["successes"].to_numpy(float)
     matrix, terms = design(pdf, xs, levels)
     keep = independent_columns(matrix, n)
@@ -115,6 +113,12 @@ FIT_COLUMNS = ("term string, position int, estimate double, std_error double, st
 _MEASURES = ("estimate", "std_error", "statistic", "p_value")
 
 
+def empty_frame(schema: str) -> pd.DataFrame:
+    """No rows, with the column types of a DDL schema."""
+    kinds = {"string": object, "double": "float64", "int": "int32", "long": "int64", "boolean": bool}
+    return pd.DataFrame({n: pd.Series(dtype=kinds[k]) for n, k in (c.split() for c in schema.split(", "))})
+
+
 def _nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in _MEASURES})
 
@@ -137,14 +141,18 @@ def fit_specifications(df: DataFrame, y: str, specifications: Mapping[str, Seque
                                    "specification") for g in groups}, "subgroup")
     repeated = patterns.withColumn("specification", F.explode(F.array(*[F.lit(k) for k in names])))
 
+    schema = f"subgroup string, specification string, {FIT_COLUMNS}"
+
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fit_frame(pdf, specs[key[1]], plain)
+        complete = pdf.dropna(subset=specs[key[1]])
+        if complete.empty:
+            return empty_frame(schema)
+        out = fit_frame(complete, specs[key[1]], plain)
         out.insert(0, "specification", key[1])
         out.insert(0, "subgroup", key[0])
-        return out.reindex(columns=["subgroup", "specification", *[c.split()[0] for c in FIT_COLUMNS.split(", ")]])
+        return out
 
-    fitted = repeated.groupBy("subgroup", "specification").applyInPandas(
-        one, f"subgroup string, specification string, {FIT_COLUMNS}")
+    fitted = repeated.groupBy("subgroup", "specification").applyInPandas(one, schema)
     return _nan_to_null(fitted)
 
 
@@ -165,18 +173,18 @@ def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels,
     used = {x: levels[x] for x in xs}
     patterns = small_patterns(df, y, used)
     terms = [f"{x}{v}" for x in xs for v in list(levels[x])]
+    schema = "term string, odds_ratio double, wald_low double, wald_high double, low double, high double"
     repeated = patterns.withColumn("term", F.explode(F.array(*[F.lit(t) for t in terms])))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=xs)
-        empty = pd.DataFrame({c: [] for c in ("term", "odds_ratio", "wald_low", "wald_high", "low", "high")})
         if pdf.empty:
-            return empty
+            return empty_frame(schema)
         n, s = pdf["n"].to_numpy(float), pdf["successes"].to_numpy(float)
         matrix, names = design(pdf, xs, used)
         keep = independent_columns(matrix, n)
         if key[0] not in names or not keep[names.index(key[0])]:
-            return empty
+            return empty_frame(schema)
         j = int(keep[: names.index(key[0])].sum())
         matrix = matrix[:, keep]
         best = solve_logit(matrix, s, n)
@@ -192,8 +200,7 @@ def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels,
             "term": [key[0]], "odds_ratio": [np.exp(b)], "wald_low": [np.exp(b - WALD * e)],
             "wald_high": [np.exp(b + WALD * e)], "low": [np.exp(limits[0])], "high": [np.exp(limits[1])]})
 
-    out = repeated.groupBy("term").applyInPandas(
-        one, "term string, odds_ratio double, wald_low double, wald_high double, low double, high double")
+    out = repeated.groupBy("term").applyInPandas(one, schema)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})
 
 
