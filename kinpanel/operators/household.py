@@ -18,22 +18,10 @@ from kinpanel.functions import expressions as E
 from kinpanel.operators import aggregates as G
 from kinpanel.operators.joins import apart_together, asof_join, excluding, membership, only_members
 from kinpanel.operators.reshape import stacked
-from kinpanel.operators.scale import attach_stats, keep_at_extreme, salted_join
+from kinpanel.operators.scale import keep_at_extreme, salted_join
 from kinpanel.session import checkpointed
 
 
-@dataclass(frozen=True)
-class SurveyTables:
-    """The inputs that travel together between the stages."""
-
-    persons: DataFrame
-    roster: DataFrame
-    facts: DataFrame
-    relation_columns: list[str]
-    id_columns: list[str]
-    gender_columns: list[str]
-
-
 # ------------------------------------------------------------------------------------------------ ties
 
 
@@ -335,7 +323,3 @@ def twin_last_births(people: DataFrame, household: str, person: str, born: str,
     older = single.join(last, household).filter(
         (F.col(born) < F.col("twin_year")) & (F.col("twin_year") - F.col(born) <= gap) & (F.col(born) >= born_from))
     return salted_join(people, older, [household, born], "inner").filter(F.col(age).between(*ages))
-
-
-def attach_group_sizes(df: DataFrame, keys: Sequence[str], out: str = "size") -> DataFrame:
-    return attach_stats(df, list(keys), **{out: F.count(F.lit(1))})

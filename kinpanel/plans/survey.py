@@ -7,7 +7,9 @@ The panel has one row per person and year, so everything after that first aggreg
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinpanel.functions import arrays as A
@@ -147,18 +149,33 @@ def roster_dictionary(spark) -> DataFrame:
     return spark.range(1).select(F.explode(listed_rows).alias("r")).select("r.*")
 
 
-def survey_tables(spark, sf) -> H.SurveyTables:
-    raw = checkpointed(raw_persons(spark, sf))
-    roster = raw_roster(raw)
-    words = roster_dictionary(spark)
-    pick = {p: columns_by_label(words, p, roster.columns) for p in ("^relation of", "^number of", "^gender of")}
-    return H.SurveyTables(prepare_persons(raw), roster, prepare_facts(raw_facts(raw)),
-                          pick["^relation of"], pick["^number of"], pick["^gender of"])
+class SurveyTables:
+    """The inputs that travel together between the stages, each made when first asked for.
+
+    Stages read persons and facts several times, so these are written once.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return checkpointed(raw_persons(self.spark, self.sf_dir))
 
+    @cached_property
+    def persons(self) -> DataFrame:
+        return checkpointed(prepare_persons(self.raw))
 
-def family_pairs(tables: H.SurveyTables) -> DataFrame:
-    return H.relation_pairs(tables.roster, ["id_w", "id_h"], tables.relation_columns, tables.id_columns,
-                            tables.gender_columns)
+    @cached_property
+    def facts(self) -> DataFrame:
+        return checkpointed(prepare_facts(raw_facts(self.raw)))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        roster = raw_roster(self.raw)
+        words = roster_dictionary(self.spark)
+        pick = [columns_by_label(words, p, roster.columns) for p in ("^relation of", "^number of", "^gender of")]
+        return H.relation_pairs(roster, ["id_w", "id_h"], *pick)
 
 
 def anomalies(spark, sf) -> DataFrame:
@@ -166,22 +183,16 @@ def anomalies(spark, sf) -> DataFrame:
     return table(spark, sf, "customer").filter(F.col("c_acctbal") < -900).select("c_custkey")
 
 
-def parents(spark, sf, tables: H.SurveyTables) -> DataFrame:
-    return H.assign_parents(family_pairs(tables), tables.persons, CHILD_OF, excluded=anomalies(spark, sf))
+def parents(spark, sf, tables: SurveyTables) -> DataFrame:
+    return H.assign_parents(tables.pairs, tables.persons, CHILD_OF, excluded=anomalies(spark, sf))
 
 
-def panel_of(spark, sf, tables: H.SurveyTables) -> DataFrame:
+def panel_of(spark, sf, tables: SurveyTables) -> DataFrame:
     children = H.sibling_order(parents(spark, sf, tables), ["father_id", "mother_id"], "birth_year")
     return H.observation_panel(tables.persons, checkpointed(children), tables.facts)
 
 
-def with_persons_kept(tables: H.SurveyTables) -> H.SurveyTables:
-    """Persons and facts are read several times by the later stages: write them once."""
-    return H.SurveyTables(checkpointed(tables.persons), tables.roster, checkpointed(tables.facts),
-                          tables.relation_columns, tables.id_columns, tables.gender_columns)
-
-
-def sample_of(spark, sf, tables: H.SurveyTables) -> DataFrame:
+def sample_of(spark, sf, tables: SurveyTables) -> DataFrame:
     panel = panel_of(spark, sf, tables)
     sample = H.analysis_sample(panel, tables.persons, RULES)
     mothers = tables.persons.select(F.col("idind").alias("mother_id"), F.col("birth_year").alias("mother_born")).distinct()
@@ -338,14 +349,14 @@ population AS (
 SELECT id_w, id_h, value, kid_id, gender, parent_id, parent_type, list_aggregate(relatives_list, 'string_agg', ',') AS relatives_list,
        list_aggregate(relatives_slots, 'string_agg', ',') AS relatives_slots FROM pairs""")
 def relation_pairs(spark, sf):
-    return listed(family_pairs(survey_tables(spark, sf)))
+    return listed(SurveyTables(spark, sf).pairs)
 
 
 @query("parent_assignment", PANEL_SQL + """
 SELECT year, id_w, id_h, kid_id, father_id, mother_id, birth_year, list_aggregate(relatives_list, 'string_agg', ',') AS relatives_list,
        list_aggregate(relatives_slots, 'string_agg', ',') AS relatives_slots FROM children""")
 def parent_assignment(spark, sf):
-    return listed(parents(spark, sf, survey_tables(spark, sf)))
+    return listed(parents(spark, sf, SurveyTables(spark, sf)))
 
 
 @query("observation_panel", PANEL_SQL + """
@@ -354,16 +365,16 @@ SELECT kid_id, year, kid_univ_diploma, gender, age, profession_code, origsm, id_
        list_aggregate(relatives_list, 'string_agg', ',') AS relatives_list,
        list_aggregate(relatives_slots, 'string_agg', ',') AS relatives_slots FROM panel""")
 def observation_panel(spark, sf):
-    return listed(panel_of(spark, sf, with_persons_kept(survey_tables(spark, sf))))
+    return listed(panel_of(spark, sf, SurveyTables(spark, sf)))
 
 
 @query("analysis_sample", PANEL_SQL + "SELECT * RENAME (lag_year AS lag_expenses_time) FROM sample")
 def analysis_sample(spark, sf):
-    return sample_of(spark, sf, with_persons_kept(survey_tables(spark, sf)))
+    return sample_of(spark, sf, SurveyTables(spark, sf))
 
 
-def population_of(tables: H.SurveyTables) -> DataFrame:
-    people = H.comparison_population(tables.persons, tables.facts, family_pairs(tables), RULES.lower_age, RULES.born_from,
+def population_of(tables: SurveyTables) -> DataFrame:
+    people = H.comparison_population(tables.persons, tables.facts, tables.pairs, RULES.lower_age, RULES.born_from,
                                      CHILD_OF)
     return people.withColumn("prof", H.profession_class(F.col("profession_code"), RULES.qualified_below)).select(
         "idind", "year", "id_w", "id_h", "age", "gender", "univ_diploma", "origsm", "residence", "prof", "is_separated",
@@ -372,7 +383,7 @@ def population_of(tables: H.SurveyTables) -> DataFrame:
 
 @query("comparison_population", PANEL_SQL + "SELECT * FROM population")
 def comparison_population(spark, sf):
-    return population_of(survey_tables(spark, sf))
+    return population_of(SurveyTables(spark, sf))
 
 
 def _class_rows(source: str, entity: str) -> str:
@@ -398,7 +409,7 @@ SELECT is_separated, year, name, round(coalesce(o.share, 0) - y.share, 6) AS val
 FROM years y LEFT JOIN ours o USING (is_separated, year, name)""")
 def panel_deviation(spark, sf):
     """Share differences between the analysis sample and the comparable population, all and not separated."""
-    tables = with_persons_kept(survey_tables(spark, sf))
+    tables = SurveyTables(spark, sf)
     people = checkpointed(population_of(tables).filter((F.col("origsm") == 1) & (F.col("age") <= 26)))
     sample = checkpointed(sample_of(spark, sf, tables).filter(F.col("age") <= 26))
     at_home = F.col("is_separated") == 0
@@ -424,7 +435,7 @@ MODEL_LEVELS = {
 
 def panel_models(spark, sf) -> DataFrame:
     """45 fits: nine nested specifications on five subsamples."""
-    sample = sample_of(spark, sf, with_persons_kept(survey_tables(spark, sf)))
+    sample = sample_of(spark, sf, SurveyTables(spark, sf))
     cohort = F.col("birth_year_trunc")
     subgroups = {"all": F.lit(True), "not separated": F.col("is_separated") == 0, "1965-1969": cohort == 1965,
                  "1970-1974": cohort == 1970, "1975-1984": cohort.between(1975, 1984)}
