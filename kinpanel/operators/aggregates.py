@@ -120,9 +120,17 @@ def reconciled_size(df: DataFrame, keys: Sequence[str], member: str, order: str,
         "__seen", "__last")
 
 
-def has_other_class(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Does the row's group hold a class other than its own? It does exactly if the group's classes are not all equal."""
-    marked = attach_stats(df, list(keys), __lo=F.min(value), __hi=F.max(value))
+def has_other_class(df: DataFrame, keys: Sequence[str], value: str, out: str, small_groups: bool = False) -> DataFrame:
+    """Does the row's group hold a class other than its own? It does exactly if the group's classes are not all equal.
+
+    ``small_groups`` says that a group is never larger than a household, so that a window may hold it.
+    """
+    low, high = F.min(value), F.max(value)
+    if small_groups:
+        whole = Window.partitionBy(*keys)
+        low, high = low.over(whole), high.over(whole)
+        return df.withColumn(out, F.coalesce((low != high).cast("int"), F.lit(0)))
+    marked = attach_stats(df, list(keys), __lo=low, __hi=high)
     return marked.withColumn(out, F.coalesce((F.col("__lo") != F.col("__hi")).cast("int"), F.lit(0))).drop(
         "__lo", "__hi")
 

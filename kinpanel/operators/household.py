@@ -18,7 +18,7 @@ from kinpanel.functions import expressions as E
 from kinpanel.operators import aggregates as G
 from kinpanel.operators.joins import apart_together, asof_join, excluding, membership, only_members
 from kinpanel.operators.reshape import stacked
-from kinpanel.operators.scale import keep_at_extreme, salted_join
+from kinpanel.operators.scale import hot_keys, keep_at_extreme, salted_join
 from kinpanel.session import checkpointed
 
 
@@ -162,14 +162,14 @@ def observation_panel(persons: DataFrame, children: DataFrame, facts: DataFrame,
         F.col("idind").alias("kid_id"), F.col("year").alias("obs_year"),
         F.col("univ_diploma").alias("kid_univ_diploma"), "gender", "age", "profession_code", "origsm")
     # a person has few distinct years: no need to cut time
-    panel = checkpointed(asof_join(seen, children, ["kid_id"], "obs_year", "year", "inner", buckets=1,
-                                   check=False).drop("year"))
+    panel = asof_join(seen, children, ["kid_id"], "obs_year", "year", "inner", buckets=1, check=False).drop("year")
     known = known_flags(persons, "idind", "year", "univ_diploma")
     panel = with_parent_flag(panel, known, "father_id", "obs_year", "father_univ_diploma", from_first_true)
     panel = with_parent_flag(panel, known, "mother_id", "obs_year", "mother_univ_diploma", from_first_true)
-    panel = checkpointed(panel.join(facts, [wave, household]).withColumnRenamed("obs_year", "year"))
+    panel = panel.join(facts, [wave, household]).withColumnRenamed("obs_year", "year")
+    # the group lies within one household roster and holds each child once
     return G.has_other_class(panel, ["year", wave, household, "father_id", "mother_id"], "gender",
-                             "other_gender_siblings")
+                             "other_gender_siblings", small_groups=True)
 
 
 # --------------------------------------------------------------------------------------- analysis sample
@@ -210,9 +210,10 @@ def analysis_sample(panel: DataFrame, seen: DataFrame, rules: SampleRules, exclu
     stats = panel.groupBy(*family).agg(
         F.countDistinct("kid_id").alias("__seen"), F.max("kid_order").alias("__last"),
         F.max(A.length(F.col("relatives_list"))).alias("__longest"))
-    rows = checkpointed(salted_join(panel, stats, family, "inner", null_safe=True))
+    hot = hot_keys(panel, family)
+    rows = salted_join(panel, stats, family, "inner", hot=hot)
     lists = rows.filter(A.length(F.col("relatives_list")) == F.col("__longest")).select(*family, "relatives_list").distinct()
-    rows = salted_join(rows.drop("relatives_list", "relatives_slots", "__longest"), lists, family, "left")
+    rows = salted_join(rows.drop("relatives_list", "relatives_slots", "__longest"), lists, family, "left", hot=hot)
     listed = A.count_value(F.col("relatives_list"), rules.sibling_code) + 1
     rows = checkpointed(rows.withColumn("kids_num", F.greatest(listed, F.col("__seen"), F.col("__last")).cast("int"))
                         .drop("__seen", "__last"))

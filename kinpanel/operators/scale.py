@@ -57,25 +57,27 @@ def _with_salts(df: DataFrame, keys: list[str], hot: DataFrame, null_safe: bool)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = HOT_SHARE,
-                null_safe: bool = False, rows: int = HOT_ROWS, check: bool = True) -> DataFrame:
+                null_safe: bool = False, rows: int = HOT_ROWS, check: bool = True,
+                hot: list[Row] | None = None) -> DataFrame:
     """Equi-join in which hot keys of ``left`` are cut into parts and the matching rows of ``right`` repeated.
 
     ``how`` is inner, left, left_semi or left_anti. A hot key with share s is cut into at most ceil(s / share) parts, so
     ``right`` grows by fewer than ``2 / share`` copies of its per-key rows. The part of a row comes from a hash of
     its content, not a random number, so a recomputed task sends every row to the same place as before.
-    ``check=False`` leaves the counting out where the left keys are known to repeat only a few times.
+    ``check=False`` leaves the counting out where the left keys are known to repeat only a few times; ``hot`` passes on the
+    result of ``hot_keys`` for the same keys.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do {how!r}")
-    found = hot_keys(left, on, share, rows) if check else []
+    found = hot if hot is not None else hot_keys(left, on, share, rows) if check else []
     if found:
-        hot = left.sparkSession.createDataFrame(
+        listed = left.sparkSession.createDataFrame(
             [tuple(r) for r in found], left.select(*on).withColumn("__salts", F.lit(1)).schema)
         part = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__salts").cast("bigint")).cast("int"))
-        left = _with_salts(left, on, hot, null_safe).withColumn(_SALT, part).drop("__salts")
+        left = _with_salts(left, on, listed, null_safe).withColumn(_SALT, part).drop("__salts")
         right = (
-            _with_salts(right, on, hot, null_safe)
+            _with_salts(right, on, listed, null_safe)
             .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
             .drop("__salts")
         )

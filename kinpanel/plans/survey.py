@@ -188,8 +188,9 @@ def parents(spark, sf, tables: SurveyTables) -> DataFrame:
 
 
 def panel_of(spark, sf, tables: SurveyTables) -> DataFrame:
-    children = H.sibling_order(parents(spark, sf, tables), ["father_id", "mother_id"], "birth_year")
-    return H.observation_panel(tables.persons, checkpointed(children), tables.facts)
+    known = checkpointed(parents(spark, sf, tables))
+    children = H.sibling_order(known, ["father_id", "mother_id"], "birth_year")
+    return H.observation_panel(tables.persons, children, tables.facts)
 
 
 def sample_of(spark, sf, tables: SurveyTables) -> DataFrame:

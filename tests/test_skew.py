@@ -59,7 +59,7 @@ def test_hot_key_is_spread_over_join_partitions(spark, skewed):
 
 
 def test_group_statistics_equal_a_window(skewed, listed, monkeypatch):
-    monkeypatch.setattr(K.salted_join, "__defaults__", ("inner", 0.001, False, 1, True))
+    monkeypatch.setattr(K.salted_join, "__defaults__", ("inner", 0.001, False, 1, True, None))
     w = Window.partitionBy("k")
     want = skewed.withColumn("lo", F.min("v").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
     assert listed(K.attach_stats(skewed, ["k"], lo=F.min("v"), n=F.count(F.lit(1)))) == listed(want)
