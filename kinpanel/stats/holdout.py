@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinpanel.stats.logit import design, independent_columns, solve_logit
-from kinpanel.stats.patterns import small_patterns
+from kinpanel.stats.patterns import small_patterns, spread_groups
 
 Levels = Mapping[str, Sequence[object]]
 
@@ -140,7 +140,7 @@ def split_metrics(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, prop
         found = score_split(train[:k] + train[k:], train[:k], test[:k] + test[k:], test[:k], pdf, xs, used, event, threshold)
         return pd.DataFrame({"prop": prop, "rep": rep, "metric": list(METRICS), "estimate": [found[m] for m in METRICS]})
 
-    out = cells.groupBy("cell").applyInPandas(one, "prop double, rep int, metric string, estimate double")
+    out = spread_groups(cells, ["cell"], len(props) * reps).groupBy("cell").applyInPandas(one, "prop double, rep int, metric string, estimate double")
     return out.withColumn("estimate", F.when(~F.isnan("estimate"), F.col("estimate")))
 
 

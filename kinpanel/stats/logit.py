@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinpanel.functions.special import normal_two_sided
 from kinpanel.operators.reshape import stacked
 from kinpanel.session import checkpointed
-from kinpanel.stats.patterns import compress, fits_one_task, small_patterns
+from kinpanel.stats.patterns import compress, fits_one_task, small_patterns, spread_groups
 
 MAX_ITERATIONS = 25
 # Standard errors beyond this mark a coefficient that runs off to infinity (complete separation).
@@ -152,7 +152,8 @@ def fit_specifications(df: DataFrame, y: str, specifications: Mapping[str, Seque
         out.insert(0, "subgroup", key[0])
         return out
 
-    fitted = repeated.groupBy("subgroup", "specification").applyInPandas(one, schema)
+    keys = ["subgroup", "specification"]
+    fitted = spread_groups(repeated, keys, len(groups) * len(names)).groupBy(*keys).applyInPandas(one, schema)
     return _nan_to_null(fitted)
 
 
@@ -200,7 +201,7 @@ def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels,
             "term": [key[0]], "odds_ratio": [np.exp(b)], "wald_low": [np.exp(b - WALD * e)],
             "wald_high": [np.exp(b + WALD * e)], "low": [np.exp(limits[0])], "high": [np.exp(limits[1])]})
 
-    out = repeated.groupBy("term").applyInPandas(one, schema)
+    out = spread_groups(repeated, ["term"], len(terms)).groupBy("term").applyInPandas(one, schema)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})
 
 
