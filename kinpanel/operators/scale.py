@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinpanel.session import checkpointed
 
 # A key is hot if it has more than this share of the rows, so there are never more than 1 / HOT_SHARE hot keys ...
-HOT_SHARE = 1 / 1000
+HOT_SHARE = 1 / 10_000
 # ... and more rows than one task handles with ease.
 HOT_ROWS = 200_000
 # Largest row count of a table that may be broadcast after counting it.
