@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import mixing, sql
+from kinpanel.llm import mixing, sql, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
 
@@ -14,3 +14,8 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op5_pareto_mix", sql.MIX.format(docs="documents"))
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontaminate", sql.CONTAMINATION.format(docs="documents"))
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wumanber.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

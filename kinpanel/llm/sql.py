@@ -56,3 +56,32 @@ SELECT k.doc_id, k.source, k.size, coalesce(t.source_size, 0) AS source_size, co
        CAST(k.copies AS BIGINT) AS copies, CAST(k.copies * k.size AS BIGINT) AS taken
 FROM taken k LEFT JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
 """
+
+CONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM {docs}
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS width, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)
+), widths AS (
+  SELECT DISTINCT width FROM bw
+), spots AS (
+  SELECT rid, width, i, array_to_string(w[i:i + width - 1], ' ') AS win
+  FROM (SELECT rid, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM d, widths WHERE len(w) >= width)
+), hits AS (
+  SELECT rid, i, s.width, item_id FROM spots s JOIN bw ON s.win = bw.win AND s.width = bw.width
+), n AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + width)) AS p FROM hits) GROUP BY rid
+), ids AS (
+  SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN ids USING (rid)
+"""
