@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import mixing, sql, wumanber
+from kinpanel.llm import mixing, sql, warc, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
+from kinpanel.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -19,3 +20,13 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontaminate", sql.CONTAMINATION.format(docs="documents"))
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_warc", sql.WARC)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    records = warc.read_records(spark, path)
+    return records.select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        warc.page_of("refers_to").alias("refers_to"))

@@ -85,3 +85,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN ids USING (rid)
 """
+
+_DIGITS = " || ".join(
+    f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (CAST(('0x' || substr(h, {1 + 5 * (k // 4)}, 5)) AS BIGINT) >> {15 - 5 * (k % 4)}) % 32]"
+    for k in range(32))
+
+#: 32 digits of base 32, four from each five hexadecimal digits
+WARC = f"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), first AS (
+  SELECT h, min(page_id) AS first_id, count(*) AS n FROM p GROUP BY h
+)
+SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN NULL ELSE first_id END AS refers_to
+FROM p JOIN first USING (h)
+"""
