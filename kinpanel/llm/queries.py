@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import mixing, sql, warc, wumanber
+from kinpanel.llm import gru, mixing, sql, warc, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
 from kinpanel.session import scratch_path
@@ -30,3 +30,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(
         warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         warc.page_of("refers_to").alias("refers_to"))
+
+
+@query("op2_language")
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gru.train(docs, F.col("doc_id").isNotNull() & ~gru.fold(3, 1))
+    found = gru.identify(docs.select("doc_id", gru.fold(3, 1).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
