@@ -184,8 +184,13 @@ def train(docs: DataFrame, usable=None) -> Model:
     sample = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if usable is not None:
         sample = sample.filter(usable)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    sample = sample.select("lang", "text").withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= DOCS)
+    # a hash below a bound per language leaves about twice DOCS rows, so few texts are moved
+    bounds = sample.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * DOCS) / F.count("*")).alias("share"))
+    key = F.xxhash64("text")
+    drawn = sample.select("lang", "text", key.alias("__k")).join(bounds, "lang").filter(
+        F.pmod(F.col("__k"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    first = Window.partitionBy("lang").orderBy("__k")
+    sample = drawn.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= DOCS)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

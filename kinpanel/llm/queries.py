@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import gru, mixing, sql, warc, wumanber
+from kinpanel.llm import gru, mixing, quality, sql, toxicity, warc, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
 from kinpanel.session import scratch_path
@@ -38,3 +38,20 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = gru.train(docs, F.col("doc_id").isNotNull() & ~gru.fold(3, 1))
     found = gru.identify(docs.select("doc_id", gru.fold(3, 1).alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~gru.fold(5, 0))
+    found = toxicity.score(docs.select("doc_id", gru.fold(5, 0).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", F.col("toxicity").alias("score"),
+                        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.train(docs))
+    return found.select("doc_id", "weak_label", F.col("quality_score").alias("score"),
+                        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
