@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import gru, mixing, quality, sql, toxicity, warc, wumanber
+from kinpanel.llm import ann, gru, mixing, quality, sql, toxicity, warc, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
 from kinpanel.session import scratch_path
@@ -55,3 +55,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(docs, quality.train(docs))
     return found.select("doc_id", "weak_label", F.col("quality_score").alias("score"),
                         (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_nearest")
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter("vec_id % 100 = 0"))
