@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import ann, gru, mixing, quality, sql, toxicity, warc, wumanber
+from kinpanel.llm import ann, chosenpath, gru, mixing, quality, sql, toxicity, warc, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
 from kinpanel.session import scratch_path
@@ -61,3 +61,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
+@query("op6_near_duplicates", sql.NEAR.format(docs="documents", width=3, percent=85))
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -102,3 +102,27 @@ SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN NULL ELSE first_id END AS refers_to
 FROM p JOIN first USING (h)
 """
+
+NEAR = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM {docs}
+), s AS (
+  SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + {width} - 1], ' ') AS g
+  FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(1, len(w) - {width} + 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT rid, doc_id, count(*) AS n FROM s GROUP BY ALL
+), common AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL
+), link AS (
+  SELECT x, y FROM common JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= {percent} * (p.n + q.n - c)
+), reach(rid, top, step) AS (
+  SELECT rid, rid, 0 FROM n
+  UNION SELECT l.y, r.top, 1 FROM reach r JOIN link l ON l.x = r.rid
+), least AS (
+  SELECT r.rid, min(d.doc_id) AS component_id FROM (SELECT DISTINCT rid, top FROM reach) r JOIN d ON d.rid = r.top GROUP BY r.rid
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(d.doc_id = coalesce(component_id, d.doc_id), false) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN least USING (rid)
+"""
