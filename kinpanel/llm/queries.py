@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import ann, chosenpath, gru, mixing, quality, sql, toxicity, warc, wumanber
+from kinpanel.llm import ann, chosenpath, gru, mixing, paragraphs, quality, sql, toxicity, warc, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
 from kinpanel.session import scratch_path
@@ -67,3 +67,8 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op8_repeated_passages")
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.removed(table(spark, sf_dir, "documents"))
