@@ -38,23 +38,57 @@ _WORD = re.compile(r"[\"'(«¿¡]?[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?\"')»…
 LABELLERS = ["symbols", "words", "capitals", "repeats", "lines", "variety", "commonest", "length"]
 
 
-def describe(text: str | None) -> tuple[list[str], list[int], list[float]]:
-    """Words, votes in the order of ``LABELLERS``, and the three extra measures."""
+class Words(dict):
+    """Remembered words: each has a number, measures (symbols, letters, capitals, usual form, length) and a weight."""
+
+    def __init__(self, weigh=None):
+        super().__init__()
+        self.rows: list[tuple[float, ...]] = []
+        self.filled = 0
+        self.weigh = weigh or (lambda word: 0.0)
+        self.table = np.zeros((1024, 6))
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = self.filled + len(self.rows)
+        core = word[:-1] if word[-1] in ".,;:!?" else word
+        if core.isalpha() and core.islower():  # most words; the same measures by the shorter way
+            self.rows.append((0, len(core), 0, True, len(word), self.weigh(word)))
+            return value
+        self.rows.append((len(_SYMBOLS.findall(word)), len(_LETTER.findall(word)), len(_UPPER.findall(word)),
+                          bool(_WORD.fullmatch(word)), len(word), self.weigh(word)))
+        return value
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self) > MEMO:
+            self.clear()
+            self.rows, self.filled = [], 0
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def measures(self, numbers: np.ndarray) -> np.ndarray:
+        if self.rows:
+            end = self.filled + len(self.rows)
+            if end > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(end, len(self.table)), 6))])
+            self.table[self.filled:end] = self.rows
+            self.filled, self.rows = end, []
+        return self.table[numbers].sum(axis=0)
+
+
+def describe(text: str | None, known: Words) -> tuple[list[str], list[int], list[float], float]:
+    """Words, votes in the order of ``LABELLERS``, the three extra measures, and the mean weight of the words."""
     words = (text or "").split()
     n = len(words)
     if not n:
-        return words, [0] * (len(LABELLERS) - 1) + [-1], [0.0] * EXTRA
-    size = len(text)
-    symbols = len(_SYMBOLS.findall(text)) / size
-    letters = len(_LETTER.findall(text)) or 1
-    capitals = len(_UPPER.findall(text)) / letters
-    repeats = sum(map(str.__eq__, words, words[1:])) / n
+        return words, [0] * (len(LABELLERS) - 1) + [-1], [0.0] * EXTRA, 0.0
+    numbers = known.numbers(words)
+    symbols, letters, capitals, usual, length, weight = known.measures(numbers)
+    symbols, capitals, usual, mean = symbols / len(text), capitals / max(letters, 1), usual / n, length / n
+    repeats = float((numbers[1:] == numbers[:-1]).sum()) / n
     lines = [line for line in text.split("\n") if line.strip()]
     doubled = 1 - len(set(lines)) / len(lines)
-    counts = Counter(words)
-    variety, commonest = len(counts) / n, max(counts.values()) / n
-    mean = sum(map(len, words)) / n
-    usual = sum(k for word, k in counts.items() if _WORD.fullmatch(word)) / n
+    ordered = np.sort(numbers)
+    change = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+    variety, commonest = (len(change) - 1) / n, float(np.diff(change).max()) / n
 
     def vote(bad: bool, good: bool) -> int:
         return -1 if bad else 1 if good else 0
@@ -65,7 +99,7 @@ def describe(text: str | None) -> tuple[list[str], list[int], list[float]]:
         vote(repeats > 0.05 and long, repeats < 0.03), vote(doubled > 0.3, doubled == 0 and len(lines) > 2),
         vote(variety < 0.35 and n < 2000 or variety < 0.08, variety > 0.5),
         vote(commonest > 0.2 and long, commonest < 0.12 and long), vote(n < 3, 3.5 < mean < 6.3 and n >= 5),
-    ], [repeats, doubled, commonest if long else 0.0]
+    ], [repeats, doubled, commonest if long else 0.0], float(weight) / n
 
 
 def shape(word: str) -> str:
@@ -83,8 +117,9 @@ def pattern_counts(docs: DataFrame) -> dict[tuple[int, ...], int]:
     """Votes of all documents, counted; at most 3 ** len(LABELLERS) entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        known = Words()
         for batch in batches:
-            seen.update(",".join(map(str, describe(t)[1])) for t in batch.column(0).to_pylist())
+            seen.update(",".join(map(str, describe(t, known)[1])) for t in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
 
     sums = docs.select("text").mapInArrow(run, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
@@ -121,15 +156,13 @@ class Model:
     def __init__(self, posterior: dict[tuple[int, ...], float], weights: np.ndarray, base: float, prior: float, table: np.ndarray):
         self.posterior, self.weights, self.base, self.prior, self.table = posterior, weights, base, prior, table
 
-    def scores(self, texts: list[str | None], memo: dict[str, float]) -> tuple[list[float], list[float]]:
+    def words(self) -> Words:
+        return Words(lambda word: float(self.weights[list(slots(word))].sum()))
+
+    def scores(self, texts: list[str | None], known: Words) -> tuple[list[float], list[float]]:
         weak, scores = [], []
         for text in texts:
-            words, votes, extra = describe(text)
-            if len(memo) > MEMO:
-                memo.clear()
-            for word in set(words).difference(memo):
-                memo[word] = float(self.weights[list(slots(word))].sum())
-            total = sum(map(memo.__getitem__, words)) / len(words) if words else 0.0
+            _, votes, extra, total = describe(text, known)
             total += self.base + float(np.dot(extra, self.weights[SLOTS:]))
             weak.append(self.posterior.get(tuple(votes), self.prior))
             scores.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))))
@@ -141,13 +174,14 @@ def train(docs: DataFrame) -> Model:
     prior, table, posterior = accuracies(counts)
     every = max(1, -(-sum(counts.values()) // SAMPLE))
     key = F.xxhash64("text", *(["doc_id"] if "doc_id" in docs.columns else []))
-    sample = docs.filter(F.pmod(key, F.lit(every)) == 0).select("text").limit(2 * SAMPLE)
+    sample = docs.filter(F.pmod(key, F.lit(every)) == 0).select("text").limit(2 * SAMPLE).repartition(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
             at, value, y = [], [], []
             for text in batch.column(0).to_pylist():
-                words, votes, extra = describe(text)
+                words, votes, extra, _ = describe(text, known)
                 own: Counter[int] = Counter()
                 for word, n in Counter(words).items():
                     for slot in slots(word):
@@ -191,9 +225,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     source = docs.select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, float] = {}
+        known = model.words()
         for batch in batches:
-            weak, scores = model.scores(batch.column("text").to_pylist(), memo)
+            weak, scores = model.scores(batch.column("text").to_pylist(), known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weak, pa.float64()), pa.array(scores, pa.float64())],
                                              names=[*kept, "weak_label", "quality_score"])
 
