@@ -2,7 +2,8 @@
 
 Every byte that is covered by a ``LENGTH``-byte string which also starts anywhere else goes. A filter that loses nothing
 comes first: each string of that length names the place of its smallest 32-byte hash (the rightmost, if equal) as its
-anchor, so equal strings have equal anchors at equal offsets, and only anchors that stand in two places go on. Strings of
+anchor, so equal strings have equal anchors at equal offsets, and only anchors that stand in two places go on. Where all that an
+anchor's strings cover stands twice, they are all repeated, and one such place goes on for the others' sake. Strings of
 an anchor are taken in ranges of ``RANGE`` offsets; all strings of a range share a core, and places whose core is alone
 end there. Places with the same core become a short string of symbols, the bytes before it, one symbol for the core and
 the bytes after it; ``induced`` sorts the suffixes of many such strings with disk-backed queues, and a string is repeated
@@ -35,7 +36,7 @@ GRAM = 32
 RANGE = 46
 #: offsets that are sorted together, after a second look at what they share
 STEP = 7
-CROWD = 2000
+CROWD = 10_000
 #: symbols that one sort takes
 SHARD = 400_000
 
@@ -70,26 +71,40 @@ def _places(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarr
     return doc[new], place - starts[doc[new]], place - inside[end], place - inside[new], hashes[place].view(np.int64)
 
 
+_ANCHOR = "key long, context long, stamp binary, pos int, lo int, hi int, runs binary"
+
+
 def anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, stamp, pos, lo, hi for every anchor of ``texts`` (text, stamp): it is the anchor of the strings that start
-    ``lo`` to ``hi`` bytes before it."""
+    """key, context, stamp, pos, lo, hi, runs for the anchors of ``texts`` (text, stamp).
+
+    An anchor at ``pos`` is that of the strings that start ``lo`` to ``hi`` bytes before it; ``context`` is a hash of all
+    bytes they cover, and of lo and hi. Equal contexts of a text are one row, with the runs that they all cover.
+    """
+    names = [part.split()[0] for part in _ANCHOR.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size, first = [], 0, 0
-            values = batch.column("text").to_pylist()
+            values, stamps = batch.column("text").to_pylist(), batch.column("stamp").to_pylist()
             for k, text in enumerate(values):
                 held.append(text or b"")
                 size += len(held[-1])
                 if size >= CHUNK_BYTES // 2 or k == len(values) - 1:
                     starts = np.concatenate([[0], np.cumsum([len(t) for t in held])])
                     doc, pos, lo, hi, key = _places(np.frombuffer(b"".join(held), dtype=np.uint8), starts, length)
-                    if len(doc):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key), batch.column("stamp").take(pa.array(first + doc)), pa.array(pos.astype(np.int32)),
-                             pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "stamp", "pos", "lo", "hi"])
+                    found: dict[tuple[int, int, int], list] = {}
+                    for d, p, low, high, name in zip(doc.tolist(), pos.tolist(), lo.tolist(), hi.tolist(), key.tolist()):
+                        context = xxhash.xxh64_intdigest(held[d][p - high:p - low + length], low * 512 + high) - 2**63
+                        found.setdefault((d, name, context), [p, low, high]).append((p - high, p - low + length))
+                    if found:
+                        rows = [(name, context, stamps[first + d], p, low, high,
+                                 np.array(merged(sorted(own)), dtype=np.int32).tobytes() if len(own) > 1 else None)
+                                for (d, name, context), (p, low, high, *own) in found.items()]
+                        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                     held, size, first = [], 0, k + 1
 
-    return texts.select("text", "stamp").mapInArrow(run, "key long, stamp binary, pos int, lo int, hi int")
+    return texts.select("text", "stamp").mapInArrow(run, _ANCHOR)
 
 
 def pieces(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -237,19 +252,40 @@ def counted_repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return strings.join(often, "digest").select("stamp", "first", (F.col("first") + length).alias("end"))
 
 
+def _covered(length: int):
+    """Runs of bytes that the strings of repeated contexts cover."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for stamp, pos, lo, hi, runs in zip(*(batch.column(n).to_pylist() for n in ("stamp", "pos", "lo", "hi", "runs"))):
+                own = np.frombuffer(runs, dtype=np.int32).reshape(-1, 2).tolist() if runs else [(pos - hi, pos - lo + length)]
+                out += [(stamp, a, b) for a, b in own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32()))], ["stamp", "first", "end"])
+
+    return run
+
+
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """stamp (of a text), runs (array of first, end) for every distinct text of ``docs`` that loses something."""
     texts = docs.select(text_bytes().alias("text")).filter(F.octet_length("text") >= length).withColumn("stamp", _stamp())
+    # rows with equal texts give equal anchors
     found = checkpointed(anchors(texts, length).distinct())
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    lists = found.join(twice, "key").groupBy("stamp").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("own"))
+    place = F.struct("stamp", "pos", "lo", "hi")
+    contexts = checkpointed(found.groupBy("key", "context").agg(
+        F.count("*").alias("n"), F.max(F.col("runs").isNotNull()).alias("inside"), F.min(place).alias("place")))
+    known = contexts.filter("n > 1 OR inside").select("key", "context")
+    whole = found.join(known, ["key", "context"]).mapInArrow(_covered(length), "stamp binary, first int, end int")
+    # anchors with several contexts: one place of each is looked at in pieces
+    mixed_keys = contexts.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    lists = contexts.join(mixed_keys, "key").select("place.*").groupBy("stamp").agg(F.collect_list(F.struct("pos", "lo", "hi")).alias("own"))
     lists = checkpointed(lists)
     met = texts.join(lists, "stamp").groupBy("stamp").agg(F.first("text").alias("text"), F.first("own").alias("own"))
     parts = checkpointed(pieces(met, length))
     sizes = parts.groupBy("core").agg(F.count("*").alias("n"))
     crowded = checkpointed(sizes.filter(F.col("n") > CROWD).select("core"))
     plain = parts.join(crowded, "core", "left_anti")
-    runs = sorted_repeats(plain, length).union(counted_repeats(parts.join(crowded, "core", "left_semi"), length))
+    runs = sorted_repeats(plain, length).union(counted_repeats(parts.join(crowded, "core", "left_semi"), length)).union(whole)
     # whole texts that stand twice repeat all their strings
     again = texts.groupBy("stamp").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).filter("n > 1")
     runs = runs.union(again.select("stamp", F.lit(0).alias("first"), F.col("size").cast("int").alias("end")))
