@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kinpanel.session import checkpointed
 
@@ -119,6 +120,37 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[pd.DataFrame], pd
     return dealt.sortWithinPartitions(*keys).select(*names).mapInPandas(run, schema)
 
 
+def map_runs(df: DataFrame, keys: int, make: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``make`` for the rows of each group of at least two; the first ``keys`` columns name it. Groups are bounded.
+
+    Rows reach it as tuples, which costs less than a data frame for many small groups.
+    """
+    fields = [part.split() for part in schema.split(", ")]
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
+    names, types = [f[0] for f in fields], [kinds[f[1]] for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+        key = None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:keys] != key:
+                    if len(held) > 1:
+                        out += make(held)
+                    held, key = [], row[:keys]
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out = []
+        out = make(held) if len(held) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    by = df.columns[:keys]
+    return df.repartition(*[F.col(k) for k in by]).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
 def _done(held: list[pd.DataFrame], make: Callable) -> Iterator[pd.DataFrame]:
     out = make(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True))
     if out is not None and len(out):
@@ -167,5 +199,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
+def with_fields(df: DataFrame, **types: str) -> T.StructType:
+    """The schema of ``df`` with further columns behind, whatever its own are called."""
+    more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in types.items()))
+    return T.StructType([*df.schema.fields, *more.fields])
+
+
 def text_bytes(name: str = "text") -> Column:
     return F.col(name).cast("binary")

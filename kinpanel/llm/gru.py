@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from kinpanel.llm.common import with_fields
+
 HIDDEN = 12
 PIECE = 40
 DOCS = 600
@@ -256,8 +258,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "lang_score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return source.mapInArrow(run, with_fields(source, lang_pred="string", lang_score="double"))
 
 
 def fold(modulus: int, rest: int):

@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from kinpanel.llm.common import with_fields
+
 SAMPLE = 6000
 SLOTS = 1 << 16
 MEMO = 300_000
@@ -231,5 +233,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weak, pa.float64()), pa.array(scores, pa.float64())],
                                              names=[*kept, "weak_label", "quality_score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{schema}, weak_label double, quality_score double")
+    return source.mapInArrow(run, with_fields(source, weak_label="double", quality_score="double"))

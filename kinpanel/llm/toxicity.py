@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from kinpanel.llm.common import with_fields
+
 POSITIVE = 4000
 NEGATIVE = 8000
 CANDIDATES = 5000
@@ -268,5 +270,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = model.scores(batch.column("text").to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*kept, "toxicity"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{schema}, toxicity double")
+    return source.mapInArrow(run, with_fields(source, toxicity="double"))

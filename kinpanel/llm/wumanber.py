@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinpanel.llm.common import with_fields
+
 WIDTH = 13
 #: bytes per shift-table block; long enough that blocks of other text are rarely among the patterns'
 BLOCK = 12
@@ -100,14 +102,14 @@ def _groups(benchmark: DataFrame, width: int) -> Iterator[list[tuple[bytes, list
 
 
 def _scan(df: DataFrame, spark_patterns) -> DataFrame:
-    """``df`` has words binary (joined), spans binary and items array<string>; adds one group's occurrences."""
+    """``df`` has __joined (words), __spans and items array<string>; adds one group's occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = spark_patterns.value
         kinds = [[p for p in patterns if len(p[0]) < SHORT_HEAD], [p for p in patterns if len(p[0]) >= SHORT_HEAD]]
         searchers = [(Searcher([w for w, _ in own]), own) for own in kinds if own]
         for batch in batches:
-            texts = batch.column("joined").to_pylist()
-            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            texts = batch.column("__joined").to_pylist()
+            spans, items = batch.column("__spans").to_pylist(), batch.column("items").to_pylist()
             for row, text in enumerate(texts):
                 found = []
                 for searcher, own in searchers:
@@ -132,27 +134,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     its own rows for each bounded group of patterns.
     """
     spark = docs.sparkSession
-    new = ["n_words", "n_hit", "items", "hit_words", "joined", "spans"]
+    new = ["n_words", "n_hit", "items", "hit_words", "__joined", "__spans"]
     kept = [c for c in docs.columns if c not in new]
-    now = docs.select(*kept, F.col("text").cast("binary").alias("joined"), F.lit(b"").alias("spans"),
+    now = docs.select(*kept, F.col("text").cast("binary").alias("__joined"), F.lit(b"").alias("__spans"),
                       F.array().cast("array<string>").alias("items"))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined = [b" " + b" ".join(words_of(t)) + b" " for t in batch.column("joined").to_pylist()]
-            at = batch.schema.get_field_index("joined")
-            yield batch.set_column(at, "joined", pa.array(joined, pa.binary()))
+            joined = [b" " + b" ".join(words_of(t)) + b" " for t in batch.column("__joined").to_pylist()]
+            at = batch.schema.get_field_index("__joined")
+            yield batch.set_column(at, "__joined", pa.array(joined, pa.binary()))
 
     now = now.mapInArrow(prepare, now.schema)
     for group in _groups(benchmark, width):
         now = _scan(now, spark.sparkContext.broadcast(group))
-    result = now.schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result if f.name in kept)
+    schema = with_fields(docs.select(*kept), n_words="long", n_hit="long", items="array<string>", hit_words="binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, hit, masks = [], [], []
-            for text, spans in zip(batch.column("joined").to_pylist(), batch.column("spans").to_pylist()):
+            for text, spans in zip(batch.column("__joined").to_pylist(), batch.column("__spans").to_pylist()):
                 n = text.count(b" ") - 1 if len(text) > 2 else 0
                 total.append(n)
                 mask = np.zeros(n, dtype=bool)
@@ -168,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
                 [*cols, pa.array(total, pa.int64()), pa.array(hit, pa.int64()), batch.column("items"), pa.array(masks, pa.binary())],
                 names=[*kept, "n_words", "n_hit", "items", "hit_words"])
 
-    return now.mapInArrow(count, f"{schema}, n_words long, n_hit long, items array<string>, hit_words binary")
+    return now.mapInArrow(count, schema)
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
