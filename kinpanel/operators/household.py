@@ -26,9 +26,12 @@ from kinpanel.session import checkpointed
 
 
 def _slots(columns: Sequence[str], shape: str) -> list[tuple[str, ...]]:
-    """(column, slot…) read off the column names; names of another shape are no slot columns."""
+    """(column, slot…) read off the column names; a chosen column of another shape is an error, not left out."""
     found = [(c, re.match(shape, c)) for c in columns]
-    return [(c, *m.groups()) for c, m in found if m]
+    odd = [c for c, m in found if not m]
+    if odd:
+        raise ValueError(f"no slot numbers in the names of {odd}")
+    return [(c, *m.groups()) for c, m in found]
 
 
 def relation_pairs(roster: DataFrame, keys: Sequence[str], relation_columns: Sequence[str],
@@ -48,7 +51,7 @@ def relation_pairs(roster: DataFrame, keys: Sequence[str], relation_columns: Seq
             found.setdefault(tuple(slots), []).append(F.col(f"`{name}`"))
         return {slots: F.coalesce(*parts) for slots, parts in found.items()}
 
-    grid = cells(relation_columns, r"^b?([^.]+)\.9\.?([^.]+)$")
+    grid = cells(relation_columns, r"^b?([^.]+)\.[^.]\.?([^.]+)$")
     ids = cells(id_columns, r"^idind(.+)$")
     sexes = cells(gender_columns, r"^b?([^.]+)\.")
     named = sorted(slot for (slot,) in ids if (slot,) in sexes)
@@ -84,7 +87,7 @@ def assign_parents(pairs: DataFrame, persons: DataFrame, tie: int, wave: str = "
     """Child x wave rows with exactly one father and one mother, and the child's earliest reported birth year.
 
     ``persons`` needs (idind, wave, year, birth_year). Couples that are ambiguous within a wave and birth year are
-    dropped: a mother whose children of one birth year have two fathers, or the reverse.
+    dropped: a mother whose children of one birth year have two fathers, or the reverse. Unknown is a birth year of its own.
     """
     ties = pairs.filter(F.col("value") == tie)
     if excluded is not None:
@@ -102,8 +105,8 @@ def assign_parents(pairs: DataFrame, persons: DataFrame, tie: int, wave: str = "
     rows = checkpointed(couples.join(born, ["kid_id", wave]))
     group = [wave, "birth_year", "year"]
     # the ambiguous groups are few: found by aggregates, taken out by a join that does not move the rows
-    kept = excluding(rows, [*group, "mother_id"], contradictory(rows, [*group, "mother_id"], "father_id"))
-    kept = excluding(kept, [*group, "father_id"], contradictory(rows, [*group, "father_id"], "mother_id"))
+    kept = excluding(rows, [*group, "mother_id"], contradictory(rows, [*group, "mother_id"], "father_id"), True)
+    kept = excluding(kept, [*group, "father_id"], contradictory(rows, [*group, "father_id"], "mother_id"), True)
     kept = kept.select("year", wave, household, "kid_id", "father_id", "mother_id", "relatives_list",
                        "relatives_slots", "birth_year").distinct()
     return G.entity_min(kept, ["kid_id"], "birth_year", "birth_year", one_per_wave=True)
@@ -118,11 +121,13 @@ def contradictory(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def sibling_order(children: DataFrame, couple: Sequence[str], born: str, out: str = "kid_order") -> DataFrame:
     """Birth order among the children of a couple; equal birth years share a place and leave no gap.
 
+    A child with an unknown birth year stays, without a place.
+
     Ranked over the distinct birth years of a couple, which are few however many rows the couple has.
     """
-    years = children.select(*couple, born).dropna().distinct()
+    years = children.select(*couple, born).dropna(subset=[born]).distinct()
     ranked = years.withColumn(out, F.dense_rank().over(Window.partitionBy(*couple).orderBy(born)))
-    return salted_join(children, ranked, [*couple, born], "inner")
+    return salted_join(children, ranked, [*couple, born], "left", null_safe=True)
 
 
 # ------------------------------------------------------------------------------------- observation panel

@@ -18,14 +18,16 @@ def membership(df: DataFrame, key: str, members: DataFrame, out: str, check: boo
     return salted_join(df, ids, [key], "left", check=check).withColumn(out, F.coalesce(F.col("__in"), F.lit(0))).drop("__in")
 
 
-def excluding(df: DataFrame, keys: Sequence[str] | str, members: DataFrame) -> DataFrame:
+def excluding(df: DataFrame, keys: Sequence[str] | str, members: DataFrame, null_safe: bool = False) -> DataFrame:
     """Rows whose keys do not occur in ``members``, which has the same number of columns in the same order.
 
+    ``null_safe`` counts a NULL as a value that members can have.
+
     The list is counted; if it is short it is broadcast and the rows stay where they are.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     ids = members.select(*[F.col(m).alias(k) for m, k in zip(members.columns, keys)]).distinct()
-    return join_counted(df, ids, keys, "left_anti")
+    return join_counted(df, ids, keys, "left_anti", null_safe=null_safe)
 
 
 def only_members(df: DataFrame, keys: Sequence[str], members: DataFrame) -> DataFrame:
@@ -89,9 +91,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     marked_left = left.withColumn("__lt", F.col(left_time))
     marked_right = right.withColumn("__rt", F.col(right_time))
     times = _matched_times(marked_left, marked_right, keys, buckets)
-    # right rows under each distinct left time: the left rows themselves join by their own time, which spreads a key
-    # whose left rows all follow one right time
-    lookup = times.join(marked_right, [*keys, "__rt"], "inner").drop("__rt")
+    # right rows under each distinct left time; a right time that very many left times follow is cut into parts
+    lookup = salted_join(times, marked_right, [*keys, "__rt"], "inner", check=check).drop("__rt")
     return salted_join(marked_left, lookup, [*keys, "__lt"], how, check=check).drop("__lt")
 
 

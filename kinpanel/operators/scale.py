@@ -9,14 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinpanel.session import checkpointed
 
-# A key is hot if it has more than this share of the rows, so there are never more than 1 / HOT_SHARE hot keys ...
-HOT_SHARE = 1 / 10_000
-# ... and more rows than one task handles with ease.
+# A key with more rows than this is cut into parts of about this size: rows that one task joins with ease.
 HOT_ROWS = 200_000
 # Largest row count of a table that may be broadcast after counting it.
 BROADCAST_ROWS = 100_000
@@ -24,18 +22,15 @@ BROADCAST_ROWS = 100_000
 _SALT = "__salt"
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list[Row]:
-    """Hot keys with ``__salts``, the number of parts to cut each into; fewer than ``1 / share`` entries.
+def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame | None:
+    """Hot keys with ``__salts``, the number of parts of about ``rows`` rows to cut each into; None if there are none.
 
-    One pass over the key columns. The keys themselves are fetched only if the largest count shows that there are any.
+    One pass over the key columns. The list is written, not fetched: there is at most one entry per ``rows`` rows, so it
+    grows with the data, and Spark broadcasts it only while it is small.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    found = counts.agg(F.max("__rows").alias("most"), F.sum("__rows").alias("all")).first()
-    bound = max(rows, share * (found["all"] or 0))
-    if (found["most"] or 0) <= bound:
-        return []
-    return counts.filter(F.col("__rows") > bound).select(
-        *keys, F.ceil(F.col("__rows") / F.lit(bound)).cast("int").alias("__salts")).collect()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > rows)
+    hot = checkpointed(counts.select(*keys, F.ceil(F.col("__rows") / F.lit(rows)).cast("int").alias("__salts")))
+    return None if hot.isEmpty() else hot
 
 
 def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], null_safe: bool) -> Column:
@@ -50,66 +45,63 @@ def _renamed(df: DataFrame, keys: list[str], mark: str) -> tuple[DataFrame, list
     return df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], *rest), names
 
 
-def _with_salts(df: DataFrame, keys: list[str], hot: DataFrame, null_safe: bool) -> DataFrame:
+def _with_salts(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Add ``__salts``. NULL finds its own entry, whatever the join does with it: an outer join moves such rows, too."""
     small, names = _renamed(hot, keys, "h")
-    cond = _match(df, small, list(zip(keys, names)), null_safe)
-    return df.join(F.broadcast(small), cond, "left").drop(*names)
+    return df.join(small, _match(df, small, list(zip(keys, names)), True), "left").drop(*names)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = HOT_SHARE,
-                null_safe: bool = False, rows: int = HOT_ROWS, check: bool = True,
-                hot: list[Row] | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", null_safe: bool = False,
+                rows: int = HOT_ROWS, check: bool = True, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join in which hot keys of ``left`` are cut into parts and the matching rows of ``right`` repeated.
 
-    ``how`` is inner, left, left_semi or left_anti. A hot key with share s is cut into at most ceil(s / share) parts, so
-    ``right`` grows by fewer than ``2 / share`` copies of its per-key rows. The part of a row comes from a hash of
-    its content, not a random number, so a recomputed task sends every row to the same place as before.
+    ``how`` is inner, left, left_semi or left_anti. A key of n rows is cut into ceil(n / rows) parts and ``right`` grows by
+    as many copies of that key's rows. If there is a hot key, ``left`` is written with a row number first: parts come from
+    that number, so equal rows are spread, too, and a recomputed task reads the same number again.
     ``check=False`` leaves the counting out where the left keys are known to repeat only a few times; ``hot`` passes on the
     result of ``hot_keys`` for the same keys.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do {how!r}")
-    found = hot if hot is not None else hot_keys(left, on, share, rows) if check else []
-    if found:
-        listed = left.sparkSession.createDataFrame(
-            [tuple(r) for r in found], left.select(*on).withColumn("__salts", F.lit(1)).schema)
+    found = hot if hot is not None else hot_keys(left, on, rows) if check else None
+    if found is not None:
+        left = checkpointed(left.withColumn("__row", F.monotonically_increasing_id()))
         part = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__salts").cast("bigint")).cast("int"))
-        left = _with_salts(left, on, listed, null_safe).withColumn(_SALT, part).drop("__salts")
+            F.pmod(F.xxhash64("__row"), F.col("__salts").cast("bigint")).cast("int"))
+        left = _with_salts(left, on, found).withColumn(_SALT, part).drop("__salts", "__row")
         right = (
-            _with_salts(right, on, listed, null_safe)
+            _with_salts(right, on, found)
             .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
             .drop("__salts")
         )
-    keys = [*on, _SALT] if found else list(on)
+    keys = [*on, _SALT] if found is not None else list(on)
     right, names = _renamed(right, keys, "r")
     cond = _match(left, right, list(zip(on, names)), null_safe)
-    if found:
+    if found is not None:
         cond = cond & (left[_SALT] == right[names[-1]])
     return left.join(right, cond, how).drop(_SALT, *names)
 
 
-def attach_stats(df: DataFrame, keys: list[str], share: float = HOT_SHARE, **aggs: Column) -> DataFrame:
+def attach_stats(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Add aggregates of the row's group to every row, like ``agg().over(partitionBy(keys))`` without the window.
 
     NULL is a group of its own.
     """
     stats = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
-    return salted_join(df, stats, keys, "inner", share, null_safe=True)
+    return salted_join(df, stats, keys, "inner", null_safe=True)
 
 
-def keep_at_extreme(df: DataFrame, keys: list[str], value: str, pick: str = "min",
-                    share: float = HOT_SHARE) -> DataFrame:
+def keep_at_extreme(df: DataFrame, keys: list[str], value: str, pick: str = "min") -> DataFrame:
     """Rows whose ``value`` equals the group's minimum or maximum; every tie is kept."""
     best = df.groupBy(*keys).agg({"min": F.min, "max": F.max}[pick](value).alias(value))
-    return salted_join(df, best, [*keys, value], "left_semi", share, null_safe=True).filter(F.col(value).isNotNull())
+    return salted_join(df, best, [*keys, value], "left_semi", null_safe=True).filter(F.col(value).isNotNull())
 
 
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-                 rows: int = BROADCAST_ROWS, share: float = HOT_SHARE) -> DataFrame:
+                 rows: int = BROADCAST_ROWS, null_safe: bool = False) -> DataFrame:
     """Join with a right side expected to be small: materialise and count it, broadcast it only if it is, else salt."""
     right = checkpointed(right)
     if right.limit(rows + 1).count() <= rows:
         spread, names = _renamed(right, on, "r")
-        return left.join(F.broadcast(spread), _match(left, spread, list(zip(on, names)), False), how).drop(*names)
-    return salted_join(left, right, on, how, share)
+        return left.join(F.broadcast(spread), _match(left, spread, list(zip(on, names)), null_safe), how).drop(*names)
+    return salted_join(left, right, on, how, null_safe)

@@ -81,6 +81,7 @@ def raw_persons(spark, sf) -> DataFrame:
     born = F.when(child, 1966 + (F.col("idind") * 7) % 18).otherwise(1935 + F.col("idind") % 11)
     moved = child & (k % 7 == 0)
     same_sex = F.col("hh") % 50 == 7
+    unborn = F.col("idind") % 97 == 50  # nothing is known about their birth
 
     def unless(gap: Column, value: Column) -> Column:
         return F.when(~gap, value.cast("int"))
@@ -88,11 +89,11 @@ def raw_persons(spark, sf) -> DataFrame:
     return obs.withColumn("__born", born).select(
         "idind", "year", (F.col("year") - 1990).alias("id_w"), "slot", "cents",
         (F.col("hh") * 10 + F.when(moved, F.col("slot")).otherwise(0)).alias("id_h"),
-        (F.col("year") - F.col("__born")).cast("int").alias("age"),
+        unless(unborn, F.col("year") - F.col("__born")).alias("age"),
         E.choose([(F.col("slot") == 1, F.lit(1)), (F.col("slot") == 2, F.when(same_sex, 1).otherwise(2))],
                  (F.col("hh") + F.col("slot")) % 2 + 1).cast("int").alias("h5"),
-        unless(k % 3 == 0, F.col("__born") + F.when(k % 13 == 0, 1).otherwise(0)).alias("born_a"),
-        unless(k % 2 == 0, F.col("__born")).alias("born_b"),
+        unless((k % 3 == 0) | unborn, F.col("__born") + F.when(k % 13 == 0, 1).otherwise(0)).alias("born_a"),
+        unless((k % 2 == 0) | unborn, F.col("__born")).alias("born_b"),
         unless(k % 4 == 1, (k * 3) % 23).alias("educ"), unless(k % 3 == 1, k % 9).alias("diplom"),
         unless(k % 5 == 2, k % 11).alias("diplom_1"), unless(k % 5 == 0, k % 19).alias("j90"),
         unless(k % 11 == 10, k % 11).alias("occup08"), unless(k % 6 == 0, k % 6).alias("j1"),
@@ -214,7 +215,8 @@ WITH obs AS (
   SELECT o_custkey AS idind, CAST(year(o_orderdate) AS INTEGER) AS year, min(o_orderkey) AS k,
          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents,
          o_custkey // 5 AS hh, CAST(o_custkey % 5 + 1 AS INTEGER) AS slot,
-         CASE WHEN o_custkey % 5 >= 2 THEN 1966 + (o_custkey * 7) % 18 ELSE 1935 + o_custkey % 11 END AS born
+         CASE WHEN o_custkey % 97 = 50 THEN NULL WHEN o_custkey % 5 >= 2 THEN 1966 + (o_custkey * 7) % 18
+              ELSE 1935 + o_custkey % 11 END AS born
   FROM orders GROUP BY o_custkey, year(o_orderdate)),
 raw AS (
   SELECT idind, year, year - 1990 AS id_w, slot, cents, hh,
@@ -270,15 +272,16 @@ couples AS (
 born AS (SELECT c.*, p.year, p.birth_year FROM couples c JOIN persons p ON p.idind = c.kid_id AND p.id_w = c.id_w),
 sure AS (
   SELECT b.* FROM born b
-  WHERE (SELECT count(DISTINCT x.father_id) FROM born x WHERE x.id_w = b.id_w AND x.birth_year = b.birth_year
+  WHERE (SELECT count(DISTINCT x.father_id) FROM born x WHERE x.id_w = b.id_w AND x.birth_year IS NOT DISTINCT FROM b.birth_year
          AND x.mother_id = b.mother_id) = 1
-    AND (SELECT count(DISTINCT x.mother_id) FROM born x WHERE x.id_w = b.id_w AND x.birth_year = b.birth_year
+    AND (SELECT count(DISTINCT x.mother_id) FROM born x WHERE x.id_w = b.id_w AND x.birth_year IS NOT DISTINCT FROM b.birth_year
          AND x.father_id = b.father_id) = 1),
 children AS (
   SELECT year, id_w, id_h, kid_id, father_id, mother_id, relatives_list, relatives_slots,
          CAST(min(birth_year) OVER (PARTITION BY kid_id) AS INTEGER) AS birth_year FROM sure),
 ordered AS (
-  SELECT *, CAST(dense_rank() OVER (PARTITION BY father_id, mother_id ORDER BY birth_year) AS INTEGER) AS kid_order FROM children),
+  SELECT *, CASE WHEN birth_year IS NOT NULL THEN CAST(dense_rank() OVER (PARTITION BY father_id, mother_id ORDER BY birth_year NULLS LAST)
+         AS INTEGER) END AS kid_order FROM children),
 known AS (SELECT idind, min(year) AS first_seen, max(coalesce(univ_diploma, 0)) AS ever FROM persons GROUP BY 1),
 latest AS (
   SELECT p.idind AS kid_id, p.year, p.univ_diploma AS kid_univ_diploma, p.gender, p.age, p.profession_code, p.origsm,

@@ -143,6 +143,25 @@ def _tie(kid, parent, kind, wave=1):
     return (wave, 1, CHILD_OF, kid, "male", parent, kind, [4, 4], ["1", "2"])
 
 
+def test_unknown_birth_years_are_a_group_and_stay(rows, listed):
+    pairs = rows("id_w int, id_h long, value int, kid_id long, gender string, parent_id long, parent_type string, "
+                 "relatives_list array<int>, relatives_slots array<string>",
+                 [(1, h, 4, kid, "male", parent, kind, [4, 4], ["1", "2"]) for h, kid, father, mother in
+                  [(1, 1, 10, 20), (2, 2, 11, 20), (3, 3, 12, 22), (3, 4, 12, 22)]
+                  for parent, kind in ((father, "father"), (mother, "mother"))])
+    persons = rows("idind long, id_w int, year int, birth_year int",
+                   [(1, 1, 2000, None), (2, 1, 2000, None), (3, 1, 2000, None), (4, 1, 2000, 1990)])
+    got = H.assign_parents(pairs, persons, 4)
+    assert listed(got, "kid_id", "birth_year") == [(3, None), (4, 1990)]
+    assert listed(H.sibling_order(got, ["father_id", "mother_id"], "birth_year"), "kid_id", "kid_order") == [(3, None), (4, 1)]
+
+
+def test_chosen_columns_must_have_slots(rows):
+    roster = rows("id_w int, id_h int, idind1 long, `b1.5` int, note int", [(1, 1, 1, 1, 1)])
+    with pytest.raises(ValueError):
+        H.relation_pairs(roster, ["id_w", "id_h"], ["note"], ["idind1"], ["b1.5"])
+
+
 def test_parents_must_be_certain(rows, listed):
     pairs = rows(PAIRS, [
         _tie(1, 10, "father"), _tie(1, 11, "mother"),                             # kept

@@ -24,16 +24,16 @@ def skewed(spark):
 
 
 def test_hot_keys_are_few_and_found(skewed):
-    found = {r["k"]: r["__salts"] for r in K.hot_keys(skewed, ["k"], 0.01, rows=1)}
+    found = {r["k"]: r["__salts"] for r in K.hot_keys(skewed, ["k"], rows=300).collect()}
     assert set(found) == {0, None} and found[0] == 34
-    assert K.hot_keys(skewed, ["k"]) == []
+    assert K.hot_keys(skewed, ["k"]) is None
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("null_safe", [False, True])
 def test_salted_join_equals_plain(spark, skewed, listed, how, null_safe):
     right = spark.createDataFrame([(0, "a"), (0, "b"), (5, "c"), (None, "n")], "k int, w string")
-    salted = K.salted_join(skewed, right, ["k"], how, share=0.001, null_safe=null_safe, rows=1)
+    salted = K.salted_join(skewed, right, ["k"], how, null_safe=null_safe, rows=300)
     other = right.withColumnRenamed("k", "rk")
     cond = skewed["k"].eqNullSafe(other["rk"]) if null_safe else skewed["k"] == other["rk"]
     plain = skewed.join(other, cond, how).drop("rk")
@@ -44,7 +44,7 @@ def test_salted_join_equals_plain(spark, skewed, listed, how, null_safe):
 def test_hot_key_is_spread_over_join_partitions(spark, skewed):
     right = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     sizes = {}
-    for name, rows in (("plain", 10**9), ("salted", 1)):
+    for name, rows in (("plain", 10**9), ("salted", 300)):
         old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -58,8 +58,27 @@ def test_hot_key_is_spread_over_join_partitions(spark, skewed):
     assert max(sizes["plain"]) > 10_000 and max(sizes["salted"]) < 6_000
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_equal_rows_and_null_keys_are_spread(spark, how):
+    """One key with three distinct rows, and as many NULL keys: neither stays in one task."""
+    left = spark.range(30_000).select(F.when(F.col("id") % 2 == 0, 1).cast("int").alias("k"), (F.col("id") % 3).alias("v"))
+    right = spark.createDataFrame([(1, "a")], "k int, w string")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for c, v in zip(old, ("-1", "false")):
+        spark.conf.set(c, v)
+    try:
+        joined = K.salted_join(left, right, ["k"], how, rows=300).withColumn("p", F.spark_partition_id())
+        sizes = {(r["k"], r["p"]): r["count"] for r in joined.groupBy("k", "p").count().collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    for key in (1, None) if how == "left" else (1,):
+        own = [n for (k, _), n in sizes.items() if k == key]
+        assert sum(own) == 15_000 and len(own) > 4 and max(own) < 6_000
+
+
 def test_group_statistics_equal_a_window(skewed, listed, monkeypatch):
-    monkeypatch.setattr(K.salted_join, "__defaults__", ("inner", 0.001, False, 1, True, None))
+    monkeypatch.setattr(K.salted_join, "__defaults__", ("inner", False, 300, True, None))
     w = Window.partitionBy("k")
     want = skewed.withColumn("lo", F.min("v").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
     assert listed(K.attach_stats(skewed, ["k"], lo=F.min("v"), n=F.count(F.lit(1)))) == listed(want)
