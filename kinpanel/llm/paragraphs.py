@@ -6,7 +6,8 @@ paragraphs wherever it stands; a passage of over 50 words nearly always holds a
 
 Every paragraph has a key per band; the number of bands and of minwise hashes in each are chosen for ``RECALL`` at the
 threshold with the fewest rows. Rows go once by key, and a key that one paragraph has alone ends there. Paragraphs that
-share a key are compared by their full sets of 5-word shingles; a key that too many different paragraphs share (a line
+share a key and whose one-bit sketches agree as those of similar ones do are compared by their full sets of 5-word
+shingles; a key that too many different paragraphs share (a line
 that stands in many contexts) branches on along further minwise hashes, as in ``chosenpath``. A key that is frequent in
 a task is dealt out in runs, so no key fills a task. Of each connected group of paragraphs the first occurrence, by
 doc_id and place, stays; the words of all others go, except words of a paragraph that stays.
@@ -22,12 +23,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinpanel.llm import chosenpath
-from kinpanel.llm.common import MULTIPLIERS, WordHashes, connected_components, map_groups, mixed, shingle_hashes, text_bytes, word_arrays
+from kinpanel.llm.common import MULTIPLIERS, WordHashes, connected_components, map_runs, mixed, shingle_hashes, text_bytes, union_find, word_arrays
 from kinpanel.session import checkpointed
 
 SPAN = 21
@@ -37,8 +37,12 @@ PERCENT = 80
 RECALL = 0.99
 #: different paragraphs under one key that one task compares with each other
 LIMIT = chosenpath.LIMIT
+#: paths that a paragraph under a crowded key follows; it has further keys besides
+TREES = 6
 #: rows of one key in a task that stay in one run
 RUN = 64
+#: bits of 64 in which the sketches of similar paragraphs may differ: at the threshold 6.4 on average, 2.4 the deviation
+DIFFER = 17
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -74,9 +78,12 @@ def anchors(words: np.ndarray, counts: np.ndarray, reach: int = REACH) -> tuple[
 
 
 def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """key, run, hot, doc_id, stamp, start, content: a row per paragraph and band."""
+    """key, run, hot, doc_id, stamp, start, content, bits: a row per paragraph and band.
+
+    A bit of the sketch is one of the smallest hash of the paragraph's shingles under one of 64 hash functions.
+    """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("stamp"), text_bytes().alias("text"))
-    names = ["key", "run", "hot", "doc_id", "stamp", "start", "content"]
+    names = ["key", "run", "hot", "doc_id", "stamp", "start", "content", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -93,6 +100,10 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 window = begin[:, None] + np.arange(SPAN - WIDTH + 1)
                 own = shingles[window]
                 content = mixed((own * MULTIPLIERS[100:100 + own.shape[1]]).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                bits = np.zeros(len(row), dtype=np.uint64)
+                for k in range(64):
+                    low = (own * MULTIPLIERS[300 + k]).min(axis=1)
+                    bits |= (mixed(low) & np.uint64(1)) << np.uint64(k)
                 keys = []
                 for band in range(bands):
                     value = np.full(len(row), band + 1, dtype=np.uint64)
@@ -113,42 +124,90 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 index = pa.array(np.tile(first + row, bands))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key), pa.array(runs), pa.array(runs > 0), ids.take(index), stamps.take(index),
-                    pa.array(np.tile(at - SPAN // 2, bands).astype(np.int32)), pa.array(np.tile(content, bands))], names)
+                    pa.array(np.tile(at - SPAN // 2, bands).astype(np.int32)), pa.array(np.tile(content, bands)),
+                    pa.array(np.tile(bits.view(np.int64), bands))], names)
 
-    return source.mapInArrow(run, "key long, run int, hot boolean, doc_id long, stamp long, start int, content long")
+    return source.mapInArrow(run, "key long, run int, hot boolean, doc_id long, stamp long, start int, content long, bits long")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose key another row has, too; a partition's rows are read as they come, by key."""
+    """key, doc_id, stamp, start, content, near of the rows of ``keyed`` that another row of their key may repeat.
+
+    ``near`` marks rows with a different paragraph beside them whose sketch is close; the others stand there for an
+    equal one. Of a frequent key (its first run is full) every row goes on.
+    """
+    out_names = ["key", "doc_id", "stamp", "start", "content", "near"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+
+    def judged(held: list[tuple]) -> list[tuple]:
+        """Rows are (key, run, hot, doc_id, stamp, start, content, bits)."""
+        bits = {row[6]: row[7] & 0xFFFFFFFFFFFFFFFF for row in held}
+        if held[0][2] or len(held) >= RUN:
+            return [(*row[:1], *row[3:7], True) for row in held]
+        different = list(bits.items())
+        near = set()
+        for i, (a, x) in enumerate(different):
+            for b, y in different[:i]:
+                if (x ^ y).bit_count() <= DIFFER:
+                    near.update((a, b))
+        if len(bits) == len(held):
+            return [(*row[:1], *row[3:7], True) for row in held if row[6] in near]
+        number: dict[int, int] = {}
+        for row in held:
+            number[row[6]] = number.get(row[6], 0) + 1
+        return [(*row[:1], *row[3:7], row[6] in near) for row in held if row[6] in near or number[row[6]] > 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None
-        last_shared = False
+        left: pa.RecordBatch | None = None
+        out: list[tuple] = []
 
-        def mark(batch: pa.RecordBatch) -> np.ndarray:
+        def judge(batch: pa.RecordBatch) -> None:
+            """All runs of the batch; those of one row end here without becoming tuples."""
             key, runs = batch.column("key").to_numpy(), batch.column("run").to_numpy()
-            return (key[1:] == key[:-1]) & (runs[1:] == runs[:-1])
+            same = (key[1:] == key[:-1]) & (runs[1:] == runs[:-1])
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | batch.column("hot").to_numpy(zero_copy_only=False)
+            held: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.filter(pa.array(shared)).columns)):
+                if held and row[:2] != held[-1][:2]:
+                    out.extend(judged(held))
+                    held = []
+                held.append(row)
+            if held:
+                out.extend(judged(held))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], out_names)
+                out.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if last is not None:
-                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            same = mark(batch)
-            shared = np.concatenate([[last_shared], same]) | np.concatenate([same, [False]]) | batch.column("hot").to_numpy(zero_copy_only=False)
-            last, last_shared = batch.slice(batch.num_rows - 1), bool(len(same) and same[-1]) or (last_shared and batch.num_rows == 1)
-            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(shared[:-1]))
-        if last is not None and (last_shared or last.column("hot")[0].as_py()):
-            yield last
+            if left is not None:
+                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            key, runs = batch.column("key").to_numpy(), batch.column("run").to_numpy()
+            # the last run may go on in the next batch
+            cut = int(np.argmax((key == key[-1]) & (runs == runs[-1])))
+            left = batch.slice(cut)
+            if cut:
+                judge(batch.slice(0, cut))
+            yield from flush()
+        if left is not None:
+            judge(left)
+            yield from flush()
 
-    return rows.repartition("key", "run").sortWithinPartitions("key", "run").mapInArrow(run, rows.schema)
+    return rows.repartition("key", "run").sortWithinPartitions("key", "run").mapInArrow(
+        run, "key long, doc_id long, stamp long, start int, content long, near boolean")
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """content, digest, n_shingles, shingles, sketch of the paragraphs ``wanted`` (doc_id, stamp, start, content)."""
+    """content, shingles (sorted set) of the paragraphs ``wanted`` (doc_id, stamp, start, content)."""
     lists = wanted.groupBy("doc_id", "stamp").agg(F.collect_list(F.struct("start", "content")).alias("own"))
     lists = checkpointed(lists.withColumnsRenamed({"doc_id": "__id", "stamp": "__stamp"}))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("stamp"), text_bytes().alias("text"))
-    met = texts.join(lists, (F.col("stamp") == F.col("__stamp")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "own")
+    met = texts.join(lists, (F.col("stamp") == F.col("__stamp")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    # rows that repeat a document are one
+    met = met.groupBy("stamp", "doc_id").agg(F.first("text").alias("text"), F.first("own").alias("own")).select("text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -162,44 +221,62 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     for item in own[row]:
                         begin = starts[row - first] + item["start"]
                         names.append(item["content"])
-                        sets.append(np.unique(shingles[begin:begin + SPAN - WIDTH + 1]))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(names, pa.int64()), pa.array([np.array([n], dtype=">i8").tobytes() for n in names], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                pa.array(chosenpath.sketched(sets), pa.binary())], ["content", "digest", "n_shingles", "shingles", "sketch"])
+                        sets.append(np.unique(shingles[begin:begin + SPAN - WIDTH + 1]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["content", "shingles"])
+
+    return met.mapInArrow(run, "content long, shingles binary")
+
+
+def _branching(described: DataFrame) -> DataFrame:
+    """digest (the content's bytes) and sketch, as ``chosenpath`` takes them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [n.to_bytes(8, "big", signed=True) for n in batch.column(0).to_pylist()]
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(chosenpath.sketched(sets), pa.binary())], ["digest", "sketch"])
+
+    return described.select("content", "shingles").mapInArrow(run, "digest binary, sketch binary")
+
 
-    found = met.mapInArrow(run, "content long, digest binary, n_shingles long, shingles binary, sketch binary")
-    # rows that repeat a document give the same paragraphs again
-    return found.dropDuplicates(["content"])
+def _compared(percent: int):
+    """Links from each member of a connected group to its first; rows are (node, part, content, shingles)."""
+    def compare(rows: list[tuple]) -> list[tuple]:
+        rows = list({row[2]: row for row in rows}.values())
+        if len(rows) > 12:
+            sets = [np.frombuffer(row[3], dtype=np.uint64) for row in rows]
+            left, right = chosenpath.links(sets, percent)
+        else:
+            small = [{row[3][i:i + 8] for i in range(0, len(row[3]), 8)} for row in rows]
+            found = [(i, j) for j, b in enumerate(small) for i, a in enumerate(small[:j])
+                     if 100 * (common := len(a & b)) >= percent * (len(a) + len(b) - common)]
+            left, right = zip(*found) if found else ((), ())
+        top = union_find(len(rows), left, right)
+        return [(rows[i][2], rows[t][2]) for i, t in enumerate(top.tolist()) if i != t]
+
+    return compare
 
 
 def clusters(docs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """content, root: different paragraphs connected by exact Jaccard similarity; those alone are left out."""
-    pairs = shared.select("key", "content").distinct()
+    pairs = shared.filter("near").select("key", "content").distinct()
     sizes = pairs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     pairs = checkpointed(pairs.join(sizes, "key"))
     first = shared.join(pairs.select("content").distinct(), "content", "left_semi").groupBy("content").agg(
         F.min(F.struct("doc_id", "stamp", "start")).alias("f")).select("content", "f.*")
     described = checkpointed(contents(docs, first))
     small = pairs.filter(F.col("n") <= LIMIT).select(F.col("key").alias("node"), F.lit(0).alias("part"), "content")
-    small = small.join(described.select("content", "digest", "shingles"), "content").drop("content")
-    large = pairs.filter(F.col("n") > LIMIT).select("content").distinct().join(described, "content")
-    branched = chosenpath.nodes(checkpointed(large.select("digest", "sketch"))).join(described.select("digest", "shingles"), "digest")
-    dealt = small.select("node", "part", "digest", "shingles").union(branched.select("node", "part", "digest", "shingles"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame | None:
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
-        return chosenpath.spanning(rows["digest"], *chosenpath.links(sets, percent))
-
-    edges = map_groups(dealt, ["node", "part"], compare, "a binary, b binary")
-    number = {c: F.conv(F.hex(c), 16, -10).cast("long").alias(n) for c, n in (("node", "content"), ("root", "top"))}
-    return connected_components(edges).select(*number.values()).withColumnRenamed("top", "root")
+    large = checkpointed(pairs.filter(F.col("n") > LIMIT).select("content").distinct())
+    branched = chosenpath.nodes(checkpointed(_branching(described.join(large, "content"))), TREES)
+    branched = branched.select("node", "part", F.conv(F.hex("digest"), 16, -10).cast("long").alias("content"))
+    dealt = small.union(branched).join(described, "content").select("node", "part", "content", "shingles")
+    edges = map_runs(dealt, 2, _compared(percent), "a long, b long")
+    return connected_components(edges).select(F.col("node").alias("content"), "root")
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, stamp, cuts, stays (arrays of first words of paragraphs) per document that has a repeated paragraph."""
     bands, rows = tuned(percent / 100)
-    shared = checkpointed(shared_keys(keyed(docs, bands, rows)).drop("run", "hot"))
+    shared = checkpointed(shared_keys(keyed(docs, bands, rows)))
     roots = checkpointed(clusters(docs, shared, percent))
     every = shared.select("doc_id", "stamp", "start", "content").distinct().join(roots, "content", "left")
     every = every.withColumn("root", F.coalesce("root", "content"))
@@ -266,5 +343,4 @@ def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in kept]
             yield pa.RecordBatch.from_arrays(cols, names=kept)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.schema)
