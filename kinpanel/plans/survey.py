@@ -16,7 +16,7 @@ from kinpanel.functions import arrays as A
 from kinpanel.functions import expressions as E
 from kinpanel.operators import aggregates as G
 from kinpanel.operators import household as H
-from kinpanel.operators.reshape import transpose
+from kinpanel.operators.reshape import stacked, transpose
 from kinpanel.plans.registry import query, table
 from kinpanel.session import checkpointed
 from kinpanel.sources.tables import columns_by_label
@@ -429,7 +429,7 @@ MODEL_GROUPS = {
     "kids_num": "kids_num", "kid_order": "kid_order", "gender": "gender", "birth_year_trunc": "birth_year_trunc",
     "parents_education": ["mother_univ_diploma", "father_univ_diploma"], "other_gender_siblings": "other_gender_siblings",
     "is_nuclear_family": "nuclear_family", "residence": "residence", "lag_expenses": "lag_expenses"}
-OPTIONAL = ["is_separated"]
+OPTIONAL = ["is_separated", "birth_year_trunc"]
 MODEL_LEVELS = {
     "is_separated": [0, 1], "kids_num": E.top_code_levels(RULES.size_top), "kid_order": E.top_code_levels(RULES.order_top),
     "gender": ["female", "male"], "birth_year_trunc": list(range(1965, 1985, 5)), "mother_univ_diploma": [0, 1],
@@ -437,13 +437,16 @@ MODEL_LEVELS = {
     "residence": RESIDENCE_LEVELS, "lag_expenses": QUARTILES}
 
 
+SUBSAMPLES = ["all", "not separated", "1965-1969", "1970-1974", "1975-1984"]
+
+
 def panel_models(spark, sf) -> DataFrame:
     """45 fits: nine nested specifications on five subsamples."""
     sample = sample_of(spark, sf, SurveyTables(spark, sf))
     cohort = F.col("birth_year_trunc")
-    subgroups = {"all": F.lit(True), "not separated": F.col("is_separated") == 0, "1965-1969": cohort == 1965,
-                 "1970-1974": cohort == 1970, "1975-1984": cohort.between(1975, 1984)}
-    return fit_specifications(sample, "univ_diploma", nested_specifications(MODEL_GROUPS, OPTIONAL), MODEL_LEVELS, subgroups)
+    subgroups = dict(zip(SUBSAMPLES, (F.lit(True), F.col("is_separated") == 0, cohort == 1965, cohort == 1970, cohort.between(1975, 1984))))
+    return fit_specifications(sample, "univ_diploma", nested_specifications(MODEL_GROUPS, OPTIONAL), MODEL_LEVELS, subgroups,
+                              OPTIONAL)
 
 
 @query("panel_specifications")
@@ -453,8 +456,10 @@ def panel_specifications(spark, sf):
 
 @query("panel_coefficient_table")
 def panel_coefficient_table(spark, sf):
-    """Family-size and birth-order estimates of all models, one row per specification."""
-    table_ = coefficient_table(panel_models(spark, sf), ["kids_num", "kid_order"], list(MODEL_GROUPS))
+    """Family-size and birth-order estimates of all models, one row per subsample and specification."""
+    fitted = checkpointed(panel_models(spark, sf))
+    table_ = checkpointed(coefficient_table(fitted, ["kids_num", "kid_order"], list(MODEL_GROUPS)))
     labels = ["+" + s.replace("_", " ") for s in MODEL_GROUPS]
     terms = ["kids_num2", "kids_num3", "kids_num>=4", "kid_order2", "kid_order>=3", "nobs"]
-    return transpose(table_.filter(F.col("subgroup") == "all"), "term", labels, terms, "specification")
+    return stacked({g: transpose(table_.filter(F.col("subgroup") == g), "term", labels, terms, "specification")
+                    for g in SUBSAMPLES}, "subgroup")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinpanel.stats.logit import design, independent_columns, solve_logit
-from kinpanel.stats.patterns import small_patterns, spread_groups
+from kinpanel.session import checkpointed
+from kinpanel.stats.patterns import compress, spread_groups
 
 Levels = Mapping[str, Sequence[object]]
 
@@ -117,11 +118,11 @@ def split_metrics(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, prop
 
     The model only sees counts per covariate pattern and outcome, so the rows are counted once and the splits are drawn
     from the counts: the same distribution as splitting the rows, without one copy of the data per split. Each split is
-    its own task.
+    its own task; what it holds is bounded by the product of the covariates' level counts, not by the rows.
     """
     xs = list(xs)
     used = {x: levels[x] for x in xs}
-    patterns = small_patterns(df.dropna(subset=xs), y, used).dropna(subset=xs)
+    patterns = checkpointed(compress(df.dropna(subset=xs), y, used).dropna(subset=xs))
     props = list(props)
     cells = patterns.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(props) * reps - 1))))
 

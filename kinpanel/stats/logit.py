@@ -1,13 +1,16 @@
 """Logit models on categorical covariates.
 
-``fit_specifications`` fits many models in one Spark job: the data are reduced to covariate patterns on the cluster, and
-each model is then one small weighted problem in its own task. ``distributed_logit`` is the fit for a single model that
-must not be held by one task: numeric covariates, or very many patterns.
+``fit_specifications`` fits many models together: the data are reduced to covariate patterns on the cluster, and all
+models take their Newton steps at once. For a step every partition of the pattern table gives its part of each model's
+deviance, gradient and information, the parts are summed in Spark, and only the sums (a few numbers per coefficient)
+reach the driver. So there is one solver, whatever the size of the table. ``distributed_logit`` is the fit for a model
+with numeric covariates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Generator, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,9 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinpanel.functions.special import normal_two_sided
-from kinpanel.operators.reshape import stacked
 from kinpanel.session import checkpointed
-from kinpanel.stats.patterns import compress, fits_one_task, small_patterns, spread_groups
+from kinpanel.stats.patterns import compress
 
 MAX_ITERATIONS = 25
 # Standard errors beyond this mark a coefficient that runs off to infinity (complete separation).
@@ -91,140 +93,239 @@ def solve_logit(matrix: np.ndarray, successes: np.ndarray, n: np.ndarray, offset
     return {"beta": beta, "error": error, "deviance": dev, "p": p, "converged": done and not separated}
 
 
-def fit_frame(pdf: pd.DataFrame, xs: Sequence[str], levels: Levels) -> pd.DataFrame:
-    """Coefficient rows of one model; rows with a missing covariate are left out, aliased terms get NULLs."""
-    pdf = pdf.dropna(subset=list(xs))
-    n, s = pdf["n"].to_numpy(float), pdf["successes"].to_numpy(float)
-    matrix, terms = design(pdf, xs, levels)
-    keep = independent_columns(matrix, n)
-    fit = solve_logit(matrix[:, keep], s, n)
-    estimate, error = np.full(len(terms), np.nan), np.full(len(terms), np.nan)
-    estimate[keep], error[keep] = fit["beta"], fit["error"]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = estimate / error
-    return pd.DataFrame({
-        "term": terms, "position": range(len(terms)), "estimate": estimate, "std_error": error, "statistic": z,
-        "p_value": [np.nan if np.isnan(v) else normal_two_sided(v) for v in z],
-        "nobs": int(n.sum()), "deviance": fit["deviance"], "converged": fit["converged"]})
-
-
 FIT_COLUMNS = ("term string, position int, estimate double, std_error double, statistic double, p_value double, "
                "nobs long, deviance double, converged boolean")
-_MEASURES = ("estimate", "std_error", "statistic", "p_value")
 
+# -------------------------------------------------------------------------------------- many models together
+
+
+@dataclass(frozen=True)
+class Design:
+    """Columns of one model on one subgroup: the intercept and (covariate, level) indicators."""
+    subgroup: str
+    xs: tuple[str, ...]
+    columns: tuple[tuple[str, str], ...]
 
-def empty_frame(schema: str) -> pd.DataFrame:
-    """No rows, with the column types of a DDL schema."""
-    kinds = {"string": object, "double": "float64", "int": "int32", "long": "int64", "boolean": bool}
-    return pd.DataFrame({n: pd.Series(dtype=kinds[k]) for n, k in (c.split() for c in schema.split(", "))})
+    def matrix(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(which rows are in the model, their indicator matrix)"""
+        rows = (pdf["subgroup"] == self.subgroup).to_numpy()
+        for x in self.xs:
+            rows &= pdf[x].notna().to_numpy()
+        own = pdf[rows]
+        return rows, np.column_stack([np.ones(len(own)), *[(own[x] == v).to_numpy(float) for x, v in self.columns]])
 
 
-def _nan_to_null(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in _MEASURES})
+def evaluate(patterns: DataFrame, points: Sequence[tuple[Design, np.ndarray | None]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(deviance, gradient, information) of each model at its coefficients; for None (0, 0, cross products with weights n).
+
+    One job for all points. A partition sends one row of sums per point, whatever its number of patterns.
+    """
+    sizes = [1 + len(d.columns) for d, _ in points]
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [np.zeros(1 + k + k * k) for k in sizes]
+        known: dict[Design, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            known.clear()
+            counts, hits = pdf["n"].to_numpy(float), pdf["successes"].to_numpy(float)
+            for total, (design_, beta), k in zip(sums, points, sizes):
+                if design_ not in known:
+                    known[design_] = design_.matrix(pdf)
+                rows, matrix = known[design_]
+                n, s = counts[rows], hits[rows]
+                if beta is None:
+                    total[1 + k:] += (matrix.T @ (matrix * n[:, None])).reshape(-1)
+                    continue
+                eta = matrix @ beta
+                p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                total[0] += deviance(s, n, eta)
+                total[1:1 + k] += matrix.T @ (s - n * p)
+                total[1 + k:] += (matrix.T @ (matrix * (n * p * (1 - p))[:, None])).reshape(-1)
+        yield pd.DataFrame({"point": range(len(sums)), "sums": [t.tolist() for t in sums]})
+
+    parts = patterns.mapInPandas(part, "point int, sums array<double>")
+    rows = parts.select("point", F.posexplode("sums").alias("at", "v")).groupBy("point", "at").agg(F.sum("v").alias("v")).collect()
+    found = [np.zeros(1 + k + k * k) for k in sizes]
+    for r in rows:
+        found[r["point"]][r["at"]] = r["v"]
+    return [(float(t[0]), t[1:1 + k], t[1 + k:].reshape(k, k)) for t, k in zip(found, sizes)]
+
+
+Steps = Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], dict]
+
+
+def newton(start: np.ndarray, free: np.ndarray) -> Steps:
+    """Newton steps over the ``free`` coefficients; asks for the sums at a point by yielding it.
+
+    Steps are halved while the fit gets worse.
+    """
+    beta = start.copy()
+    dev, gradient, info = yield beta
+    done, steps = not free.any(), 0
+    while steps < MAX_ITERATIONS and not done:
+        steps += 1
+        move = np.zeros(len(beta))
+        move[free] = np.linalg.lstsq(info[np.ix_(free, free)], gradient[free], rcond=None)[0]
+        for _ in range(12):
+            tried = yield beta + move
+            if tried[0] <= dev * (1 + 1e-12) + 1e-12:
+                break
+            move = move / 2
+        done = abs(dev - tried[0]) / (abs(tried[0]) + 0.1) < 1e-11
+        beta, (dev, gradient, info) = beta + move, tried
+    error = np.sqrt(np.clip(np.diag(np.linalg.pinv(info, hermitian=True)), 0, None))
+    separated = bool((error > RUNAWAY_ERROR).any() or (np.abs(beta) > 15).any())
+    return {"beta": beta, "error": error, "deviance": dev, "converged": done and not separated}
 
 
-# -------------------------------------------------------------------------------------- many models, one job
+def run_together(patterns: DataFrame, tasks: Sequence[tuple[Design, Generator]]) -> list:
+    """Results of generators that ask for sums; all open requests of a round are one job."""
+    out: list = [None] * len(tasks)
+    asked: dict[int, np.ndarray] = {}
+
+    def step(k: int, answer) -> None:
+        try:
+            asked[k] = tasks[k][1].send(answer)
+        except StopIteration as end:
+            out[k] = end.value
+
+    for k in range(len(tasks)):
+        step(k, None)
+    while asked:
+        now, points = list(asked), list(asked.values())
+        asked.clear()
+        for k, sums in zip(now, evaluate(patterns, [(tasks[k][0], p) for k, p in zip(now, points)])):
+            step(k, sums)
+    return out
+
+
+def designs(patterns: DataFrame, wanted: Sequence[tuple[str, Sequence[str]]], levels: Levels
+            ) -> list[tuple[Design, list[str], np.ndarray, int]]:
+    """Per (subgroup, covariates): design of its independent columns, all its terms, which of them are kept, row count.
+
+    The first used level of a covariate is its baseline; a covariate with one used level adds no column. Used levels and
+    dependent columns are read off the cross products of all indicators, summed in one job.
+    """
+    full = [Design(g, tuple(xs), tuple((x, str(v)) for x in xs for v in levels[x])) for g, xs in wanted]
+    out = []
+    for whole, (_, _, gram) in zip(full, evaluate(patterns, [(d, None) for d in full])):
+        used = [i for i, c in enumerate(whole.columns, 1) if gram[i, i] > 0]
+        first = {x: next((i for i in used if whole.columns[i - 1][0] == x), None) for x in whole.xs}
+        terms = [i for i in used if i != first[whole.columns[i - 1][0]]]
+        at = [0, *terms]
+        keep = np.array(_independent_from_gram(gram[np.ix_(at, at)]))
+        kept = tuple(whole.columns[i - 1] for i, good in zip(terms, keep[1:]) if good)
+        names = [INTERCEPT, *["".join(whole.columns[i - 1]) for i in terms]]
+        out.append((Design(whole.subgroup, whole.xs, kept), names, keep, int(round(gram[0, 0]))))
+    return out
 
 
 def fit_specifications(df: DataFrame, y: str, specifications: Mapping[str, Sequence[str]], levels: Levels,
-                       subgroups: Mapping[str, Column] | None = None) -> DataFrame:
+                       subgroups: Mapping[str, Column] | None = None, optional: Sequence[str] = ()) -> DataFrame:
     """Fit every specification on every subgroup: (subgroup, specification, term, estimate, …).
 
-    One pass over the data makes one pattern table for all models; each (subgroup, specification) is one task.
+    Rows with a missing covariate are left out, aliased terms get NULLs; a model without complete rows has no rows.
+    ``optional`` covariates are left out of the models of a subgroup in which they have a single value, a missing value
+    counting as one.
     """
-    used = {x: levels[x] for x in levels if any(x in xs for xs in specifications.values())}
-    groups = list(subgroups or {"all": F.lit(True)})
-    patterns = checkpointed(compress(df, y, used, subgroups or {"all": F.lit(True)}))
-    names, specs, plain = list(specifications), {k: list(v) for k, v in specifications.items()}, dict(used)
-    if not fits_one_task(patterns, "subgroup"):
-        return stacked({g: stacked({k: _fit_apart(patterns.filter(F.col("subgroup") == g), specs[k], plain) for k in names},
-                                   "specification") for g in groups}, "subgroup")
-    repeated = patterns.withColumn("specification", F.explode(F.array(*[F.lit(k) for k in names])))
-
-    schema = f"subgroup string, specification string, {FIT_COLUMNS}"
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        complete = pdf.dropna(subset=specs[key[1]])
-        if complete.empty:
-            return empty_frame(schema)
-        out = fit_frame(complete, specs[key[1]], plain)
-        out.insert(0, "specification", key[1])
-        out.insert(0, "subgroup", key[0])
-        return out
-
-    keys = ["subgroup", "specification"]
-    fitted = spread_groups(repeated, keys, len(groups) * len(names)).groupBy(*keys).applyInPandas(one, schema)
-    return _nan_to_null(fitted)
-
-
-def _fit_apart(patterns: DataFrame, xs: Sequence[str], levels: Levels) -> DataFrame:
-    """One model over a pattern table too large for a task."""
-    rows = patterns.dropna(subset=list(xs)).groupBy(*xs).agg(
-        (F.sum("successes") / F.sum("n")).alias("__p"), F.sum("n").alias("__n"))
-    return fit_proportions(rows, xs, levels)
+    specs = {k: list(dict.fromkeys(v)) for k, v in specifications.items()}
+    used = {x: levels[x] for x in levels if any(x in xs for xs in specs.values())}
+    subgroups = dict(subgroups or {"all": F.lit(True)})
+    patterns = checkpointed(compress(df, y, used, subgroups))
+    flat = {} if not optional else _single_valued(patterns, [x for x in optional if x in used])
+    wanted = [(g, name, [x for x in xs if x not in flat.get(g, ())]) for g in subgroups for name, xs in specs.items()]
+    models = designs(patterns, [(g, xs) for g, _, xs in wanted], used)
+    live = [(w, m) for w, m in zip(wanted, models) if m[3]]
+    fits = run_together(patterns, [(d, newton(np.zeros(1 + len(d.columns)), np.ones(1 + len(d.columns), dtype=bool)))
+                                   for _, (d, *_) in live])
+    out = []
+    for ((g, name, _), (_, terms, keep, nobs)), fit in zip(live, fits):
+        values = iter(zip(fit["beta"].tolist(), fit["error"].tolist()))
+        for place, (term, good) in enumerate(zip(terms, keep)):
+            b, e = next(values) if good else (None, None)
+            z = b / e if good and e else None
+            out.append((g, name, term, place, b, e, z, None if z is None else normal_two_sided(z), nobs, fit["deviance"], fit["converged"]))
+    return df.sparkSession.createDataFrame(out, f"subgroup string, specification string, {FIT_COLUMNS}")
+
+
+def _single_valued(patterns: DataFrame, names: Sequence[str]) -> dict[str, set[str]]:
+    """Per subgroup the covariates that have one value there, a missing value counting as one."""
+    flags = [((F.coalesce(F.min(x) == F.max(x), F.lit(True))) & (F.count(x).isin(0) | (F.count(x) == F.count("*")))).alias(x) for x in names]
+    rows = patterns.groupBy("subgroup").agg(F.count("*").alias("__n"), *flags).collect()
+    return {r["subgroup"]: {x for x in names if r[x]} for r in rows}
 
 
 def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, cutoff: float = 3.841458820694124) -> DataFrame:
     """Odds ratios with Wald and profile-likelihood limits: (term, odds_ratio, wald_low, wald_high, low, high).
 
-    ``cutoff`` is the 95 % point of a chi-square with one degree of freedom. Each term is profiled in its own task on the
-    pattern table: the coefficient is held at a value through an offset and the others are refitted.
+    ``cutoff`` is the 95 % point of a chi-square with one degree of freedom. All limits are looked for together: the
+    coefficient is held at a value, the others are refitted, and the next value comes from the signed root of the
+    likelihood ratio, which is almost straight. A limit is NULL if the likelihood never falls that far.
     """
     xs = list(xs)
     used = {x: levels[x] for x in xs}
-    patterns = small_patterns(df, y, used)
-    terms = [f"{x}{v}" for x in xs for v in list(levels[x])]
     schema = "term string, odds_ratio double, wald_low double, wald_high double, low double, high double"
-    repeated = patterns.withColumn("term", F.explode(F.array(*[F.lit(t) for t in terms])))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=xs)
-        if pdf.empty:
-            return empty_frame(schema)
-        n, s = pdf["n"].to_numpy(float), pdf["successes"].to_numpy(float)
-        matrix, names = design(pdf, xs, used)
-        keep = independent_columns(matrix, n)
-        if key[0] not in names or not keep[names.index(key[0])]:
-            return empty_frame(schema)
-        j = int(keep[: names.index(key[0])].sum())
-        matrix = matrix[:, keep]
-        best = solve_logit(matrix, s, n)
-        b, e = best["beta"][j], best["error"][j]
-        others, held = np.delete(matrix, j, axis=1), matrix[:, j]
-        start = np.delete(best["beta"], j)
-
-        def excess(value: float) -> float:
-            return solve_logit(others, s, n, held * value, start)["deviance"] - best["deviance"] - cutoff
-
-        limits = [profile_limit(excess, b, side * e) for side in (-1, 1)]
-        return pd.DataFrame({
-            "term": [key[0]], "odds_ratio": [np.exp(b)], "wald_low": [np.exp(b - WALD * e)],
-            "wald_high": [np.exp(b + WALD * e)], "low": [np.exp(limits[0])], "high": [np.exp(limits[1])]})
-
-    out = spread_groups(repeated, ["term"], len(terms)).groupBy("term").applyInPandas(one, schema)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})
+    patterns = checkpointed(compress(df, y, used, {"all": F.lit(True)}))
+    design_, terms, keep, nobs = designs(patterns, [("all", xs)], used)[0]
+    if not nobs:
+        return df.sparkSession.createDataFrame([], schema)
+    k = 1 + len(design_.columns)
+    best = run_together(patterns, [(design_, newton(np.zeros(k), np.ones(k, dtype=bool)))])[0]
+    looked = [(j, side) for j in range(1, k) for side in (-1, 1)]
+    limits = dict(zip(looked, run_together(patterns, [(design_, profile_limit(best, j, side, cutoff)) for j, side in looked])))
+    names = [t for t, good in zip(terms, keep) if good]
+    out = []
+    for j in range(1, k):
+        b, e = float(best["beta"][j]), float(best["error"][j])
+        ends = [None if v is None else float(np.exp(v)) for v in (limits[j, -1], limits[j, 1])]
+        out.append((names[j], float(np.exp(b)), float(np.exp(b - WALD * e)), float(np.exp(b + WALD * e)), *ends))
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 WALD = 1.959963984540054
 
 
-def profile_limit(excess, centre: float, step: float) -> float:
-    """Where ``excess`` crosses zero on the side of ``step``; NaN if the likelihood never falls that far."""
-    inner, outer = centre, centre + 2 * step
+def profile_limit(best: dict, j: int, side: int, cutoff: float) -> Generator:
+    """Where the deviance is ``cutoff`` above its minimum on one side of coefficient ``j``; None if it never gets there."""
+    free = np.ones(len(best["beta"]), dtype=bool)
+    free[j] = False
+    centre, step, goal = float(best["beta"][j]), side * float(best["error"][j]), np.sqrt(cutoff)
+    last = best["beta"]
+
+    def root(value: float) -> Generator:
+        nonlocal last
+        start = last.copy()
+        start[j] = value
+        found = yield from newton(start, free)
+        last = found["beta"]
+        return np.sqrt(max(found["deviance"] - best["deviance"], 0.0)) - goal
+
+    inner, low = centre, -goal
+    outer = centre + 2 * step
     for _ in range(12):
-        if excess(outer) > 0:
+        high = yield from root(outer)
+        if high > 0:
             break
-        inner, outer = outer, outer + 2 * step
+        inner, low, outer = outer, high, outer + 2 * (outer - centre)
     else:
-        return float("nan")
+        return None
     for _ in range(60):
-        middle = (inner + outer) / 2
-        if excess(middle) > 0:
-            outer = middle
+        # false position, with the middle where it stalls
+        guess = inner + (outer - inner) * (-low / (high - low))
+        at = yield from root(guess)
+        if abs(at) < 1e-10 or abs(outer - inner) < 1e-10 * max(1.0, abs(outer)):
+            return guess
+        if at > 0:
+            stalled, outer, high = abs(outer - guess) < 1e-3 * abs(outer - inner), guess, at
         else:
-            inner = middle
-        if abs(outer - inner) < 1e-9 * max(1.0, abs(outer)):
-            break
+            stalled, inner, low = abs(inner - guess) < 1e-3 * abs(outer - inner), guess, at
+        if stalled and abs(outer - inner) > 1e-8 * max(1.0, abs(outer)):
+            middle = (inner + outer) / 2
+            at = yield from root(middle)
+            if at > 0:
+                outer, high = middle, at
+            else:
+                inner, low = middle, at
     return (inner + outer) / 2
 
 
@@ -269,6 +370,8 @@ def fit_proportions(rows: DataFrame, xs: Sequence[str], levels: Levels) -> DataF
         flat = rows.select("__p", F.col("__n").cast("double").alias("__n"),
                            *[c.alias(f"x{i}") for i, c in enumerate(terms.values())])
         keep = [i for i, good in enumerate(_independent_from_gram(_cross_products(flat, len(names)))[1:]) if good]
+        if not keep:
+            return _intercept_only(rows, names, int(seen["n"] or 0))
         ready = VectorAssembler(inputCols=[f"x{i}" for i in keep], outputCol="features").transform(flat)
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", labelCol="__p", weightCol="__n", linkPredictionCol="__eta", tol=1e-10,
@@ -282,7 +385,8 @@ def fit_proportions(rows: DataFrame, xs: Sequence[str], levels: Levels) -> DataF
         eta, share = F.col("__eta"), F.col("__p")
         loss = 2 * F.col("__n") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - share * eta)
         total = model.transform(ready).agg(F.sum(loss)).first()[0]
-        ended = summary.numIterations < MAX_ITERATIONS and max(v[1] for v in values.values()) <= RUNAWAY_ERROR
+        ended = summary.numIterations < MAX_ITERATIONS and max(v[1] for v in values.values()) <= RUNAWAY_ERROR and max(
+            abs(v[0]) for v in values.values()) <= 15
         out = [(t, i, *([float(v) for v in values.get(t, ())] or [None] * 4), int(seen["n"]), float(total), bool(ended))
                for i, t in enumerate([INTERCEPT, *names])]
         return rows.sparkSession.createDataFrame(out, FIT_COLUMNS)
@@ -290,6 +394,21 @@ def fit_proportions(rows: DataFrame, xs: Sequence[str], levels: Levels) -> DataF
         rows.unpersist()
 
 
+def _intercept_only(rows: DataFrame, names: Sequence[str], nobs: int) -> DataFrame:
+    """The fit without any usable term: the log odds of the share of successes; no rows without data."""
+    share = rows.agg(F.sum(F.col("__p") * F.col("__n")) / F.sum("__n")).first()[0]
+    out = []
+    if nobs:
+        inside = 0 < share < 1
+        b = float(np.log(share / (1 - share))) if inside else float(np.sign(share - 0.5) * np.inf)
+        e = float(1 / np.sqrt(nobs * share * (1 - share))) if inside else None
+        dev = float(-2 * nobs * (share * np.log(share) + (1 - share) * np.log(1 - share))) if inside else 0.0
+        z = b / e if e else None
+        out.append((INTERCEPT, 0, b, e, z, None if z is None else normal_two_sided(z), nobs, dev, inside))
+        out += [(t, i + 1, None, None, None, None, nobs, dev, inside) for i, t in enumerate(names)]
+    return rows.sparkSession.createDataFrame(out, FIT_COLUMNS)
+
+
 def _cross_products(flat: DataFrame, k: int) -> np.ndarray:
     """Weighted cross-product matrix of intercept and terms: one aggregate, k x k numbers."""
     columns = [F.lit(1.0), *[F.col(f"x{i}") for i in range(k)]]

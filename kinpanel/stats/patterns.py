@@ -11,26 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinpanel.session import checkpointed
-
-# Patterns that one task may hold; a model with more must use the distributed fit.
-MAX_PATTERNS = 2_000_000
-
-
-def fits_one_task(patterns: DataFrame, group: str | None = None) -> bool:
-    """Does the largest group of the (written) pattern table have at most MAX_PATTERNS rows?"""
-    sizes = patterns.groupBy(*([group] if group else [])).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= MAX_PATTERNS
-
-
-def small_patterns(df: DataFrame, y: str, levels: Mapping[str, Sequence[object]]) -> DataFrame:
-    """The written pattern table of one sample, checked to fit a task."""
-    patterns = checkpointed(compress(df, y, levels))
-    if not fits_one_task(patterns):
-        raise ValueError("too many covariate patterns for one task; use fewer covariates or wider classes")
-    return patterns
-
-
 def compress(df: DataFrame, y: str, levels: Mapping[str, Sequence[object]],
              subgroups: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per covariate pattern: covariates as text, ``successes`` and ``n``; rows with unknown y are left out.

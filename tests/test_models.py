@@ -95,16 +95,28 @@ def test_adding_a_variable_never_raises_the_deviance(two):
     assert dev["z"] < dev["x"]
 
 
-def test_large_pattern_tables_use_the_distributed_fit(two, monkeypatch):
-    specs = nested_specifications({"x": "x", "z": "z"})
-    subgroups = {"all": F.lit(True), "b": F.col("z") == "b"}
-    small = L.fit_specifications(two, "y", specs, LEVELS, subgroups)
-    want = {(r["subgroup"], r["specification"], r["term"]): r["estimate"] for r in small.collect()}
-    monkeypatch.setattr("kinpanel.stats.patterns.MAX_PATTERNS", 1)
-    got = L.fit_specifications(two, "y", specs, LEVELS, subgroups)
-    found = {(r["subgroup"], r["specification"], r["term"]): r["estimate"] for r in got.collect()}
-    assert found.keys() == want.keys()
-    assert all(found[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+@pytest.mark.parametrize("parts", [1, 13])
+def test_models_do_not_depend_on_how_patterns_are_dealt(rows, monkeypatch, parts):
+    """Separated, aliased, empty and intercept-only models, with all patterns in one task and spread over many."""
+    data = [(i % 2 if x == "none" else int(x == "high"), x, "a" if i % 3 else "b", "a" if i % 3 else "b", None, "one")
+            for i in range(60) for x in ("none", "low", "high")]
+    df = rows("y int, x string, z string, twin string, gone string, flat string", data)
+    levels = {"x": ["none", "low", "high"], "z": ["a", "b"], "twin": ["a", "b"], "gone": ["g"], "flat": ["one", "two"]}
+    specs = {"separated": ["x"], "aliased": ["z", "twin"], "empty": ["z", "gone"], "constant": ["flat"]}
+    plain = L.checkpointed
+    monkeypatch.setattr(L, "checkpointed", lambda df: plain(df).repartition(parts))
+    got = {(r["specification"], r["term"]): r for r in L.fit_specifications(df, "y", specs, levels).collect()}
+    assert {s for s, _ in got} == {"separated", "aliased", "constant"}
+    assert not got["separated", "xhigh"]["converged"] and got["separated", "xhigh"]["estimate"] > 15
+    assert got["aliased", "twinb"]["estimate"] is None and got["aliased", "zb"]["estimate"] == pytest.approx(0, abs=1e-9)
+    y = sum(d[0] for d in data) / len(data)
+    assert got["constant", "(Intercept)"]["estimate"] == pytest.approx(math.log(y / (1 - y)))
+    whole = {r["term"]: r for r in L.distributed_logit(df, "y", ["flat"], levels).collect()}
+    assert whole["(Intercept)"]["estimate"] == pytest.approx(math.log(y / (1 - y)))
+    assert whole["(Intercept)"]["std_error"] == pytest.approx(got["constant", "(Intercept)"]["std_error"])
+    # an optional covariate without a second value is left out instead of emptying the model
+    spared = L.fit_specifications(df, "y", {"m": ["gone", "flat", "z"]}, levels, optional=["gone", "flat"])
+    assert [(r["term"], r["nobs"]) for r in spared.orderBy("position").collect()] == [("(Intercept)", 180), ("zb", 180)]
 
 
 def test_specification_lists():
