@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kinpanel.functions import expressions as E
 from kinpanel.operators.scale import salted_join
+from kinpanel.operators.reshape import stacked
 from kinpanel.plans.registry import query, table
+from kinpanel.session import checkpointed
 from kinpanel.stats import crosstab as C
 from kinpanel.stats import holdout as S
 from kinpanel.stats import logit as L
@@ -25,6 +27,9 @@ GROUPS = {"line_status": "l_linestatus", "quantity": "band",
           "order": {"order_status": "o_orderstatus", "order_priority": "priority"}, "late": "late"}
 
 
+PROFILED = ["l_linestatus", "band", "o_orderstatus", "late"]
+
+
 def quantity_band():
     return E.choose([(F.col("l_quantity") < 17, "low"), (F.col("l_quantity") < 34, "middle")], "high")
 
@@ -111,8 +116,7 @@ def coefficient_table(spark, sf):
 
 @query("profile_intervals")
 def profile_intervals(spark, sf):
-    xs = ["l_linestatus", "band", "o_orderstatus", "late"]
-    return L.profile_intervals(lines_with_orders(spark, sf), "returned", xs, JOINED_LEVELS)
+    return L.profile_intervals(lines_with_orders(spark, sf), "returned", PROFILED, JOINED_LEVELS)
 
 
 @query("logit_score_check", """
@@ -128,6 +132,45 @@ def logit_score_check(spark, sf):
     return check.select("term", (F.round("score", 3) + F.lit(0.0)).alias("score"))
 
 
+def worst_scores(rows: DataFrame, y: str, specs: dict[str, list[str]], levels: dict, fitted: DataFrame) -> DataFrame:
+    """(specification, nobs, terms, score): the largest score sum of each fit per row, from the rows themselves."""
+    fitted, parts = checkpointed(fitted), {}
+    for name, xs in specs.items():
+        own = fitted.filter(F.col("specification") == name)
+        sums = L.score_check(rows, y, xs, levels, own.filter(F.col("estimate").isNotNull()))
+        size = own.agg(F.max("nobs").alias("nobs"), F.count("estimate").alias("terms"))
+        worst = sums.agg(F.max(F.abs("score")).alias("worst")).crossJoin(size)  # one row each
+        parts[name] = worst.select("nobs", "terms", (F.round(F.col("worst") / F.col("nobs"), 6) + F.lit(0.0)).alias("score"))
+    return stacked(parts, "specification")
+
+
+@query("nested_scores", """
+WITH j AS (SELECT *, CASE WHEN l_quantity < 17 THEN 'low' WHEN l_quantity < 34 THEN 'middle' ELSE 'high' END AS band,
+                  substr(o_orderpriority, 1, 1) AS priority, year(o_orderdate) >= 1998 AS late
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+n AS (SELECT count(*) AS nobs, count(DISTINCT l_linestatus) - 1 AS a, count(DISTINCT band) - 1 AS b,
+             count(DISTINCT o_orderstatus) - 1 AS c, count(DISTINCT priority) - 1 AS d, count(DISTINCT late) - 1 AS e FROM j)
+SELECT unnest(['line_status', 'quantity', 'order_status', 'order_priority', 'late']) AS specification, nobs,
+       unnest([1 + a, 1 + a + b, 1 + a + b + c, 1 + a + b + d, 1 + a + b + d + e]) AS terms, CAST(0 AS DOUBLE) AS score FROM n""")
+def nested_scores(spark, sf):
+    """The score equations of all nested fits: with them ``nested_specifications`` and ``coefficient_table`` are right."""
+    rows = checkpointed(lines_with_orders(spark, sf))
+    fitted = L.fit_specifications(rows, "returned", nest(GROUPS), JOINED_LEVELS)
+    return worst_scores(rows, "returned", nest(GROUPS), JOINED_LEVELS, fitted)
+
+
+@query("profile_excess", """
+SELECT term, side, 3.8415::DOUBLE AS excess FROM (
+  SELECT DISTINCT 'l_linestatus' || l_linestatus AS term FROM lineitem WHERE l_linestatus <> 'F'
+  UNION SELECT unnest(['bandmiddle', 'bandhigh', 'late1'])
+  UNION SELECT DISTINCT 'o_orderstatus' || o_orderstatus FROM orders WHERE o_orderstatus <> 'F'), (SELECT unnest(['low', 'high']) AS side)""")
+def profile_excess(spark, sf):
+    """How far -2 log-likelihood, summed over the patterns, lies above its minimum at the limits of ``profile_intervals``."""
+    rows = checkpointed(lines_with_orders(spark, sf))
+    limits = L.profile_intervals(rows, "returned", PROFILED, JOINED_LEVELS)
+    return L.limit_excess(rows, "returned", PROFILED, JOINED_LEVELS, limits).withColumn("excess", F.round("excess", 4))
+
+
 @query("varying_columns", """
 SELECT 'l_linestatus' AS name, CAST(count(DISTINCT l_linestatus) > 1 AS INTEGER) AS varies FROM lineitem
 UNION ALL SELECT 'l_tax', CAST(count(DISTINCT l_tax) > 1 AS INTEGER) FROM lineitem
@@ -172,10 +215,23 @@ def summary_crosstab(spark, sf):
     return C.summary_crosstab(numeric_lines(spark, sf), "l_linestatus", ["l_returnflag", "band"], ["l_quantity", "l_discount"])
 
 
-@query("crosstab_tests")
+# Both categorical variables have two degrees of freedom, where the tail of a chi-square is exp(-x / 2). The tail of Student's
+# t comes from sums over its density.
+@query("crosstab_tests", _LONG + _NUMBERS + """,
+m AS (SELECT *, sum(n) OVER (PARTITION BY variable) AS t, sum(n) OVER (PARTITION BY variable, level) AS r,
+             sum(n) OVER (PARTITION BY variable, class) AS c FROM counts),
+s AS (SELECT variable, class, count(*) AS n, avg(v) AS m, var_samp(v) / count(*) AS q FROM numbers GROUP BY 1, 2),
+w AS (SELECT a.variable, abs(a.m - b.m) / sqrt(a.q + b.q) AS t,
+             (a.q + b.q) ^ 2 / (a.q ^ 2 / (a.n - 1) + b.q ^ 2 / (b.n - 1)) AS k
+      FROM s a JOIN s b ON a.variable = b.variable AND a.class = 'F' AND b.class = 'O'),
+x AS (SELECT (i + 0.5::DOUBLE) / 100000 AS u FROM range(100000) r(i))
+SELECT variable, round(exp(-sum((n - r * c / t) ^ 2 / (r * c / t)) / 2), 6) AS p FROM m GROUP BY variable
+UNION ALL SELECT variable, round(1 - sum(t * exp(-(k + 1) / 2 * ln(1 + (t * u) ^ 2 / k)))
+                                     / sum(60 * exp(-(k + 1) / 2 * ln(1 + (60 * u) ^ 2 / k))), 6) FROM w, x GROUP BY variable""")
 def crosstab_tests(spark, sf):
-    return C.crosstab_tests(numeric_lines(spark, sf), "l_linestatus", ["l_returnflag", "band"],
-                            ["l_quantity", "l_discount"], ("F", "O"))
+    tests = C.crosstab_tests(numeric_lines(spark, sf), "l_linestatus", ["l_returnflag", "band"],
+                             ["l_quantity", "l_discount"], ("F", "O"))
+    return tests.select("variable", F.round("p", 6).alias("p"))
 
 
 @query("chi_square", _LONG + """,
@@ -246,10 +302,26 @@ CURVE_LEVELS = {"length": ["short", "middle", "long"], "lang": ["en", "de", "es"
 CURVE_PROPS = [round(0.25 + 0.01 * i, 2) for i in range(51)]
 
 
+def curve_rows(spark, sf) -> DataFrame:
+    return scored(spark, sf).select(
+        "quality", "lang", E.choose([(F.col("n_chars") < 500, "short"), (F.col("n_chars") < 3000, "middle")], "long").alias("length"),
+        F.when(F.col("source") < "src5", "low").otherwise("high").alias("src"))
+
+
 @query("metric_curve")
 def metric_curve(spark, sf):
     """51 training proportions x 10 repetitions."""
-    docs = scored(spark, sf).select(
-        "quality", "lang", E.choose([(F.col("n_chars") < 500, "short"), (F.col("n_chars") < 3000, "middle")], "long").alias("length"),
-        F.when(F.col("source") < "src5", "low").otherwise("high").alias("src"))
-    return S.metric_curve(docs, "quality", list(CURVE_LEVELS), CURVE_LEVELS, CURVE_PROPS, 10)
+    return S.metric_curve(curve_rows(spark, sf), "quality", list(CURVE_LEVELS), CURVE_LEVELS, CURVE_PROPS, 10)
+
+
+@query("curve_sizes", """
+SELECT CAST(p AS DOUBLE) / 100 AS prop, 10::BIGINT AS reps, CAST(count(*) - floor(count(*) * p / 100.0::DOUBLE + 1e-9) AS BIGINT) AS held_out,
+       true AS bounded
+FROM (SELECT * FROM labels JOIN documents USING (doc_id)), range(25, 76) r(p) WHERE quality IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL GROUP BY p""")
+def curve_sizes(spark, sf):
+    """Held-out rows (scored and skipped) of every split of ``metric_curve``, and whether its metrics are shares."""
+    found = S.split_metrics(curve_rows(spark, sf), "quality", list(CURVE_LEVELS), CURVE_LEVELS, CURVE_PROPS, 10)
+    wide = found.groupBy("prop", "rep").agg(
+        F.sum(F.when(F.col("metric").isin("scored", "skipped"), F.col("estimate"))).alias("held_out"),
+        F.min(F.col("metric").isin("scored", "skipped") | F.coalesce(F.col("estimate").between(0, 1), F.lit(True))).alias("bounded"))
+    return wide.groupBy("prop").agg(F.count("*").alias("reps"), F.max("held_out").cast("long").alias("held_out"), F.min("bounded").alias("bounded"))

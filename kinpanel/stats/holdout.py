@@ -106,10 +106,11 @@ def score_split(train: np.ndarray, train_hits: np.ndarray, test: np.ndarray, tes
 
     return {"accuracy": ratio(correct, n.sum()), "precision": ratio(caught, called),
             "recall": ratio(caught, is_event[0].sum()), "roc_auc": ratio((pos * below).sum(), pos.sum() * neg.sum()),
-            "skipped": float(test[~known].sum())}
+            "skipped": float(test[~known].sum()), "scored": float(n.sum())}
 
 
 METRICS = ("accuracy", "precision", "recall", "roc_auc", "skipped")
+COUNTS = ("scored",)
 
 
 def split_metrics(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, props: Sequence[float], reps: int,
@@ -139,7 +140,7 @@ def split_metrics(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, prop
         test = counts - train
         k = len(hits)
         found = score_split(train[:k] + train[k:], train[:k], test[:k] + test[k:], test[:k], pdf, xs, used, event, threshold)
-        return pd.DataFrame({"prop": prop, "rep": rep, "metric": list(METRICS), "estimate": [found[m] for m in METRICS]})
+        return pd.DataFrame({"prop": prop, "rep": rep, "metric": [*METRICS, *COUNTS], "estimate": [found[m] for m in (*METRICS, *COUNTS)]})
 
     out = spread_groups(cells, ["cell"], len(props) * reps).groupBy("cell").applyInPandas(one, "prop double, rep int, metric string, estimate double")
     return out.withColumn("estimate", F.when(~F.isnan("estimate"), F.col("estimate")))
@@ -148,5 +149,6 @@ def split_metrics(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, prop
 def metric_curve(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, props: Sequence[float], reps: int,
                  seed: int = 0, event: int = 0, threshold: float = 0.5) -> DataFrame:
     """(metric, prop, avg_estimate): each metric averaged over the repetitions of a training proportion."""
-    return split_metrics(df, y, xs, levels, props, reps, seed, event, threshold).groupBy("metric", "prop").agg(
+    found = split_metrics(df, y, xs, levels, props, reps, seed, event, threshold)
+    return found.filter(~F.col("metric").isin(*COUNTS)).groupBy("metric", "prop").agg(
         F.avg("estimate").alias("avg_estimate"))

@@ -282,6 +282,29 @@ def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels,
     return df.sparkSession.createDataFrame(out, schema)
 
 
+def limit_excess(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, limits: DataFrame) -> DataFrame:
+    """(term, side, excess): deviance with the coefficient held at a profile limit, less the smallest deviance.
+
+    The limits come from ``profile_intervals``; every held fit starts from zero, apart from the search that found them.
+    """
+    xs = list(xs)
+    patterns = checkpointed(compress(df, y, {x: levels[x] for x in xs}, {"all": F.lit(True)}))
+    design_, terms, keep, nobs = designs(patterns, [("all", xs)], levels)[0]
+    k = 1 + len(design_.columns)
+    names, every = [t for t, good in zip(terms, keep) if good], np.ones(k, dtype=bool)
+    held = [(r["term"], side, names.index(r["term"]), float(np.log(r[side])))
+            for r in limits.collect() for side in ("low", "high") if r[side] is not None]
+    tasks = [(design_, newton(np.zeros(k), every))]
+    for _, _, j, value in held:
+        start, free = np.zeros(k), every.copy()
+        start[j], free[j] = value, False
+        tasks.append((design_, newton(start, free)))
+    best, *others = run_together(patterns, tasks)
+    return df.sparkSession.createDataFrame(
+        [(term, side, fit["deviance"] - best["deviance"]) for (term, side, *_), fit in zip(held, others)],
+        "term string, side string, excess double")
+
+
 WALD = 1.959963984540054
 
 
