@@ -35,7 +35,7 @@ def only_members(df: DataFrame, keys: Sequence[str], members: DataFrame) -> Data
     return salted_join(df, members.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def _matched_times(left: DataFrame, right: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def _matched_times(left: DataFrame, right: DataFrame, keys: list[str], buckets: int | None) -> DataFrame:
     """(keys, __lt, __rt): for each distinct left time the latest right time at or before it.
 
     Works on distinct (key, time) marks. A key with very many distinct times is cut into time buckets: the latest right
@@ -48,8 +48,9 @@ def _matched_times(left: DataFrame, right: DataFrame, keys: list[str], buckets:
         .groupBy(*keys, "__t").agg(F.max("__right").alias("__right"), F.min("__right").alias("__only_right"))
     )
     seen = F.when(F.col("__right") == 1, F.col("__t"))
-    if buckets > 1:
-        marks = marks.withColumn("__n", _as_number(marks, "__t"))
+    if buckets != 1:
+        # read for the cuts, the last times of the buckets and the rows
+        marks = checkpointed(marks.withColumn("__n", _as_number(marks, "__t")))
         marks = with_bucket(marks, "__n", bucket_splits(marks, "__n", buckets))
         per_bucket = marks.groupBy(*keys, "__bucket").agg(F.max(seen).alias("__last"))
         earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,12 +80,13 @@ def _as_number(df: DataFrame, name: str) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-              how: str = "inner", buckets: int = 64, check: bool = True) -> DataFrame:
+              how: str = "inner", buckets: int | None = None, check: bool = True) -> DataFrame:
     """Each left row with every right row of the same key at the closest time not after the left time.
 
     All ties at that time are kept. NULL keys or times never match; ``left`` keeps unmatched rows. Apart from the keys
     the two sides must not share column names. Cost is one ordering of distinct (key, time) marks and two equi-joins,
-    never the product of a key's left and right rows. ``buckets=1`` skips the time cut where a key has few times;
+    never the product of a key's left and right rows. The number of time cuts follows from the number of marks;
+    ``buckets=1`` skips them where a key has few times;
     ``check=False`` skips the hot-key count where few left rows share key and time.
     """
     keys = list(keys)

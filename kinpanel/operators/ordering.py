@@ -10,15 +10,27 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from kinpanel.session import checkpointed
 
+# rows (one per group and value) that a bucket aims at, and most buckets
+BUCKET_ROWS = 20_000
+MOST_BUCKETS = 10_000
 
-def bucket_splits(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
-    """At most ``buckets`` - 1 cut points over the *distinct* values (one job; only the cut points reach the driver)."""
-    distinct = df.select(F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull()).distinct()
+
+def bucket_splits(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Cut points of ``value`` over the rows of ``df``, which has one row per group and value.
+
+    The number of buckets follows from the row count unless it is given. As rows are counted, not values, a group whose many
+    values lie close together gets its cuts there. Only the cut points reach the driver.
+    """
+    rows = df.select(F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
+    if buckets <= 1:
+        return []
     # one literal instead of a call per number
     probs = F.expr("array(" + ",".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
-    found = distinct.agg(F.percentile_approx("__v", probs, F.lit(4 * buckets)).alias("s")).first()["s"]
+    found = rows.agg(F.percentile_approx("__v", probs, F.lit(4 * buckets)).alias("s")).first()["s"]
     return sorted(set(found or []))
 
 
@@ -31,11 +43,12 @@ def with_bucket(df: DataFrame, value: str, splits: list[float], out: str = "__bu
     return Bucketizer(splits=points, inputCol="__v", outputCol=out, handleInvalid="keep").transform(cast).drop("__v")
 
 
-def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str], buckets: int | None = None) -> DataFrame:
     """Add ``before_<c>`` (total of c over smaller values) and ``total_<c>`` (of the group) for each c in ``sums``.
 
     ``df`` must hold one row per (groups, value): aggregate first.
     """
+    df = checkpointed(df)  # read for the cuts, the bucket totals and the rows
     cut = with_bucket(df, value, bucket_splits(df, value, buckets))
     per_bucket = cut.groupBy(*groups, "__bucket").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
     # one row per bucket: at most `buckets` rows per group
@@ -57,7 +70,7 @@ def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str]
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
-                    buckets: int = BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Linearly interpolated (type 7) quantiles per group, one column per name in ``probs``; NULL values are skipped.
 
     ``percentile`` would hold every distinct value of a group in one task's memory; this finds the order statistics

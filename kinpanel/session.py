@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +36,18 @@ def build_session(app: str = "kinpanel", master: str | None = None, shuffle_part
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, which need it where it is not installed."""
+    source = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="kinpanel-package-")
+    packed = shutil.make_archive(f"{folder}/kinpanel", "zip", os.path.dirname(source), os.path.basename(source))
+    spark.sparkContext.addPyFile(packed)
+    atexit.register(shutil.rmtree, folder, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if not spark.sparkContext.master.startswith("local") and (named.startswith("file:") or "://" not in named):
+            warnings.warn(f"spark.checkpoint.dir is {named}: it must be a mount that the driver and all executors share", stacklevel=2)
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -50,6 +67,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="kinpanel-")
     spark.conf.set("spark.checkpoint.dir", made)
+    atexit.register(shutil.rmtree, made, True)
     return made
 
 
@@ -58,6 +76,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kinpanel-{label}-{uuid.uuid4().hex}"
 
 
+_STAGES: list[str] = []
+
+
+def remove_stages(spark: SparkSession) -> int:
+    """Delete the stage tables written so far by this process; call it when no result that reads them is needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _STAGES:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the shared folder now and return the table.
 
@@ -65,5 +96,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     columnar, so later steps read only their columns, and its size is known, so small results are broadcast by size.
     """
     path = scratch_path(df.sparkSession, "stage")
+    _STAGES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

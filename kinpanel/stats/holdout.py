@@ -15,6 +15,10 @@ from kinpanel.stats.patterns import compress, spread_groups
 
 Levels = Mapping[str, Sequence[object]]
 
+# hexadecimal digits that a round of counting looks at, and rows of a repetition that one task puts in order
+DIGITS = 3
+ORDERED_ROWS = 100_000
+
 
 def split_key(key: str, rep: Column, seed: str = "") -> Column:
     """Reproducible pseudo-random order of the rows in one repetition."""
@@ -25,24 +29,34 @@ def holdout_split(df: DataFrame, key: str, prop: float, reps: int, seed: str = "
     """Every row once per repetition with ``in_train``: exactly floor(n * prop) rows are 1.
 
     ``key`` must be unique. Ordering all rows by their hash would put a repetition into one task. Instead the hashes are
-    counted by prefix, the running counts show which prefix the last training row has, and only the rows under that
-    prefix are ranked, to find the last training hash. Marking the rows is then a comparison without any shuffle.
+    counted by their first ``DIGITS`` digits, the running counts show which prefix the last training row has, and its rows
+    are counted by the next digits, until few enough are left to be put in order. Marking the rows is then a comparison
+    without any shuffle.
     """
-    width = 3  # 4,096 prefixes; hashes are uniform, so each holds about 1/4096 of the rows
     drawn = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
         "__h", split_key(key, F.col("rep"), seed))
-    hashes = drawn.select("rep", "__h", F.substring("__h", 1, width).alias("__b"))
-    counts = hashes.groupBy("rep", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    # at most 4,096 rows per repetition
+    hashes = checkpointed(drawn.select("rep", "__h"))
     whole = Window.partitionBy("rep")
     upto = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.floor(F.sum("__n").over(whole) * F.lit(prop))
-    edge = counts.select("rep", "__b", "__n", F.sum("__n").over(upto).alias("__upto"), size.alias("__size")).filter(
-        (F.col("__upto") >= F.col("__size")) & (F.col("__upto") - F.col("__n") < F.col("__size")))
-    edge = edge.select(F.col("rep").alias("__er"), F.col("__b").alias("__eb"),
-                       (F.col("__size") - F.col("__upto") + F.col("__n")).alias("__left"))
-    # one row per repetition: safe to broadcast, as is the threshold below
-    last = hashes.join(F.broadcast(edge), (F.col("rep") == F.col("__er")) & (F.col("__b") == F.col("__eb")))
+    edge, width = None, 0
+    while True:
+        width += DIGITS
+        under = hashes.withColumn("__b", F.substring("__h", 1, width))
+        if edge is not None:
+            # one row per repetition: safe to broadcast, as is the limit below
+            under = under.join(F.broadcast(edge.select(F.col("rep").alias("__er"), F.col("__b").alias("__eb"), "__left")),
+                               (F.col("rep") == F.col("__er")) & F.col("__b").startswith(F.col("__eb")))
+        counts = under.groupBy("rep", "__b").agg(F.count(F.lit(1)).alias("__n"), *([F.max("__left").alias("__size")] if edge is not None else []))
+        if edge is None:
+            counts = counts.withColumn("__size", F.floor(F.sum("__n").over(whole) * F.lit(prop)))
+        # at most 16 ** DIGITS rows per repetition
+        edge = counts.withColumn("__upto", F.sum("__n").over(upto)).filter(
+            (F.col("__upto") >= F.col("__size")) & (F.col("__upto") - F.col("__n") < F.col("__size")))
+        edge = checkpointed(edge.select("rep", "__b", "__n", (F.col("__size") - F.col("__upto") + F.col("__n")).alias("__left")))
+        if width >= 30 or (edge.agg(F.max("__n")).first()[0] or 0) <= ORDERED_ROWS:
+            break
+    ends = edge.select(F.col("rep").alias("__er"), F.col("__b").alias("__eb"), "__left")
+    last = hashes.join(F.broadcast(ends), (F.col("rep") == F.col("__er")) & F.col("__h").startswith(F.col("__eb")))
     last = last.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy("__h")))
     limit = last.filter(F.col("__r") == F.col("__left")).select(F.col("rep").alias("__lr"), F.col("__h").alias("__limit"))
     marked = drawn.join(F.broadcast(limit), F.col("rep") == F.col("__lr"), "left")

@@ -183,8 +183,8 @@ def test_crosstab_text(spark):
 def test_metric_curve(two):
     parts = S.split_metrics(two, "y", ["x", "z"], LEVELS, [0.25, 0.75], 3)
     got = {(r["prop"], r["rep"], r["metric"]): r["estimate"] for r in parts.collect()}
-    assert len(got) == 2 * 3 * 5
-    assert all(v is None or 0 <= v <= 1 for k, v in got.items() if k[2] != "skipped")
+    assert len(got) == 2 * 3 * 6
+    assert all(v is None or 0 <= v <= 1 for k, v in got.items() if k[2] not in ("skipped", "scored"))
     assert all(got[k] == 0 for k in got if k[2] == "skipped")
     assert len({got[(0.25, r, "roc_auc")] for r in (1, 2, 3)}) == 3
     again = {(r["prop"], r["rep"], r["metric"]): r["estimate"] for r in S.split_metrics(
