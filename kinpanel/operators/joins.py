@@ -51,7 +51,9 @@ def _matched_times(left: DataFrame, right: DataFrame, keys: list[str], buckets:
     if buckets != 1:
         # read for the cuts, the last times of the buckets and the rows
         marks = checkpointed(marks.withColumn("__n", _as_number(marks, "__t")))
-        marks = with_bucket(marks, "__n", bucket_splits(marks, "__n", buckets))
+        splits = bucket_splits(marks, "__n", buckets)
+    if buckets != 1 and splits:
+        marks = with_bucket(marks, "__n", splits)
         per_bucket = marks.groupBy(*keys, "__bucket").agg(F.max(seen).alias("__last"))
         earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
         carried = per_bucket.select(

@@ -49,7 +49,13 @@ def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str]
     ``df`` must hold one row per (groups, value): aggregate first.
     """
     df = checkpointed(df)  # read for the cuts, the bucket totals and the rows
-    cut = with_bucket(df, value, bucket_splits(df, value, buckets))
+    splits = bucket_splits(df, value, buckets)
+    if not splits:
+        # all rows fit one bucket
+        before, everyone = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
+        return df.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums}).withColumns(
+            {f"total_{c}": F.sum(c).over(everyone) for c in sums})
+    cut = with_bucket(df, value, splits)
     per_bucket = cut.groupBy(*groups, "__bucket").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
     # one row per bucket: at most `buckets` rows per group
     everything = Window.partitionBy(*groups)
