@@ -20,6 +20,7 @@ from kinpanel.operators.reshape import stacked, transpose
 from kinpanel.plans.registry import query, table
 from kinpanel.session import checkpointed
 from kinpanel.sources.tables import columns_by_label
+from kinpanel.stats import crosstab as C
 from kinpanel.stats.logit import fit_specifications
 from kinpanel.stats.specs import coefficient_table, nested_specifications
 
@@ -403,23 +404,71 @@ def _class_rows(source: str, entity: str) -> str:
 PANEL_CLASSES = {"village": ("residence", "village"), "no_diploma": ("univ_diploma", 0), "male": ("gender", "male")}
 
 
-@query("panel_deviation", PANEL_SQL + """,
+_YEARS = PANEL_SQL + """,
 pop AS (SELECT * FROM population WHERE origsm = 1 AND age <= 26), sam AS (SELECT * FROM sample WHERE age <= 26),
 years AS (SELECT is_separated, name, year, avg(hit) AS share FROM (
   """ + _class_rows("pop", "idind") + """) GROUP BY ALL),
 ours AS (SELECT is_separated, name, year, avg(hit) AS share FROM (
-  """ + _class_rows("sam", "kid_id") + """) GROUP BY ALL)
-SELECT is_separated, year, name, round(coalesce(o.share, 0) - y.share, 6) AS value
-FROM years y LEFT JOIN ours o USING (is_separated, year, name)""")
-def panel_deviation(spark, sf):
+  """ + _class_rows("sam", "kid_id") + """) GROUP BY ALL),
+apart_by_year AS (SELECT is_separated, year, name, coalesce(o.share, 0) - y.share AS value
+                  FROM years y LEFT JOIN ours o USING (is_separated, year, name))
+"""
+PERIOD = 3
+
+
+def deviations(spark, sf) -> DataFrame:
     """Share differences between the analysis sample and the comparable population, all and not separated."""
     tables = SurveyTables(spark, sf)
     people = checkpointed(population_of(tables).filter((F.col("origsm") == 1) & (F.col("age") <= 26)))
     sample = checkpointed(sample_of(spark, sf, tables).filter(F.col("age") <= 26))
     at_home = F.col("is_separated") == 0
     parts = {"all": (sample, people), "not_separated": (sample.filter(at_home), people.filter(at_home))}
-    return H.deviations_by_group(parts, "year", "kid_id", "idind", PANEL_CLASSES, "is_separated").withColumn(
-        "value", F.round("value", 6))
+    return H.deviations_by_group(parts, "year", "kid_id", "idind", PANEL_CLASSES, "is_separated")
+
+
+@query("panel_deviation", _YEARS + "SELECT is_separated, year, name, round(value, 6) AS value FROM apart_by_year")
+def panel_deviation(spark, sf):
+    return deviations(spark, sf).withColumn("value", F.round("value", 6))
+
+
+@query("panel_deviation_by_period", _YEARS + f"""SELECT is_separated, CAST(year // {PERIOD} * {PERIOD} AS INTEGER) AS period, name,
+  round(avg(value), 6) AS value FROM apart_by_year GROUP BY ALL""")
+def panel_deviation_by_period(spark, sf):
+    """The yearly differences averaged over periods."""
+    rows = deviations(spark, sf).withColumn("period", (F.floor(F.col("year") / PERIOD) * PERIOD).cast("int"))
+    return rows.groupBy("is_separated", "period", "name").agg(F.round(F.avg("value"), 6).alias("value"))
+
+
+CROSSED = ["kids_num", "kid_order", "gender", "residence", "parents"]
+
+
+@query("panel_crosstab", PANEL_SQL + """,
+people AS (SELECT *, CASE WHEN mother_univ_diploma + father_univ_diploma = 2 THEN 'both' WHEN mother_univ_diploma = 1 THEN 'mother'
+                          WHEN father_univ_diploma = 1 THEN 'father' ELSE 'none' END AS parents FROM sample),
+long AS (SELECT CAST(univ_diploma AS VARCHAR) AS class, unnest(['kids_num', 'kid_order', 'gender', 'residence', 'parents']) AS variable,
+                unnest([kids_num, kid_order, gender, residence, parents]) AS level FROM people),
+counts AS (SELECT variable, level, class, count(*) AS n FROM long WHERE level IS NOT NULL GROUP BY 1, 2, 3),
+every AS (SELECT * FROM counts UNION ALL SELECT variable, level, 'Total', sum(n) FROM counts GROUP BY 1, 2),
+moments AS (SELECT CAST(univ_diploma AS VARCHAR) AS class, avg(age) AS m, stddev_samp(age) AS s FROM people GROUP BY 1
+            UNION ALL SELECT 'Total', avg(age), stddev_samp(age) FROM people),
+m AS (SELECT *, sum(n) OVER (PARTITION BY variable) AS t, sum(n) OVER (PARTITION BY variable, level) AS r,
+             sum(n) OVER (PARTITION BY variable, class) AS c FROM counts),
+grid AS (SELECT variable, sum(n ^ 2 / (r * c)) AS q, any_value(t) AS t FROM m GROUP BY variable)
+SELECT variable, level, class, CAST(n AS BIGINT) || ' (' || regexp_replace(CAST(round(n * 100.0::DOUBLE
+       / sum(n) OVER (PARTITION BY variable, class), 1) AS VARCHAR), '\\.0$', '') || ')' AS text, round(t * (q - 1), 4) AS chi_square
+FROM every JOIN grid USING (variable)
+UNION ALL SELECT 'age', 'Mean (SD)', class, regexp_replace(CAST(round(m, 1) AS VARCHAR), '\\.0$', '') || ' ('
+       || regexp_replace(CAST(round(s, 1) AS VARCHAR), '\\.0$', '') || ')', NULL FROM moments""")
+def panel_crosstab(spark, sf):
+    """The sample described by diploma, with the parents' education as one variable and the test statistic of each."""
+    mother, father = F.col("mother_univ_diploma") == 1, F.col("father_univ_diploma") == 1
+    people = checkpointed(sample_of(spark, sf, SurveyTables(spark, sf)).withColumn(
+        "parents", E.choose([(mother & father, "both"), (mother, "mother"), (father, "father")], "none")))
+    tests = C.chi_square(C.class_counts(people, "univ_diploma", CROSSED)).select(
+        F.col("variable").alias("__v"), F.round("statistic", 4).alias("chi_square"))
+    text = C.summary_crosstab(people, "univ_diploma", CROSSED, ["age"])
+    # one row per variable
+    return text.join(tests, F.col("variable") == F.col("__v"), "left").drop("__v")
 
 
 # ------------------------------------------------------------------------------------------- models on it
