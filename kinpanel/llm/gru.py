@@ -30,8 +30,8 @@ DOCS = 600
 WORDS = 30
 STEPS = 700
 BATCH = 256
-CHUNK_BYTES = 4 << 20
-MEMO = 250_000
+CHUNK_BYTES = 1 << 20
+MEMO = 80_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -162,7 +162,7 @@ class Model:
                 a -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.998**step)) + 1e-7)).astype(np.float32)
         return self
 
-    def totals(self, words: list[str], block: int = 4096) -> np.ndarray:
+    def totals(self, words: list[str], block: int = 1024) -> np.ndarray:
         """Per word: the sum over its positions of each label's probability, and the number of positions."""
         pieces, owner = [], []
         for k, word in enumerate(words):
@@ -186,11 +186,14 @@ def train(docs: DataFrame, usable=None) -> Model:
     sample = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if usable is not None:
         sample = sample.filter(usable)
-    # a hash below a bound per language leaves about twice DOCS rows, so few texts are moved
-    bounds = sample.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * DOCS) / F.count("*")).alias("share"))
-    key = F.xxhash64("text")
-    drawn = sample.select("lang", "text", key.alias("__k")).join(bounds, "lang").filter(
-        F.pmod(F.col("__k"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # languages are the model's classes, so their counts are few; a hash below a bound per language leaves about twice
+    # DOCS texts of each to be moved
+    bounds = {r["lang"]: min(1.0, 2.0 * DOCS / r["count"]) for r in sample.groupBy("lang").count().collect()}
+    if not bounds:
+        return Model([])
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(bounds.items()) for x in pair]), F.col("lang"))
+    drawn = sample.select("lang", "text", F.xxhash64("text").alias("__k")).filter(
+        F.pmod(F.col("__k"), F.lit(1 << 30)) < share * (1 << 30))
     first = Window.partitionBy("lang").orderBy("__k")
     sample = drawn.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= DOCS)
 

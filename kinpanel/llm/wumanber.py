@@ -101,30 +101,65 @@ def _groups(benchmark: DataFrame, width: int) -> Iterator[list[tuple[bytes, list
         yield sorted(found.items())
 
 
-def _scan(df: DataFrame, spark_patterns) -> DataFrame:
-    """``df`` has __joined (words), __spans and items array<string>; adds one group's occurrences."""
+def _hits(text: bytes, searchers: list) -> tuple[list[tuple[int, int]], set[str]]:
+    """(spans of all occurrences, ids of their items); a span runs from a space before to a space after its words."""
+    spans, ids = [], set()
+    for searcher, own in searchers:
+        for begin, number in searcher.find(text):
+            window, items = own[number]
+            spans.append((begin, begin + len(window) - 1))
+            ids.update(items)
+    return spans, ids
+
+
+def _mask(text: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which words of a joined text lie in a span."""
+    mask = np.zeros(text.count(b" ") - 1 if len(text) > 2 else 0, dtype=bool)
+    if spans:
+        blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32).tolist()
+        for begin, end in spans:
+            mask[bisect_right(blanks, begin) - 1:bisect_right(blanks, end) - 1] = True
+    return mask
+
+
+def _pass(patterns, first: bool, last: bool, kept: list[str]):
+    """One pass of the rows over one group of patterns. The first joins the words, the last counts what was hit.
+
+    Between passes a row carries its joined words, the spans so far and the items so far.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = spark_patterns.value
-        kinds = [[p for p in patterns if len(p[0]) < SHORT_HEAD], [p for p in patterns if len(p[0]) >= SHORT_HEAD]]
+        group = patterns.value if patterns is not None else []
+        kinds = [[p for p in group if len(p[0]) < SHORT_HEAD], [p for p in group if len(p[0]) >= SHORT_HEAD]]
         searchers = [(Searcher([w for w, _ in own]), own) for own in kinds if own]
         for batch in batches:
-            texts = batch.column("__joined").to_pylist()
-            spans, items = batch.column("__spans").to_pylist(), batch.column("items").to_pylist()
-            for row, text in enumerate(texts):
-                found = []
-                for searcher, own in searchers:
-                    for begin, number in searcher.find(text):
-                        window, ids = own[number]
-                        found.append((begin, begin + len(window) - 1))
-                        items[row] = sorted(set(items[row]).union(ids))
-                if found:
-                    old = np.frombuffer(spans[row], dtype=np.int64).tolist()
-                    spans[row] = np.array(old + [x for pair in sorted(found) for x in pair], dtype=np.int64).tobytes()
-            cols = [batch.column(n) for n in batch.schema.names[:-2]]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+            held = [batch.column(n) for n in kept]
+            joined, spans, items, total, hit, masks = [], [], [], [], [], []
+            old = zip(batch.column("__spans").to_pylist(), batch.column("items").to_pylist()) if not first else None
+            for text in batch.column("__joined").to_pylist():
+                text = b" " + b" ".join(words_of(text)) + b" " if first else text
+                found, ids = _hits(text, searchers)
+                if old is not None:
+                    before, known = next(old)
+                    found += np.frombuffer(before, dtype=np.int64).reshape(-1, 2).tolist()
+                    ids.update(known)
+                items.append(sorted(ids))
+                if last:
+                    mask = _mask(text, found)
+                    total.append(len(mask))
+                    hit.append(int(mask.sum()))
+                    masks.append(np.packbits(mask).tobytes() if hit[-1] else None)
+                else:
+                    joined.append(text)
+                    spans.append(np.array(found, dtype=np.int64).tobytes())
+            listed = pa.array(items, pa.list_(pa.string()))
+            if last:
+                new = [pa.array(total, pa.int64()), pa.array(hit, pa.int64()), listed, pa.array(masks, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*held, *new], names=[*kept, "n_words", "n_hit", "items", "hit_words"])
+            else:
+                yield pa.RecordBatch.from_arrays([*held, pa.array(joined, pa.binary()), pa.array(spans, pa.binary()), listed],
+                                                 names=[*kept, "__joined", "__spans", "items"])
+
+    return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -133,43 +168,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     Columns of ``docs`` named like the new ones are replaced. There is no shuffle of the documents: every task searches
     its own rows for each bounded group of patterns.
     """
-    spark = docs.sparkSession
-    new = ["n_words", "n_hit", "items", "hit_words", "__joined", "__spans"]
-    kept = [c for c in docs.columns if c not in new]
-    now = docs.select(*kept, F.col("text").cast("binary").alias("__joined"), F.lit(b"").alias("__spans"),
-                      F.array().cast("array<string>").alias("items"))
-
-    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            joined = [b" " + b" ".join(words_of(t)) + b" " for t in batch.column("__joined").to_pylist()]
-            at = batch.schema.get_field_index("__joined")
-            yield batch.set_column(at, "__joined", pa.array(joined, pa.binary()))
-
-    now = now.mapInArrow(prepare, now.schema)
+    sc = docs.sparkSession.sparkContext
+    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "hit_words", "__joined", "__spans")]
+    plain = docs.select(*kept)
+    now = docs.select(*kept, F.col("text").cast("binary").alias("__joined"))
+    between = with_fields(plain, __joined="binary", __spans="binary", items="array<string>")
+    done = with_fields(plain, n_words="long", n_hit="long", items="array<string>", hit_words="binary")
+    waiting, first = None, True
     for group in _groups(benchmark, width):
-        now = _scan(now, spark.sparkContext.broadcast(group))
-    schema = with_fields(docs.select(*kept), n_words="long", n_hit="long", items="array<string>", hit_words="binary")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, hit, masks = [], [], []
-            for text, spans in zip(batch.column("__joined").to_pylist(), batch.column("__spans").to_pylist()):
-                n = text.count(b" ") - 1 if len(text) > 2 else 0
-                total.append(n)
-                mask = np.zeros(n, dtype=bool)
-                if spans:
-                    blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32).tolist()
-                    for begin, end in np.frombuffer(spans, dtype=np.int64).reshape(-1, 2):
-                        # a span runs from the space before its first word to the space after its last
-                        mask[bisect_right(blanks, begin) - 1:bisect_right(blanks, end) - 1] = True
-                hit.append(int(mask.sum()))
-                masks.append(np.packbits(mask).tobytes() if hit[-1] else None)
-            cols = [batch.column(n) for n in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(total, pa.int64()), pa.array(hit, pa.int64()), batch.column("items"), pa.array(masks, pa.binary())],
-                names=[*kept, "n_words", "n_hit", "items", "hit_words"])
-
-    return now.mapInArrow(count, schema)
+        if waiting is not None:
+            now, first = now.mapInArrow(_pass(waiting, first, False, kept), between), False
+        waiting = sc.broadcast(group)
+    return now.mapInArrow(_pass(waiting, first, True, kept), done)
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
