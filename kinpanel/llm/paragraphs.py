@@ -1,8 +1,10 @@
 """Substring dedup: MinHash banding over paragraphs, exact Jaccard, and removal by connected components.
 
 Repeated passages stand inside lines and across them, so a paragraph here is cut by content: ``SPAN`` words around an
-anchor, a word pair whose hash is smallest among the ``REACH`` pairs on either side. The same passage has the same
-paragraphs wherever it stands; a passage of over 50 words nearly always holds a whole one.
+anchor, the last of the smallest word pairs (by hash) of some ``WINDOW`` consecutive pairs. The same passage has the
+same paragraphs wherever it stands; any run of ``WINDOW`` pairs has an anchor, so a passage of over 50 words holds a
+whole paragraph. With ``whole``, a paragraph that goes takes along the words beside it that equal those beside the one
+that stays, so an exact copy goes from its first to its last word.
 
 Every paragraph has a key per band; the number of bands and of minwise hashes in each are chosen for ``RECALL`` at the
 threshold with the fewest rows. Rows go once by key, and a key that one paragraph has alone ends there. Paragraphs that
@@ -20,7 +22,7 @@ cut whole. An empty table gives no rows. Extra columns pass through ``without_re
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from kinpanel.llm.common import MULTIPLIERS, WordHashes, connected_components, m
 from kinpanel.session import checkpointed
 
 SPAN = 21
-REACH = 9
+#: pairs on either side of which an anchor is the smallest, and pairs of which there always is one
+REACH, WINDOW = 2, 30
 WIDTH = 5
 PERCENT = 80
 RECALL = 0.99
@@ -41,6 +44,9 @@ LIMIT = chosenpath.LIMIT
 TREES = 6
 #: rows of one key in a task that stay in one run
 RUN = 64
+#: words on either side of a paragraph that are compared with those beside the one that stays; a longer run has a further
+#: paragraph of its own
+BESIDE = 40
 #: bits of 64 in which the sketches of similar paragraphs may differ: at the threshold 6.4 on average, 2.4 the deviation
 DIFFER = 17
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -55,26 +61,39 @@ def tuned(threshold: float, recall: float = RECALL, most: int = 30) -> tuple[int
     return most, 1
 
 
-def anchors(words: np.ndarray, counts: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, word number of the anchor) of every paragraph that lies in its document."""
     n = len(words)
     starts = np.concatenate([[0], np.cumsum(counts)])
     if n < SPAN:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     pair = np.append(shingle_hashes(words, 2), np.uint64(2**64 - 1))
-    # strictly below the pairs before it and not above those after it
+    # not above the pairs before it and strictly below those after it, so two are never side by side
     low = np.ones(n, dtype=bool)
-    for k in range(1, reach + 1):
-        low[k:] &= pair[k:] < pair[:-k]
-        low[:-k] &= pair[:-k] <= pair[k:]
+    for k in range(1, REACH + 1):
+        low[k:] &= pair[k:] <= pair[:-k]
+        low[:-k] &= pair[:-k] < pair[k:]
     at = np.flatnonzero(low)
     row = np.searchsorted(starts, at, side="right") - 1
+    # judged inside their document alone; near its ends the neighbours are another one's words
+    near = (at - REACH >= starts[row]) & (at + REACH + 2 <= starts[row + 1])
+    at, row = at[near], row[near]
+    value, before, after = pair[at], starts[row] - 1, starts[row + 1] - 1
+    for k in range(1, min(len(at), WINDOW // (REACH + 1) + 2)):
+        same = row[k:] == row[:-k]
+        before[k:] = np.maximum(before[k:], np.where(same & (value[:-k] < value[k:]), at[:-k], -1))
+        after[:-k] = np.minimum(after[:-k], np.where(same & (value[k:] <= value[:-k]), at[k:], n))
+    # rightmost smallest of a whole window; a shorter document is one window
+    chosen = at[after - before - 1 >= np.minimum(WINDOW, counts[row] - 1)]
+    # one or two words over and over have no smallest pair: every place in such a run is as good as another
+    bounds = np.unique(np.concatenate([at, starts - 1]))
     half = SPAN // 2
+    more = [np.arange(bounds[i] + WINDOW // 2, bounds[i + 1] - WINDOW // 2 + 1, half)
+            for i in np.flatnonzero(np.diff(bounds) > WINDOW).tolist()]
+    at = np.sort(np.concatenate([chosen, *more])) if more else chosen
+    row = np.searchsorted(starts, at, side="right") - 1
     inside = (at - half >= starts[row]) & (at - half + SPAN <= starts[row + 1])
-    # anchors are judged inside their document alone; near its ends the neighbours are another one's words
-    near = (at - reach >= starts[row]) & (at + reach + 2 <= starts[row + 1])
-    keep = inside & near
-    return row[keep], at[keep] - starts[row[keep]]
+    return row[inside], at[inside] - starts[row[inside]]
 
 
 def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -273,73 +292,167 @@ def clusters(docs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> Data
     return connected_components(edges).select(F.col("node").alias("content"), "root")
 
 
-def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, stamp, cuts, stays (arrays of first words of paragraphs) per document that has a repeated paragraph."""
+def repeats(docs: DataFrame, percent: int = PERCENT, whole: bool = False) -> DataFrame:
+    """doc_id, stamp, cuts, stays (arrays of first words of paragraphs), more per document that has a repeated paragraph.
+
+    ``more`` has the runs (first, end) of words that equal those in and beside the paragraph that stays; it is empty
+    without ``whole``.
+    """
     bands, rows = tuned(percent / 100)
     shared = checkpointed(shared_keys(keyed(docs, bands, rows)))
     roots = checkpointed(clusters(docs, shared, percent))
     every = shared.select("doc_id", "stamp", "start", "content").distinct().join(roots, "content", "left")
     every = every.withColumn("root", F.coalesce("root", "content"))
-    kept = every.groupBy("root").agg(F.min(F.struct("doc_id", "stamp", "start")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    marked = every.join(kept, "root").withColumn("stays", F.struct("doc_id", "stamp", "start") == F.col("kept"))
+    kept = every.groupBy("root").agg(F.min(F.struct("doc_id", "stamp", "start", "content")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    marked = every.join(kept, "root").withColumn("stays", F.struct("doc_id", "stamp", "start", "content") == F.col("kept"))
+    if whole:
+        marked = widened(docs, checkpointed(marked))
+    else:
+        marked = marked.withColumn("wide", F.lit(None).cast("array<struct<first: int, end: int>>"))
     return marked.groupBy("doc_id", "stamp").agg(
         F.collect_list(F.when(~F.col("stays"), F.col("start"))).alias("cuts"),
-        F.collect_list(F.when(F.col("stays"), F.col("start"))).alias("stays"))
+        F.collect_list(F.when(F.col("stays"), F.col("start"))).alias("stays"), F.flatten(F.collect_list("wide")).alias("more"))
+
+
+def widened(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """doc_id, stamp, start, stays, wide (runs of first and end word) of the paragraphs ``marked``.
+
+    The words beside a paragraph go on to the paragraph that stays as 32-bit hashes, from the paragraph outwards. None are
+    needed towards a neighbour that follows on from the same document at the same distance and touches.
+    """
+    item = F.struct("start", "root", "stays", "kept", (F.col("content") == F.col("kept.content")).alias("equal"))
+    lists = checkpointed(marked.groupBy("doc_id", "stamp").agg(F.sort_array(F.collect_list(item)).alias("own")).withColumnsRenamed(
+        {"doc_id": "__id", "stamp": "__stamp"}))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("stamp"), text_bytes().alias("text"))
+    met = texts.join(lists, (F.col("stamp") == F.col("__stamp")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    # rows that repeat a document are one
+    met = met.groupBy("stamp", "doc_id").agg(F.first("text").alias("text"), F.first("own").alias("own")).select("doc_id", "stamp", "text", "own")
+    names = ["root", "stays", "equal", "doc_id", "stamp", "start", "left", "right"]
+    types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            ids, stamps, own = (batch.column(n).to_pylist() for n in ("doc_id", "stamp", "own"))
+            out = []
+            for first, end, words, counts in word_arrays(batch.column("text").to_pylist(), memo):
+                starts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                short = (mixed(words) >> np.uint64(32)).astype(np.uint32)
+                for row in range(first, end):
+                    low, high = starts[row - first], starts[row - first + 1]
+                    items = own[row]
+                    gaps = [BESIDE, *(_gap(a, b) for a, b in zip(items, items[1:])), BESIDE]
+                    for i, x in enumerate(items):
+                        # a gap is looked at from its left side alone
+                        n_left = BESIDE if x["stays"] or gaps[i] == BESIDE else 0
+                        n_right = BESIDE if x["stays"] else gaps[i + 1]
+                        begin = low + x["start"]
+                        left = short[max(low, begin - n_left):begin][::-1]
+                        right = short[begin + SPAN:min(high, begin + SPAN + n_right)]
+                        out.append((x["root"], x["stays"], x["equal"], ids[row], stamps[row], x["start"], left.tobytes(), right.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, types)], names)
+
+    rows = checkpointed(met.mapInArrow(beside, "root long, stays boolean, equal boolean, doc_id long, stamp long, start int, left binary, right binary"))
+    first = rows.filter("stays").select("root", F.col("left").alias("first_left"), F.col("right").alias("first_right"))
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a, b, c, d, start, equal in zip(*(batch.column(n).to_pylist() for n in ("left", "first_left", "right", "first_right", "start", "equal"))):
+                runs = [(start - agree(a, b), start), (start + SPAN, start + SPAN + agree(c, d))]
+                found.append([{"first": x, "end": y} for x, y in ([(runs[0][0], runs[1][1])] if equal else runs)])
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(n) for n in ("doc_id", "stamp", "start", "stays")),
+                pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], ["doc_id", "stamp", "start", "stays", "wide"])
+
+    kind = "array<struct<first: int, end: int>>"
+    gone = rows.filter("NOT stays").join(first, "root").mapInArrow(
+        wide, f"doc_id long, stamp long, start int, stays boolean, wide {kind}")
+    return gone.union(rows.filter("stays").select("doc_id", "stamp", "start", "stays", F.lit(None).cast(kind).alias("wide")))
+
+
+def _gap(a: dict, b: dict) -> int:
+    """Words to compare between two paragraphs of a document, of which ``a`` is the left one."""
+    x, y = a["kept"], b["kept"]
+    if a["stays"] or b["stays"] or (x["doc_id"], x["stamp"]) != (y["doc_id"], y["stamp"]) or y["start"] - x["start"] != b["start"] - a["start"]:
+        return BESIDE
+    gap = b["start"] - a["start"] - SPAN
+    return max(0, gap) if gap < BESIDE else BESIDE
 
 
-def spans(cuts: list[int], stays: list[int]) -> list[tuple[int, int]]:
-    """Maximal runs of words that go: covered by a cut paragraph and by none that stays."""
+def agree(a: bytes, b: bytes) -> int:
+    """Words of four bytes in which both agree from their beginning."""
+    n = min(len(a), len(b)) // 4
+    if a[:4 * n] == b[:4 * n]:
+        return n
+    return int((np.frombuffer(a, np.uint32, n) != np.frombuffer(b, np.uint32, n)).argmax())
+
+
+def spans(cuts: list[int], stays: list[int], more: Iterable[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Maximal runs of words that go: covered by a cut paragraph and by none that stays, or in ``more``.
+
+    Each word in ``more`` equals one that stands earlier, so of all its copies the first is in no such run.
+    """
     if not cuts:
         return []
-    mask = np.zeros(max(cuts) + SPAN + 1, dtype=np.int8)
+    more = list(more)
+    mask = np.zeros(max([max(cuts) + SPAN, *(e for _, e in more)]) + 1, dtype=np.int8)
     for s in cuts:
         mask[s:s + SPAN] = 1
     for s in stays:
         mask[s:s + SPAN] = 0
+    for s, e in more:
+        mask[s:e] = 1
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _ranges(more: list[dict] | None) -> list[tuple[int, int]]:
+    return [(m["first"], m["end"]) for m in more or []]
+
+
+def removed(docs: DataFrame, percent: int = PERCENT, whole: bool = False) -> DataFrame:
     """doc_id, n_removed (words), spans (array of first and end word) for every row of ``docs``."""
-    found = checkpointed(repeats(docs, percent)).withColumnsRenamed({"doc_id": "__id", "stamp": "__stamp"})
+    found = checkpointed(repeats(docs, percent, whole)).withColumnsRenamed({"doc_id": "__id", "stamp": "__stamp"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("stamp"))
     rows = rows.join(found, (F.col("stamp") == F.col("__stamp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [spans(c or [], s or []) for c, s in zip(batch.column("cuts").to_pylist(), batch.column("stays").to_pylist())]
+            own = [spans(c or [], s or [], _ranges(m)) for c, s, m in zip(*(batch.column(n).to_pylist() for n in ("cuts", "stays", "more")))]
             flat = [[{"first": a, "end": b} for a, b in o] for o in own]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([sum(b - a for a, b in o) for o in own], pa.int64()),
                 pa.array(flat, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))], ["doc_id", "n_removed", "spans"])
 
-    return rows.select("doc_id", "cuts", "stays").mapInArrow(
+    return rows.select("doc_id", "cuts", "stays", "more").mapInArrow(
         run, "doc_id long, n_removed long, spans array<struct<first: long, end: long>>")
 
 
-def cut_out(text: str, cuts: list[int], stays: list[int]) -> str:
+def cut_out(text: str, cuts: list[int], stays: list[int], more: Iterable[tuple[int, int]] = ()) -> str:
     """The text without the words of the runs that go, and without the white space after them."""
     data = text.encode()
     places = [m.span() for m in _WORD.finditer(data)]
     out, at = [], 0
-    for first, end in spans(cuts, stays):
+    for first, end in spans(cuts, stays, more):
         out.append(data[at:places[first][0]])
         at = places[end][0] if end < len(places) else len(data)
     return (b"".join(out) + data[at:]).decode()
 
 
-def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def without_repeats(docs: DataFrame, percent: int = PERCENT, whole: bool = False) -> DataFrame:
     """``docs`` with repeated paragraphs cut out of ``text``."""
-    found = checkpointed(repeats(docs, percent)).withColumnsRenamed({"doc_id": "__id", "stamp": "__stamp", "cuts": "__cuts", "stays": "__stays"})
+    found = checkpointed(repeats(docs, percent, whole)).withColumnsRenamed(
+        {"doc_id": "__id", "stamp": "__stamp", "cuts": "__cuts", "stays": "__stays", "more": "__more"})
     rows = docs.withColumn("__at", F.xxhash64("text")).join(
         found, (F.col("__at") == F.col("__stamp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    rows = rows.select(*docs.columns, "__cuts", "__stays")
+    rows = rows.select(*docs.columns, "__cuts", "__stays", "__more")
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut_out(t, c, s or []) if c else t for t, c, s in zip(*(batch.column(n).to_pylist() for n in ("text", "__cuts", "__stays")))]
+            texts = [cut_out(t, c, s or [], _ranges(m)) if c else t
+                     for t, c, s, m in zip(*(batch.column(n).to_pylist() for n in ("text", "__cuts", "__stays", "__more")))]
             cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in kept]
             yield pa.RecordBatch.from_arrays(cols, names=kept)
 

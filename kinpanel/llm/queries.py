@@ -71,7 +71,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_repeated_passages")
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.removed(table(spark, sf_dir, "documents"))
+    return paragraphs.removed(table(spark, sf_dir, "documents"), whole=True)
 
 
 @query("op10_suffix_dedup")

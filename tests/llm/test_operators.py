@@ -400,6 +400,28 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= paragraphs.RECALL
 
 
+def test_exact_copies_go_whole(docs):
+    """Against the places of the planted copies, without the module's paragraphs."""
+    rng = random.Random(31)
+    pairs, want = [], {}
+    for k, size in enumerate([51, 60, 80, 100, 300] * 6):
+        passage = prose(rng, size, 10**7)
+        for copy in range(3):
+            lead = rng.randrange(12, 60)
+            pairs.append((3 * k + copy, prose(rng, lead, 10**7) + " " + passage + " " + prose(rng, rng.randrange(12, 60), 10**7)))
+            want[3 * k + copy] = [(lead, lead + size)] if copy else []
+    # a phrase of four words over and over has its anchors in every period
+    phrase = prose(rng, 4, 10**7)
+    for i, size in ((900, 40), (901, 40), (902, 40)):
+        pairs.append((i, prose(rng, 40, 10**7) + " " + " ".join([phrase] * size) + " " + prose(rng, 40, 10**7)))
+    found = {r["doc_id"]: [(s["first"], s["end"]) for s in r["spans"]] for r in paragraphs.removed(docs(pairs), whole=True).collect()}
+    for i, own in want.items():
+        # a paragraph of which 16 of 17 shingles are repeated goes, too: with one word of the surroundings
+        assert len(found[i]) == len(own), (i, own, found[i])
+        assert all(a - 1 <= x <= a and b <= y <= b + 1 for (a, b), (x, y) in zip(own, found[i])), (i, own, found[i])
+    assert found[901] == found[902] == [(40, 200)] and sum(b - a for a, b in found[900]) >= 100
+
+
 # --- 9: decontamination
 
 def test_decontamination_matches_plain_search(spark, docs):
