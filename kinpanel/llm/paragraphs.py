@@ -9,8 +9,8 @@ that stays, so an exact copy goes from its first to its last word.
 Every paragraph has a key per band; the number of bands and of minwise hashes in each are chosen for ``RECALL`` at the
 threshold with the fewest rows. Rows go once by key, and a key that one paragraph has alone ends there. Paragraphs that
 share a key and whose one-bit sketches agree as those of similar ones do are compared by their full sets of 5-word
-shingles; a key that too many different paragraphs share (a line
-that stands in many contexts) branches on along further minwise hashes, as in ``chosenpath``. A key that is frequent in
+shingles. Those under a key that too many different paragraphs share (a line that stands in many contexts) are linked
+exactly, too, through the subsets of shingles that similar ones must have in common. A key that is frequent in
 a task is dealt out in runs, so no key fills a task. Of each connected group of paragraphs the first occurrence, by
 doc_id and place, stays; the words of all others go, except words of a paragraph that stays.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,6 @@ PERCENT = 80
 RECALL = 0.99
 #: different paragraphs under one key that one task compares with each other
 LIMIT = chosenpath.LIMIT
-#: paths that a paragraph under a crowded key follows; it has further keys besides
-TREES = 6
 #: rows of one key in a task that stay in one run
 RUN = 64
 #: words on either side of a paragraph that are compared with those beside the one that stays; a longer run has a further
@@ -246,15 +245,55 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "content long, shingles binary")
 
 
-def _branching(described: DataFrame) -> DataFrame:
-    """digest (the content's bytes) and sketch, as ``chosenpath`` takes them."""
+def deletions(size: int, low: int, high: int, percent: int) -> int:
+    """Elements that a set of ``size`` may have beyond those of a similar set of ``low`` to ``high`` elements."""
+    most = 0
+    for other in range(low, high + 1):
+        common = -(-percent * (size + other) // (100 + percent))
+        if common <= min(size, other):
+            most = max(most, size - common)
+    return most
+
+
+def _subsets(described: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+    """part (hash of a subset), content, size, common (size of the subset) of the contents ``asked`` (content, low, high).
+
+    Two similar sets have a subset in common that is large enough to make them so, and few of either's elements are not
+    in it. So each set has few subsets, and sets that share one of them are linked or not by their sizes alone.
+    """
+    names = ["part", "content", "size", "common"]
+    left_out: dict[tuple[int, int], np.ndarray] = {}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [n.to_bytes(8, "big", signed=True) for n in batch.column(0).to_pylist()]
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(chosenpath.sketched(sets), pa.binary())], ["digest", "sketch"])
-
-    return described.select("content", "shingles").mapInArrow(run, "digest binary, sketch binary")
+            out = []
+            for content, data, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                own = mixed(np.frombuffer(data, dtype=np.uint64) * MULTIPLIERS[400])
+                total = own.sum(dtype=np.uint64)
+                for r in range(deletions(len(own), low, high, percent) + 1):
+                    if (len(own), r) not in left_out:
+                        left_out[len(own), r] = np.array(list(combinations(range(len(own)), r)), dtype=np.int64)
+                    part = mixed(total - own[left_out[len(own), r]].sum(axis=1, dtype=np.uint64)).view(np.int64)
+                    out.append((part, np.full(len(part), content), np.full(len(part), len(own)), np.full(len(part), len(own) - r)))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names)
+
+    return described.join(asked, "content").select("content", "shingles", "low", "high").mapInArrow(
+        run, "part long, content long, size int, common int")
+
+
+def crowded_links(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """a, b: contents under crowded keys (``pairs``) linked so that all similar ones are connected; rows grow with the contents."""
+    sizes = described.select("content", (F.length("shingles") / 8).cast("int").alias("size"))
+    own = pairs.select("key", "content").join(sizes, "content")
+    among = own.groupBy("key").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    asked = own.join(among, "key").groupBy("content").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = checkpointed(_subsets(described, asked, percent))
+    # the smallest set with a subset is linked with whichever other is linked with any
+    first = rows.groupBy("part").agg(F.min(F.struct("size", "content")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("part", "f")
+    near = (100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("f.size"))
+    return rows.join(first, "part").filter(near & (F.col("content") != F.col("f.content"))).select(
+        F.col("content").alias("a"), F.col("f.content").alias("b")).distinct()
 
 
 def _compared(percent: int):
@@ -284,11 +323,10 @@ def clusters(docs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> Data
         F.min(F.struct("doc_id", "stamp", "start")).alias("f")).select("content", "f.*")
     described = checkpointed(contents(docs, first))
     small = pairs.filter(F.col("n") <= LIMIT).select(F.col("key").alias("node"), F.lit(0).alias("part"), "content")
-    large = checkpointed(pairs.filter(F.col("n") > LIMIT).select("content").distinct())
-    branched = chosenpath.nodes(checkpointed(_branching(described.join(large, "content"))), TREES)
-    branched = branched.select("node", "part", F.conv(F.hex("digest"), 16, -10).cast("long").alias("content"))
-    dealt = small.union(branched).join(described, "content").select("node", "part", "content", "shingles")
-    edges = map_runs(dealt, 2, _compared(percent), "a long, b long")
+    edges = map_runs(small.join(described, "content").select("node", "part", "content", "shingles"), 2, _compared(percent), "a long, b long")
+    large = pairs.filter(F.col("n") > LIMIT)
+    if not large.isEmpty():
+        edges = edges.union(crowded_links(large, described, percent))
     return connected_components(edges).select(F.col("node").alias("content"), "root")
 
 

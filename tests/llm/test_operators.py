@@ -7,9 +7,10 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinpanel.llm import ann, chosenpath, gru, induced, mixing, paragraphs, quality, sql, suffixes, toxicity, warc, wumanber
-from kinpanel.llm.common import WordHashes, connected_components, shingle_hashes, word_arrays
+from kinpanel.llm.common import WordHashes, connected_components, shingle_hashes, union_find, word_arrays
 from kinpanel.session import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, stamp string, spans int, key int"
@@ -422,6 +423,23 @@ def test_exact_copies_go_whole(docs):
     assert found[901] == found[902] == [(40, 200)] and sum(b - a for a, b in found[900]) >= 100
 
 
+def test_crowded_paragraphs_are_linked_exactly(spark):
+    """One key that all have, so that nothing but the exact way finds the pairs; against all pairs of plain sets."""
+    rng = random.Random(37)
+    common = [rng.getrandbits(64) for _ in range(12)]
+    sets = [{*common, *(rng.getrandbits(64) for _ in range(rng.choice([3, 4, 5])))} for _ in range(500)]
+    sets += [{*s} - {min(s)} | {rng.getrandbits(64)} for s in sets[:60]] + [{*s} - {max(s)} for s in sets[60:90]]
+    data = [(i, np.sort(np.array(list(s), dtype=np.uint64)).tobytes()) for i, s in enumerate(sets)]
+    described = spark.createDataFrame([(i, bytearray(b)) for i, b in data], "content long, shingles binary")
+    pairs = described.select(F.lit(1).alias("key"), "content")
+    edges = paragraphs.crowded_links(pairs, described, 80)
+    got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    links = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= 80 * len(a | b)]
+    top = union_find(len(sets), *zip(*links))
+    assert [got.get(i, i) for i in range(len(sets))] == top.tolist() and 1 < len(set(top.tolist())) < 560
+    assert {(a, b) if a < b else (b, a) for a, b in edges.collect()} <= set(links)
+
+
 # --- 9: decontamination
 
 def test_decontamination_matches_plain_search(spark, docs):
