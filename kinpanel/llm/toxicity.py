@@ -3,8 +3,9 @@
 A written token is a lattice: each character is itself or a letter that it may stand for, a mark may have been put
 between letters, a letter may have been repeated. A beam Viterbi search finds the likeliest readings under a
 character trigram model, whose counts come from every word of all documents (the table is bounded by the cube of the
-alphabet). Runs of single characters with one separator between them are read as one lattice in which a word may end
-anywhere. A token that admits one reading is that reading.
+alphabet). Runs of single characters with separators between them are read as one lattice in which a word may end
+anywhere. A token of letters only, with no letter doubled and no look-alike at its edge, is taken as it stands; any other
+one with letters keeps its plain reading beside those of the lattice.
 
 A document's features are its restored words and their beginnings; a logistic model over features that mark toxic
 documents gives its score. Labels are learned from at most ``POSITIVE`` and ``NEGATIVE`` documents, drawn by hash.
@@ -47,8 +48,8 @@ SUBSTITUTED, MARKED, MARKED_LIKE, REPEATED, ENDED = -0.7, -1.0, -6.0, -0.7, -1.5
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…«»“”‘’–—¿¡§€£"
 _QUIET = "".join(c for c in _EDGES if c not in LOOKS)
 _CLEAN = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]){2,}\S(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_SPACED = re.compile(r"(?<!\S)(?:[^\s._*-][ ._*-]+){2,}[^\s._*-](?!\S)")
 _LETTERS = set("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))) + "œ")
 
 
@@ -57,6 +58,11 @@ def plain(word: str) -> str:
     return "".join(c if c in _LETTERS else "?" for c in word)
 
 
+def unspaced(run: str) -> str:
+    """The single characters of a spaced run, without the separators between them."""
+    return re.sub(r"[ ._*-]+", "", run)
+
+
 class Language:
     """Interpolated character trigrams; ``^`` stands before and after a word."""
 
@@ -118,10 +124,9 @@ class Language:
     def words(self, token: str) -> tuple[str, ...]:
         """Words that a written token (in lower case) may be; one, itself, if there is nothing to undo."""
         core = token.strip(_EDGES)
-        if _CLEAN.fullmatch(core) and not _TRIPLE.search(core):
-            found = [core]
-            odd = core != token and any(c in LOOKS for c in token.replace(core, "", 1)[:3]) and len(token) <= len(core) + 2
-            return tuple(dict.fromkeys(found + self.readings(token) if odd else found))
+        if _CLEAN.fullmatch(core):
+            odd = _DOUBLE.search(core) or core != token and any(c in LOOKS for c in token.replace(core, "", 1))
+            return tuple(dict.fromkeys([core, *(self.readings(token.strip(_QUIET)) if odd else [])]))
         if not any(c.isalpha() for c in token) and not (3 <= len(core) <= 12 and any(c in LOOKS for c in core)):
             return ()
         parts = [p for p in _CLEAN.findall(core) if len(p) > 1]
@@ -141,7 +146,7 @@ class Language:
                 words = memo[token] = self.words(token)
             found.update(words)
         for run in _SPACED.finditer(low):
-            for reading in self.readings(run.group()[::2], True):
+            for reading in self.readings(unspaced(run.group()), True):
                 found.update(reading.split())
         return found
 

@@ -144,6 +144,13 @@ def test_words_are_restored(language, written, meant):
     assert meant in language.restored(f"the {written} and", {})
 
 
+@pytest.mark.parametrize("written, meant", [
+    ("stuupid", "stupid"), ("iidiot", "idiot"), ("mooron", "moron"), ("$$$tupid", "stupid"), ("i - d - i - o - t", "idiot"),
+    ("m  o  r  o  n", "moron"), ("m..o..r..o..n", "moron"), ("-" * 5000 + "x", "x")])
+def test_doubled_marked_and_widely_spaced_words_are_restored(language, written, meant):
+    assert meant in language.restored(f"the {written} and", {})
+
+
 def test_spaced_words_are_restored(language):
     assert {"idiot", "stupid"} <= language.restored("you i d i o t and s-t-u-p-i-d", {})
     assert language.restored(None, {}) == set() == language.restored("", {})
