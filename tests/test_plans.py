@@ -3,6 +3,9 @@
 import contextlib
 import io
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +54,17 @@ def test_shares_shuffle_counts_not_rows(spark):
     from kinpanel.operators.aggregates import class_shares
 
     assert "partial_count" in plan(class_shares(df, ["a"], ["b"]))
+
+
+@pytest.mark.parametrize("gone", [["kinpanel/llm", "tests/llm"], ["kinpanel/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_the_rest_works_without_the_training_data_operators(tmp_path, gone):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    left = {os.path.join(root, g) for g in gone}
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [
+        n for n in names if os.path.join(folder, n) in left or n in (".git", "__pycache__")])
+    code = ("import __spark_entry__ as e; from kinpanel.session import build_session; s = build_session('t', 'local[2]', 2, "
+            "spark__ui__enabled='false'); n = e.queries(); assert not any(k.startswith('op') or k == 'pipeline' for k in n); "
+            f"assert not set(e.oracle_sql()) - set(n); assert n['share_within_group'](s, {SF!r}).count() > 0")
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=300,
+                          env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
+    assert done.returncode == 0, done.stderr[-2000:]
