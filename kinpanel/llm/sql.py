@@ -165,3 +165,39 @@ SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
 FROM n JOIN below b ON b.path = n.path LEFT JOIN children k ON k.path = n.path
 LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]
 """
+
+_UTF8 = """flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128
+  THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + CAST(unicode(x) >> 6 AS BIGINT), 128 + CAST(unicode(x) & 63 AS BIGINT)] END))"""
+
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents
+), hashed AS (
+  SELECT run, count(*) AS n, {crc32_of(_UTF8)} AS h FROM runs GROUP BY doc, run
+), slipped AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2)
+            ELSE run END AS word FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), rests AS (
+  SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest
+  FROM (SELECT *, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM words)
+), near AS (
+  SELECT DISTINCT a.word AS a, b.word AS b, b.n FROM rests a JOIN rests b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT r.word, w.word, w.n FROM rests r JOIN words w ON w.word = r.rest
+  UNION SELECT w.word, r.word, r.n FROM rests r JOIN words w ON w.word = r.rest
+), best AS (
+  SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, encode(b)) AS near, max(n) AS near_n FROM near GROUP BY a
+), told AS (
+  SELECT word, CASE WHEN near_n >= 2 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best ON a = word
+), chain(word, root, step) AS (
+  SELECT word, word, 0 FROM told
+  UNION ALL SELECT c.word, t.form, step + 1 FROM chain c JOIN told t ON t.word = c.root WHERE t.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN ends USING (word)
+"""
