@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinpanel.llm import ann, chosenpath, gru, mixing, paragraphs, prefixtrie, quality, spelling, sql, suffixes, toxicity, warc, wumanber
+from kinpanel.llm import ann, chosenpath, gru, mixing, paragraphs, pii, prefixtrie, quality, spelling, sql, suffixes, toxicity, warc, wumanber
 from kinpanel.llm.common import table
 from kinpanel.llm.registry import ORACLES, QUERIES, query
 from kinpanel.session import scratch_path
@@ -87,3 +87,8 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants", sql.SPELLING)
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))

@@ -73,7 +73,7 @@ def corpus(rng, docs, bases, alphabet="abcéÀ"):
     return [(i, " ".join(words[i::docs])) for i in range(docs)]
 
 
-@pytest.mark.parametrize("options", [{}, {"common": 3}, {"common": 3, "longest": 2}, {"common": 100_000, "longest": 1}])
+@pytest.mark.parametrize("options", [{}, {"common": 3, "longest": 2}])
 def test_all_pairs_one_edit_apart_are_found(spark, options):
     pairs = corpus(random.Random(5), 40, 300)
     want = brute(pairs)
