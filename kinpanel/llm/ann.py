@@ -138,16 +138,20 @@ def learn(x: np.ndarray, total: int) -> Router:
     router = Router(x.shape[1], parts)
     if depth == 0:
         return router
+    # an eighth of the sample is held out of the fit, to measure visits on vectors that the router has not seen
+    asked, x = x[::8], np.delete(x, np.s_[::8], axis=0)
     near = neighbours(x, NEIGHBOURS)
     part = balanced_parts(near, depth)
     target = 0.5 * np.eye(parts)[part] + 0.5 * np.eye(parts)[part[near]].mean(1)
     router.fit(x, target)
-    # visits: measured with the router's own assignment, on the sample's exact neighbours
-    order = np.argsort(-router.logits(x), axis=1, kind="stable")
-    at = np.empty_like(order)
-    np.put_along_axis(at, order, np.arange(parts)[None].repeat(len(x), 0), 1)
-    needed = np.take_along_axis(at, order[:, 0][near], 1)
-    found = np.bincount(needed.reshape(-1), minlength=parts).cumsum() / needed.size
+    own = router.logits(x).argmax(1)
+    norms, order, needed = (x * x).sum(1), np.argsort(-router.logits(asked), axis=1, kind="stable"), []
+    for k, q in enumerate(asked):
+        exact = np.argpartition(norms - 2 * x @ q, NEIGHBOURS - 1)[:NEIGHBOURS]
+        place = np.empty(parts, dtype=np.int64)
+        place[order[k]] = np.arange(parts)
+        needed.append(place[own[exact]])
+    found = np.bincount(np.concatenate(needed), minlength=parts).cumsum() / (len(asked) * NEIGHBOURS)
     router.visits = int(np.argmax(found >= TARGET)) + 1
     return router
 
@@ -202,8 +206,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "emb
     all_entries = checkpointed(entries(own, k + 1))
     total = all_entries.count()
     share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    sample = all_entries.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec", "key").limit(SAMPLE)
-    drawn = [np.frombuffer(r["vec"]) for r in sorted(sample.collect(), key=lambda r: bytes(r["key"]))]
+    sample = all_entries.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec", "key")
+    # about a fifth more than SAMPLE, of which the first by key are taken
+    drawn = [np.frombuffer(r["vec"]) for r in sorted(sample.collect(), key=lambda r: bytes(r["key"]))[:SAMPLE]]
     router = learn(np.array(drawn), total) if drawn else Router(1, 1)
     routed = checkpointed(_routed(all_entries, router, 1))
     sizes = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
@@ -220,7 +225,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "emb
 
     named = checkpointed(asked.mapInArrow(name, "id long, key binary, vec binary"))
     distinct = named.groupBy("key").agg(F.first("vec").alias("vec")).withColumn("ids", F.lit(None).cast("array<long>"))
-    wide = _routed(distinct, router, router.visits).withColumn("n", blocks).filter("n > 0")
+    wide = _routed(distinct, router, router.visits, np.array([sizes.get(p, 0) for p in range(len(router.d))]), k + 1).withColumn("n", blocks).filter("n > 0")
     wide = wide.select("part", F.explode(F.expr("sequence(0, cast(n - 1 as int))")).alias("block"), F.lit(1).alias("kind"), "key", "vec", "ids")
     dealt = spread.union(wide).repartition("part", "block").sortWithinPartitions("part", "block", "kind")
     hits = dealt.mapInArrow(_searcher(k + 1), "key binary, id long, score double")
@@ -233,16 +238,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "emb
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_), F.col("hit.score").alias("score"))
 
 
-def _routed(df: DataFrame, router: Router, visits: int) -> DataFrame:
-    """``df`` (key, vec, ids) with the part; a row for each of the likeliest ``visits`` parts."""
+def _routed(df: DataFrame, router: Router, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """``df`` (key, vec, ids) with the part; a row for each of the likeliest ``visits`` parts.
+
+    With the sizes of all parts, a row goes on to further parts until those it goes to hold ``least`` vectors.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column("vec").to_pylist())).reshape(batch.num_rows, -1)
-            parts = np.argsort(-router.logits(x), axis=1, kind="stable")[:, :visits]
-            again = batch.take(pa.array(np.repeat(np.arange(len(x)), parts.shape[1])))
-            yield pa.RecordBatch.from_arrays([*again.columns, pa.array(parts.reshape(-1).astype(np.int32))], names=[*again.schema.names, "part"])
+            order = np.argsort(-router.logits(x), axis=1, kind="stable")
+            number = np.full(len(x), visits)
+            if sizes is not None:
+                held = sizes[order].cumsum(1)
+                number = np.maximum(number, np.minimum((held < least).sum(1) + 1, order.shape[1]))
+            again = batch.take(pa.array(np.repeat(np.arange(len(x)), number)))
+            parts = order[np.arange(order.shape[1])[None] < number[:, None]]
+            yield pa.RecordBatch.from_arrays([*again.columns, pa.array(parts.astype(np.int32))], names=[*again.schema.names, "part"])
 
     return df.select("key", "vec", "ids").mapInArrow(run, "key binary, vec binary, ids array<long>, part int")
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_runs(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters in lower case; numbers such as one half or a Roman numeral sign are none."""
+    out = []
+    for run in _LETTERS.findall(text.lower()) if text else []:
+        out += [run] if run.isalpha() else ["".join(part) for letters, part in groupby(run, str.isalpha) if letters]
+    return out
 
 
 def packed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

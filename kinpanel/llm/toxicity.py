@@ -90,9 +90,13 @@ class Language:
         return value
 
     def readings(self, token: str, spaced: bool = False) -> list[str]:
-        """Likeliest letter strings behind the token, best first; in a spaced run a blank may end a word."""
+        """Likeliest letter strings behind each piece of the token, best first."""
+        return [r for begin in range(0, len(token), PIECE) for r in self._piece(token[begin:begin + PIECE], spaced)]
+
+    def _piece(self, piece: str, spaced: bool) -> list[str]:
+        """Likeliest letter strings behind a short token; in a spaced run a blank may end a word."""
         paths = [(0.0, "", "^^", "")]
-        for char in token[:PIECE]:
+        for char in piece:
             options = [(char, 0.0)] if char in _LETTERS or char.isalpha() else []
             options += [(c, SUBSTITUTED) for c in LOOKS.get(char, "")]
             if not char.isalpha():
@@ -111,9 +115,7 @@ class Language:
                         self._keep(grown, (ended, text + " " + letter, "^" + symbol, char))
             paths = sorted(grown.values(), key=lambda p: (-p[0], p[1]))[:BEAM]
         ends = sorted(((s + self.score(last + "^"), text) for s, text, last, _ in paths if text), key=lambda p: (-p[0], p[1]))
-        rest = token[PIECE:]
-        out = list(dict.fromkeys(text for _, text in ends))[:READINGS]
-        return out + self.readings(rest, spaced) if rest else out
+        return list(dict.fromkeys(text for _, text in ends))[:READINGS]
 
     @staticmethod
     def _keep(grown: dict, path: tuple[float, str, str, str]) -> None:
@@ -207,9 +209,14 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
     if usable is not None:
         known = known.filter(usable)
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.withColumn("__n", F.row_number().over(first)).filter(
-        F.col("__n") <= F.when(F.col("toxic") == 1, POSITIVE).otherwise(NEGATIVE)).select("doc_id", "toxic")
+    # a hash below a bound per class leaves about twice the wanted rows to be ranked
+    known = known.withColumn("__k", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    most = F.when(F.col("toxic") == 1, POSITIVE).otherwise(NEGATIVE)
+    share = F.when(F.col("toxic") == 1, 2.0 * POSITIVE / size.get(1, 1)).otherwise(2.0 * NEGATIVE / size.get(0, 1))
+    first = Window.partitionBy("toxic").orderBy("__k", "doc_id")
+    drawn = known.filter(F.col("__k") < share * (1 << 30)).withColumn("__n", F.row_number().over(first)).filter(
+        F.col("__n") <= most).select("doc_id", "toxic")
     # at most POSITIVE + NEGATIVE rows of two numbers
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 

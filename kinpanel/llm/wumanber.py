@@ -9,7 +9,8 @@ block gives the patterns whose head ends there, and each is compared in full.
 Defined cases: a null or wordless document has no words and no hits; a null, wordless or repeated item gives no new
 patterns (items that share a window are all counted); items shorter than 13 words are one window; long documents are
 searched whole. Benchmarks of any size work: patterns are dealt into groups of at most ``GROUP_PATTERNS`` and the
-documents pass one searcher after the other, so a task holds one bounded group at a time per searcher.
+documents pass one searcher after the other; after ``PASSES`` of them their state is written and the groups are given back.
+Windows of an item with a null id are searched as well; all such items count as one, which adds no id to the hash.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinpanel.llm.common import with_fields
+from kinpanel.session import checkpointed
 
 WIDTH = 13
 #: bytes per shift-table block; long enough that blocks of other text are rarely among the patterns'
 BLOCK = 12
 #: patterns of one searcher
 GROUP_PATTERNS = 100_000
+#: groups that the rows pass before their state is written
+PASSES = 4
 #: heads shorter than this are searched apart, so that a one-word item does not shorten everybody's moves
 SHORT_HEAD = 24
 
@@ -86,12 +90,13 @@ def _groups(benchmark: DataFrame, width: int) -> Iterator[list[tuple[bytes, list
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(w, i) for i, t in zip(ids, texts) if i is not None for w in windows_of(t, width)]
+            rows = [(w, i) for i, t in zip(ids, texts) for w in windows_of(t, width)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in rows], pa.binary()), pa.array([i for _, i in rows], pa.string())], ["window", "item"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    windows = items.mapInArrow(cut, "window binary, item string").distinct()
+    # read for the count and once for every group
+    windows = checkpointed(items.mapInArrow(cut, "window binary, item string").distinct())
     parts = -(-windows.count() // GROUP_PATTERNS)
     for part in range(parts):
         own = windows.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
@@ -142,7 +147,7 @@ def _pass(patterns, first: bool, last: bool, kept: list[str]):
                     before, known = next(old)
                     found += np.frombuffer(before, dtype=np.int64).reshape(-1, 2).tolist()
                     ids.update(known)
-                items.append(sorted(ids))
+                items.append(sorted(ids, key=lambda i: (i is None, i or "")))
                 if last:
                     mask = _mask(text, found)
                     total.append(len(mask))
@@ -174,10 +179,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     now = docs.select(*kept, F.col("text").cast("binary").alias("__joined"))
     between = with_fields(plain, __joined="binary", __spans="binary", items="array<string>")
     done = with_fields(plain, n_words="long", n_hit="long", items="array<string>", hit_words="binary")
-    waiting, first = None, True
+    waiting, first, used = None, True, []
     for group in _groups(benchmark, width):
         if waiting is not None:
             now, first = now.mapInArrow(_pass(waiting, first, False, kept), between), False
+            used.append(waiting)
+            if len(used) == PASSES:
+                # the rows' state is written, so that no more than so many groups are held at a time
+                now = checkpointed(now)
+                for done_with in used:
+                    done_with.destroy()
+                used = []
         waiting = sc.broadcast(group)
     return now.mapInArrow(_pass(waiting, first, True, kept), done)
 
