@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinpanel.functions.expressions import Rule, choose
 from kinpanel.operators.ordering import exact_quantiles
-from kinpanel.operators.scale import attach_stats, join_counted, salted_join
+from kinpanel.operators.scale import attach_counted, attach_stats, join_counted, salted_join, written_stats
+from kinpanel.session import checkpointed
 
 
 def entity_min(df: DataFrame, entity: Sequence[str], value: str, out: str, propagate_null: bool = False,
@@ -25,7 +26,16 @@ def entity_min(df: DataFrame, entity: Sequence[str], value: str, out: str, propa
         whole = Window.partitionBy(*entity)
         found = found.over(whole)
         return df.withColumn(out, F.when(gaps.over(whole) == 0, found) if propagate_null else found)
-    return attach_stats(df, list(entity), **{out: F.when(gaps == 0, found) if propagate_null else found})
+    return entity_minima(df, entity, {out: (value, propagate_null)})
+
+
+def entity_minima(df: DataFrame, entity: Sequence[str], answers: Mapping[str, tuple[str, bool]]) -> DataFrame:
+    """``entity_min`` of several answers at once: {new column: (answer, propagate_null)}."""
+    aggs = {}
+    for out, (value, propagate_null) in answers.items():
+        gaps = F.count(F.when(F.col(value).isNull(), 1))
+        aggs[out] = F.when(gaps == 0, F.min(value)) if propagate_null else F.min(value)
+    return attach_stats(df, list(entity), **aggs)
 
 
 def ever_flag(df: DataFrame, entity: Sequence[str], flag: str, out: str) -> DataFrame:
@@ -57,25 +67,35 @@ def aligned_lists(df: DataFrame, keys: Sequence[str], **columns: str) -> DataFra
     return grouped.select(*keys, *[F.col("__rows")[n].alias(n) for n in names])
 
 
-def unambiguous(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows of groups with exactly one distinct value. Equal minimum and maximum say so without counting distinct."""
-    marked = attach_stats(df, list(keys), __lo=F.min(value), __hi=F.max(value))
-    return marked.filter(F.col("__lo") == F.col("__hi")).drop("__lo", "__hi")
+def _by_distinct(df: DataFrame, keys: Sequence[str], value: str, **more: str) -> DataFrame:
+    """Rows, distinct values and greatest values of further columns per group, counted by (group, value) first.
+
+    A hot group is so split over its own values before it meets in one row.
+    """
+    per_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__rows"), *[F.max(c).alias(n) for n, c in more.items()])
+    return per_value.groupBy(*keys).agg(F.sum("__rows").alias("__rows"), F.count(value).alias("__kinds"),
+                                        *[F.max(n).alias(n) for n in more])
+
+
+def unambiguous(df: DataFrame, keys: Sequence[str], value: str, kinds: str | None = None) -> DataFrame:
+    """Rows of groups with exactly one distinct value; ``kinds`` names the distinct count, if it is to stay."""
+    marked = attach_counted(df, list(keys), _by_distinct(df, keys, value)).filter(F.col("__kinds") == 1)
+    return marked.withColumnRenamed("__kinds", kinds) if kinds else marked.drop("__kinds")
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Number of distinct values of the row's group on every row."""
-    per_group = df.groupBy(*keys).agg(F.countDistinct(value).alias(out))
-    return salted_join(df, per_group, list(keys), "inner", null_safe=True)
+    return attach_counted(df, list(keys), _by_distinct(df, keys, value)).withColumnRenamed("__kinds", out)
 
 
 def class_shares(df: DataFrame, outer: Sequence[str], inner: Sequence[str], entity: str | None = None,
-                 n: str = "n", share: str = "share") -> DataFrame:
+                 n: str = "n", share: str = "share", weight: str | None = None) -> DataFrame:
     """Rows (or distinct entities) per outer x inner class and their share of the outer class.
 
-    The large input is reduced to one row per class in one pass; the outer totals come from that small table.
+    The large input is reduced to one row per class in one pass; the outer totals come from that small table. With
+    ``weight`` a row stands for as many rows, as after counting below a join.
     """
-    size = F.count(F.lit(1)) if entity is None else F.countDistinct(entity)
+    size = F.sum(weight) if weight else F.count(F.lit(1)) if entity is None else F.countDistinct(entity)
     counts = df.groupBy(*outer, *inner).agg(size.alias(n))
     if not outer:
         total = counts.agg(F.sum(n).alias("__t")).scalar()
@@ -114,10 +134,8 @@ def fewer_distinct(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFr
 def reconciled_size(df: DataFrame, keys: Sequence[str], member: str, order: str, listed: Column,
                     out: str) -> DataFrame:
     """Group size as the greatest of: members listed on the row, distinct members seen, largest order number."""
-    per_group = df.groupBy(*keys).agg(F.countDistinct(member).alias("__seen"), F.max(order).alias("__last"))
-    joined = salted_join(df, per_group, list(keys), "inner", null_safe=True)
-    return joined.withColumn(out, F.greatest(listed, F.col("__seen"), F.col("__last")).cast("int")).drop(
-        "__seen", "__last")
+    joined = attach_counted(df, list(keys), _by_distinct(df, keys, member, __last=order))
+    return joined.withColumn(out, F.greatest(listed, F.col("__kinds"), F.col("__last")).cast("int")).drop("__kinds", "__last")
 
 
 def has_other_class(df: DataFrame, keys: Sequence[str], value: str, out: str, small_groups: bool = False) -> DataFrame:
@@ -137,6 +155,23 @@ def has_other_class(df: DataFrame, keys: Sequence[str], value: str, out: str, sm
 
 def longest_list(df: DataFrame, keys: Sequence[str], items: str) -> DataFrame:
     """Distinct (keys, list) rows whose list is the longest of the group, ties kept."""
-    lists = df.select(*keys, items).distinct().withColumn("__len", F.coalesce(F.size(items), F.lit(0)))
-    best = lists.groupBy(*keys).agg(F.max("__len").alias("__len"))
-    return salted_join(lists, best, [*keys, "__len"], "left_semi", null_safe=True).drop("__len")
+    return _longest(df, list(keys), items)[0]
+
+
+def _longest(df: DataFrame, keys: list[str], items: str) -> tuple[DataFrame, DataFrame | None]:
+    """The longest lists and the hot keys of ``df``. Rows are reduced to distinct lists, which are written, once."""
+    lists = checkpointed(df.groupBy(*keys, items).agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__len", F.coalesce(F.size(items), F.lit(0))))
+    stats, hot = written_stats(lists.groupBy(*keys).agg(F.max("__len").alias("__best"), F.sum("__n").alias("__rows")), keys)
+    # a group has at most as many lists as rows
+    best = salted_join(lists, stats, keys, "inner", null_safe=True, check=False, hot=hot)
+    return best.filter(F.col("__len") == F.col("__best")).drop("__len", "__best", "__n"), hot
+
+
+def with_longest_list(df: DataFrame, rows: DataFrame, keys: Sequence[str], items: str) -> DataFrame:
+    """``rows`` with the longest lists that their group has in ``df``, one row for each; none leaves the list empty.
+
+    ``df`` holds every row of ``rows`` at least once, so the rows of its keys say which are hot.
+    """
+    longest, hot = _longest(df, list(keys), items)
+    return salted_join(rows, longest.filter(F.col(items).isNotNull()), list(keys), "left", check=False, hot=hot)

@@ -18,7 +18,7 @@ from kinpanel.functions import expressions as E
 from kinpanel.operators import aggregates as G
 from kinpanel.operators.joins import apart_together, asof_join, excluding, membership, only_members
 from kinpanel.operators.reshape import stacked
-from kinpanel.operators.scale import hot_keys, keep_at_extreme, salted_join
+from kinpanel.operators.scale import keep_at_extreme, salted_join, written_stats
 from kinpanel.session import checkpointed
 
 
@@ -104,7 +104,7 @@ def assign_parents(pairs: DataFrame, persons: DataFrame, tie: int, wave: str = "
     born = persons.select(F.col("idind").alias("kid_id"), wave, "year", "birth_year").distinct()
     rows = checkpointed(couples.join(born, ["kid_id", wave]))
     group = [wave, "birth_year", "year"]
-    # the ambiguous groups are few: found by aggregates, taken out by a join that does not move the rows
+    # the ambiguous groups are few: found by aggregates, taken out by joins that do not move the rows
     kept = excluding(rows, [*group, "mother_id"], contradictory(rows, [*group, "mother_id"], "father_id"), True)
     kept = excluding(kept, [*group, "father_id"], contradictory(rows, [*group, "father_id"], "mother_id"), True)
     kept = kept.select("year", wave, household, "kid_id", "father_id", "mother_id", "relatives_list",
@@ -118,13 +118,18 @@ def contradictory(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.col("__lo") != F.col("__hi")).select(*keys)
 
 
-def sibling_order(children: DataFrame, couple: Sequence[str], born: str, out: str = "kid_order") -> DataFrame:
+def sibling_order(children: DataFrame, couple: Sequence[str], born: str, out: str = "kid_order",
+                  one_per_wave: bool = False) -> DataFrame:
     """Birth order among the children of a couple; equal birth years share a place and leave no gap.
 
     A child with an unknown birth year stays, without a place.
 
-    Ranked over the distinct birth years of a couple, which are few however many rows the couple has.
+    Ranked over the distinct birth years of a couple, which are few however many rows the couple has. ``one_per_wave`` says
+    that a child has at most one row per survey wave: a couple's rows are then few, too, and a window ranks them directly.
     """
+    if one_per_wave:
+        place = F.dense_rank().over(Window.partitionBy(*couple).orderBy(F.col(born).asc_nulls_last()))
+        return children.withColumn(out, F.when(F.col(born).isNotNull(), place))
     years = children.select(*couple, born).dropna(subset=[born]).distinct()
     ranked = years.withColumn(out, F.dense_rank().over(Window.partitionBy(*couple).orderBy(born)))
     return salted_join(children, ranked, [*couple, born], "left", null_safe=True)
@@ -167,7 +172,7 @@ def observation_panel(persons: DataFrame, children: DataFrame, facts: DataFrame,
         F.col("idind").alias("kid_id"), F.col("year").alias("obs_year"),
         F.col("univ_diploma").alias("kid_univ_diploma"), "gender", "age", "profession_code", "origsm")
     # a person has few distinct years: no need to cut time
-    panel = asof_join(seen, children, ["kid_id"], "obs_year", "year", "inner", buckets=1, check=False).drop("year")
+    panel = asof_join(seen, children, ["kid_id"], "obs_year", "year", "inner", few_times=True).drop("year")
     known = known_flags(persons, "idind", "year", "univ_diploma")
     panel = with_parent_flag(panel, known, "father_id", "obs_year", "father_univ_diploma", from_first_true)
     panel = with_parent_flag(panel, known, "mother_id", "obs_year", "mother_univ_diploma", from_first_true)
@@ -199,8 +204,8 @@ def lagged_attribute(panel: DataFrame, entity: str, time: str, age: str, max_age
                      sample: DataFrame | None = None) -> DataFrame:
     """Value of ``value`` at the entity's latest observation with age <= ``max_age`` not after the row's time."""
     young = panel.filter(F.col(age) <= max_age).select(entity, F.col(value).alias(out), F.col(time).alias(f"{out}_time"))
-    return asof_join(panel if sample is None else sample, young, [entity], time, f"{out}_time", "left", buckets=1,
-                     check=sample is None)
+    # the rows of a sample are few per person
+    return asof_join(panel if sample is None else sample, young, [entity], time, f"{out}_time", "left", few_times=sample is not None)
 
 
 def analysis_sample(panel: DataFrame, seen: DataFrame, rules: SampleRules, excluded: DataFrame | None = None,
@@ -211,14 +216,15 @@ def analysis_sample(panel: DataFrame, seen: DataFrame, rules: SampleRules, exclu
     """
     family = ["year", "mother_id", "father_id"]
     panel = checkpointed(panel)
-    # one aggregate serves the longest list and the reconciled number of children
-    stats = panel.groupBy(*family).agg(
-        F.countDistinct("kid_id").alias("__seen"), F.max("kid_order").alias("__last"),
-        F.max(A.length(F.col("relatives_list"))).alias("__longest"))
-    hot = hot_keys(panel, family)
-    rows = salted_join(panel, stats, family, "inner", hot=hot)
+    # one aggregate serves the longest list, the reconciled number of children and the hot families
+    per_kid = panel.groupBy(*family, "kid_id").agg(
+        F.count(F.lit(1)).alias("__rows"), F.max("kid_order").alias("__last"), F.max(A.length(F.col("relatives_list"))).alias("__longest"))
+    stats, hot = written_stats(per_kid.groupBy(*family).agg(
+        F.sum("__rows").alias("__rows"), F.count("kid_id").alias("__seen"), F.max("__last").alias("__last"),
+        F.max("__longest").alias("__longest")), family)
+    rows = salted_join(panel, stats, family, "inner", check=False, hot=hot)
     lists = rows.filter(A.length(F.col("relatives_list")) == F.col("__longest")).select(*family, "relatives_list").distinct()
-    rows = salted_join(rows.drop("relatives_list", "relatives_slots", "__longest"), lists, family, "left", hot=hot)
+    rows = salted_join(rows.drop("relatives_list", "relatives_slots", "__longest"), lists, family, "left", check=False, hot=hot)
     listed = A.count_value(F.col("relatives_list"), rules.sibling_code) + 1
     rows = checkpointed(rows.withColumn("kids_num", F.greatest(listed, F.col("__seen"), F.col("__last")).cast("int"))
                         .drop("__seen", "__last"))

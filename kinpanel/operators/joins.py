@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinpanel.operators.ordering import bucket_splits, with_bucket
+from kinpanel.operators.ordering import PART, latest_before
+from kinpanel.operators import scale
 from kinpanel.operators.scale import join_counted, salted_join
-from kinpanel.session import checkpointed
+from kinpanel.session import checkpointed, checkpointed_with
 
 
 def membership(df: DataFrame, key: str, members: DataFrame, out: str, check: bool = True) -> DataFrame:
@@ -35,69 +36,48 @@ def only_members(df: DataFrame, keys: Sequence[str], members: DataFrame) -> Data
     return salted_join(df, members.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def _matched_times(left: DataFrame, right: DataFrame, keys: list[str], buckets: int | None) -> DataFrame:
-    """(keys, __lt, __rt): for each distinct left time the latest right time at or before it.
-
-    Works on distinct (key, time) marks. A key with very many distinct times is cut into time buckets: the latest right
-    time of earlier buckets is carried in, so no task orders more than one bucket of one key.
-    """
-    marks = (
-        left.select(*keys, F.col("__lt").alias("__t"), F.lit(0).alias("__right")).distinct()
-        .unionByName(right.select(*keys, F.col("__rt").alias("__t"), F.lit(1).alias("__right")).distinct())
-        .dropna(subset=[*keys, "__t"])
-        .groupBy(*keys, "__t").agg(F.max("__right").alias("__right"), F.min("__right").alias("__only_right"))
-    )
-    seen = F.when(F.col("__right") == 1, F.col("__t"))
-    if buckets != 1:
-        # read for the cuts, the last times of the buckets and the rows
-        marks = checkpointed(marks.withColumn("__n", _as_number(marks, "__t")))
-        splits = bucket_splits(marks, "__n", buckets)
-    if buckets != 1 and splits:
-        marks = with_bucket(marks, "__n", splits)
-        per_bucket = marks.groupBy(*keys, "__bucket").agg(F.max(seen).alias("__last"))
-        earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        carried = per_bucket.select(
-            *[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__bucket").alias("__c_bucket"),
-            F.max("__last").over(earlier).alias("__carry"))
-        cond = [marks[k] == carried[f"__c_{k}"] for k in keys] + [marks["__bucket"] == carried["__c_bucket"]]
-        marks = marks.join(carried, cond)
-        inside = Window.partitionBy(*keys, "__bucket").orderBy("__t")
-        found = F.coalesce(F.last(seen, ignorenulls=True).over(inside), F.col("__carry"))
-    else:
-        found = F.last(seen, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__t"))
-    return (
-        marks.withColumn("__rt", found)
-        .filter((F.col("__only_right") == 0) & F.col("__rt").isNotNull())
-        .select(*keys, F.col("__t").alias("__lt"), "__rt")
-    )
-
-
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+def _hot_marks(marks: DataFrame, keys: list[str], time: str, count: str, most: int | None) -> DataFrame | None:
+    """Hot (key, time) pairs for ``salted_join``, from counts that stand with the marks."""
+    if (most or 0) <= scale.HOT_ROWS:
+        return None
+    return scale._salts(marks.select(*keys, F.col("__t").alias(time), F.col(count).alias("__rows")), [*keys, time], scale.HOT_ROWS)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-              how: str = "inner", buckets: int | None = None, check: bool = True) -> DataFrame:
+              how: str = "inner", parts: int | None = None, few_times: bool = False) -> DataFrame:
     """Each left row with every right row of the same key at the closest time not after the left time.
 
     All ties at that time are kept. NULL keys or times never match; ``left`` keeps unmatched rows. Apart from the keys
-    the two sides must not share column names. Cost is one ordering of distinct (key, time) marks and two equi-joins,
-    never the product of a key's left and right rows. The number of time cuts follows from the number of marks;
-    ``buckets=1`` skips them where a key has few times;
-    ``check=False`` skips the hot-key count where few left rows share key and time.
+    the two sides must not share column names. Left and right times are counted per key in one aggregate; these marks are
+    scanned in order over all tasks, so a key of any size is cut, and two equi-joins bring the rows back: never the product
+    of a key's left and right rows. The counts say which joins need salts. ``few_times`` says that a key has few
+    times and rows, as a person in a yearly survey has: a window per key is then enough. ``parts`` sets the number of
+    stretches of the scan.
     """
     keys = list(keys)
-    marked_left = left.withColumn("__lt", F.col(left_time))
-    marked_right = right.withColumn("__rt", F.col(right_time))
-    times = _matched_times(marked_left, marked_right, keys, buckets)
-    # right rows under each distinct left time; a right time that very many left times follow is cut into parts
-    lookup = salted_join(times, marked_right, [*keys, "__rt"], "inner", check=check).drop("__rt")
-    return salted_join(marked_left, lookup, [*keys, "__lt"], how, check=check).drop("__lt")
+    left, right = left.withColumn("__lt", F.col(left_time)), right.withColumn("__rt", F.col(right_time))
+
+    def told(rows: DataFrame, time: str, of_left: int) -> DataFrame:
+        return rows.select(*keys, F.col(time).alias("__t"), F.lit(of_left).alias("__l"), F.lit(1 - of_left).alias("__r"))
+
+    marks = told(left, "__lt", 1).unionByName(told(right, "__rt", 0)).dropna(subset=[*keys, "__t"]).groupBy(*keys, "__t").agg(
+        F.sum("__l").alias("__n_left"), F.sum("__r").alias("__n_right"))
+    seen = F.when(F.col("__n_right") > 0, F.col("__t"))
+    if few_times:
+        found = F.last(seen, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__t"))
+        times = marks.withColumn("__rt", found).filter((F.col("__n_left") > 0) & F.col("__rt").isNotNull()).select(
+            *keys, F.col("__t").alias("__lt"), "__rt")
+        lookup = salted_join(times, right, [*keys, "__rt"], "inner", check=False).drop("__rt")
+        return salted_join(left, lookup, [*keys, "__lt"], how, check=False).drop("__lt")
+    marks, most = latest_before(marks, keys, "__t", seen, "__rt", parts, left=F.max("__n_left"), right=F.max("__n_right"))
+    times = marks.filter((F.col("__n_left") > 0) & F.col("__rt").isNotNull()).select(*keys, F.col("__t").alias("__lt"), "__rt", PART)
+    # right rows under each distinct left time; very many left times may follow one right time, but in stretches
+    needed = times.select(*keys, "__rt", PART).distinct()
+    hot_right = _hot_marks(marks, keys, "__rt", "__n_right", most["right"])
+    lookup = salted_join(right, needed, [*keys, "__rt"], "inner", check=False, hot=hot_right)
+    lookup = salted_join(times, lookup, [*keys, "__rt", PART], "inner", check=False).drop("__rt", PART)
+    hot_left = _hot_marks(marks, keys, "__lt", "__n_left", most["left"])
+    return salted_join(left, lookup, [*keys, "__lt"], how, check=False, hot=hot_left).drop("__lt")
 
 
 def apart_together(sample: DataFrame, seen: DataFrame, entity: str, relatives: Sequence[str], until: str,
@@ -109,14 +89,17 @@ def apart_together(sample: DataFrame, seen: DataFrame, entity: str, relatives: S
     who = sample.groupBy(entity, *relatives).agg(F.max(until).alias("__until"))
     spots = seen.select(F.col(person).alias("__p"), F.col(wave).alias("__w"), F.col(place).alias("__h")).dropna().distinct()
     own = spots.select(F.col("__p").alias(entity), F.col("__w"), F.col("__h").alias("__own"))
-    # the distinct spots of one person are few; many entities may share a relative
+    # the distinct spots of one person are few; many entities may share a relative, so entities are counted per relative
+    shared = who.select(F.explode(F.array(*[F.struct(F.lit(r).alias("of"), F.col(r).cast("string").alias("id")) for r in relatives])).alias("r"))
+    _, most = checkpointed_with(shared.groupBy("r").agg(F.count(F.lit(1)).alias("n")), n=F.max("n"))
+    crowded = (most["n"] or 0) > scale.HOT_ROWS
     found = own.join(who, entity).filter(F.col("__w") <= F.col("__until"))
     for i, relative in enumerate(relatives):
-        if i:
+        if i and crowded:
             # a salted join reads its left side twice: cut the steps from each other
             found = checkpointed(found)
         other = spots.select(F.col("__p").alias(relative), F.col("__w"), F.col("__h").alias(f"__h{i}"))
-        met = salted_join(found, other, [relative, "__w"], "inner").filter(F.col("__own") != F.col(f"__h{i}"))
+        met = salted_join(found, other, [relative, "__w"], "inner", check=crowded).filter(F.col("__own") != F.col(f"__h{i}"))
         found = met.drop(relative, f"__h{i}")
     return found.select(entity).distinct()
 

@@ -1,70 +1,49 @@
-"""Running totals, exact quantiles and fixed-size selection without sorting a whole group in one task.
+"""Running totals, exact quantiles and scans in order without sorting a whole group in one task.
 
-Values are cut into ordered buckets. Per-bucket totals are few, so running over them is cheap; the rows of one bucket
-are a small slice of the distinct values, so finishing the order inside a bucket is cheap too.
+Rows are dealt out by ranges of (group, value), so a stretch holds neighbours in order, however many rows a group has. What
+a stretch adds up to is one row for each of its groups; carrying that from stretch to stretch gives every row what came
+before, and only the rows inside a stretch are put in order. The number of stretches is that of Spark's shuffle partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinpanel.session import checkpointed
+from kinpanel.session import checkpointed_with
 
-# rows (one per group and value) that a bucket aims at, and most buckets
-BUCKET_ROWS = 20_000
-MOST_BUCKETS = 10_000
+PART = "__part"
 
 
-def bucket_splits(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Cut points of ``value`` over the rows of ``df``, which has one row per group and value.
+def ranged(df: DataFrame, order: list[str], parts: int | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``df`` with ``__part``, its stretch in the order, as a written table, and what was observed on the way.
 
-    The number of buckets follows from the row count unless it is given. As rows are counted, not values, a group whose many
-    values lie close together gets its cuts there. Only the cut points reach the driver.
+    ``last`` is the number of the last stretch. The cuts come from a sample of the rows, the rows do not.
     """
-    rows = df.select(F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    if buckets is None:
-        buckets = min(MOST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
-    if buckets <= 1:
-        return []
-    # one literal instead of a call per number
-    probs = F.expr("array(" + ",".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
-    found = rows.agg(F.percentile_approx("__v", probs, F.lit(4 * buckets)).alias("s")).first()["s"]
-    return sorted(set(found or []))
-
-
-def with_bucket(df: DataFrame, value: str, splits: list[float], out: str = "__bucket") -> DataFrame:
-    """Ordered bucket number of ``value``; the cut points are literals, so a recomputed row keeps its bucket."""
-    if not splits:
-        return df.withColumn(out, F.lit(0.0))
-    cast = df.withColumn("__v", F.col(value).cast("double"))
-    points = [-float("inf"), *splits, float("inf")]
-    return Bucketizer(splits=points, inputCol="__v", outputCol=out, handleInvalid="keep").transform(cast).drop("__v")
-
-
-def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str], buckets: int | None = None) -> DataFrame:
+    dealt = df.repartitionByRange(*([parts] if parts else []), *order).withColumn(PART, F.spark_partition_id())
+    return checkpointed_with(dealt, last=F.max(PART), **metrics)
+
+
+def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str], parts: int | None = None) -> DataFrame:
     """Add ``before_<c>`` (total of c over smaller values) and ``total_<c>`` (of the group) for each c in ``sums``.
 
     ``df`` must hold one row per (groups, value): aggregate first.
     """
-    df = checkpointed(df)  # read for the cuts, the bucket totals and the rows
-    splits = bucket_splits(df, value, buckets)
-    if not splits:
-        # all rows fit one bucket
+    cut, seen = ranged(df, [*groups, value], parts)
+    if not seen["last"]:
+        # all rows are one stretch
         before, everyone = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
-        return df.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums}).withColumns(
-            {f"total_{c}": F.sum(c).over(everyone) for c in sums})
-    cut = with_bucket(df, value, splits)
-    per_bucket = cut.groupBy(*groups, "__bucket").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
-    # one row per bucket: at most `buckets` rows per group
+        return cut.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums}).withColumns(
+            {f"total_{c}": F.sum(c).over(everyone) for c in sums}).drop(PART)
+    per_part = cut.groupBy(*groups, PART).agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
+    # one row per stretch of a group
     everything = Window.partitionBy(*groups)
-    earlier = everything.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *groups, "__bucket",
+    earlier = everything.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select(
+        *groups, PART,
         *[F.coalesce(F.sum(f"__s_{c}").over(earlier), F.lit(0)).alias(f"__o_{c}") for c in sums],
         *[F.sum(f"__s_{c}").over(everything).alias(f"total_{c}") for c in sums])
-    keys = [*groups, "__bucket"]
+    keys = [*groups, PART]
     offsets = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
                              *[c for c in offsets.columns if c not in keys])
     cond = [cut[k].eqNullSafe(offsets[f"__k{i}"]) for i, k in enumerate(keys)]
@@ -72,29 +51,48 @@ def running_totals(df: DataFrame, groups: list[str], value: str, sums: list[str]
     joined = cut.join(offsets, cond, "inner")
     for c in sums:
         joined = joined.withColumn(f"before_{c}", F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return joined.drop("__bucket", *[f"__k{i}" for i in range(len(keys))], *[f"__o_{c}" for c in sums])
+    return joined.drop(PART, *[f"__k{i}" for i in range(len(keys))], *[f"__o_{c}" for c in sums])
+
+
+def latest_before(df: DataFrame, keys: list[str], time: str, seen: Column, out: str, parts: int | None = None,
+                  **metrics: Column) -> tuple[DataFrame, dict]:
+    """Add ``out``, the last non-null ``seen`` of the key at or before the row's time, and ``__part``.
+
+    ``df`` must hold one row per (keys, time). The last value of a stretch is carried to the stretches that its key goes on
+    in; a stretch has at most one key that began before it.
+    """
+    cut, found = ranged(df, [*keys, time], parts, **metrics)
+    if not found["last"]:
+        return cut.withColumn(out, F.last(seen, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(time))), found
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(*keys, PART).agg(F.max(seen).alias("__last")).withColumn("__carry", F.max("__last").over(earlier))
+    carried = carried.filter(F.col("__carry").isNotNull()).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col(PART).alias("__c_part"), "__carry")
+    cond = [cut[k] == carried[f"__c_{k}"] for k in keys] + [cut[PART] == carried["__c_part"]]
+    inside = F.last(seen, ignorenulls=True).over(Window.partitionBy(*keys, PART).orderBy(time))
+    return cut.join(carried, cond, "left").withColumn(out, F.coalesce(inside, F.col("__carry"))).drop(
+        "__carry", "__c_part", *[f"__c_{k}" for k in keys]), found
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
-                    buckets: int | None = None) -> DataFrame:
+                    parts: int | None = None) -> DataFrame:
     """Linearly interpolated (type 7) quantiles per group, one column per name in ``probs``; NULL values are skipped.
 
     ``percentile`` would hold every distinct value of a group in one task's memory; this finds the order statistics
     from running counts instead.
     """
     hist = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(hist, groups, value, ["n"], buckets)
+    ranked = running_totals(hist, groups, value, ["n"], parts)
     first, after = F.col("before_n"), F.col("before_n") + F.col("n")
-    parts = []
+    picks = []
     for name, p in probs.items():
         place = (F.col("total_n") - 1) * F.lit(float(p))
         low, high = F.floor(place), F.ceil(place)
-        parts += [
+        picks += [
             F.max(F.when((first <= low) & (low < after), F.col(value))).alias(f"__lo_{name}"),
             F.max(F.when((first <= high) & (high < after), F.col(value))).alias(f"__hi_{name}"),
             F.max(place - low).alias(f"__f_{name}"),
         ]
-    found = ranked.groupBy(*groups).agg(*parts)
+    found = ranked.groupBy(*groups).agg(*picks)
     return found.select(*groups, *[
         (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in probs])
 

@@ -31,9 +31,8 @@ def entity_min(spark, sf):
         "o_orderkey", "o_custkey",
         E.fallback(F.when(F.col("o_orderkey") % 3 != 0, F.col("year")), F.col("year")).alias("reported"),
         F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey")).alias("answer"))
-    once = G.entity_min(orders, ["o_custkey"], "reported", "first_year")
-    strict = G.entity_min(once, ["o_custkey"], "answer", "strict_min", propagate_null=True)
-    return strict.select("o_orderkey", "first_year", "strict_min")
+    both = G.entity_minima(orders, ["o_custkey"], {"first_year": ("reported", False), "strict_min": ("answer", True)})
+    return both.select("o_orderkey", "first_year", "strict_min")
 
 
 @query("ever_flag", """
@@ -84,19 +83,18 @@ WITH d AS (SELECT o_custkey, year(o_orderdate) AS year, count(DISTINCT o_orderst
 SELECT o_orderkey, o.o_custkey, o_orderstatus, kinds FROM orders o
 JOIN d ON d.o_custkey = o.o_custkey AND d.year = year(o_orderdate) WHERE kinds = 1""")
 def unambiguous_pairs(spark, sf):
-    keys = ["o_custkey", "year"]
-    kept = G.unambiguous(dated_orders(spark, sf), keys, "o_orderstatus")
-    counted = G.distinct_counts(kept, keys, "o_orderstatus", "kinds")
-    return counted.select("o_orderkey", "o_custkey", "o_orderstatus", "kinds")
+    orders = dated_orders(spark, sf).select("o_orderkey", "o_custkey", "o_orderstatus", "year")
+    return G.unambiguous(orders, ["o_custkey", "year"], "o_orderstatus", "kinds").select("o_orderkey", "o_custkey", "o_orderstatus", "kinds")
 
 
 @query("share_within_group", """
 WITH c AS (SELECT c_mktsegment, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 SELECT *, round(n / sum(n) OVER (PARTITION BY c_mktsegment), 6) AS share FROM c""")
 def share_within_group(spark, sf):
-    orders = table(spark, sf, "orders").select("o_custkey", "o_orderstatus")
+    # a customer's orders are counted by status before the join, so a hot customer is a few rows there
+    orders = table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("orders"))
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    shares = G.class_shares(salted_join(orders, customers, ["o_custkey"]), ["c_mktsegment"], ["o_orderstatus"])
+    shares = G.class_shares(orders.join(customers, "o_custkey"), ["c_mktsegment"], ["o_orderstatus"], weight="orders")
     return shares.withColumn("share", F.round("share", 6)).orderBy("c_mktsegment", "o_orderstatus")
 
 
@@ -170,8 +168,8 @@ def longest_list_join(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     lists = G.aligned_lists(table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"],
                             items="l_linenumber")
-    longest = G.longest_list(orders.join(lists, "o_orderkey"), ["o_custkey"], "items")
-    return salted_join(orders, longest, ["o_custkey"], "left").withColumn("items", A.joined(F.col("items")))
+    with_lists = orders.join(lists, "o_orderkey", "left")
+    return G.with_longest_list(with_lists, orders, ["o_custkey"], "items").withColumn("items", A.joined(F.col("items")))
 
 
 @query("exclusion_anti_join", """

@@ -174,6 +174,10 @@ class SurveyTables:
 
     @cached_property
     def pairs(self) -> DataFrame:
+        """Written, as the sample and the population it is compared with both read it."""
+        return checkpointed(self.read_pairs())
+
+    def read_pairs(self) -> DataFrame:
         roster = raw_roster(self.raw)
         words = roster_dictionary(self.spark)
         pick = [columns_by_label(words, p, roster.columns) for p in ("^relation of", "^number of", "^gender of")]
@@ -190,8 +194,7 @@ def parents(spark, sf, tables: SurveyTables) -> DataFrame:
 
 
 def panel_of(spark, sf, tables: SurveyTables) -> DataFrame:
-    known = checkpointed(parents(spark, sf, tables))
-    children = H.sibling_order(known, ["father_id", "mother_id"], "birth_year")
+    children = H.sibling_order(parents(spark, sf, tables), ["father_id", "mother_id"], "birth_year", one_per_wave=True)
     return H.observation_panel(tables.persons, children, tables.facts)
 
 
@@ -354,7 +357,7 @@ population AS (
 SELECT id_w, id_h, value, kid_id, gender, parent_id, parent_type, list_aggregate(relatives_list, 'string_agg', ',') AS relatives_list,
        list_aggregate(relatives_slots, 'string_agg', ',') AS relatives_slots FROM pairs""")
 def relation_pairs(spark, sf):
-    return listed(SurveyTables(spark, sf).pairs)
+    return listed(SurveyTables(spark, sf).read_pairs())
 
 
 @query("parent_assignment", PANEL_SQL + """

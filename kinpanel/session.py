@@ -9,7 +9,10 @@ import tempfile
 import uuid
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "kinpanel", master: str | None = None, shuffle_partitions: int | None = None,
@@ -79,16 +82,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _STAGES: list[str] = []
 
 
-def remove_stages(spark: SparkSession) -> int:
-    """Delete the stage tables written so far by this process; call it when no result that reads them is needed."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
-    while _STAGES:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         done += bool(path.getFileSystem(conf).delete(path, True))
     return done
 
 
+def remove_stages(spark: SparkSession) -> int:
+    """Delete the stage tables written so far by this process; call it when no result that reads them is needed."""
+    return _delete(spark, _STAGES)
+
+
+@contextmanager
+def own_stages(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the stage tables written in it: whatever reads them must be consumed in the block."""
+    before = list(_STAGES)
+    try:
+        yield
+    finally:
+        made = [p for p in _STAGES if p not in before]
+        _STAGES[:] = [p for p in _STAGES if p in before]
+        _delete(spark, made)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the shared folder now and return the table.
 
@@ -99,3 +118,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     _STAGES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed_with(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``checkpointed``, and aggregates of the rows that are observed while they are written, without a pass of their own.
+
+    A task that runs twice may be observed twice, so ask for a least or greatest value, or allow a count to be too high.
+    """
+    seen = Observation()
+    table = checkpointed(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]))
+    return table, seen.get

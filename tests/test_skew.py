@@ -78,7 +78,7 @@ def test_equal_rows_and_null_keys_are_spread(spark, how):
 
 
 def test_group_statistics_equal_a_window(skewed, listed, monkeypatch):
-    monkeypatch.setattr(K.salted_join, "__defaults__", ("inner", False, 300, True, None))
+    monkeypatch.setattr(K, "HOT_ROWS", 300)
     w = Window.partitionBy("k")
     want = skewed.withColumn("lo", F.min("v").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
     assert listed(K.attach_stats(skewed, ["k"], lo=F.min("v"), n=F.count(F.lit(1)))) == listed(want)
@@ -93,13 +93,15 @@ def test_counted_join_both_ways(skewed, spark, listed):
     assert "BroadcastHashJoin" in few._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
-def test_asof_against_brute_force(spark, listed, buckets):
+@pytest.mark.parametrize("options", [{"parts": 1}, {"parts": 7}, {"few_times": True}, {"parts": 40, "hot": 2}])
+def test_asof_against_brute_force(spark, listed, options, monkeypatch):
+    if "hot" in options:
+        monkeypatch.setattr(K, "HOT_ROWS", options.pop("hot"))
     draw = random.Random(5)
     left = [(draw.choice([1, 1, 1, 2, 3]), draw.randrange(60), i) for i in range(300)]
     right = [(draw.choice([1, 1, 2]), draw.randrange(60), 1000 + i) for i in range(80)]
     got = asof_join(spark.createDataFrame(left, "k int, lt int, l int"), spark.createDataFrame(right, "k int, rt int, r int"),
-                    ["k"], "lt", "rt", "left", buckets)
+                    ["k"], "lt", "rt", "left", **options)
     want = []
     for k, t, l in left:
         known = [x for x in right if x[0] == k and x[1] <= t]
@@ -111,7 +113,7 @@ def test_asof_against_brute_force(spark, listed, buckets):
 def test_exact_quantiles_against_numpy(spark):
     rng = np.random.default_rng(1)
     data = pd.DataFrame({"g": rng.integers(0, 3, 4000), "v": np.round(rng.lognormal(3, 2, 4000), 1)})
-    got = exact_quantiles(spark.createDataFrame(data), ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.99}, buckets=16)
+    got = exact_quantiles(spark.createDataFrame(data), ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.99}, parts=16)
     for row in got.collect():
         want = np.quantile(data.v[data.g == row["g"]], [0.25, 0.5, 0.99])
         assert np.allclose([row["a"], row["b"], row["c"]], want)
@@ -119,7 +121,7 @@ def test_exact_quantiles_against_numpy(spark):
 
 def test_running_totals_without_groups(spark):
     df = spark.createDataFrame([(float(i * 37 % 101), 1 + i % 4) for i in range(101)], "s double, n int")
-    got = {r["s"]: (r["before_n"], r["total_n"]) for r in running_totals(df, [], "s", ["n"], buckets=8).collect()}
+    got = {r["s"]: (r["before_n"], r["total_n"]) for r in running_totals(df, [], "s", ["n"], parts=8).collect()}
     sizes = {float(i * 37 % 101): 1 + i % 4 for i in range(101)}
     assert got == {s: (sum(n for t, n in sizes.items() if t < s), sum(sizes.values())) for s in sizes}
 
