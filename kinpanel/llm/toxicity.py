@@ -117,6 +117,21 @@ class Language:
         ends = sorted(((s + self.score(last + "^"), text) for s, text, last, _ in paths if text), key=lambda p: (-p[0], p[1]))
         return list(dict.fromkeys(text for _, text in ends))[:READINGS]
 
+    def _undoubled(self, core: str) -> list[str]:
+        """``readings`` of a word of letters only: its lattice is each doubled letter written once or twice."""
+        places = [i for i in range(1, len(core)) if core[i] == core[i - 1]]
+        if 2 ** len(places) > BEAM or len(core) > PIECE:
+            return self.readings(core)
+        best: dict[str, float] = {}
+        for choice in range(2 ** len(places)):
+            gone = {i for k, i in enumerate(places) if choice >> k & 1}
+            text = "".join(c for i, c in enumerate(core) if i not in gone)
+            if text not in best:
+                w = "^^" + plain(text) + "^"
+                total = REPEATED * len(gone) + sum(self.score(w[i:i + 3]) for i in range(len(w) - 2))
+                best[text] = total
+        return sorted(best, key=lambda t: (-best[t], t))[:READINGS]
+
     @staticmethod
     def _keep(grown: dict, path: tuple[float, str, str, str]) -> None:
         key = (path[1], path[2])
@@ -127,8 +142,9 @@ class Language:
         """Words that a written token (in lower case) may be; one, itself, if there is nothing to undo."""
         core = token.strip(_EDGES)
         if _CLEAN.fullmatch(core):
-            odd = _DOUBLE.search(core) or core != token and any(c in LOOKS for c in token.replace(core, "", 1))
-            return tuple(dict.fromkeys([core, *(self.readings(token.strip(_QUIET)) if odd else [])]))
+            marked = core != token and any(c in LOOKS for c in token.replace(core, "", 1))
+            odd = self.readings(token.strip(_QUIET)) if marked else self._undoubled(core) if _DOUBLE.search(core) else []
+            return tuple(dict.fromkeys([core, *odd]))
         if not any(c.isalpha() for c in token) and not (3 <= len(core) <= 12 and any(c in LOOKS for c in core)):
             return ()
         parts = [p for p in _CLEAN.findall(core) if len(p) > 1]

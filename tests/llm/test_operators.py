@@ -139,6 +139,16 @@ def test_number_signs_are_no_letters():
     assert gru.letter_runs("½ ² Ⅷ 12 _") == [] and gru.letter_runs("Ab½é c") == ["ab", "é", "c"]
 
 
+def test_doubled_letters_are_read_as_by_the_lattice():
+    words = ["stupid", "idiot", "moon", "good", "book", "trees", "aaron", "llama"]
+    grams = collections.Counter(g for w in words for w in ("^^" + w + "^",) for g in (w[i:i + 3] for i in range(len(w) - 2)))
+    language, rng = toxicity.Language(grams), random.Random(8)
+    for _ in range(300):
+        word = "".join(c * rng.choice([1, 1, 2, 3]) for c in rng.choice(words))
+        if sum(a == b for a, b in zip(word, word[1:])) <= 4:
+            assert language._undoubled(word) == language.readings(word)
+
+
 def test_very_long_tokens_are_read_to_their_end():
     language = toxicity.Language(collections.Counter({g: 5 for w in ("^^you^", "^^idiot^") for g in (w[i:i + 3] for i in range(len(w) - 2))}))
     assert len(language.words("4b" * 30_000)) > 1
