@@ -125,11 +125,15 @@ class Language:
         best: dict[str, float] = {}
         for choice in range(2 ** len(places)):
             gone = {i for k, i in enumerate(places) if choice >> k & 1}
-            text = "".join(c for i, c in enumerate(core) if i not in gone)
-            if text not in best:
-                w = "^^" + plain(text) + "^"
-                total = REPEATED * len(gone) + sum(self.score(w[i:i + 3]) for i in range(len(w) - 2))
-                best[text] = total
+            total, text, last = 0.0, "", "^^"
+            for i, c in enumerate(core):
+                if i in gone:
+                    total += REPEATED
+                else:
+                    symbol = c if c in _LETTERS else "?"
+                    total, text, last = total + self.score(last + symbol), text + c, last[1] + symbol
+            total += self.score(last + "^")
+            best[text] = max(total, best.get(text, total))
         return sorted(best, key=lambda t: (-best[t], t))[:READINGS]
 
     @staticmethod
