@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinpanel.stats.logit import design, independent_columns, solve_logit
+from kinpanel.operators.ordering import running_totals
 from kinpanel.session import checkpointed
-from kinpanel.stats.patterns import compress, spread_groups
+from kinpanel.stats.logit import TASKS, _independent_from_gram, newton, parts_at, run_together, summed, unpacked_sums
+from kinpanel.stats.patterns import compress
 
 Levels = Mapping[str, Sequence[object]]
 
 # hexadecimal digits that a round of counting looks at, and rows of a repetition that one task puts in order
 DIGITS = 3
 ORDERED_ROWS = 100_000
+# patterns that one block of a drawn split holds, before more blocks are made
+BLOCK_PATTERNS = 10_000
 
 
 def split_key(key: str, rep: Column, seed: str = "") -> Column:
@@ -88,39 +91,60 @@ def draw_split(counts: np.ndarray, size: int, rng: np.random.Generator) -> np.nd
     return taken + np.sign(gap) * moved
 
 
-def score_split(train: np.ndarray, train_hits: np.ndarray, test: np.ndarray, test_hits: np.ndarray, pdf: pd.DataFrame,
-                xs: Sequence[str], levels: Levels, event: int, threshold: float) -> dict[str, float]:
-    """Fit on training counts, score test counts. Test rows with a level unseen in training are skipped and counted."""
-    seen = train > 0
-    known = np.ones(len(pdf), dtype=bool)
-    used = {}
-    for x in xs:
-        values = pdf[x].to_numpy()
-        used[x] = [str(v) for v in levels[x] if (values[seen] == str(v)).any()]
-        known &= np.isin(values, used[x])
-    rows = pdf[known]
-    matrix, _ = design(rows, xs, used)
-    fit_on = train[known] > 0
-    keep = independent_columns(matrix[fit_on], train[known][fit_on].astype(float))
-    fit = solve_logit(matrix[fit_on][:, keep], train_hits[known][fit_on].astype(float), train[known][fit_on].astype(float))
-    eta = matrix[:, keep] @ fit["beta"]
-    n, hits = test[known].astype(float), test_hits[known].astype(float)
-    says_one = eta > np.log(threshold / (1 - threshold))
-    is_event = (hits, n - hits) if event == 1 else (n - hits, hits)
-    says_event = says_one if event == 1 else ~says_one
-    caught, called = is_event[0][says_event].sum(), n[says_event].sum()
-    correct = caught + is_event[1][~says_event].sum()
-    order = np.argsort(eta, kind="stable")
-    _, place = np.unique(np.round(eta[order], 12), return_inverse=True)
-    pos, neg = np.bincount(place, hits[order]), np.bincount(place, (n - hits)[order])
-    below = np.concatenate([[0.0], np.cumsum(neg)[:-1]]) + neg / 2
-
-    def ratio(a: float, b: float) -> float:
-        return float(a / b) if b > 0 else float("nan")
-
-    return {"accuracy": ratio(correct, n.sum()), "precision": ratio(caught, called),
-            "recall": ratio(caught, is_event[0].sum()), "roc_auc": ratio((pos * below).sum(), pos.sum() * neg.sum()),
-            "skipped": float(test[~known].sum()), "scored": float(n.sum())}
+def draw_splits(patterns: DataFrame, xs: Sequence[str], props: Sequence[float], reps: int, seed: int) -> DataFrame:
+    """``patterns`` with ``train_hits`` and ``train_n``: the training counts of every split, as arrays over the splits.
+
+    A split's size is drawn over blocks of patterns first, from the blocks' row counts, and each block then draws over its
+    own patterns. That is the distribution of drawing rows, and no task holds more than a block.
+    """
+    xs, props = list(xs), list(props)
+    blocks = TASKS if patterns.count() > BLOCK_PATTERNS else 1
+    own = F.pmod(F.xxhash64(*xs), F.lit(blocks)).cast("int")
+    patterns = patterns.withColumn("__block", own)
+    sizes = {r["__block"]: int(r["n"]) for r in patterns.groupBy("__block").agg(F.sum("n").alias("n")).collect()}
+    totals = np.array([sizes.get(b, 0) for b in range(blocks)], dtype=np.int64)
+    # the product is nudged so that e.g. 100 * 0.29 keeps its 29 rows
+    wanted = [int(np.floor(totals.sum() * p + 1e-9)) for p in props for _ in range(reps)]
+    shares = np.array([draw_split(totals, size, np.random.default_rng([seed, cell])) for cell, size in enumerate(wanted)]).reshape(-1, blocks)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(xs).reset_index(drop=True)
+        block, k = int(pdf["__block"].iloc[0]), len(pdf)
+        hits = pdf["successes"].to_numpy(np.int64)
+        counts = np.concatenate([hits, pdf["n"].to_numpy(np.int64) - hits])
+        drawn = np.array([draw_split(counts, int(size), np.random.default_rng([seed, cell, block])) for cell, size in enumerate(shares[:, block])])
+        return pd.DataFrame({**{c: pdf[c] for c in [*xs, "successes", "n"]}, "train_hits": list(drawn[:, :k].T),
+                             "train_n": list((drawn[:, :k] + drawn[:, k:]).T)})
+
+    schema = ", ".join([*[f"`{x}` string" for x in xs], "successes long, n long, train_hits array<long>, train_n array<long>"])
+    return patterns.select(*xs, "successes", "n", "__block").groupBy("__block").applyInPandas(draw, schema)
+
+
+class Split:
+    """The model of one split: covariate columns that its training rows use, by their place among all indicators."""
+
+    def __init__(self, cell: int, columns: Sequence[int]) -> None:
+        self.cell, self.columns = cell, list(columns)
+
+
+def _indicators(pdf: pd.DataFrame, names: Sequence[tuple[str, str]]) -> np.ndarray:
+    return np.column_stack([np.ones(len(pdf)), *[(pdf[x] == v).to_numpy(float) for x, v in names]])
+
+
+def _split_sums(names: Sequence[tuple[str, str]]):
+    """``evaluate`` for splits: all models of a round read the patterns once."""
+    def evaluate(table: DataFrame, points: Sequence[tuple[Split, np.ndarray | None]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        widths = [len(s.columns) for s, _ in points]
+
+        def add(pdf: pd.DataFrame, sums: list[np.ndarray]) -> None:
+            whole = _indicators(pdf, names)
+            hits, n = np.stack(pdf["train_hits"]).astype(float), np.stack(pdf["train_n"]).astype(float)
+            for total, (split, beta) in zip(sums, points):
+                total += parts_at(whole[:, split.columns], hits[:, split.cell], n[:, split.cell], beta)
+
+        return [unpacked_sums(t, k) for t, k in zip(summed(table, [1 + k + k * (k + 1) // 2 for k in widths], add), widths)]
+
+    return evaluate
 
 
 METRICS = ("accuracy", "precision", "recall", "roc_auc", "skipped")
@@ -132,32 +156,63 @@ def split_metrics(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, prop
     """(prop, rep, metric, estimate) of a fresh random split for every proportion and repetition.
 
     The model only sees counts per covariate pattern and outcome, so the rows are counted once and the splits are drawn
-    from the counts: the same distribution as splitting the rows, without one copy of the data per split. Each split is
-    its own task; what it holds is bounded by the product of the covariates' level counts, not by the rows.
+    from the counts: the same distribution as splitting the rows. A pattern stands once, with its training counts in all
+    splits; all models take their Newton steps together, one job a step. Held-out rows with a level unseen in training are
+    skipped and counted. The area under the curve comes from running totals over the scores of all splits.
     """
-    xs = list(xs)
+    xs, props = list(xs), list(props)
     used = {x: levels[x] for x in xs}
     patterns = checkpointed(compress(df.dropna(subset=xs), y, used).dropna(subset=xs))
-    props = list(props)
-    cells = patterns.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(props) * reps - 1))))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = int(key[0])
-        prop, rep = props[cell // reps], cell % reps + 1
-        pdf = pdf.sort_values(xs).reset_index(drop=True)
-        hits = pdf["successes"].to_numpy(np.int64)
-        misses = pdf["n"].to_numpy(np.int64) - hits
-        counts = np.concatenate([hits, misses])
-        # the product is nudged so that e.g. 100 * 0.29 keeps its 29 rows
-        size = int(np.floor(counts.sum() * prop + 1e-9))
-        train = draw_split(counts, size, np.random.default_rng([seed, cell]))
-        test = counts - train
-        k = len(hits)
-        found = score_split(train[:k] + train[k:], train[:k], test[:k] + test[k:], test[:k], pdf, xs, used, event, threshold)
-        return pd.DataFrame({"prop": prop, "rep": rep, "metric": [*METRICS, *COUNTS], "estimate": [found[m] for m in (*METRICS, *COUNTS)]})
-
-    out = spread_groups(cells, ["cell"], len(props) * reps).groupBy("cell").applyInPandas(one, "prop double, rep int, metric string, estimate double")
-    return out.withColumn("estimate", F.when(~F.isnan("estimate"), F.col("estimate")))
+    table = checkpointed(draw_splits(patterns, xs, props, reps, seed))
+    names = [(x, str(v)) for x in xs for v in levels[x]]
+    evaluate, splits = _split_sums(names), []
+    everything = [Split(c, range(1 + len(names))) for c in range(len(props) * reps)]
+    unseen = {}
+    for whole, (_, _, gram) in zip(everything, evaluate(table, [(s, None) for s in everything])):
+        # the first level that training rows have is the baseline; the others are columns if no earlier ones give them
+        seen = [i for i in range(1, len(gram)) if gram[i, i] > 0]
+        first = {x: next((i for i in seen if names[i - 1][0] == x), None) for x in xs}
+        at = [0, *[i for i in seen if i != first[names[i - 1][0]]]]
+        splits.append(Split(whole.cell, [i for i, good in zip(at, _independent_from_gram(gram[np.ix_(at, at)])) if good]))
+        unseen[whole.cell] = [i for i in range(1, len(gram)) if gram[i, i] <= 0]
+    fits = run_together(table, [(s, newton(np.zeros(len(s.columns)), np.ones(len(s.columns), dtype=bool))) for s in splits], evaluate)
+    models = [(s.columns, fit["beta"], unseen[s.cell]) for s, fit in zip(splits, fits)]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            whole = _indicators(pdf, names)
+            hits = pdf["successes"].to_numpy(np.int64)[:, None] - np.stack(pdf["train_hits"])
+            n = pdf["n"].to_numpy(np.int64)[:, None] - np.stack(pdf["train_n"])
+            for cell, (columns, beta, gone) in enumerate(models):
+                known = whole[:, gone].sum(1) == 0
+                yield pd.DataFrame({"cell": cell, "eta": np.round(whole[:, columns] @ beta, 12), "pos": hits[:, cell],
+                                    "neg": n[:, cell] - hits[:, cell], "known": known})
+
+    # one row per split and score: equal scores meet here
+    rows = table.mapInPandas(score, "cell int, eta double, pos long, neg long, known boolean").filter("pos + neg > 0")
+    skipped = F.sum(F.when(~F.col("known"), F.col("pos") + F.col("neg")).otherwise(0))
+    scores = rows.groupBy("cell", F.when(F.col("known"), F.col("eta")).alias("eta")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), skipped.alias("skipped"))
+    ranked = running_totals(scores.withColumn("ranked", F.when(F.col("eta").isNotNull(), F.col("neg")).otherwise(0)), ["cell"], "eta", ["ranked"])
+    says_one = F.col("eta") > float(np.log(threshold / (1 - threshold)))
+    known = F.col("eta").isNotNull()
+    hit, miss = (F.col("pos"), F.col("neg")) if event == 1 else (F.col("neg"), F.col("pos"))
+    called = known & (says_one if event == 1 else ~says_one)
+
+    def total(test: Column, what: Column) -> Column:
+        return F.sum(F.when(test, what).otherwise(0)).cast("double")
+
+    below = F.col("before_ranked").cast("double") + F.col("neg") / 2.0
+    per_cell = ranked.groupBy("cell").agg(
+        F.try_divide(total(called, hit) + total(known & ~called, miss), total(known, hit + miss)).alias("accuracy"),
+        F.try_divide(total(called, hit), total(called, hit + miss)).alias("precision"),
+        F.try_divide(total(called, hit), total(known, hit)).alias("recall"),
+        F.try_divide(total(known, F.col("pos") * below), total(known, F.col("pos")) * total(known, F.col("neg"))).alias("roc_auc"),
+        F.sum("skipped").cast("double").alias("skipped"), total(known, hit + miss).alias("scored"))
+    # a split without held-out rows has no scores
+    cells = df.sparkSession.createDataFrame([(c, float(props[c // reps]), c % reps + 1) for c in range(len(models))], "cell int, prop double, rep int")
+    wide = cells.join(per_cell, "cell", "left").fillna(0.0, ["skipped", "scored"])
+    return wide.unpivot(["prop", "rep"], [*METRICS, *COUNTS], "metric", "estimate")
 
 
 def metric_curve(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, props: Sequence[float], reps: int,

@@ -1,15 +1,15 @@
 """Logit models on categorical covariates.
 
 ``fit_specifications`` fits many models together: the data are reduced to covariate patterns on the cluster, and all
-models take their Newton steps at once. For a step every partition of the pattern table gives its part of each model's
-deviance, gradient and information, the parts are summed in Spark, and only the sums (a few numbers per coefficient)
-reach the driver. So there is one solver, whatever the size of the table. ``distributed_logit`` is the fit for a model
+models take their Newton steps at once. For a step, one job, every task gives its part of each model's deviance, gradient
+and information; only these sums (a few numbers per coefficient) reach the driver. So there is one solver, whatever the
+size of the table. ``distributed_logit`` is the fit for a model
 with numeric covariates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator, Mapping, Sequence
+from collections.abc import Callable, Generator, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,72 +27,17 @@ MAX_ITERATIONS = 25
 # Standard errors beyond this mark a coefficient that runs off to infinity (complete separation).
 RUNAWAY_ERROR = 1000.0
 INTERCEPT = "(Intercept)"
+# Tasks that read the pattern table for a step.
+TASKS = 32
 
 Levels = Mapping[str, Sequence[object]]
 
 
-# ------------------------------------------------------------------------- small dense problem in one task
-
-
-def design(pdf: pd.DataFrame, xs: Sequence[str], levels: Levels) -> tuple[np.ndarray, list[str]]:
-    """Indicator matrix with the first used level as baseline; a covariate with one used level adds no column."""
-    columns, terms = [np.ones(len(pdf))], [INTERCEPT]
-    for x in xs:
-        values = pdf[x].to_numpy()
-        used = [str(v) for v in levels[x] if (values == str(v)).any()]
-        for level in used[1:]:
-            columns.append((values == level).astype(float))
-            terms.append(f"{x}{level}")
-    return np.column_stack(columns), terms
-
-
-def independent_columns(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Which columns are not a combination of earlier ones."""
-    scaled = matrix * np.sqrt(weights)[:, None]
-    keep, basis = [], np.zeros((len(scaled), 0))
-    for j in range(scaled.shape[1]):
-        column = scaled[:, j]
-        rest = column - basis @ (basis.T @ column)
-        rest = rest - basis @ (basis.T @ rest)
-        size = np.linalg.norm(rest)
-        good = size > 1e-7 * max(np.linalg.norm(column), 1e-12)
-        keep.append(good)
-        if good:
-            basis = np.column_stack([basis, rest / size])
-    return np.array(keep)
-
-
 def deviance(successes: np.ndarray, n: np.ndarray, eta: np.ndarray) -> float:
     """-2 log-likelihood of grouped binary data; log(1 + e^eta) form, so fitted 0 and 1 cause no infinities."""
     return float(2 * np.sum(successes * np.logaddexp(0, -eta) + (n - successes) * np.logaddexp(0, eta)))
 
 
-def solve_logit(matrix: np.ndarray, successes: np.ndarray, n: np.ndarray, offset: np.ndarray | float = 0.0,
-                start: np.ndarray | None = None) -> dict:
-    """Newton steps on pattern proportions from a zero start; steps are halved while the fit gets worse."""
-    beta = np.zeros(matrix.shape[1]) if start is None else start.copy()
-    eta = matrix @ beta + offset
-    dev, done, steps = deviance(successes, n, eta), False, 0
-    while steps < MAX_ITERATIONS and not done:
-        steps += 1
-        p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-        info = matrix.T @ (matrix * (n * p * (1 - p))[:, None])
-        move = np.linalg.lstsq(info, matrix.T @ (successes - n * p), rcond=None)[0]
-        for _ in range(12):
-            tried = matrix @ (beta + move) + offset
-            tried_dev = deviance(successes, n, tried)
-            if tried_dev <= dev * (1 + 1e-12) + 1e-12:
-                break
-            move = move / 2
-        done = abs(dev - tried_dev) / (abs(tried_dev) + 0.1) < 1e-11
-        beta, eta, dev = beta + move, tried, tried_dev
-    p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-    info = matrix.T @ (matrix * (n * p * (1 - p))[:, None])
-    error = np.sqrt(np.clip(np.diag(np.linalg.pinv(info, hermitian=True)), 0, None)) if matrix.shape[1] else np.array([])
-    separated = bool((error > RUNAWAY_ERROR).any() or (np.abs(beta) > 15).any())
-    return {"beta": beta, "error": error, "deviance": dev, "p": p, "converged": done and not separated}
-
-
 FIT_COLUMNS = ("term string, position int, estimate double, std_error double, statistic double, p_value double, "
                "nobs long, deviance double, converged boolean")
 
@@ -115,40 +60,59 @@ class Design:
         return rows, np.column_stack([np.ones(len(own)), *[(own[x] == v).to_numpy(float) for x, v in self.columns]])
 
 
-def evaluate(patterns: DataFrame, points: Sequence[tuple[Design, np.ndarray | None]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """(deviance, gradient, information) of each model at its coefficients; for None (0, 0, cross products with weights n).
+def packed_sums(dev: float, gradient: np.ndarray, info: np.ndarray) -> np.ndarray:
+    """Deviance, gradient and the lower triangle of the information as one row of numbers."""
+    return np.concatenate([[dev], gradient, info[np.tril_indices(len(gradient))]])
 
-    One job for all points. A partition sends one row of sums per point, whatever its number of patterns.
-    """
-    sizes = [1 + len(d.columns) for d, _ in points]
 
+def unpacked_sums(total: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+    info = np.zeros((k, k))
+    info[np.tril_indices(k)] = total[1 + k:]
+    return float(total[0]), total[1:1 + k], info + np.tril(info, -1).T
+
+
+def parts_at(matrix: np.ndarray, s: np.ndarray, n: np.ndarray, beta: np.ndarray | None) -> np.ndarray:
+    """The sums of some patterns at given coefficients; for None the cross products with weights n."""
+    if beta is None:
+        return packed_sums(0.0, np.zeros(matrix.shape[1]), matrix.T @ (matrix * n[:, None]))
+    eta = matrix @ beta
+    p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+    return packed_sums(deviance(s, n, eta), matrix.T @ (s - n * p), matrix.T @ (matrix * (n * p * (1 - p))[:, None]))
+
+
+def summed(patterns: DataFrame, sizes: Sequence[int], add: Callable[[pd.DataFrame, list[np.ndarray]], None]) -> list[np.ndarray]:
+    """Sums over all patterns: ``add`` adds what a batch gives to every point's row of numbers.
+
+    One job. Patterns are bounded by the product of the level counts, so ``TASKS`` tasks read them, and each sends one row
+    per point: a bounded result, which the driver adds up.
+    """
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros(1 + k + k * k) for k in sizes]
-        known: dict[Design, tuple[np.ndarray, np.ndarray]] = {}
+        sums = [np.zeros(size) for size in sizes]
         for pdf in batches:
-            known.clear()
-            counts, hits = pdf["n"].to_numpy(float), pdf["successes"].to_numpy(float)
-            for total, (design_, beta), k in zip(sums, points, sizes):
-                if design_ not in known:
-                    known[design_] = design_.matrix(pdf)
-                rows, matrix = known[design_]
-                n, s = counts[rows], hits[rows]
-                if beta is None:
-                    total[1 + k:] += (matrix.T @ (matrix * n[:, None])).reshape(-1)
-                    continue
-                eta = matrix @ beta
-                p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-                total[0] += deviance(s, n, eta)
-                total[1:1 + k] += matrix.T @ (s - n * p)
-                total[1 + k:] += (matrix.T @ (matrix * (n * p * (1 - p))[:, None])).reshape(-1)
+            add(pdf, sums)
         yield pd.DataFrame({"point": range(len(sums)), "sums": [t.tolist() for t in sums]})
 
-    parts = patterns.mapInPandas(part, "point int, sums array<double>")
-    rows = parts.select("point", F.posexplode("sums").alias("at", "v")).groupBy("point", "at").agg(F.sum("v").alias("v")).collect()
-    found = [np.zeros(1 + k + k * k) for k in sizes]
-    for r in rows:
-        found[r["point"]][r["at"]] = r["v"]
-    return [(float(t[0]), t[1:1 + k], t[1 + k:].reshape(k, k)) for t, k in zip(found, sizes)]
+    found = [np.zeros(size) for size in sizes]
+    for r in patterns.coalesce(TASKS).mapInPandas(part, "point int, sums array<double>").collect():
+        found[r["point"]] += np.array(r["sums"])
+    return found
+
+
+def evaluate(patterns: DataFrame, points: Sequence[tuple[Design, np.ndarray | None]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(deviance, gradient, information) of each model at its coefficients; for None (0, 0, cross products with weights n)."""
+    widths = [1 + len(d.columns) for d, _ in points]
+
+    def add(pdf: pd.DataFrame, sums: list[np.ndarray]) -> None:
+        known: dict[Design, tuple[np.ndarray, np.ndarray]] = {}
+        counts, hits = pdf["n"].to_numpy(float), pdf["successes"].to_numpy(float)
+        for total, (design_, beta) in zip(sums, points):
+            if design_ not in known:
+                known[design_] = design_.matrix(pdf)
+            rows, matrix = known[design_]
+            total += parts_at(matrix, hits[rows], counts[rows], beta)
+
+    sizes = [1 + k + k * (k + 1) // 2 for k in widths]
+    return [unpacked_sums(t, k) for t, k in zip(summed(patterns, sizes, add), widths)]
 
 
 Steps = Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], dict]
@@ -175,10 +139,10 @@ def newton(start: np.ndarray, free: np.ndarray) -> Steps:
         beta, (dev, gradient, info) = beta + move, tried
     error = np.sqrt(np.clip(np.diag(np.linalg.pinv(info, hermitian=True)), 0, None))
     separated = bool((error > RUNAWAY_ERROR).any() or (np.abs(beta) > 15).any())
-    return {"beta": beta, "error": error, "deviance": dev, "converged": done and not separated}
+    return {"beta": beta, "error": error, "deviance": dev, "information": info, "converged": done and not separated}
 
 
-def run_together(patterns: DataFrame, tasks: Sequence[tuple[Design, Generator]]) -> list:
+def run_together(patterns: DataFrame, tasks: Sequence[tuple[Design, Generator]], evaluate: Callable = evaluate) -> list:
     """Results of generators that ask for sums; all open requests of a round are one job."""
     out: list = [None] * len(tasks)
     asked: dict[int, np.ndarray] = {}
@@ -258,9 +222,8 @@ def _single_valued(patterns: DataFrame, names: Sequence[str]) -> dict[str, set[s
 def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, cutoff: float = 3.841458820694124) -> DataFrame:
     """Odds ratios with Wald and profile-likelihood limits: (term, odds_ratio, wald_low, wald_high, low, high).
 
-    ``cutoff`` is the 95 % point of a chi-square with one degree of freedom. All limits are looked for together: the
-    coefficient is held at a value, the others are refitted, and the next value comes from the signed root of the
-    likelihood ratio, which is almost straight. A limit is NULL if the likelihood never falls that far.
+    ``cutoff`` is the 95 % point of a chi-square with one degree of freedom. All limits are looked for together, one job a
+    step: Newton steps on the equations that hold at a limit. A limit is NULL if the likelihood never falls that far.
     """
     xs = list(xs)
     used = {x: levels[x] for x in xs}
@@ -272,7 +235,7 @@ def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels,
     k = 1 + len(design_.columns)
     best = run_together(patterns, [(design_, newton(np.zeros(k), np.ones(k, dtype=bool)))])[0]
     looked = [(j, side) for j in range(1, k) for side in (-1, 1)]
-    limits = dict(zip(looked, run_together(patterns, [(design_, profile_limit(best, j, side, cutoff)) for j, side in looked])))
+    limits = dict(zip(looked, run_together(patterns, [(design_, profile_point(best, j, side, cutoff)) for j, side in looked])))
     names = [t for t, good in zip(terms, keep) if good]
     out = []
     for j in range(1, k):
@@ -308,6 +271,32 @@ def limit_excess(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, limit
 WALD = 1.959963984540054
 
 
+def profile_point(best: dict, j: int, side: int, cutoff: float) -> Generator:
+    """The limit of coefficient ``j``: deviance ``cutoff`` above its minimum, gradient zero in all other coefficients.
+
+    Newton steps on these equations, from where the quadratic form at the minimum puts the limit. If they do not settle on
+    the right side, the limit is bracketed instead (``profile_limit``).
+    """
+    cov = np.linalg.pinv(best["information"], hermitian=True)
+    centre, error = float(best["beta"][j]), float(best["error"][j])
+    if not 0 < error < RUNAWAY_ERROR:
+        return (yield from profile_limit(best, j, side, cutoff))
+    beta = best["beta"] + cov[:, j] / cov[j, j] * side * np.sqrt(cutoff) * error
+    for _ in range(15):
+        dev, gradient, info = yield beta
+        gap = dev - best["deviance"] - cutoff
+        rows, right = info.copy(), gradient.copy()
+        rows[j], right[j] = gradient, gap / 2
+        move = np.linalg.lstsq(rows, right, rcond=None)[0]
+        move *= min(1.0, 2 * error / max(abs(move[j]), 1e-300))
+        beta = beta + move
+        if side * (beta[j] - centre) <= 0 or not np.isfinite(beta).all():
+            break
+        if abs(gap) < 1e-6 and np.abs(move).max() < 1e-7 * max(1.0, np.abs(beta).max()):
+            return float(beta[j])
+    return (yield from profile_limit(best, j, side, cutoff))
+
+
 def profile_limit(best: dict, j: int, side: int, cutoff: float) -> Generator:
     """Where the deviance is ``cutoff`` above its minimum on one side of coefficient ``j``; None if it never gets there."""
     free = np.ones(len(best["beta"]), dtype=bool)

@@ -31,10 +31,3 @@ def compress(df: DataFrame, y: str, levels: Mapping[str, Sequence[object]],
         member = F.array(*[F.when(F.col(f"__g{i}"), F.lit(name)) for i, name in enumerate(subgroups)])
         out = out.withColumn("subgroup", F.explode(F.array_compact(member))).drop(*[f"__g{i}" for i in range(len(subgroups))])
     return out
-
-
-def spread_groups(df: DataFrame, keys: Sequence[str], groups: int) -> DataFrame:
-    """Hash the groups over a fixed number of tasks: they are small in bytes but each is a model fit, so adaptive
-    execution would put all of them into one task. Grouping by the same keys afterwards needs no further shuffle."""
-    tasks = max(1, min(groups, 2 * df.sparkSession.sparkContext.defaultParallelism))
-    return df.repartition(tasks, *keys)

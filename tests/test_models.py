@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import tests.dense as D
 from kinpanel.functions import special as P
 from kinpanel.stats import crosstab as C
 from kinpanel.stats import holdout as S
 from kinpanel.stats import logit as L
+from kinpanel.stats.patterns import compress
 from kinpanel.stats.specs import coefficient_table, nested_specifications
 
 LEVELS = {"x": ["0", "1"], "z": ["a", "b", "c"]}
@@ -192,9 +194,34 @@ def test_metric_curve(two):
     assert got == again
 
 
+@pytest.mark.parametrize("block, event", [(10_000, 0), (2, 1)])
+def test_every_split_is_scored_as_by_a_dense_fit(spark, monkeypatch, block, event):
+    """Each split's counts, fitted and scored alone in one process; rare levels are missing from some training parts."""
+    monkeypatch.setattr(S, "BLOCK_PATTERNS", block)
+    levels = {"x": ["0", "1", "2"], "z": ["a", "b", "c"]}
+    cells = [(x, z, y, 1 + (5 * i + 3 * j + 7 * y) % 9 if (x, z) != ("2", "c") else 1)
+             for i, x in enumerate(levels["x"]) for j, z in enumerate(levels["z"]) for y in (0, 1) if (x, z) != ("2", "b")]
+    rows = counted(spark, [(x, z, y, n if x != "2" else 1) for x, z, y, n in cells], "x string, z string, y int, n int")
+    props, reps = [0.25, 0.5, 0.75], 4
+    got = {(r["prop"], r["rep"], r["metric"]): r["estimate"] for r in S.split_metrics(rows, "y", ["x", "z"], levels, props, reps, 5, event).collect()}
+    table = S.draw_splits(compress(rows, "y", levels), ["x", "z"], props, reps, 5).toPandas()
+    hits, n = np.stack(table["train_hits"]), np.stack(table["train_n"])
+    skipped = 0
+    for cell in range(len(props) * reps):
+        prop, rep = props[cell // reps], cell % reps + 1
+        assert n[:, cell].sum() == int(table["n"].sum() * prop + 1e-9) and (hits[:, cell] <= table["successes"]).all()
+        want = D.score_split(n[:, cell], hits[:, cell], table["n"].to_numpy() - n[:, cell], table["successes"].to_numpy() - hits[:, cell],
+                             table, ["x", "z"], levels, event, 0.5)
+        skipped += want["skipped"] > 0
+        for metric, value in want.items():
+            found = got[(prop, rep, metric)]
+            assert found is None if math.isnan(value) else found == pytest.approx(value), (prop, rep, metric)
+    assert skipped > 0
+
+
 def test_unseen_levels_are_skipped_not_fatal():
     import pandas as pd
 
     pdf = pd.DataFrame({"x": ["0", "1"], "n": [10, 4]})
-    got = S.score_split(np.array([6, 0]), np.array([3, 0]), np.array([4, 4]), np.array([2, 1]), pdf, ["x"], LEVELS, 0, 0.5)
+    got = D.score_split(np.array([6, 0]), np.array([3, 0]), np.array([4, 4]), np.array([2, 1]), pdf, ["x"], LEVELS, 0, 0.5)
     assert got["skipped"] == 4 and got["accuracy"] == 0.5
