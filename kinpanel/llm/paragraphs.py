@@ -10,8 +10,8 @@ Every paragraph has a key per band; the number of bands and of minwise hashes in
 threshold with the fewest rows. Rows go once by key, and a key that one paragraph has alone ends there. Paragraphs that
 share a key and whose one-bit sketches agree as those of similar ones do are compared by their full sets of 5-word
 shingles. Those under a key that too many different paragraphs share (a line that stands in many contexts) are linked
-exactly, too, through the subsets of shingles that similar ones must have in common. A key that is frequent in
-a task is dealt out in runs, so no key fills a task. Of each connected group of paragraphs the first occurrence, by
+exactly, too: compared under the rarest of their shingles, of which similar ones must have one in common. A key that is
+frequent in a task is dealt out in runs, so no key fills a task. Of each connected group of paragraphs the first occurrence, by
 doc_id and place, stays; the words of all others go, except words of a paragraph that stays.
 
 Defined cases: texts of fewer words than a paragraph, empty or null texts have none and stay as they are. A null
@@ -283,7 +283,37 @@ def _subsets(described: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
 
 
 def crowded_links(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """a, b: contents under crowded keys (``pairs``) linked so that all similar ones are connected; rows grow with the contents."""
+    """a, b: contents under crowded keys (``pairs``) linked so that all similar ones are connected; rows grow with the contents.
+
+    Two similar sets share one of the few rarest shingles of either (its size less the least common part, and one more), so
+    contents are compared under these alone. Only a shingle that is among the rarest of too many is left to ``subset_links``.
+    """
+    own = described.join(pairs.select("content").distinct(), "content", "left_semi")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(data, dtype=np.int64) for data in batch.column("shingles").to_pylist()]
+            names = np.repeat(batch.column("content").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else [], pa.int64()), pa.array(names, pa.int64())],
+                                             ["item", "content"])
+
+    items = checkpointed(own.select("content", "shingles").mapInArrow(listed, "item long, content long"))
+    counted = items.join(items.groupBy("item").agg(F.count("*").alias("n")), "item")
+    # a paragraph has at most SPAN - WIDTH + 1 shingles
+    ranked = counted.groupBy("content").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("all"))
+    size = F.size("all")
+    ranked = ranked.select("content", F.explode(F.slice("all", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)).alias("r"))
+    rare = checkpointed(ranked.select(F.col("r.item").alias("key"), "content"))
+    sizes = rare.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    rare = checkpointed(rare.join(sizes, "key"))
+    small = rare.filter(F.col("n") <= LIMIT).select(F.col("key").alias("node"), F.lit(0).alias("part"), "content")
+    edges = map_runs(small.join(described, "content").select("node", "part", "content", "shingles"), 2, _compared(percent), "a long, b long")
+    large = rare.filter(F.col("n") > LIMIT).select("key", "content")
+    return edges if large.isEmpty() else edges.union(subset_links(large, described, percent))
+
+
+def subset_links(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """a, b: contents of very large groups (``pairs``) linked through the subsets that similar ones must have in common."""
     sizes = described.select("content", (F.length("shingles") / 8).cast("int").alias("size"))
     own = pairs.select("key", "content").join(sizes, "content")
     among = own.groupBy("key").agg(F.min("size").alias("low"), F.max("size").alias("high"))
