@@ -301,6 +301,17 @@ def deviations(sample: DataFrame, population: DataFrame, by: str, sample_entity:
         by, "name", (F.coalesce(F.col("__ours"), F.lit(0.0)) - F.col("share")).alias(out))
 
 
+def of_known_families(population: DataFrame, sample: DataFrame, person: str, kid: str, full_family: str) -> DataFrame:
+    """``population`` without the people who were seen in a full family but are not in the sample.
+
+    They live with both parents, so that they miss from the sample says that a parent's status is unknown. A person goes
+    with all rows, as one row in a full family is enough.
+    """
+    full = population.filter(F.col(full_family) == 1).select(person).distinct()
+    unknown = full.join(sample.select(F.col(kid).alias(person)).distinct(), person, "left_anti")
+    return excluding(population, person, unknown)
+
+
 def deviations_by_group(parts: dict[str, tuple[DataFrame, DataFrame]], by: str, sample_entity: str,
                         population_entity: str, levels: dict[str, tuple[str, object]], label: str) -> DataFrame:
     """``deviations`` for several (sample, population) pairs, stacked with a label."""

@@ -101,6 +101,24 @@ def label_dictionary(spark, sf):
     return S.load(spark, dictionary).join(filled, "code").select("name", "code", "filled")
 
 
+FOLDER_LABELS = {"nation": {"n_name": "name of the nation", "n_regionkey": "its region"}, "customer": {"c_mktsegment": "market segment"}}
+
+
+@query("ingest_folder", """
+WITH d AS (SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS code, 'nation' AS source
+           UNION ALL SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']), 'customer'),
+n AS (SELECT 'nation' AS source, count(*) AS rows FROM nation UNION ALL SELECT 'customer', count(*) FROM customer)
+SELECT source, code, CASE code WHEN 'n_name' THEN 'name of the nation' WHEN 'n_regionkey' THEN 'its region'
+       WHEN 'c_mktsegment' THEN 'market segment' ELSE code END AS name, rows FROM d JOIN n USING (source)""")
+def ingest_folder(spark, sf):
+    """Two tables of the folder are stored, each with its dictionary; the second run finds nothing to take."""
+    target = scratch_path(spark, "folder")
+    S.ingest_folder(spark, sf, target, FOLDER_LABELS)
+    manifest = S.ingest_folder(spark, sf, target, FOLDER_LABELS).filter(~F.col("taken")).collect()
+    return R.stacked({r["table"]: S.load(spark, r["dictionary"]).crossJoin(  # one row with the count
+        S.load(spark, r["data"]).agg(F.count(F.lit(1)).alias("rows"))) for r in manifest}, "source")
+
+
 # ------------------------------------------------------------------------------------------ expressions
 
 

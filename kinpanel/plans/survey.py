@@ -7,6 +7,7 @@ The panel has one row per person and year, so everything after that first aggreg
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,8 @@ from kinpanel.plans.registry import query, table
 from kinpanel.session import checkpointed
 from kinpanel.sources.tables import columns_by_label
 from kinpanel.stats import crosstab as C
-from kinpanel.stats.logit import fit_specifications
+from kinpanel.stats.holdout import metric_curve
+from kinpanel.stats.logit import fit_specifications, profile_intervals
 from kinpanel.stats.specs import coefficient_table, nested_specifications
 
 # Fixed values of the survey's code book.
@@ -198,9 +200,9 @@ def panel_of(spark, sf, tables: SurveyTables) -> DataFrame:
     return H.observation_panel(tables.persons, children, tables.facts)
 
 
-def sample_of(spark, sf, tables: SurveyTables) -> DataFrame:
+def sample_of(spark, sf, tables: SurveyTables, rules: H.SampleRules = RULES) -> DataFrame:
     panel = panel_of(spark, sf, tables)
-    sample = H.analysis_sample(panel, tables.persons, RULES)
+    sample = H.analysis_sample(panel, tables.persons, rules)
     mothers = tables.persons.select(F.col("idind").alias("mother_id"), F.col("birth_year").alias("mother_born")).distinct()
     return (sample.join(mothers, "mother_id")
             .withColumn("mother_birth_year_trunc", E.fixed_bucket(F.col("mother_born"), 10)).drop("mother_born"))
@@ -419,11 +421,17 @@ apart_by_year AS (SELECT is_separated, year, name, coalesce(o.share, 0) - y.shar
 PERIOD = 3
 
 
-def deviations(spark, sf) -> DataFrame:
-    """Share differences between the analysis sample and the comparable population, all and not separated."""
+def deviations(spark, sf, known_families: bool = False) -> DataFrame:
+    """Share differences between the analysis sample and the comparable population, all and not separated.
+
+    ``known_families`` leaves people in full families out of the population if their parents' status is not known.
+    """
     tables = SurveyTables(spark, sf)
-    people = checkpointed(population_of(tables).filter((F.col("origsm") == 1) & (F.col("age") <= 26)))
-    sample = checkpointed(sample_of(spark, sf, tables).filter(F.col("age") <= 26))
+    people = population_of(tables).filter((F.col("origsm") == 1) & (F.col("age") <= 26))
+    sample = checkpointed(sample_of(spark, sf, tables))
+    if known_families:
+        people = H.of_known_families(checkpointed(people), sample, "idind", "kid_id", "is_full_family_and_not_separated")
+    people, sample = checkpointed(people), sample.filter(F.col("age") <= 26)
     at_home = F.col("is_separated") == 0
     parts = {"all": (sample, people), "not_separated": (sample.filter(at_home), people.filter(at_home))}
     return H.deviations_by_group(parts, "year", "kid_id", "idind", PANEL_CLASSES, "is_separated")
@@ -442,9 +450,44 @@ def panel_deviation_by_period(spark, sf):
     return rows.groupBy("is_separated", "period", "name").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
+_KNOWN = _YEARS.replace("pop AS (SELECT * FROM population WHERE origsm = 1 AND age <= 26)", """pop_all AS (
+  SELECT * FROM population WHERE origsm = 1 AND age <= 26),
+pop AS (SELECT * FROM pop_all WHERE idind NOT IN (SELECT idind FROM pop_all WHERE is_full_family_and_not_separated = 1
+                                                  AND idind NOT IN (SELECT kid_id FROM sample)))""")
+
+
+@query("panel_deviation_known_families", _KNOWN + "SELECT is_separated, year, name, round(value, 6) AS value FROM apart_by_year")
+def panel_deviation_known_families(spark, sf):
+    """The yearly differences without people in full families whose parents' status is unknown."""
+    return deviations(spark, sf, known_families=True).withColumn("value", F.round("value", 6))
+
+
+# No number of children or place among them is cut off here.
+UNCUT = replace(RULES, size_top=300, order_top=300)
+
+
+@query("panel_twins", PANEL_SQL.replace("kids >= 4 THEN '>=4'", "kids >= 300 THEN '>=300'").replace("kid_order >= 3 THEN '>=3'", "kid_order >= 300 THEN '>=300'") + """,
+twins AS (SELECT DISTINCT father_id, mother_id FROM (
+  SELECT father_id, mother_id, kid_order, count(*) AS n FROM sample GROUP BY ALL) WHERE n > 1)
+SELECT s.kid_id, s.year, s.father_id, s.mother_id, s.kids_num, s.kid_order, s.birth_year FROM sample s
+JOIN twins t ON t.father_id = s.father_id AND t.mother_id = s.mother_id""")
+def panel_twins(spark, sf):
+    """Everybody of the sample whose parents have two or more children at one place of the birth order."""
+    sample = checkpointed(sample_of(spark, sf, SurveyTables(spark, sf), UNCUT))
+    return H.twins_among_siblings(sample, ["father_id", "mother_id"], "kid_order").select(
+        "kid_id", "year", "father_id", "mother_id", "kids_num", "kid_order", "birth_year")
+
+
 CROSSED = ["kids_num", "kid_order", "gender", "residence", "parents"]
 
 
+def described(spark, sf) -> DataFrame:
+    """The sample with the parents' education as one variable."""
+    mother, father = F.col("mother_univ_diploma") == 1, F.col("father_univ_diploma") == 1
+    return checkpointed(sample_of(spark, sf, SurveyTables(spark, sf)).withColumn(
+        "parents", E.choose([(mother & father, "both"), (mother, "mother"), (father, "father")], "none")))
+
+
 @query("panel_crosstab", PANEL_SQL + """,
 people AS (SELECT *, CASE WHEN mother_univ_diploma + father_univ_diploma = 2 THEN 'both' WHEN mother_univ_diploma = 1 THEN 'mother'
                           WHEN father_univ_diploma = 1 THEN 'father' ELSE 'none' END AS parents FROM sample),
@@ -464,9 +507,7 @@ UNION ALL SELECT 'age', 'Mean (SD)', class, regexp_replace(CAST(round(m, 1) AS V
        || regexp_replace(CAST(round(s, 1) AS VARCHAR), '\\.0$', '') || ')', NULL FROM moments""")
 def panel_crosstab(spark, sf):
     """The sample described by diploma, with the parents' education as one variable and the test statistic of each."""
-    mother, father = F.col("mother_univ_diploma") == 1, F.col("father_univ_diploma") == 1
-    people = checkpointed(sample_of(spark, sf, SurveyTables(spark, sf)).withColumn(
-        "parents", E.choose([(mother & father, "both"), (mother, "mother"), (father, "father")], "none")))
+    people = described(spark, sf)
     tests = C.chi_square(C.class_counts(people, "univ_diploma", CROSSED)).select(
         F.col("variable").alias("__v"), F.round("statistic", 4).alias("chi_square"))
     text = C.summary_crosstab(people, "univ_diploma", CROSSED, ["age"])
@@ -474,6 +515,41 @@ def panel_crosstab(spark, sf):
     return text.join(tests, F.col("variable") == F.col("__v"), "left").drop("__v")
 
 
+# The tails of chi-square and of Student's t come from sums over their densities, with the square root of the first.
+@query("panel_descriptives", PANEL_SQL + """,
+people AS (SELECT *, CASE WHEN mother_univ_diploma + father_univ_diploma = 2 THEN 'both' WHEN mother_univ_diploma = 1 THEN 'mother'
+                          WHEN father_univ_diploma = 1 THEN 'father' ELSE 'none' END AS parents FROM sample),
+long AS (SELECT gender AS class, unnest(['kids_num', 'kid_order', 'residence', 'parents', 'hh_size', 'univ_diploma']) AS variable,
+                unnest([kids_num, kid_order, residence, parents, hh_size, CAST(univ_diploma AS VARCHAR)]) AS level FROM people),
+counts AS (SELECT variable, level, class, count(*) AS n FROM long WHERE level IS NOT NULL GROUP BY 1, 2, 3),
+every AS (SELECT * FROM counts UNION ALL SELECT variable, level, 'Total', sum(n) FROM counts GROUP BY 1, 2),
+numbers AS (SELECT gender AS class, unnest(['age', 'birth_year']) AS variable, unnest([age, birth_year]) AS v FROM people),
+moments AS (SELECT variable, class, avg(v) AS m, stddev_samp(v) AS s FROM numbers GROUP BY 1, 2
+            UNION ALL SELECT variable, 'Total', avg(v), stddev_samp(v) FROM numbers GROUP BY 1),
+g AS (SELECT *, sum(n) OVER (PARTITION BY variable) AS t, sum(n) OVER (PARTITION BY variable, level) AS r,
+             sum(n) OVER (PARTITION BY variable, class) AS c FROM counts),
+q AS (SELECT variable, sqrt(greatest(any_value(t) * (sum(n ^ 2 / (r * c)) - 1), 0)) AS s,
+             (count(DISTINCT level) - 1) * (count(DISTINCT class) - 1) AS k FROM g GROUP BY variable),
+x AS (SELECT (i + 0.5::DOUBLE) / 100000 AS u FROM range(100000) r(i)),
+sides AS (SELECT variable, class, count(v) AS n, avg(v) AS m, var_samp(v) / count(v) AS q FROM numbers GROUP BY 1, 2),
+w AS (SELECT a.variable, abs(a.m - b.m) / sqrt(a.q + b.q) AS t, (a.q + b.q) ^ 2 / (a.q ^ 2 / (a.n - 1) + b.q ^ 2 / (b.n - 1)) AS k
+      FROM sides a JOIN sides b ON a.variable = b.variable AND a.class = 'female' AND b.class = 'male'),
+p AS (SELECT variable, 1 - sum(s * (s * u) ^ (k - 1) * exp(-0.5 * (s * u) ^ 2)) / sum(40 * (40 * u) ^ (k - 1) * exp(-0.5 * (40 * u) ^ 2)) AS p
+      FROM q, x GROUP BY variable
+      UNION ALL SELECT variable, 1 - sum(t * exp(-(k + 1) / 2 * ln(1 + (t * u) ^ 2 / k)))
+                                     / sum(60 * exp(-(k + 1) / 2 * ln(1 + (60 * u) ^ 2 / k))) FROM w, x GROUP BY variable)
+SELECT variable, level, class, CAST(n AS BIGINT) || ' (' || regexp_replace(CAST(round(n * 100.0::DOUBLE
+       / sum(n) OVER (PARTITION BY variable, class), 1) AS VARCHAR), '\\.0$', '') || ')' AS text, round(p, 4) AS p
+FROM every JOIN p USING (variable)
+UNION ALL SELECT variable, 'Mean (SD)', class, regexp_replace(CAST(round(m, 1) AS VARCHAR), '\\.0$', '') || ' ('
+       || regexp_replace(CAST(round(s, 1) AS VARCHAR), '\\.0$', '') || ')', round(p, 4) FROM moments JOIN p USING (variable)""")
+def panel_descriptives(spark, sf):
+    """The sample described by gender, with the p-value of every variable, numeric ones included."""
+    found = C.summary_with_tests(described(spark, sf), "gender", ["kids_num", "kid_order", "residence", "parents", "hh_size", "univ_diploma"],
+                                 ["age", "birth_year"], ("female", "male"))
+    return found.withColumn("p", F.round("p", 4))
+
+
 # ------------------------------------------------------------------------------------------- models on it
 
 
@@ -515,3 +591,57 @@ def panel_coefficient_table(spark, sf):
     terms = ["kids_num2", "kids_num3", "kids_num>=4", "kid_order2", "kid_order>=3", "nobs"]
     return stacked({g: transpose(table_.filter(F.col("subgroup") == g), "term", labels, terms, "specification")
                     for g in SUBSAMPLES}, "subgroup")
+
+
+SHOWN = ["father_univ_diploma", "mother_univ_diploma", "gender", "residence", "birth_year_trunc", "kids_num", "kid_order",
+         "nuclear_family", "other_gender_siblings"]
+
+
+def odds_of(sample: DataFrame, extra: list[str]) -> DataFrame:
+    """(variable, level, n, ones, odds_ratio, low, high): counts of every level and the odds ratios with profile limits.
+
+    The first level of a variable is the baseline, whose odds ratio is empty.
+    """
+    xs = [*SHOWN, *extra]
+    limits = profile_intervals(sample, "univ_diploma", xs, MODEL_LEVELS)
+    rows = F.array(*[F.struct(F.lit(x).alias("variable"), F.col(x).cast("string").alias("level")) for x in SHOWN])
+    counts = sample.select("univ_diploma", F.explode(rows).alias("p")).filter(F.col("p.level").isNotNull()).groupBy(
+        F.col("p.variable").alias("variable"), F.col("p.level").alias("level")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("univ_diploma").cast("long").alias("ones"))
+    # one row per level on either side
+    return counts.withColumn("term", F.concat("variable", "level")).join(
+        limits.select("term", "odds_ratio", "low", "high"), "term", "left").drop("term")
+
+
+@query("panel_odds_ratios")
+def panel_odds_ratios(spark, sf):
+    """Odds ratios of the diploma with the size of every level, for all and for those who were never separated."""
+    sample = checkpointed(sample_of(spark, sf, SurveyTables(spark, sf)))
+    parts = {"all": odds_of(sample, ["is_separated"]), "not separated": odds_of(sample.filter(F.col("is_separated") == 0), [])}
+    return stacked(parts, "subgroup")
+
+
+@query("panel_level_counts", PANEL_SQL + """,
+s AS (SELECT *, CASE WHEN is_separated = 0 THEN ['all', 'not separated'] ELSE ['all'] END AS groups FROM sample),
+g AS (SELECT *, unnest(groups) AS subgroup FROM s),
+l AS (SELECT subgroup, univ_diploma, unnest(['father_univ_diploma', 'mother_univ_diploma', 'gender', 'residence', 'birth_year_trunc', 'kids_num',
+        'kid_order', 'nuclear_family', 'other_gender_siblings']) AS variable,
+      unnest([CAST(father_univ_diploma AS VARCHAR), CAST(mother_univ_diploma AS VARCHAR), gender, residence, CAST(birth_year_trunc AS VARCHAR),
+        kids_num, kid_order, nuclear_family, CAST(other_gender_siblings AS VARCHAR)]) AS level FROM g)
+SELECT subgroup, variable, level, count(*) AS n, CAST(sum(univ_diploma) AS BIGINT) AS ones FROM l WHERE level IS NOT NULL GROUP BY ALL""")
+def panel_level_counts(spark, sf):
+    """The level counts beside the odds ratios of ``panel_odds_ratios``."""
+    return panel_odds_ratios(spark, sf).select("subgroup", "variable", "level", "n", "ones")
+
+
+CURVE_XS = ["kids_num", "kid_order", "gender", "birth_year_trunc", "mother_univ_diploma", "father_univ_diploma", "other_gender_siblings"]
+RARE = "SPB"
+
+
+@query("panel_metric_curve")
+def panel_metric_curve(spark, sf):
+    """Hold-out metrics on the sample without its rare residence: 51 training proportions x 10 splits, for all and not separated."""
+    sample = checkpointed(sample_of(spark, sf, SurveyTables(spark, sf)).filter(F.col("residence") != RARE))
+    props = [round(0.25 + 0.01 * i, 2) for i in range(51)]
+    return stacked({label: metric_curve(rows, "univ_diploma", CURVE_XS, MODEL_LEVELS, props, 10) for label, rows in (
+        ("all", sample), ("not separated", sample.filter(F.col("is_separated") == 0)))}, "type")

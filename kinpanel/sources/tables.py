@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,49 @@ def ingest_labelled(df: DataFrame, folder: str) -> tuple[str, str]:
     return data, dictionary
 
 
+def _signature(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table, as one text; empty if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    if not files.exists(root):
+        return ""
+    found, listed = [], files.listFiles(root, True)
+    while listed.hasNext():
+        status = listed.next()
+        found.append(f"{status.getPath().getName()}:{status.getLen()}:{status.getModificationTime()}")
+    return ",".join(sorted(found))
+
+
+def ingest_folder(spark: SparkSession, folder: str, target: str, labels: Mapping[str, Mapping[str, str]],
+                  fmt: str = "parquet", suffix: str = ".parquet", **options: str) -> DataFrame:
+    """Store every table of a folder as columnar data with a dictionary of its own; returns the manifest.
+
+    ``labels`` names the tables and the labels of their columns. The manifest (table, data, dictionary, signature, taken) is
+    written last, so a folder without one, or whose manifest lacks a table, is half done. A rerun takes only the tables whose
+    files changed since, each to a new folder, so what the old manifest names stays whole until the new one is there.
+    """
+    path = f"{target}/manifest"
+    known = {}
+    if _signature(spark, path):
+        # one row per table
+        known = {r["table"]: r for r in load(spark, path).collect()}
+    rows = []
+    for name in labels:
+        source = f"{folder}/{name}{suffix}"
+        signature = _signature(spark, source)
+        old = known.get(name)
+        if old is not None and old["signature"] == signature:
+            rows.append((name, old["data"], old["dictionary"], signature, False))
+            continue
+        df = with_labels(spark.read.format(fmt).options(**options).load(source), labels[name])
+        data, dictionary = ingest_labelled(df, f"{target}/{name}-{uuid.uuid4().hex}")
+        rows.append((name, data, dictionary, signature, True))
+    manifest = spark.createDataFrame(rows, "table string, data string, dictionary string, signature string, taken boolean").coalesce(1)
+    save(manifest, path)
+    return load(spark, path)
+
+
 def columns_by_label(dictionary: DataFrame, pattern: str, present: Sequence[str] | None = None) -> list[str]:
     """Column names whose label matches ``pattern``; with ``present``, absent columns are left out.
 

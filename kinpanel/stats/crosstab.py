@@ -106,6 +106,14 @@ def summary_crosstab(df: DataFrame, by: str, categorical: Sequence[str], numeric
     return out
 
 
+def summary_with_tests(df: DataFrame, by: str, categorical: Sequence[str], numeric: Sequence[str],
+                       classes: tuple[str, str]) -> DataFrame:
+    """``summary_crosstab`` with the p-value of the variable's test beside every row of it."""
+    tests = crosstab_tests(df, by, categorical, numeric, classes)
+    # one row per variable
+    return summary_crosstab(df, by, categorical, numeric).join(tests, "variable", "left")
+
+
 def crosstab_tests(df: DataFrame, by: str, categorical: Sequence[str], numeric: Sequence[str],
                    classes: tuple[str, str]) -> DataFrame:
     """(variable, p): chi-square for categorical variables, Welch t for numeric ones."""
