@@ -597,19 +597,19 @@ SHOWN = ["father_univ_diploma", "mother_univ_diploma", "gender", "residence", "b
          "nuclear_family", "other_gender_siblings"]
 
 
-def odds_of(sample: DataFrame, extra: list[str]) -> DataFrame:
-    """(variable, level, n, ones, odds_ratio, low, high): counts of every level and the odds ratios with profile limits.
-
-    The first level of a variable is the baseline, whose odds ratio is empty.
-    """
-    xs = [*SHOWN, *extra]
-    limits = profile_intervals(sample, "univ_diploma", xs, MODEL_LEVELS)
+def level_counts(sample: DataFrame) -> DataFrame:
+    """(variable, level, n, ones) of every level of the variables shown."""
     rows = F.array(*[F.struct(F.lit(x).alias("variable"), F.col(x).cast("string").alias("level")) for x in SHOWN])
-    counts = sample.select("univ_diploma", F.explode(rows).alias("p")).filter(F.col("p.level").isNotNull()).groupBy(
+    return sample.select("univ_diploma", F.explode(rows).alias("p")).filter(F.col("p.level").isNotNull()).groupBy(
         F.col("p.variable").alias("variable"), F.col("p.level").alias("level")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("univ_diploma").cast("long").alias("ones"))
+
+
+def odds_of(sample: DataFrame, extra: list[str]) -> DataFrame:
+    """``level_counts`` with odds_ratio, low, high: the odds ratios with profile limits; empty for the first level, the baseline."""
+    limits = profile_intervals(sample, "univ_diploma", [*SHOWN, *extra], MODEL_LEVELS)
     # one row per level on either side
-    return counts.withColumn("term", F.concat("variable", "level")).join(
+    return level_counts(sample).withColumn("term", F.concat("variable", "level")).join(
         limits.select("term", "odds_ratio", "low", "high"), "term", "left").drop("term")
 
 
@@ -631,7 +631,8 @@ l AS (SELECT subgroup, univ_diploma, unnest(['father_univ_diploma', 'mother_univ
 SELECT subgroup, variable, level, count(*) AS n, CAST(sum(univ_diploma) AS BIGINT) AS ones FROM l WHERE level IS NOT NULL GROUP BY ALL""")
 def panel_level_counts(spark, sf):
     """The level counts beside the odds ratios of ``panel_odds_ratios``."""
-    return panel_odds_ratios(spark, sf).select("subgroup", "variable", "level", "n", "ones")
+    sample = checkpointed(sample_of(spark, sf, SurveyTables(spark, sf)))
+    return stacked({"all": level_counts(sample), "not separated": level_counts(sample.filter(F.col("is_separated") == 0))}, "subgroup")
 
 
 CURVE_XS = ["kids_num", "kid_order", "gender", "birth_year_trunc", "mother_univ_diploma", "father_univ_diploma", "other_gender_siblings"]

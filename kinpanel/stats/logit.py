@@ -241,7 +241,9 @@ def profile_intervals(df: DataFrame, y: str, xs: Sequence[str], levels: Levels,
     for j in range(1, k):
         b, e = float(best["beta"][j]), float(best["error"][j])
         ends = [None if v is None else float(np.exp(v)) for v in (limits[j, -1], limits[j, 1])]
-        out.append((names[j], float(np.exp(b)), float(np.exp(b - WALD * e)), float(np.exp(b + WALD * e)), *ends))
+        with np.errstate(over="ignore"):  # infinite for a separated class
+            wald = [float(np.exp(b + d * WALD * e)) for d in (-1, 1)]
+        out.append((names[j], float(np.exp(b)), *wald, *ends))
     return df.sparkSession.createDataFrame(out, schema)
 
 
@@ -269,6 +271,8 @@ def limit_excess(df: DataFrame, y: str, xs: Sequence[str], levels: Levels, limit
 
 
 WALD = 1.959963984540054
+# Coefficients beyond this are not looked at as limits.
+FARTHEST = 30.0
 
 
 def profile_point(best: dict, j: int, side: int, cutoff: float) -> Generator:
@@ -314,13 +318,15 @@ def profile_limit(best: dict, j: int, side: int, cutoff: float) -> Generator:
 
     inner, low = centre, -goal
     outer = centre + 2 * step
-    for _ in range(12):
+    while True:
+        # beyond FARTHEST every share is 0 or 1 to the last digit
+        outer = side * min(side * outer, FARTHEST)
+        if side * (outer - inner) <= 0:
+            return None
         high = yield from root(outer)
         if high > 0:
             break
         inner, low, outer = outer, high, outer + 2 * (outer - centre)
-    else:
-        return None
     for _ in range(60):
         # false position, with the middle where it stalls
         guess = inner + (outer - inner) * (-low / (high - low))
