@@ -6,8 +6,10 @@ same paragraphs wherever it stands; any run of ``WINDOW`` pairs has an anchor, s
 whole paragraph. With ``whole``, a paragraph that goes takes along the words beside it that equal those beside the one
 that stays, so an exact copy goes from its first to its last word.
 
-Every paragraph has a key per band; the number of bands and of minwise hashes in each are chosen for ``RECALL`` at the
-threshold with the fewest rows. Rows go once by key, and a key that one paragraph has alone ends there. Paragraphs that
+Every paragraph has a key per band; the number of bands and of minwise hashes in each are chosen for ``RECALL`` with the
+fewest rows at the least similarity above the threshold that two paragraphs can have: of 17 shingles each, similar ones
+share at least 16. (Those that repeat a shingle have fewer, and may be linked with less in common, down to the threshold;
+such a pair is found with at least 0.95.) Rows go once by key, and a key that one paragraph has alone ends there. Paragraphs that
 share a key and whose one-bit sketches agree as those of similar ones do are compared by their full sets of 5-word
 shingles. Those under a key that too many different paragraphs share (a line that stands in many contexts) are linked
 exactly, too: compared under the rarest of their shingles, of which similar ones must have one in common. A key that is
@@ -43,11 +45,16 @@ RECALL = 0.99
 LIMIT = chosenpath.LIMIT
 #: rows of one key in a task that stay in one run
 RUN = 64
+#: a key with more than this part of all rows (one in HOT) is joined by broadcast; there are fewer than HOT of them
+HOT = 1000
 #: words on either side of a paragraph that are compared with those beside the one that stays; a longer run has a further
 #: paragraph of its own
 BESIDE = 40
-#: bits of 64 in which the sketches of similar paragraphs may differ: at the threshold 6.4 on average, 2.4 the deviation
-DIFFER = 17
+#: bits of 64 in which the sketches of similar paragraphs may differ; 0.9986 of the pairs at a similarity of 0.8 (6.4 bits on
+#: average, 2.4 the deviation) and all but one in a million at 16 / 18 stay within it
+DIFFER = 14
+#: paragraphs whose sketches are made at once, so that their shingles stay in the processor's cache
+BLOCK = 2048
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -60,6 +67,12 @@ def tuned(threshold: float, recall: float = RECALL, most: int = 30) -> tuple[int
     return most, 1
 
 
+def least_similarity(size: int, percent: int) -> float:
+    """The smallest Jaccard similarity of ``percent`` or more that two sets of ``size`` elements can have."""
+    common = -(-2 * size * percent // (100 + percent))
+    return common / (2 * size - common)
+
+
 def anchors(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, word number of the anchor) of every paragraph that lies in its document."""
     n = len(words)
@@ -95,6 +108,22 @@ def anchors(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[inside], at[inside] - starts[row[inside]]
 
 
+def _sketched(shingles: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the whole, sketch, and a key per band (bands x paragraphs) of the paragraphs that begin at ``begin``."""
+    own = shingles[np.arange(SPAN - WIDTH + 1)[:, None] + begin]
+    content = mixed((own * MULTIPLIERS[100:100 + len(own), None]).sum(axis=0, dtype=np.uint64))
+    bits = np.zeros(len(begin), dtype=np.uint64)
+    for k in range(64):
+        bits |= (mixed((own * MULTIPLIERS[300 + k]).min(axis=0)) & np.uint64(1)) << np.uint64(k)
+    keys = np.empty((bands, len(begin)), dtype=np.uint64)
+    for band in range(bands):
+        value = np.full(len(begin), band + 1, dtype=np.uint64)
+        for k in range(rows):
+            value = mixed(value + mixed(own * MULTIPLIERS[200 + band * rows + k]).min(axis=0))
+        keys[band] = value
+    return content, bits, keys
+
+
 def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """key, run, hot, doc_id, stamp, start, content, bits: a row per paragraph and band.
 
@@ -115,20 +144,9 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 begin = starts[row] + at - SPAN // 2
                 shingles = shingle_hashes(words, WIDTH)
-                window = begin[:, None] + np.arange(SPAN - WIDTH + 1)
-                own = shingles[window]
-                content = mixed((own * MULTIPLIERS[100:100 + own.shape[1]]).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                bits = np.zeros(len(row), dtype=np.uint64)
-                for k in range(64):
-                    low = (own * MULTIPLIERS[300 + k]).min(axis=1)
-                    bits |= (mixed(low) & np.uint64(1)) << np.uint64(k)
-                keys = []
-                for band in range(bands):
-                    value = np.full(len(row), band + 1, dtype=np.uint64)
-                    for k in range(rows):
-                        value = mixed(value + mixed(own * MULTIPLIERS[200 + band * rows + k]).min(axis=1))
-                    keys.append(value.view(np.int64))
-                key = np.concatenate(keys)
+                content, bits, key = (np.concatenate(c, axis=-1) for c in zip(*(
+                    _sketched(shingles, begin[i:i + BLOCK], bands, rows) for i in range(0, len(begin), BLOCK))))
+                key = key.ravel().view(np.int64)
                 # number of the row among the task's rows of its key, only for keys that are frequent here
                 values, place, number = np.unique(key, return_inverse=True, return_counts=True)
                 runs = np.zeros(len(key), dtype=np.int32)
@@ -142,7 +160,7 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 index = pa.array(np.tile(first + row, bands))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key), pa.array(runs), pa.array(runs > 0), ids.take(index), stamps.take(index),
-                    pa.array(np.tile(at - SPAN // 2, bands).astype(np.int32)), pa.array(np.tile(content, bands)),
+                    pa.array(np.tile(at - SPAN // 2, bands).astype(np.int32)), pa.array(np.tile(content.view(np.int64), bands)),
                     pa.array(np.tile(bits.view(np.int64), bands))], names)
 
     return source.mapInArrow(run, "key long, run int, hot boolean, doc_id long, stamp long, start int, content long, bits long")
@@ -298,14 +316,14 @@ def crowded_links(pairs: DataFrame, described: DataFrame, percent: int) -> DataF
                                              ["item", "content"])
 
     items = checkpointed(own.select("content", "shingles").mapInArrow(listed, "item long, content long"))
-    counted = items.join(items.groupBy("item").agg(F.count("*").alias("n")), "item")
+    counted = per_key(items, items.groupBy("item").agg(F.count("*").alias("n")), "item")
     # a paragraph has at most SPAN - WIDTH + 1 shingles
     ranked = counted.groupBy("content").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("all"))
     size = F.size("all")
     ranked = ranked.select("content", F.explode(F.slice("all", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)).alias("r"))
     rare = checkpointed(ranked.select(F.col("r.item").alias("key"), "content"))
     sizes = rare.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rare = checkpointed(rare.join(sizes, "key"))
+    rare = checkpointed(per_key(rare, sizes, "key"))
     small = rare.filter(F.col("n") <= LIMIT).select(F.col("key").alias("node"), F.lit(0).alias("part"), "content")
     edges = map_runs(small.join(described, "content").select("node", "part", "content", "shingles"), 2, _compared(percent), "a long, b long")
     large = rare.filter(F.col("n") > LIMIT).select("key", "content")
@@ -316,13 +334,14 @@ def subset_links(pairs: DataFrame, described: DataFrame, percent: int) -> DataFr
     """a, b: contents of very large groups (``pairs``) linked through the subsets that similar ones must have in common."""
     sizes = described.select("content", (F.length("shingles") / 8).cast("int").alias("size"))
     own = pairs.select("key", "content").join(sizes, "content")
-    among = own.groupBy("key").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    asked = own.join(among, "key").groupBy("content").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    own = checkpointed(own)
+    among = own.groupBy("key").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n"))
+    asked = per_key(own, among, "key").groupBy("content").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     rows = checkpointed(_subsets(described, asked, percent))
     # the smallest set with a subset is linked with whichever other is linked with any
-    first = rows.groupBy("part").agg(F.min(F.struct("size", "content")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("part", "f")
+    first = rows.groupBy("part").agg(F.min(F.struct("size", "content")).alias("f"), F.count("*").alias("n")).filter("n > 1")
     near = (100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("f.size"))
-    return rows.join(first, "part").filter(near & (F.col("content") != F.col("f.content"))).select(
+    return per_key(rows, first, "part").filter(near & (F.col("content") != F.col("f.content"))).select(
         F.col("content").alias("a"), F.col("f.content").alias("b")).distinct()
 
 
@@ -347,10 +366,11 @@ def _compared(percent: int):
 def clusters(docs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """content, root: different paragraphs connected by exact Jaccard similarity; those alone are left out."""
     pairs = shared.filter("near").select("key", "content").distinct()
-    sizes = pairs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    pairs = checkpointed(pairs.join(sizes, "key"))
-    first = shared.join(pairs.select("content").distinct(), "content", "left_semi").groupBy("content").agg(
-        F.min(F.struct("doc_id", "stamp", "start")).alias("f")).select("content", "f.*")
+    pairs = checkpointed(pairs)
+    pairs = checkpointed(per_key(pairs, pairs.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    # counted before they are joined, so that a paragraph of many copies is one row
+    first = shared.groupBy("content").agg(F.min(F.struct("doc_id", "stamp", "start")).alias("f"))
+    first = first.join(pairs.select("content").distinct(), "content", "left_semi").select("content", "f.*")
     described = checkpointed(contents(docs, first))
     small = pairs.filter(F.col("n") <= LIMIT).select(F.col("key").alias("node"), F.lit(0).alias("part"), "content")
     edges = map_runs(small.join(described, "content").select("node", "part", "content", "shingles"), 2, _compared(percent), "a long, b long")
@@ -360,19 +380,36 @@ def clusters(docs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> Data
     return connected_components(edges).select(F.col("node").alias("content"), "root")
 
 
+def per_key(rows: DataFrame, known: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` (a written table) joined with ``known``, which has a row per ``key`` and in ``count`` at least its number of rows.
+
+    Fewer than ``HOT`` keys can have more than that part of all rows; these are broadcast, and their rows stay where they are.
+    """
+    known = checkpointed(known)
+    total = known.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(known.filter(F.col(count) * HOT > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known.filter(F.col(count) * HOT <= total), key)
+    return rest.unionByName(rows.join(hot, key))
+
+
 def repeats(docs: DataFrame, percent: int = PERCENT, whole: bool = False) -> DataFrame:
     """doc_id, stamp, cuts, stays (arrays of first words of paragraphs), more per document that has a repeated paragraph.
 
     ``more`` has the runs (first, end) of words that equal those in and beside the paragraph that stays; it is empty
     without ``whole``.
     """
-    bands, rows = tuned(percent / 100)
+    bands, rows = tuned(least_similarity(SPAN - WIDTH + 1, percent))
     shared = checkpointed(shared_keys(keyed(docs, bands, rows)))
     roots = checkpointed(clusters(docs, shared, percent))
-    every = shared.select("doc_id", "stamp", "start", "content").distinct().join(roots, "content", "left")
-    every = every.withColumn("root", F.coalesce("root", "content"))
-    kept = every.groupBy("root").agg(F.min(F.struct("doc_id", "stamp", "start", "content")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    marked = every.join(kept, "root").withColumn("stays", F.struct("doc_id", "stamp", "start", "content") == F.col("kept"))
+    # groups are made of different paragraphs with their numbers of copies; then each copy meets its group once
+    every = checkpointed(shared.select("doc_id", "stamp", "start", "content").distinct())
+    counted = every.groupBy("content").agg(F.min(F.struct("doc_id", "stamp", "start")).alias("f"), F.count("*").alias("n"))
+    counted = checkpointed(counted.join(roots, "content", "left").filter("n > 1 OR root IS NOT NULL").withColumn(
+        "root", F.coalesce("root", "content")))
+    kept = counted.groupBy("root").agg(F.min(F.struct("f.*", "content")).alias("kept"), F.sum("n").alias("all")).filter("all > 1")
+    groups = per_key(counted.select("content", "n", "root"), kept, "root", "all").drop("all")
+    marked = per_key(every, groups, "content").drop("n").withColumn(
+        "stays", F.struct("doc_id", "stamp", "start", "content") == F.col("kept"))
     if whole:
         marked = widened(docs, checkpointed(marked))
     else:
@@ -422,6 +459,7 @@ def widened(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
     rows = checkpointed(met.mapInArrow(beside, "root long, stays boolean, equal boolean, doc_id long, stamp long, start int, left binary, right binary"))
     first = rows.filter("stays").select("root", F.col("left").alias("first_left"), F.col("right").alias("first_right"))
+    first = first.join(rows.groupBy("root").agg(F.count("*").alias("n")), "root")
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -434,7 +472,7 @@ def widened(docs: DataFrame, marked: DataFrame) -> DataFrame:
                 pa.array(found, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], ["doc_id", "stamp", "start", "stays", "wide"])
 
     kind = "array<struct<first: int, end: int>>"
-    gone = rows.filter("NOT stays").join(first, "root").mapInArrow(
+    gone = per_key(rows.filter("NOT stays"), first, "root").mapInArrow(
         wide, f"doc_id long, stamp long, start int, stays boolean, wide {kind}")
     return gone.union(rows.filter("stays").select("doc_id", "stamp", "start", "stays", F.lit(None).cast(kind).alias("wide")))
 
