@@ -236,6 +236,18 @@ def shared_keys(rows: DataFrame) -> DataFrame:
         run, "key long, doc_id long, stamp long, start int, content long, near boolean")
 
 
+def _flat(lists: pa.ListArray) -> tuple[pa.StructArray, np.ndarray]:
+    """All items of the lists, and the first item of each list with the end of the last one."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten(), at - at[0]
+
+
+def _binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """``values`` in runs of ``counts`` as bytes."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """content, shingles (sorted set) of the paragraphs ``wanted`` (doc_id, stamp, start, content)."""
     lists = wanted.groupBy("doc_id", "stamp").agg(F.collect_list(F.struct("start", "content")).alias("own"))
@@ -248,17 +260,16 @@ def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            own = batch.column("own").to_pylist()
-            names, sets = [], []
+            item, at = _flat(batch.column("own"))
+            content, start = item.field("content"), item.field("start").to_numpy()
             for first, end, words, counts in word_arrays(batch.column("text").to_pylist(), memo):
                 starts = np.concatenate([[0], np.cumsum(counts)])
-                shingles = shingle_hashes(words, WIDTH)
-                for row in range(first, end):
-                    for item in own[row]:
-                        begin = starts[row - first] + item["start"]
-                        names.append(item["content"])
-                        sets.append(np.unique(shingles[begin:begin + SPAN - WIDTH + 1]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["content", "shingles"])
+                here = slice(at[first], at[end])
+                begin = np.repeat(starts[:-1], np.diff(at[first:end + 1])) + start[here]
+                sets = np.sort(shingle_hashes(words, WIDTH)[begin[:, None] + np.arange(SPAN - WIDTH + 1)], axis=1)
+                new = np.ones(sets.shape, dtype=bool)
+                new[:, 1:] = sets[:, 1:] != sets[:, :-1]
+                yield pa.RecordBatch.from_arrays([content[here], _binaries(sets[new], new.sum(axis=1))], ["content", "shingles"])
 
     return met.mapInArrow(run, "content long, shingles binary")
 
@@ -433,29 +444,30 @@ def widened(docs: DataFrame, marked: DataFrame) -> DataFrame:
     # rows that repeat a document are one
     met = met.groupBy("stamp", "doc_id").agg(F.first("text").alias("text"), F.first("own").alias("own")).select("doc_id", "stamp", "text", "own")
     names = ["root", "stays", "equal", "doc_id", "stamp", "start", "left", "right"]
-    types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            ids, stamps, own = (batch.column(n).to_pylist() for n in ("doc_id", "stamp", "own"))
-            out = []
+            item, at = _flat(batch.column("own"))
+            start, stays = item.field("start").to_numpy().astype(np.int64), item.field("stays").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            gap = _gaps(row, start, stays, item.field("kept"))
+            n_left = np.where(stays | (gap[:-1] == BESIDE), BESIDE, 0)
+            n_right = np.where(stays, BESIDE, gap[1:])
             for first, end, words, counts in word_arrays(batch.column("text").to_pylist(), memo):
-                starts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                starts = np.concatenate([[0], np.cumsum(counts)])
                 short = (mixed(words) >> np.uint64(32)).astype(np.uint32)
-                for row in range(first, end):
-                    low, high = starts[row - first], starts[row - first + 1]
-                    items = own[row]
-                    gaps = [BESIDE, *(_gap(a, b) for a, b in zip(items, items[1:])), BESIDE]
-                    for i, x in enumerate(items):
-                        # a gap is looked at from its left side alone
-                        n_left = BESIDE if x["stays"] or gaps[i] == BESIDE else 0
-                        n_right = BESIDE if x["stays"] else gaps[i + 1]
-                        begin = low + x["start"]
-                        left = short[max(low, begin - n_left):begin][::-1]
-                        right = short[begin + SPAN:min(high, begin + SPAN + n_right)]
-                        out.append((x["root"], x["stays"], x["equal"], ids[row], stamps[row], x["start"], left.tobytes(), right.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, types)], names)
+                here = slice(at[first], at[end])
+                low, high = starts[row[here] - first], starts[row[here] - first + 1]
+                begin = low + start[here]
+                left = np.minimum(n_left[here], begin - low)
+                right = np.minimum(n_right[here], high - begin - SPAN)
+                index = pa.array(row[here])
+                yield pa.RecordBatch.from_arrays([
+                    item.field("root")[here], item.field("stays")[here], item.field("equal")[here],
+                    batch.column("doc_id").take(index), batch.column("stamp").take(index), item.field("start")[here],
+                    _binaries(short[np.repeat(begin - 1, left) - _numbers(left)], left),
+                    _binaries(short[np.repeat(begin + SPAN, right) + _numbers(right)], right)], names)
 
     rows = checkpointed(met.mapInArrow(beside, "root long, stays boolean, equal boolean, doc_id long, stamp long, start int, left binary, right binary"))
     first = rows.filter("stays").select("root", F.col("left").alias("first_left"), F.col("right").alias("first_right"))
@@ -477,13 +489,25 @@ def widened(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return gone.union(rows.filter("stays").select("doc_id", "stamp", "start", "stays", F.lit(None).cast(kind).alias("wide")))
 
 
-def _gap(a: dict, b: dict) -> int:
-    """Words to compare between two paragraphs of a document, of which ``a`` is the left one."""
-    x, y = a["kept"], b["kept"]
-    if a["stays"] or b["stays"] or (x["doc_id"], x["stamp"]) != (y["doc_id"], y["stamp"]) or y["start"] - x["start"] != b["start"] - a["start"]:
-        return BESIDE
-    gap = b["start"] - a["start"] - SPAN
-    return max(0, gap) if gap < BESIDE else BESIDE
+def _gaps(row: np.ndarray, start: np.ndarray, stays: np.ndarray, kept: pa.StructArray) -> np.ndarray:
+    """Words to compare before each paragraph, and behind the last one; paragraphs are in order of ``row`` and ``start``."""
+    out = np.full(len(row) + 1, BESIDE, dtype=np.int64)
+    if len(row) < 2:
+        return out
+    same = (row[1:] == row[:-1]) & ~stays[1:] & ~stays[:-1]
+    doc_id = kept.field("doc_id")
+    for values in (doc_id.fill_null(0), doc_id.is_null(), kept.field("stamp")):
+        values = values.to_numpy(zero_copy_only=False)
+        same &= values[1:] == values[:-1]
+    apart = np.diff(start)
+    same &= np.diff(kept.field("start").to_numpy()) == apart
+    out[1:-1] = np.where(same, np.clip(apart - SPAN, 0, BESIDE), BESIDE)
+    return out
+
+
+def _numbers(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each run of ``counts``."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def agree(a: bytes, b: bytes) -> int:
