@@ -70,7 +70,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     """
     items = checkpointed(sized(docs).groupBy("doc_id", "source", "size", "preference").agg(F.count("*").alias("rows")))
     rows = items.withColumn("__words", F.col("size") * F.col("rows"))
-    targets = source_targets(rows.select("source", F.col("__words").alias("size")), weights, cap)
+    # written, so that Spark knows how small the tables of a row per source are and broadcasts them: rows of a source stay put
+    targets = checkpointed(source_targets(rows.select("source", F.col("__words").alias("size")), weights, cap))
     classes = rows.groupBy("source", "preference").agg(F.sum("__words").alias("__words"))
     classes = classes.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     classes = classes.withColumn("__pull", F.col("__words") * F.col("preference")).withColumn(
@@ -94,8 +95,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
         "__b", F.floor((F.col("__t") * (SLICES // 2) - F.col("__a")) * SLICES).cast("int"))
     ranked = checkpointed(ranked)
 
-    cut = _cut(ranked.filter("__open"), ["source"], "__a")
-    cut = _cut(ranked.filter("__open"), ["source", "__a"], "__b", cut)
+    cut = checkpointed(_cut(ranked.filter("__open"), ["source"], "__a"))
+    cut = checkpointed(_cut(ranked.filter("__open"), ["source", "__a"], "__b", cut))
     cut = cut.select(F.col("source").alias("__s"), F.col("__a").alias("__ca"), F.col("__b").alias("__cb"), "__before")
     placed = ranked.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left")
     earlier = (F.col("__a") < F.col("__ca")) | ((F.col("__a") == F.col("__ca")) & (F.col("__b") < F.col("__cb")))
