@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinpanel.llm import chosenpath, gru, mixing, paragraphs, wumanber
 from kinpanel.llm.common import table
-from kinpanel.session import checkpointed, scratch_path
+from kinpanel.session import checkpointed, own_stages, scratch_path
 
 #: documents whose likeliest language is less likely than so many times an even share are rejected
 LEAST_LIFT = 1.1
@@ -56,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand elsewhere; documents of which no word is left go."""
-    cut = paragraphs.without_repeats(docs, PERCENT)
+    cut = paragraphs.without_repeats(docs, PERCENT, whole=True)
     cut = cut.filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -80,10 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage wrote on its way is deleted after it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with own_stages(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
