@@ -1,12 +1,14 @@
 """Every stage against brute force on its own input, and the table that goes in and out."""
 
+import os
 import random
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from kinpanel.llm import gru, sql
+from kinpanel import session
+from kinpanel.llm import sql
 from tests.llm.test_operators import ODD, bytes_brute, edited, near_brute, passages_brute, prose  # noqa: F401
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, items string, lang_pred string"
@@ -55,10 +57,18 @@ def test_stages_match_brute_force(spark, folder):
     cut = corpus_pipeline.repeated_passages(spark, near, folder).cache()
     assert cut.columns == columns and cut.filter("n_chars <> length(text)").count() == 0
     lost = {i: n for i, n in passages_brute(kept)}
-    words = {i: len(t.split()) for i, t in kept}
-    for doc_id, text in listed(cut, "doc_id", "text"):
-        assert len(text.split()) == words[doc_id] - lost[doc_id]
-    assert sum(n > 0 for i, n in lost.items() if i is not None and 300 <= i < 306) == 5
+    words = {i: t.split() for i, t in kept}
+    left = {i: t.split() for i, t in listed(cut, "doc_id", "text")}
+    for doc_id, own in left.items():
+        # words beside a paragraph that goes may go with it, and nothing goes from a document without one
+        assert len(own) <= len(words[doc_id]) - lost[doc_id] and (lost[doc_id] or own == words[doc_id])
+    # the copies of the passage go from their first to their last word (and at most one word of the surroundings on a side)
+    whole = [i for i in range(301, 306) if lost[i]]
+    assert whole == list(range(301, 306)) and not lost[300]
+    for i in whole:
+        first = words[i][:60]
+        ahead = next((k for k, (x, y) in enumerate(zip(first, left[i])) if x != y), len(first))
+        assert ahead >= 59 and left[i][-59:] == words[i][-59:] and 118 <= len(left[i]) <= 120
 
     clean = corpus_pipeline.decontaminate(spark, cut, folder).cache()
     assert clean.columns == columns
@@ -78,6 +88,11 @@ def test_stages_take_an_empty_table(spark, folder):
         assert stage(spark, docs, folder).count() == 0
 
 
-def test_names():
-    assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
-    assert gru.HIDDEN > 0
+def test_run_leaves_only_the_stages_results(spark, folder):
+    """What a stage writes on its way is deleted; the last result still reads."""
+    base = session.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    found = corpus_pipeline.run(spark, folder)
+    assert found.count() > 0
+    assert sorted(n.split("-")[2] for n in set(os.listdir(base)) - before if "-stage-" not in n) == sorted(n for n, _ in corpus_pipeline.STAGES)
+    assert not [n for n in set(os.listdir(base)) - before if "-stage-" in n]
