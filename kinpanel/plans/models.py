@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinpanel.functions import expressions as E
 from kinpanel.operators.scale import salted_join
 from kinpanel.operators.reshape import stacked
+from kinpanel.plans import logit_sql
 from kinpanel.plans.registry import query, table
 from kinpanel.session import checkpointed
 from kinpanel.stats import crosstab as C
@@ -105,19 +106,52 @@ def nested_fit(spark, sf) -> DataFrame:
     return L.fit_specifications(lines_with_orders(spark, sf), "returned", nest(GROUPS), JOINED_LEVELS)
 
 
-@query("nested_specifications")
-def nested_specifications(spark, sf):
-    return nested_fit(spark, sf)
+_NESTED_TERMS = {name: logit_sql.terms_of(xs, JOINED_LEVELS) for name, xs in nest(GROUPS).items()}
+_JOINED = """WITH RECURSIVE j AS (
+  SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS r, l_linestatus, o_orderstatus, substr(o_orderpriority, 1, 1) AS priority,
+         CASE WHEN l_quantity < 17 THEN 'low' WHEN l_quantity < 34 THEN 'middle' ELSE 'high' END AS band,
+         CAST(year(o_orderdate) >= 1998 AS INTEGER) AS late
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),"""
+_NESTED = _JOINED + logit_sql.fits("j", "r", _NESTED_TERMS) + "," + logit_sql.coefficients(_NESTED_TERMS)
+_SHOWN = ["l_linestatus", "band", "o_orderstatus"]
 
 
-@query("coefficient_table")
+# Sums over the rows agree to the last few digits only, so results are rounded.
+@query("nested_specifications", _NESTED + """
+SELECT 'all' AS subgroup, specification, term, position, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+       round(statistic, 4) AS statistic, round(p_value, 6) AS p_value, nobs, round(deviance, 3) AS deviance, true AS converged
+FROM coefficients""")
+def nested_specifications(spark, sf):
+    digits = {"estimate": 6, "std_error": 6, "statistic": 4, "p_value": 6, "deviance": 3}
+    return nested_fit(spark, sf).withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query("coefficient_table", _NESTED + """,
+texts AS (
+  SELECT term, specification, regexp_replace(CAST(round(estimate, 3) AS VARCHAR), '\\.0$', '') || ' ('
+         || regexp_replace(CAST(round(std_error, 3) AS VARCHAR), '\\.0$', '') || ')'
+         || CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS text
+  FROM coefficients WHERE regexp_matches(term, '""" + "|".join(_SHOWN) + """')
+  UNION ALL SELECT 'nobs', specification, CAST(nobs AS VARCHAR) FROM fit)
+SELECT 'all' AS subgroup, term""" + "".join(
+    f""", max(text) FILTER (specification = '{name}') AS "+{name.replace('_', ' ')}\"""" for name in _NESTED_TERMS) + """
+FROM texts GROUP BY term""")
 def coefficient_table(spark, sf):
-    return make_table(nested_fit(spark, sf), ["l_linestatus", "band", "o_orderstatus"], list(nest(GROUPS)))
+    return make_table(nested_fit(spark, sf), _SHOWN, list(nest(GROUPS)))
+
+
+_PROFILED = {"all": logit_sql.terms_of(PROFILED, JOINED_LEVELS)}
 
 
-@query("profile_intervals")
+@query("profile_intervals", _JOINED + logit_sql.fits("j", "r", _PROFILED) + "," + logit_sql.limits(_PROFILED["all"]) + f""",
+sides AS (SELECT term, max(value) FILTER (side = -1) AS low, max(value) FILTER (side = 1) AS high FROM limits GROUP BY term),
+ends AS (SELECT DISTINCT term, beta[j] AS b, error[j] AS e FROM looked)
+SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - {logit_sql.WALD} * e), 6) AS wald_low,
+       round(exp(b + {logit_sql.WALD} * e), 6) AS wald_high, round(exp(low), 6) AS low, round(exp(high), 6) AS high
+FROM ends JOIN sides USING (term)""")
 def profile_intervals(spark, sf):
-    return L.profile_intervals(lines_with_orders(spark, sf), "returned", PROFILED, JOINED_LEVELS)
+    found = L.profile_intervals(lines_with_orders(spark, sf), "returned", PROFILED, JOINED_LEVELS)
+    return found.select("term", *[F.round(c, 6).alias(c) for c in found.columns if c != "term"])
 
 
 @query("logit_score_check", """
