@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinpanel.llm import chosenpath
-from kinpanel.llm.common import MULTIPLIERS, WordHashes, connected_components, map_runs, mixed, shingle_hashes, text_bytes, union_find, word_arrays
+from kinpanel.llm.common import MULTIPLIERS, WordHashes, connected_components, map_runs, mixed, per_key, shingle_hashes, text_bytes, union_find, word_arrays
 from kinpanel.session import checkpointed
 
 SPAN = 21
@@ -45,8 +45,6 @@ RECALL = 0.99
 LIMIT = chosenpath.LIMIT
 #: rows of one key in a task that stay in one run
 RUN = 64
-#: a key with more than this part of all rows (one in HOT) is joined by broadcast; there are fewer than HOT of them
-HOT = 1000
 #: words on either side of a paragraph that are compared with those beside the one that stays; a longer run has a further
 #: paragraph of its own
 BESIDE = 40
@@ -391,18 +389,6 @@ def clusters(docs: DataFrame, shared: DataFrame, percent: int = PERCENT) -> Data
     return connected_components(edges).select(F.col("node").alias("content"), "root")
 
 
-def per_key(rows: DataFrame, known: DataFrame, key: str, count: str = "n") -> DataFrame:
-    """``rows`` (a written table) joined with ``known``, which has a row per ``key`` and in ``count`` at least its number of rows.
-
-    Fewer than ``HOT`` keys can have more than that part of all rows; these are broadcast, and their rows stay where they are.
-    """
-    known = checkpointed(known)
-    total = known.agg(F.sum(count)).first()[0] or 0
-    hot = F.broadcast(known.filter(F.col(count) * HOT > total))
-    rest = rows.join(hot.select(key), key, "left_anti").join(known.filter(F.col(count) * HOT <= total), key)
-    return rest.unionByName(rows.join(hot, key))
-
-
 def repeats(docs: DataFrame, percent: int = PERCENT, whole: bool = False) -> DataFrame:
     """doc_id, stamp, cuts, stays (arrays of first words of paragraphs), more per document that has a repeated paragraph.
 
