@@ -47,15 +47,19 @@ class Words(dict):
         super().__init__()
         self.rows: list[tuple[float, ...]] = []
         self.filled = 0
-        self.weigh = weigh or (lambda word: 0.0)
+        self.weigh = weigh or (lambda word, form=None: 0.0)
         self.table = np.zeros((1024, 6))
 
     def __missing__(self, word: str) -> int:
         value = self[word] = self.filled + len(self.rows)
-        core = word[:-1] if word[-1] in ".,;:!?" else word
-        if core.isalpha() and core.islower():  # most words; the same measures by the shorter way
-            self.rows.append((0, len(core), 0, True, len(word), self.weigh(word)))
-            return value
+        core, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        if core.isalpha():  # most words; the same measures and shape by the shorter way
+            if core.islower():
+                self.rows.append((0, len(core), 0, True, len(word), self.weigh(word, "x" + mark)))
+                return value
+            if core[1:].islower() and _UPPER.match(core):
+                self.rows.append((0, len(core), 1, True, len(word), self.weigh(word, "Xx" + mark)))
+                return value
         self.rows.append((len(_SYMBOLS.findall(word)), len(_LETTER.findall(word)), len(_UPPER.findall(word)),
                           bool(_WORD.fullmatch(word)), len(word), self.weigh(word)))
         return value
@@ -73,7 +77,7 @@ class Words(dict):
                 self.table = np.concatenate([self.table, np.zeros((max(end, len(self.table)), 6))])
             self.table[self.filled:end] = self.rows
             self.filled, self.rows = end, []
-        return self.table[numbers].sum(axis=0)
+        return self.table.take(numbers, axis=0).sum(axis=0)
 
 
 def describe(text: str | None, known: Words) -> tuple[list[str], list[int], list[float], float]:
@@ -112,7 +116,15 @@ def shape(word: str) -> str:
 
 
 def slots(word: str) -> tuple[int, int]:
-    return (xxhash.xxh32_intdigest("w" + word) % SLOTS, xxhash.xxh32_intdigest("s" + shape(word)) % SLOTS)
+    return (_word_slot(word), _form_slot(shape(word)))
+
+
+def _word_slot(word: str) -> int:
+    return xxhash.xxh32_intdigest("w" + word) % SLOTS
+
+
+def _form_slot(form: str) -> int:
+    return xxhash.xxh32_intdigest("s" + form) % SLOTS
 
 
 def pattern_counts(docs: DataFrame) -> dict[tuple[int, ...], int]:
@@ -159,7 +171,8 @@ class Model:
         self.posterior, self.weights, self.base, self.prior, self.table = posterior, weights, base, prior, table
 
     def words(self) -> Words:
-        return Words(lambda word: float(self.weights[list(slots(word))].sum()))
+        weights = self.weights.tolist()  # single values are read faster from a list
+        return Words(lambda word, form=None: weights[_word_slot(word)] + weights[_form_slot(form or shape(word))])
 
     def scores(self, texts: list[str | None], known: Words) -> tuple[list[float], list[float]]:
         weak, scores = [], []

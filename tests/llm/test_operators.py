@@ -341,6 +341,18 @@ def test_quality_needs_no_labels(docs):
     assert quality.score(docs([]), quality.train(docs([]))).count() == 0
 
 
+def test_usual_words_are_weighed_without_patterns(monkeypatch):
+    """Weights are those of a word's slots, whichever way it goes; the patterns run for unusual words only."""
+    words = ["plain", "plain.", "Large", "Éreréé,", "x", "X", "a1", "A-b", "***", "aÀ", "ªb", "Œuf", "×a", "NO!", "Ab!!", "."]
+    weights = np.random.RandomState(1).randn(quality.SLOTS + quality.EXTRA)
+    want = [float(weights[list(quality.slots(w))].sum()) for w in words]
+    seen, shape = [], quality.shape
+    monkeypatch.setattr(quality, "shape", lambda w: seen.append(w) or shape(w))
+    known = quality.Model({}, weights, 0.0, 0.5, None).words()
+    assert [float(known.measures(known.numbers([w]))[5]) for w in words] == want
+    assert not {"plain", "plain.", "Large", "Éreréé,", "x"} & set(seen)
+
+
 def test_accuracies_are_found():
     """Votes drawn with known accuracies of three labellers."""
     rng = random.Random(17)
