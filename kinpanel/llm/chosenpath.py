@@ -3,9 +3,10 @@
 Equal shingle sets are one class from the start. Each class has a sketch of ``COORDINATES`` minwise tokens. In each of
 ``TREES`` independent trees a class follows a path: the node it is in chooses a coordinate, the token there leads to
 the next node. Small nodes are compared exhaustively by sketch; large ones branch on, and what is still large at the
-last level is cut into blocks, each compared with itself and with a few members that all blocks of the node share. Two
-sets of similarity s meet at the first level of a tree with probability s, so ``TREES`` trees miss fewer than one pair
-in a million there. Comparisons by sketch only say which classes may be connected.
+last level is cut into blocks, each compared with itself and with a few members that all blocks of the node share, and
+afterwards every member that is not yet connected with the node's largest group with every block. Two sets of similarity
+s meet at the first level of a tree with probability s, so ``TREES`` trees miss fewer than one pair in a million there.
+Comparisons by sketch only say which classes may be connected.
 
 Links are then confirmed on full sets inside each set of possibly connected classes: all pairs of a small one; of a
 large one, blocks with themselves and with shared members, and afterwards everything that is not yet connected with the
@@ -97,8 +98,12 @@ def paths(classes: DataFrame, trees: int = TREES) -> DataFrame:
     return classes.select("digest", "sketch").mapInArrow(run, "digest binary, " + ", ".join(f"{n} long" for n in names))
 
 
-def nodes(classes: DataFrame, trees: int = TREES) -> DataFrame:
-    """node, part, digest: groups of at most about ``LIMIT`` classes to compare; nodes of one class are left out."""
+def nodes(classes: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame | None]:
+    """node, part, digest: groups of at most about ``LIMIT`` classes to compare; nodes of one class are left out.
+
+    And node, parts, digest of the nodes that are cut into blocks (None without such): there, a group is one of the blocks
+    with the members that they share, and classes of two blocks are still to be compared.
+    """
     every = paths(classes, trees)
     small, now = [], None
     for level in range(1, LEVELS + 1):
@@ -110,13 +115,17 @@ def nodes(classes: DataFrame, trees: int = TREES) -> DataFrame:
         small.append(met.filter(F.col("n") <= LIMIT).select(F.col(name).alias("node"), F.lit(0).alias("part"), "digest"))
         now = met.filter(F.col("n") > LIMIT)
         if now.isEmpty():
-            return _union(small)
+            return _union(small), None
         if level < LEVELS:
             now = now.drop("n")
     parts = F.ceil(F.col("n") / LIMIT).cast("int")
     large = now.select(F.col(f"p{LEVELS}").alias("node"), parts.alias("parts"), "digest")
-    own = large.select("node", F.pmod(F.xxhash64("digest", "node"), F.col("parts")).cast("int").alias("part"), "digest")
-    return _union([*small, own, _shared(large, ["node"]).select("node", "part", "digest")]).distinct()
+    own = large.select("node", _block().alias("part"), "digest")
+    return _union([*small, own, _shared(large, ["node"]).select("node", "part", "digest")]).distinct(), large
+
+
+def _block():
+    return F.pmod(F.xxhash64("digest", "node"), F.col("parts")).cast("int")
 
 
 def _shared(large: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,23 +144,58 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def maybe_connected(classes: DataFrame, percent: int) -> DataFrame:
     """digest, root: classes that the trees find alike enough to be looked at, by connected set."""
-    members = nodes(classes).join(classes.select("digest", "sketch", "n_shingles"), "digest")
+    met, large = nodes(classes)
+    sketched_classes = classes.select("digest", "sketch", "n_shingles")
     least = percent / 100 - SLACK
 
-    def alike(rows: pd.DataFrame) -> pd.DataFrame | None:
+    def alike(rows: pd.DataFrame, asked: np.ndarray | None = None) -> pd.DataFrame | None:
+        """Links among the rows, or only those of rows that are asked for."""
         tokens = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint32).reshape(-1, COORDINATES)
         sizes = rows["n_shingles"].to_numpy()
         left, right = [], []
-        for i in range(len(rows) - 1):
-            agree = (tokens[i + 1:] == tokens[i]).mean(1) >= least
-            near = np.minimum(sizes[i + 1:], sizes[i]) * 100 >= np.maximum(sizes[i + 1:], sizes[i]) * percent
-            found = np.flatnonzero(agree & near) + i + 1
+        for i in range(len(rows) - 1) if asked is None else np.flatnonzero(asked).tolist():
+            first = i + 1 if asked is None else 0
+            agree = (tokens[first:] == tokens[i]).mean(1) >= least
+            near = np.minimum(sizes[first:], sizes[i]) * 100 >= np.maximum(sizes[first:], sizes[i]) * percent
+            found = np.flatnonzero(agree & near) + first
             left += [i] * len(found)
             right += found.tolist()
         return spanning(rows["digest"], left, right)
 
-    edges = map_groups(members.select("node", "part", "digest", "sketch", "n_shingles"), ["node", "part"], alike, "a binary, b binary")
-    return checkpointed(connected_components(edges).select(F.col("node").alias("digest"), "root"))
+    members = met.join(sketched_classes, "digest").select("node", "part", "digest", "sketch", "n_shingles")
+    edges = map_groups(members, ["node", "part"], alike, "a binary, b binary")
+    known = connected_components(edges)
+    if large is not None:
+        asked = _outside(large, known, ["node"])
+        if asked is not None:
+            dealt = _against_blocks(large.join(sketched_classes, "digest"), asked, ["node"], _block())
+            more = map_groups(dealt, ["node", "part", "other"], lambda rows: alike(rows, rows["kind"].to_numpy() == 1), "a binary, b binary")
+            known = connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    return checkpointed(known.select(F.col("node").alias("digest"), "root"))
+
+
+def _outside(large: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame | None:
+    """keys, digest of the members of each set that are not connected (``known``) with its largest group; None without such."""
+    inside = large.select(*keys, "digest").join(
+        known.select(F.col("node").alias("digest"), F.col("root").alias("__g")), "digest", "left").withColumn("group", F.coalesce("__g", "digest"))
+    counted = inside.groupBy(*keys, "group").agg(F.count("*").alias("c"))
+    # written, so that few sets are broadcast
+    main = checkpointed(counted.groupBy(*keys).agg(F.max(F.struct("c", "group")).alias("m")).select(*keys, F.col("m.group").alias("main")))
+    out = checkpointed(inside.join(main, keys).filter("group <> main").select(*keys, "digest"))
+    return None if out.isEmpty() else out
+
+
+def _against_blocks(large: DataFrame, out: DataFrame, keys: list[str], block) -> DataFrame:
+    """keys, part, other, kind, and the columns of ``large``: members ``out`` (kind 1) of a set with each of its blocks (0).
+
+    Both sides are dealt in portions of about ``LIMIT``, so a group is bounded however many there are.
+    """
+    number = checkpointed(out.groupBy(*keys).agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("others")))
+    with_number = large.join(number, keys)
+    asked = with_number.join(out, [*keys, "digest"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn(
+        "other", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("others")).cast("int"))
+    base = with_number.withColumn("part", block).withColumn("other", F.explode(F.expr("sequence(0, others - 1)")))
+    return asked.withColumn("kind", F.lit(1)).unionByName(base.withColumn("kind", F.lit(0))).drop("parts", "others")
 
 
 def spanning(digest: pd.Series, left: list[int], right: list[int]) -> pd.DataFrame | None:
@@ -219,22 +263,10 @@ def confirmed(docs: DataFrame, classes: DataFrame, roots: DataFrame, width: int,
     if large.isEmpty():
         return known
     # what is not in the largest group of its set meets every block of the set
-    inside = large.select("root", "digest", "parts").join(
-        known.select(F.col("node").alias("digest"), F.col("root").alias("__g")), "digest", "left").withColumn("group", F.coalesce("__g", "digest"))
-    counted = inside.groupBy("root", "group").agg(F.count("*").alias("c"))
-    main = counted.groupBy("root").agg(F.max(F.struct("c", "group")).alias("m")).select("root", F.col("m.group").alias("main"))
-    out = inside.join(main, "root").filter("group <> main").select("root", "digest", "group")
-    number = out.groupBy("root").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("others"))
-    out, number = checkpointed(out), checkpointed(number)
-    if out.isEmpty():
+    out = _outside(large, known, ["root"])
+    if out is None:
         return known
-    asked = large.join(out.select("digest"), "digest").join(number, "root")
-    asked = asked.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn(
-        "other", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("others")).cast("int"))
-    base = large.join(number, "root").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")).withColumn(
-        "other", F.explode(F.expr("sequence(0, others - 1)")))
-    cols = ["root", "part", "other", "digest", "text"]
-    dealt = asked.select(*cols, F.lit(1).alias("kind")).union(base.select(*cols, F.lit(0).alias("kind")))
+    dealt = _against_blocks(large.select("root", "parts", "digest", "text"), out, ["root"], F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
 
     def outside(rows: pd.DataFrame) -> pd.DataFrame | None:
         kind = rows["kind"].to_numpy()

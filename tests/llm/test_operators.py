@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinpanel.llm import ann, chosenpath, gru, induced, mixing, paragraphs, quality, sql, suffixes, toxicity, warc, wumanber
-from kinpanel.llm.common import WordHashes, connected_components, shingle_hashes, union_find, word_arrays
+from kinpanel.llm.common import WordHashes, connected_components, mixed, shingle_hashes, union_find, word_arrays
 from kinpanel.session import scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, stamp string, spans int, key int"
@@ -314,6 +314,29 @@ def test_near_duplicates_match_brute_force(docs, monkeypatch, width, percent, li
     found.unpersist()
 
 
+def test_classes_of_two_blocks_of_a_node_meet(spark, monkeypatch):
+    """60 pairs of equal sketches in one node that is cut into blocks; sketches of two pairs agree too little."""
+    monkeypatch.setattr(chosenpath, "LEVELS", 1)
+    monkeypatch.setattr(chosenpath, "LIMIT", 4)
+    monkeypatch.setattr(chosenpath, "SHARED", 1)
+    rng = np.random.RandomState(3)
+    common = rng.randint(0, 2**32, chosenpath.COORDINATES, dtype=np.uint32)
+    data = []
+    for pair in range(60):
+        # the coordinates that the trees choose first are equal in all
+        own = np.where(rng.rand(len(common)) < 0.4, common, rng.randint(0, 2**32, len(common), dtype=np.uint32))
+        own[chosen_first()] = common[chosen_first()]
+        data += [(bytes([pair, side]), own.astype(np.uint32).tobytes(), 100) for side in (0, 1)]
+    classes = spark.createDataFrame(data, "digest binary, sketch binary, n_shingles long")
+    got = {bytes(r["digest"]): bytes(r["root"]) for r in chosenpath.maybe_connected(classes, 85).collect()}
+    assert got == {d: bytes([d[0], 0]) for d, _, _ in data}
+
+
+def chosen_first():
+    seeds = mixed(np.arange(1, chosenpath.TREES + 1, dtype=np.uint64) * np.uint64(0x51ED27))
+    return ((seeds >> np.uint64(7)) % np.uint64(chosenpath.COORDINATES)).astype(int)
+
+
 def test_no_documents(docs):
     assert chosenpath.near_duplicates(docs([])).count() == 0
 
