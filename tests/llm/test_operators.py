@@ -348,6 +348,20 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == want
 
 
+def test_few_edges_are_written_as_few_files(spark):
+    kept = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        found = connected_components(spark.createDataFrame([(i, i // 2) for i in range(1, 200)], "a long, b long"))
+        assert {r["root"] for r in found.collect()} == {0} and found.count() == 200
+        assert len(found.inputFiles()) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # --- 7: quality
 
 def test_quality_needs_no_labels(docs):
