@@ -123,12 +123,12 @@ def _sketched(shingles: np.ndarray, begin: np.ndarray, bands: int, rows: int) ->
 
 
 def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """key, run, hot, doc_id, stamp, start, content, bits: a row per paragraph and band.
+    """key, run, doc_id, stamp, start, content, bits: a row per paragraph and band; the keys of the first band are odd.
 
     A bit of the sketch is one of the smallest hash of the paragraph's shingles under one of 64 hash functions.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("stamp"), text_bytes().alias("text"))
-    names = ["key", "run", "hot", "doc_id", "stamp", "start", "content", "bits"]
+    names = ["key", "run", "doc_id", "stamp", "start", "content", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -144,6 +144,8 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 shingles = shingle_hashes(words, WIDTH)
                 content, bits, key = (np.concatenate(c, axis=-1) for c in zip(*(
                     _sketched(shingles, begin[i:i + BLOCK], bands, rows) for i in range(0, len(begin), BLOCK))))
+                key &= ~np.uint64(1)
+                key[0] |= np.uint64(1)
                 key = key.ravel().view(np.int64)
                 # number of the row among the task's rows of its key, only for keys that are frequent here
                 values, place, number = np.unique(key, return_inverse=True, return_counts=True)
@@ -157,62 +159,63 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         seen[int(values[v])] = before + len(mine)
                 index = pa.array(np.tile(first + row, bands))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(key), pa.array(runs), pa.array(runs > 0), ids.take(index), stamps.take(index),
+                    pa.array(key), pa.array(runs), ids.take(index), stamps.take(index),
                     pa.array(np.tile(at - SPAN // 2, bands).astype(np.int32)), pa.array(np.tile(content.view(np.int64), bands)),
                     pa.array(np.tile(bits.view(np.int64), bands))], names)
 
-    return source.mapInArrow(run, "key long, run int, hot boolean, doc_id long, stamp long, start int, content long, bits long")
+    return source.mapInArrow(run, "key long, run int, doc_id long, stamp long, start int, content long, bits long")
+
+
+def _judged(key: np.ndarray, runs: np.ndarray, content: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of whole runs go on from ``shared_keys``, and which of them are near."""
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (runs[1:] != runs[:-1])]))
+    size = np.diff(np.append(start, len(key)))
+    frequent = (runs[start] > 0) | (size >= RUN)
+    alike = np.logical_and.reduceat(content == np.repeat(content[start], size), start)
+    first_band = (key[start] & 1).astype(bool)
+    # most runs are frequent, of one paragraph alone, or of two rows
+    two = np.flatnonzero(~frequent & ~alike & (size == 2))
+    close = two[np.bitwise_count(bits[start[two]] ^ bits[start[two] + 1]) <= DIFFER]
+    whole = frequent.copy()
+    whole[close] = True
+    near = np.repeat(whole, size)
+    kept = near | np.repeat(alike & first_band & (size > 1), size)
+    for i in np.flatnonzero(~frequent & ~alike & (size > 2)).tolist():
+        here = slice(start[i], start[i] + size[i])
+        names = content[here].tolist()
+        different = list(dict(zip(names, bits[here].tolist())).items())
+        found = set()
+        for k, (a, x) in enumerate(different):
+            for b, y in different[:k]:
+                if (x ^ y).bit_count() <= DIFFER:
+                    found.update((a, b))
+        near[here] = [n in found for n in names]
+        kept[here] = near[here]
+        if first_band[i] and len(different) < len(names):
+            number: dict[int, int] = {}
+            for n in names:
+                number[n] = number.get(n, 0) + 1
+            kept[here] = [n in found or number[n] > 1 for n in names]
+    return kept, near
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """key, doc_id, stamp, start, content, near of the rows of ``keyed`` that another row of their key may repeat.
 
     ``near`` marks rows with a different paragraph beside them whose sketch is close; the others stand there for an
-    equal one. Of a frequent key (its first run is full) every row goes on.
+    equal one. Equal paragraphs meet under the key of every band, so those of the first stand for the others. Of a
+    frequent key (its first run is full) every row goes on.
     """
-    out_names = ["key", "doc_id", "stamp", "start", "content", "near"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
-
-    def judged(held: list[tuple]) -> list[tuple]:
-        """Rows are (key, run, hot, doc_id, stamp, start, content, bits)."""
-        bits = {row[6]: row[7] & 0xFFFFFFFFFFFFFFFF for row in held}
-        if held[0][2] or len(held) >= RUN:
-            return [(*row[:1], *row[3:7], True) for row in held]
-        different = list(bits.items())
-        near = set()
-        for i, (a, x) in enumerate(different):
-            for b, y in different[:i]:
-                if (x ^ y).bit_count() <= DIFFER:
-                    near.update((a, b))
-        if len(bits) == len(held):
-            return [(*row[:1], *row[3:7], True) for row in held if row[6] in near]
-        number: dict[int, int] = {}
-        for row in held:
-            number[row[6]] = number.get(row[6], 0) + 1
-        return [(*row[:1], *row[3:7], row[6] in near) for row in held if row[6] in near or number[row[6]] > 1]
+    names = ["key", "doc_id", "stamp", "start", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.RecordBatch | None = None
-        out: list[tuple] = []
 
-        def judge(batch: pa.RecordBatch) -> None:
-            """All runs of the batch; those of one row end here without becoming tuples."""
-            key, runs = batch.column("key").to_numpy(), batch.column("run").to_numpy()
-            same = (key[1:] == key[:-1]) & (runs[1:] == runs[:-1])
-            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | batch.column("hot").to_numpy(zero_copy_only=False)
-            held: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.filter(pa.array(shared)).columns)):
-                if held and row[:2] != held[-1][:2]:
-                    out.extend(judged(held))
-                    held = []
-                held.append(row)
-            if held:
-                out.extend(judged(held))
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], out_names)
-                out.clear()
+        def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+            key, runs, content, bits = (batch.column(n).to_numpy() for n in ("key", "run", "content", "bits"))
+            kept, near = _judged(key, runs, content, bits.view(np.uint64))
+            out = batch.select(names).filter(pa.array(kept))
+            return pa.RecordBatch.from_arrays([*out.columns, pa.array(near[kept])], [*names, "near"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -224,11 +227,9 @@ def shared_keys(rows: DataFrame) -> DataFrame:
             cut = int(np.argmax((key == key[-1]) & (runs == runs[-1])))
             left = batch.slice(cut)
             if cut:
-                judge(batch.slice(0, cut))
-            yield from flush()
+                yield judge(batch.slice(0, cut))
         if left is not None:
-            judge(left)
-            yield from flush()
+            yield judge(left)
 
     return rows.repartition("key", "run").sortWithinPartitions("key", "run").mapInArrow(
         run, "key long, doc_id long, stamp long, start int, content long, near boolean")
