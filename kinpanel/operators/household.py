@@ -73,13 +73,14 @@ def relation_pairs(roster: DataFrame, keys: Sequence[str], relation_columns: Seq
     with_grid = [slot for slot in named if any(a == slot for a, _ in grid)]
     kids = roster.select(*keys, F.explode(F.array(*[member(slot) for slot in with_grid])).alias("k")).filter(
         F.col("k").isNotNull())
-    pairs = kids.select(*keys, "k", F.explode("k.own").alias("p")).filter(
-        F.col("p.id").isNotNull() & F.col("p.sex").isNotNull())
+    # made once for a member, not for each of its pairs
+    kids = kids.select(
+        *keys, F.col("k.id").alias("kid_id"), E.choose([(F.col("k.sex") == male_code, "male")], "female").alias("gender"),
+        F.col("k.own").alias("__own"), F.col("k.own.value").alias("relatives_list"), F.col("k.own.slot").alias("relatives_slots"))
+    pairs = kids.withColumn("p", F.explode("__own")).filter(F.col("p.id").isNotNull() & F.col("p.sex").isNotNull())
     return pairs.select(
-        *keys, F.col("p.value").alias("value"), F.col("k.id").alias("kid_id"),
-        E.choose([(F.col("k.sex") == male_code, "male")], "female").alias("gender"), F.col("p.id").alias("parent_id"),
-        E.choose([(F.col("p.sex") == male_code, "father")], "mother").alias("parent_type"),
-        F.col("k.own.value").alias("relatives_list"), F.col("k.own.slot").alias("relatives_slots"))
+        *keys, F.col("p.value").alias("value"), "kid_id", "gender", F.col("p.id").alias("parent_id"),
+        E.choose([(F.col("p.sex") == male_code, "father")], "mother").alias("parent_type"), "relatives_list", "relatives_slots")
 
 
 def assign_parents(pairs: DataFrame, persons: DataFrame, tie: int, wave: str = "id_w", household: str = "id_h",
@@ -215,23 +216,25 @@ def analysis_sample(panel: DataFrame, seen: DataFrame, rules: SampleRules, exclu
     ``seen`` holds (idind, year, id_h) of all persons and decides who has lived apart from both parents.
     """
     family = ["year", "mother_id", "father_id"]
-    panel = checkpointed(panel)
+    panel = checkpointed(panel.drop("relatives_slots"))
     # one aggregate serves the longest list, the reconciled number of children and the hot families
     per_kid = panel.groupBy(*family, "kid_id").agg(
         F.count(F.lit(1)).alias("__rows"), F.max("kid_order").alias("__last"), F.max(A.length(F.col("relatives_list"))).alias("__longest"))
     stats, hot = written_stats(per_kid.groupBy(*family).agg(
         F.sum("__rows").alias("__rows"), F.count("kid_id").alias("__seen"), F.max("__last").alias("__last"),
         F.max("__longest").alias("__longest")), family)
-    rows = salted_join(panel, stats, family, "inner", check=False, hot=hot)
-    lists = rows.filter(A.length(F.col("relatives_list")) == F.col("__longest")).select(*family, "relatives_list").distinct()
-    rows = salted_join(rows.drop("relatives_list", "relatives_slots", "__longest"), lists, family, "left", check=False, hot=hot)
-    listed = A.count_value(F.col("relatives_list"), rules.sibling_code) + 1
-    rows = checkpointed(rows.withColumn("kids_num", F.greatest(listed, F.col("__seen"), F.col("__last")).cast("int"))
-                        .drop("__seen", "__last"))
-    of_age = rows.filter(F.col("age").between(rules.lower_age, rules.upper_age))
+    lists = salted_join(panel.select(*family, "relatives_list"), stats.select(*family, "__longest"), family, "inner", check=False, hot=hot)
+    lists = lists.filter(A.length(F.col("relatives_list")) == F.col("__longest")).select(*family, "relatives_list").distinct()
+    # the other rows of a person are not needed beyond the family's numbers; a row without a family has none of these
+    of_age = panel.drop("relatives_list").dropna(subset=family).filter(F.col("age").between(rules.lower_age, rules.upper_age))
     # one row per person and wave: few rows per person
     rows = of_age.withColumn("__first", F.min("year").over(Window.partitionBy("kid_id"))).filter(
         F.col("year") == F.col("__first")).drop("__first")
+    rows = salted_join(rows, stats.drop("__longest"), family, "inner", check=False, hot=hot)
+    rows = salted_join(rows, lists, family, "left", check=False, hot=hot)
+    listed = A.count_value(F.col("relatives_list"), rules.sibling_code) + 1
+    rows = checkpointed(rows.withColumn("kids_num", F.greatest(listed, F.col("__seen"), F.col("__last")).cast("int"))
+                        .drop("__seen", "__last"))
 
     code = F.col("profession_code")
     members = F.greatest(A.length(F.col("relatives_list")) + 1, F.col("kids_num") + 2)

@@ -10,6 +10,7 @@ from kinpanel.operators import household as H
 from kinpanel.operators import joins as J
 from kinpanel.operators import reshape as R
 from kinpanel.plans.survey import CHILD_OF, RULES, prepare_facts, prepare_persons
+from kinpanel.session import checkpointed
 from kinpanel.sources import tables as S
 from kinpanel.stats import metrics as M
 
@@ -219,6 +220,37 @@ def test_first_year_ties_and_sample(rows, listed):
         (2, 2002, "2", "2", "4", None, 0, "unemployed", "1", 1980)]
 
 
+def test_sample_moves_one_row_per_person(rows, listed, monkeypatch):
+    """Beyond the family's numbers no other row of a person goes on; a row without a parent is no first observation."""
+    lists = {11: [4, 4, 6], 12: [4, 4]}
+    panel = rows(
+        "kid_id long, year int, age int, kid_univ_diploma int, gender string, profession_code int, origsm int, id_w int, id_h int, "
+        "father_id long, mother_id long, birth_year int, kid_order int, totexpr string, relatives_list array<int>, "
+        "relatives_slots array<string>", [
+            (kid, 1980 + age, age, 0, "male", 3, 1, age - 10, 1, None if kid == 12 and age == 20 else 1, 2, 1980, kid - 10, "II Q",
+             lists[kid], ["1", "2", "3"]) for kid in lists for age in range(18, 31)])
+    written = []
+
+    def seen_by_test(df):
+        written.append((df.columns, df.count()))
+        return checkpointed(df)
+
+    monkeypatch.setattr(H, "checkpointed", seen_by_test)
+    got = H.analysis_sample(panel, rows("idind long, year int, id_h int", []), RULES)
+    assert listed(got, "kid_id", "year", "kids_num", "hh_size") == [(11, 2000, "2", "4"), (12, 2001, "2", "4")]
+    assert not any("relatives_slots" in columns for columns, _ in written)
+    assert len(written) == 3 and written[0][1] == panel.count() and all(n <= 2 for _, n in written[1:])
+
+
+def test_members_lists_are_made_before_the_pairs(rows):
+    roster = rows("id_w int, id_h long, `b1.9.2` int, `b2.91` int, idind1 long, idind2 long, `b1.5` int, `b2.5` int",
+                  [(1, 1, 4, 2, 10, 20, 1, 2)])
+    pairs = H.relation_pairs(roster, ["id_w", "id_h"], ["b1.9.2", "b2.91"], ["idind1", "idind2"], ["b1.5", "b2.5"])
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    assert all(f"AS {c}#" in below and f"AS {c}#" not in above for c in ("relatives_list", "relatives_slots"))
+
+
 def test_metrics_describe_class_zero(rows):
     df = rows("y int, s double", [(0, 0.1), (0, 0.7), (1, 0.9), (1, 0.2), (1, 0.8)])
     got = M.classification_metrics(df, "y", "s").first()
