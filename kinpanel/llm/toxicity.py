@@ -17,6 +17,7 @@ a document count as toxic if one is; a null label is no label. Other columns pas
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinpanel.llm.common import with_fields
+from kinpanel.session import checkpointed, own_stages
 
 POSITIVE = 4000
 NEGATIVE = 8000
@@ -34,8 +36,13 @@ CANDIDATES = 5000
 BEAM = 24
 READINGS = 8
 PIECE = 40
+#: tokens whose words a task remembers, and tokens that it remembers to have no weight
 MEMO = 300_000
+QUIET = 600_000
 BEGIN = 5
+#: bits of a symbol in a trigram's number, and characters whose trigrams are counted at once
+BITS = 6
+CHUNK = 1 << 20
 # fixed values: what written characters may stand for
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -48,9 +55,11 @@ SUBSTITUTED, MARKED, MARKED_LIKE, REPEATED, ENDED = -0.7, -1.0, -6.0, -0.7, -1.5
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…«»“”‘’–—¿¡§€£"
 _QUIET = "".join(c for c in _EDGES if c not in LOOKS)
 _CLEAN = re.compile(r"[^\W\d_]+")
+_BLANK = re.compile(r"\s")
 _DOUBLE = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s._*-][ ._*-]+){2,}[^\s._*-](?!\S)")
 _LETTERS = set("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))) + "œ")
+_SYMBOLS = "".join(sorted(_LETTERS)) + "?"
 
 
 def plain(word: str) -> str:
@@ -96,7 +105,12 @@ class Language:
     def _piece(self, piece: str, spaced: bool) -> list[str]:
         """Likeliest letter strings behind a short token; in a spaced run a blank may end a word."""
         paths = [(0.0, "", "^^", "")]
-        for char in piece:
+        for at, char in enumerate(piece):
+            if not spaced and char.isalpha() and char not in LOOKS and char != piece[at - 1:at]:
+                # the letter is written once and is itself, so every path goes on in one way
+                symbol = char if char in _LETTERS else "?"
+                paths = [(score + self.score(last + symbol), text + char, last[1] + symbol, char) for score, text, last, _ in paths]
+                continue
             options = [(char, 0.0)] if char in _LETTERS or char.isalpha() else []
             options += [(c, SUBSTITUTED) for c in LOOKS.get(char, "")]
             if not char.isalpha():
@@ -136,6 +150,16 @@ class Language:
             best[text] = max(total, best.get(text, total))
         return sorted(best, key=lambda t: (-best[t], t))[:READINGS]
 
+    def _doubled(self, core: str) -> list[str]:
+        """``_undoubled`` in any order; up to ``READINGS`` readings are all kept, so they need no scores."""
+        places = [i for i in range(1, len(core)) if core[i] == core[i - 1]]
+        if 2 ** len(places) > READINGS or len(core) > PIECE:
+            return self._undoubled(core)
+        found = [core]
+        for i in reversed(places):
+            found += [text[:i] + text[i + 1:] for text in found]
+        return found
+
     @staticmethod
     def _keep(grown: dict, path: tuple[float, str, str, str]) -> None:
         key = (path[1], path[2])
@@ -144,10 +168,12 @@ class Language:
 
     def words(self, token: str) -> tuple[str, ...]:
         """Words that a written token (in lower case) may be; one, itself, if there is nothing to undo."""
+        if token.isalpha() and not _DOUBLE.search(token):
+            return (token,)
         core = token.strip(_EDGES)
         if _CLEAN.fullmatch(core):
             marked = core != token and any(c in LOOKS for c in token.replace(core, "", 1))
-            odd = self.readings(token.strip(_QUIET)) if marked else self._undoubled(core) if _DOUBLE.search(core) else []
+            odd = self.readings(token.strip(_QUIET)) if marked else self._doubled(core) if _DOUBLE.search(core) else []
             return tuple(dict.fromkeys([core, *odd]))
         if not any(c.isalpha() for c in token) and not (3 <= len(core) <= 12 and any(c in LOOKS for c in core)):
             return ()
@@ -167,34 +193,67 @@ class Language:
                     memo.clear()
                 words = memo[token] = self.words(token)
             found.update(words)
-        for run in _SPACED.finditer(low):
-            for reading in self.readings(unspaced(run.group()), True):
-                found.update(reading.split())
-        return found
+        return found | self.spaced_words(low)
+
+    def spaced_words(self, low: str) -> set[str]:
+        """Words of the runs of single characters in a text (in lower case)."""
+        return {w for run in _SPACED.finditer(low) for r in self.readings(unspaced(run.group()), True) for w in r.split()}
+
+
+@functools.cache
+def symbol(point: int) -> int:
+    """Number of a code point in lower case: 0 for white space, 1 for what words of letters are without, then the alphabet."""
+    c = chr(point)
+    return 0 if c.isspace() else 2 + _SYMBOLS.index(plain(c)) if _CLEAN.fullmatch(c) else 1
+
+
+def pieces(text: str) -> Iterator[str]:
+    """Stretches of about ``CHUNK`` characters of a text, cut at blanks."""
+    begin = 0
+    while blank := _BLANK.search(text, begin + CHUNK):
+        yield text[begin:blank.start()]
+        begin = blank.start()
+    yield text[begin:]
+
+
+def trigrams(texts: Iterable[str]) -> np.ndarray:
+    """Count of each trigram (three symbol numbers of ``BITS`` bits) of the words of letters only, in texts in lower case."""
+    points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), dtype=np.uint32)
+    present = np.flatnonzero(np.bincount(points))
+    number = np.zeros(present[-1] + 1, dtype=np.int32)
+    number[present] = [symbol(p) for p in present.tolist()]
+    c = number[points]
+    blanks = np.flatnonzero(c == 0)
+    # a word ends with the blank behind it; one with another symbol than letters counts for nothing
+    counts = np.ones(len(blanks), dtype=bool)
+    counts[np.searchsorted(blanks, np.flatnonzero(c == 1))] = False
+    counts = np.repeat(counts, np.diff(blanks, prepend=-1))
+    counts[1:] &= (c[1:] > 0) | (c[:-1] > 0)
+    counts[0] = False
+    last, before = c[:-1], np.where(c[1:-1] > 0, c[:-2], 0)
+    grams = (last << BITS) + c[1:]
+    grams[1:] += before << 2 * BITS
+    return np.bincount(grams[counts[1:]], minlength=1 << 3 * BITS)
 
 
 def character_counts(docs: DataFrame) -> Counter[str]:
     """Trigram counts of all words of letters of all documents; the table is bounded by the alphabet."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter[str] = Counter()
-        words: Counter[str] = Counter()
-
-        def fold() -> None:
-            for word, n in words.items():
-                if _CLEAN.fullmatch(word):
-                    w = "^^" + plain(word) + "^"
-                    for i in range(len(w) - 2):
-                        grams[w[i:i + 3]] += n
-            words.clear()
-
+        sums = np.zeros(1 << 3 * BITS, dtype=np.int64)
+        held: list[str] = []
+        size = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    words.update(text.lower().split())
-                if len(words) > 200_000:
-                    fold()
-        fold()
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
+            for piece in (p for text in batch.column(0).to_pylist() if text for p in pieces(text.lower())):
+                held.append(piece)
+                size += len(piece)
+                if size >= CHUNK:
+                    sums += trigrams(held)
+                    held, size = [], 0
+        sums += trigrams(held)
+        found = np.flatnonzero(sums)
+        names = ["^", "", *_SYMBOLS]
+        grams = ["".join(names[g >> k * BITS & (1 << BITS) - 1] for k in (2, 1, 0)) for g in found.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(sums[found], pa.int64())], ["gram", "n"])
 
     sums = docs.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return Counter({r["gram"]: r["n"] for r in sums.collect()})
@@ -213,11 +272,32 @@ class Model:
     def __init__(self, language: Language, weights: dict[str, float], base: float):
         self.language, self.weights, self.base = language, weights, base
 
-    def scores(self, texts: list[str | None], memo: dict) -> list[float]:
+    def marks(self, text: str | None, memo: dict[str, tuple[str, ...]], quiet: set[str]) -> set[str]:
+        """Features of the restored text that have a weight; ``quiet`` holds tokens without any, ``memo`` those of others."""
+        if not text:
+            return set()
+        low = text.lower()
+        found: set[str] = set()
+        for token in set(low.split()).difference(quiet):
+            own = memo.get(token)
+            if own is None:
+                own = tuple(features(self.language.words(token)) & self.weights.keys())
+                if own:
+                    if len(memo) > MEMO:
+                        memo.clear()
+                    memo[token] = own
+                else:
+                    if len(quiet) > QUIET:
+                        quiet.clear()
+                    quiet.add(token)
+            found.update(own)
+        found.update(features(self.language.spaced_words(low)) & self.weights.keys())
+        return found
+
+    def scores(self, texts: list[str | None], memo: dict[str, tuple[str, ...]], quiet: set[str]) -> list[float]:
         out = []
         for text in texts:
-            found = features(self.language.restored(text, memo))
-            total = self.base + sum(self.weights[f] for f in sorted(found & self.weights.keys()))
+            total = self.base + sum(self.weights[f] for f in sorted(self.marks(text, memo, quiet)))
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
         return out
 
@@ -247,7 +327,14 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "found"])
 
     read_rows = sample.select("toxic", "text").mapInArrow(read, "toxic int, found array<string>")
-    share = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    with own_stages(docs.sparkSession):
+        # written, as features are counted before those that mark documents are read
+        return fit(checkpointed(read_rows), language)
+
+
+def fit(read_rows: DataFrame, language: Language) -> Model:
+    """Model of a bounded sample of documents (toxic, found: features)."""
+    share = {r["toxic"]: r["count"] for r in read_rows.groupBy("toxic").count().collect()}
     p, n = share.get(1, 0), share.get(0, 0)
     if not p or not n:
         return Model(language, {}, 30.0 if p else -30.0)
@@ -298,8 +385,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
+        quiet: set = set()
         for batch in batches:
-            found = model.scores(batch.column("text").to_pylist(), memo)
+            found = model.scores(batch.column("text").to_pylist(), memo, quiet)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*kept, "toxicity"])
 
     return source.mapInArrow(run, with_fields(source, toxicity="double"))

@@ -204,6 +204,46 @@ def test_toxicity_learns_from_labels_alone(spark, docs):
     assert all(r["toxicity"] < 0.5 for r in toxicity.score(docs(ODD), none).collect())
 
 
+def test_trigrams_of_all_words_of_letters(spark, docs, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abÉ÷œ_1Σİ漢½Ⅷß^?\x1c\x85\u200b  \n\U0001F600\U00010400") for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += ["", None, " ", "İx ΑΣ ½a", "x" * 50]
+    want = collections.Counter()
+    for word in (w for t in texts for w in (t or "").lower().split()):
+        if toxicity._CLEAN.fullmatch(word):
+            padded = f"^^{toxicity.plain(word)}^"
+            want.update(padded[i:i + 3] for i in range(len(padded) - 2))
+    assert toxicity.character_counts(docs(list(enumerate(texts))).repartition(3)) == want
+    assert toxicity.character_counts(docs([(1, None), (2, "")])) == {}
+    monkeypatch.setattr(toxicity, "CHUNK", 40)
+    for long in [" ".join(t.lower() for t in texts if t), "x" * 100, "x" * 60 + " " + "y" * 60, " " * 100]:
+        cut = list(toxicity.pieces(long))
+        assert "".join(cut) == long and (sum(map(toxicity.trigrams, ([p] for p in cut))) == toxicity.trigrams([long])).all()
+
+
+def test_words_with_doubled_letters_have_all_their_readings(language):
+    for word in ["stuupid", "iiddiioott", "mooron", "aaa", "ßßé", "off", "llllama", "aabbccdd", "b" * 50]:
+        assert set(language.words(word)) == {word, *language.readings(word)}
+
+
+def test_words_without_weight_are_looked_at_once(language, monkeypatch):
+    """A word that stands in many documents is restored and compared with the weights once in a task, with the same scores."""
+    weights = {"stupid": 2.0, "idiot": 1.5, "hello": -0.3, "moron": 0.7, "stupi-": 0.11}
+    model, rng = toxicity.Model(language, weights, -1.0), random.Random(9)
+    tokens = ["stup1d", "hello,", "moron", "i d i o t", "the", "and", "trash!", "stuupid", *(f"w{i}" for i in range(40))]
+    texts = [None, "", *(" ".join(rng.choices(tokens, k=30)) for _ in range(100))]
+    want = []
+    for text in texts:
+        found = toxicity.features(language.restored(text, {})) & weights.keys()
+        want.append(1 / (1 + np.exp(1.0 - sum(weights[f] for f in sorted(found)))))
+    seen = []
+    plain_features = toxicity.features
+    monkeypatch.setattr(toxicity, "features", lambda words: seen.extend(words) or plain_features(words))
+    got = model.scores(texts, {}, set())
+    assert np.allclose(got, want, rtol=1e-12) and len(set(got)) > 3
+    assert seen.count("moron") == seen.count("and") == 1
+
+
 # --- 4: WARC
 
 def test_archive_round_trip_with_magic_inside(spark):
