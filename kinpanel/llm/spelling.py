@@ -12,8 +12,9 @@ A list of over ``LIST`` words is not compared pair by pair. Its words are joined
 character is deleted, which finds every pair one edit apart, too; for one such rest there are at most (length + 1) words
 for each character of the alphabet.
 
-The dictionary has at most ``GRAMS`` grams of each length whatever the corpus, and is broadcast. Words, counts and links
-cover all documents and stay distributed.
+The dictionary has at most ``GRAMS`` grams of each length whatever the corpus, and is broadcast. Words, counts, lists, rests
+and links cover all documents and stay distributed: their joins are by sorting at every size. Only the names of long lists, at
+most one for ``LIST`` rows, may be broadcast.
 
 Defined cases: a null text has no words; a null doc_id counts as an empty one; equal rows count each. An empty table has
 no words. Only doc_id and text are read, whatever else the table holds.
@@ -143,6 +144,15 @@ def index(vocabulary: DataFrame, known: dict[str, int]) -> DataFrame:
     return vocabulary.select("word").mapInArrow(run, "list long, side int, word string")
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join by sorting, never a broadcast.
+
+    Spark takes a table's size from its packed file and does not count the rows that an explode adds, so what it expects to
+    be small enough to broadcast can be many times that and not fit into the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) == 1
 
@@ -152,7 +162,7 @@ def _pairs(lists: DataFrame) -> DataFrame:
     other = lists.select(F.col("list").alias("__list"), F.col("side").alias("__side"), F.col("word").alias("b"))
     met = (F.col("list") == F.col("__list")) & (((F.col("side") == 0) & (F.col("__side") == 0) & (F.col("word") < F.col("b")))
                                                  | ((F.col("side") == 1) & (F.col("__side") == 2)))
-    return lists.join(other, met).filter(_one_edit(F.col("word"), F.col("b"))).select(F.col("word").alias("a"), "b")
+    return _joined(lists, other, met).filter(_one_edit(F.col("word"), F.col("b"))).select(F.col("word").alias("a"), "b")
 
 
 def _by_rests(vocabulary: DataFrame) -> DataFrame:
@@ -165,9 +175,9 @@ def _by_rests(vocabulary: DataFrame) -> DataFrame:
     rest = F.expr("xxhash64(if(at = 0, word, concat(substring(word, 1, at - 1), substring(word, at + 1))))")
     rests = known.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("word")))).select("id", rest.alias("rest")).distinct()
     other = rests.select(F.col("rest").alias("__rest"), F.col("id").alias("other"))
-    met = rests.join(other, (F.col("rest") == F.col("__rest")) & (F.col("id") < F.col("other"))).select("id", "other").distinct()
-    met = met.join(known.withColumnRenamed("word", "a"), "id").join(
-        known.select(F.col("id").alias("other"), F.col("word").alias("b")), "other")
+    met = _joined(rests, other, (F.col("rest") == F.col("__rest")) & (F.col("id") < F.col("other"))).select("id", "other").distinct()
+    met = _joined(met, known.withColumnRenamed("word", "a"), "id")
+    met = _joined(met, known.select(F.col("id").alias("other"), F.col("word").alias("b")), "other")
     return met.filter(_one_edit(F.col("a"), F.col("b"))).select("a", "b")
 
 
@@ -177,7 +187,7 @@ def links(vocabulary: DataFrame, common: int = COMMON, most: int = GRAMS, longes
     lists = checkpointed(index(vocabulary, known))
     sizes = lists.groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
     # a list of one word links nothing
-    short = lists.join(sizes.filter(F.col("n") <= longest).select("list"), "list", "left_semi")
+    short = _joined(lists, sizes.filter(F.col("n") <= longest).select("list"), "list", "left_semi")
     found = _pairs(short)
     long = checkpointed(sizes.filter(F.col("n") > longest).select("list"))
     if not long.isEmpty():
@@ -195,7 +205,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = checkpointed(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = now.select(F.col("word").alias("__at"), F.col("root").alias("__next"))
-        now = checkpointed(now.join(ahead, F.col("root") == F.col("__at"), "left").select(
+        now = checkpointed(_joined(now, ahead, F.col("root") == F.col("__at"), "left").select(
             "word", F.coalesce("__next", "root").alias("root"), F.col("__next").isNotNull().alias("moved")))
         moved = not now.filter("moved").isEmpty()
         now = now.drop("moved")
@@ -213,10 +223,10 @@ def variants(docs: DataFrame, length: int = LENGTH, times: int = TIMES, larger:
     near = links(vocabulary, **index_options)
     counts = vocabulary.select(F.col("word").alias("b"), F.col("n").alias("b_n"))
     # a word has at most (2 * length + 1) near words for each character of the alphabet
-    best = near.join(counts, "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("b_n"), F.col("b"))).alias("best"))
+    best = _joined(near, counts, "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("b_n"), F.col("b"))).alias("best"))
     best = best.select(F.col("a").alias("word"), "n_near", F.col("best.b").alias("near"), (-F.col("best.col1")).alias("near_n"))
-    told = checkpointed(vocabulary.join(best, "word", "left").withColumn("is_form", F.coalesce(F.col("near_n") >= larger * F.col("n"), F.lit(False))))
+    told = checkpointed(_joined(vocabulary, best, "word", "left").withColumn("is_form", F.coalesce(F.col("near_n") >= larger * F.col("n"), F.lit(False))))
     told = told.withColumns({"form": F.when(F.col("is_form"), F.col("near")), "form_n": F.when(F.col("is_form"), F.col("near_n"))})
     ends = roots(told.filter("is_form").select("word", "form"))
-    return told.join(ends, "word", "left").select(
+    return _joined(told, ends, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n")

@@ -88,6 +88,26 @@ def test_template_words_share_a_list_and_are_still_linked(spark, monkeypatch):
     assert found(spark, pairs, longest=10) == brute(pairs)
 
 
+def test_no_words_lists_or_rests_are_broadcast(spark, monkeypatch):
+    """Their tables grow with the corpus, however small Spark takes them for; only the names of long lists may be broadcast."""
+    plans = []
+
+    def planned(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df)
+
+    written = spelling.checkpointed
+    monkeypatch.setattr(spelling, "checkpointed", planned)
+    pairs = corpus(random.Random(5), 40, 60)
+    df = spark.createDataFrame([(*p, "w", 1, 2, "l") for p in pairs], SCHEMA)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    last = spelling.variants(df, common=3, longest=2)
+    plans.append((last.columns, last._jdf.queryExecution().executedPlan().toString()))
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 4
+    assert {tuple(columns) for columns, plan in plans if "BroadcastExchange" in plan} <= {("word",)}
+    assert sorted(map(tuple, last.collect())) == brute(pairs)
+
+
 def test_odd_texts(spark):
     pairs = [(None, None), (1, ""), (2, "  12 ??"), (None, "Größe größe GRÖßE größer"), (3, "x" * 50_000), (3, "x" * 50_000), (4, "x" * 50_000),
              (5, "x" * 49_999 + " " + "x" * 49_999 + " " + "x" * 49_999), (6, "größe größer größer ÷×÷×÷ ÷×÷×÷ ÷×÷×÷"), (6, "größe größer größer")]
